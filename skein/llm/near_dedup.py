@@ -7,8 +7,10 @@ tables would take.  At a similarity of 0.75 two nodes share no table with a chan
 
 Tables are found in two steps: a left key that only one node has can't be part of a shared table, so right keys are joined
 to it only where at least two nodes share it.  Nodes of a table are linked to its first node, not to each other; each link
-is confirmed on the full sets.  Then only tables whose nodes are still in several components are looked at again, between
-components, until none is left unsettled.
+is confirmed on the full sets.  That joins nearly all that belongs together.  Then the left keys whose nodes are still in
+several components are looked at again: nodes of different components that share a table are compared by signatures of
+SIGNATURE minhashes, of which a pair at 0.75 misses the bar with a chance under one in a million, and pairs over it are
+confirmed on the full sets.  Large groups are cut into blocks, and pairs of blocks are tasks; signatures never leave a task.
 
 Edge cases: null text, or one without words, has an empty set, is linked with nothing and kept.  Fewer words than a
 shingle: the whole sequence is one shingle.  Rows that repeat a doc_id are one node if their texts are equal, else the
@@ -22,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -32,10 +34,13 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 #: Half keys of each collection, and minhashes of a half key.
 SIDE, HALF = 16, 2
+#: Bytes of a signature, of which at least BAR agree (0.75 x 256 is 192, less 4.9 standard deviations); nodes of a block.
+SIGNATURE, BAR, BLOCK = 256, 158, 4096
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 _SEEDS = _rng.integers(1, 1 << 63, 2 * SIDE * HALF, dtype=np.uint64) | _U(1)
+_SIGNS = _rng.integers(1, 1 << 63, SIGNATURE, dtype=np.uint64) | _U(1)
 _STEPS = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | _U(1)
 
 
@@ -97,16 +102,29 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
+def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A byte of each of SIGNATURE minhashes, a row for each set that isn't empty."""
+    full = np.flatnonzero(np.diff(ends))
+    out = np.zeros((len(ends) - 1, SIGNATURE), np.uint8)
+    if len(full):
+        begins = ends[:-1][full]
+        for k, sign in enumerate(_SIGNS):
+            least = np.minimum.reduceat(sets * sign >> _U(24), begins)
+            out[full, k] = (common.mix(least) & _U(255)).astype(np.uint8)
+    return out
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """node, set: the full sets of the nodes' texts."""
+    """node, set, sign: the full sets and signatures of the nodes' texts."""
 
     def run(batches):
         for block in common.blocks(batches, "text"):
             sets, ends = shingle_sets(*common.arrow_bytes(block.column("text")))
             flat = pa.BinaryArray.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(sets.tobytes())])
-            yield pa.RecordBatch.from_arrays([block.column("node"), flat], ["node", "set"])
+            signs = pa.array([row.tobytes() for row in signatures(sets, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([block.column("node"), flat, signs], ["node", "set", "sign"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, set binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, set binary, sign binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -155,19 +173,21 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large and small stars in turn: each round links nodes to the smallest neighbour of theirs, with a shuffle for the edges
     and no growth of their number.
     """
-    now = common.written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     last = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = F.least(F.min("b").over(Window.partitionBy("a")), F.col("a"))
-        large = both.withColumn("m", least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.distinct()
+        down = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
-        now = common.written(small.where("a <> b").distinct(), "edges")
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == last:
+        seen = Observation()
+        counted = small.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        now = common.written(counted, "edges")
+        if seen.get == last:
             break
-        last = seen
+        last = seen.get
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -193,32 +213,77 @@ def components(docs: DataFrame) -> DataFrame:
     tables = common.written(_tables(nodes), "tables")
     candidates = tables.select("node").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates, "node")
-    sets = common.written(_sets(texts).groupBy("node").agg(F.min("set").alias("set")), "sets")
-    links = common.written(_confirmed(tables.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), sets), "links")
+    sets = _sets(texts).groupBy("node").agg(F.min(F.struct("set", "sign")).alias("s")).select("node", "s.*")
+    sets = common.written(sets, "sets")
+    pairs = tables.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    links = common.written(_confirmed(pairs, sets), "links")
     roots = connected(links)
-    links, roots = _settled(tables, sets, links, roots)
+    more = common.written(_confirmed(_unsettled(nodes.join(candidates, "node"), sets, roots), sets), "more-links")
+    if more.take(1):
+        roots = connected(links.unionByName(more))
     of = nodes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
     out = sketch.drop("keys").join(of, "set_key", "left")
     component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def _settled(tables: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame):
-    """Looks at tables whose nodes are in several components: pairs between components, each pair once.
-
-    Within a component nothing can change any more, so the pairs that are left are few; a component is compared through
-    each of its nodes in the table, since only that is exact.
-    """
+def _unsettled(nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b: pairs of different components that share a table and whose signatures agree well enough."""
     of = roots.withColumnRenamed("node", "member")
-    named = tables.join(of, tables["node"] == of["member"], "left").select("table", "node", F.coalesce("root", "node").alias("root"))
-    open_ = named.groupBy("table").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("table")
-    left = common.written(named.join(open_, "table"), "open-tables")
-    one, two = left.alias("one"), left.alias("two")
-    pairs = one.join(two, (F.col("one.table") == F.col("two.table")) & (F.col("one.root") < F.col("two.root")))
-    pairs = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b")).distinct()
-    more = common.written(_confirmed(pairs, sets), "more-links")
-    links = links.unionByName(more)
-    return links, connected(links)
+    named = nodes.join(of, nodes["node"] == of["member"], "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
+    left = named.select("node", "root", F.explode(F.slice("keys", 1, SIDE)).alias("left"))
+    open_ = left.groupBy("left").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
+    rows = left.join(open_.select("left", blocks), "left")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("left", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root")
+    full = rows.join(named.select("node", "keys"), "node").join(sets.select("node", "sign", F.octet_length("set").alias("size")), "node")
+    dealt = full.repartition("left", "p", "q").sortWithinPartitions("left", "p", "q", "size")
+    dealt = dealt.select("left", "p", "q", "own", "node", "root", "size", "keys", "sign")
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[0][:3] != row[:3]:
+                    found += _likely(held)
+                    held = []
+                held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+        found = _likely(held)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _likely(held: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs of one group of a left key, by rising size of the set."""
+    if len(held) < 2:
+        return []
+    left, p, q = held[0][:3]
+    own, node, root, size = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
+    keys = np.array([r[7] for r in held], np.int64)
+    signs = np.frombuffer(b"".join(r[8] for r in held), np.uint8).reshape(len(held), SIGNATURE)
+    first = np.argmax(keys[:, :SIDE] == left, axis=1)
+    out = []
+    up, down = SIMILAR
+    for r in range(1, len(held)):
+        near = np.arange(np.searchsorted(size, size[r] * up / down - 1e-6), r)
+        near = near[root[near] != root[r]]
+        if p != q:
+            near = near[own[near] != own[r]]
+        if not len(near):
+            continue
+        near = near[(signs[near] == signs[r]).sum(axis=1) >= BAR]
+        if not len(near):
+            continue
+        # A pair is taken under the first left key that both have, and only if they share a right key too.
+        same = keys[near] == keys[r]
+        near = near[~same[:, : first[r]].any(axis=1) & same[:, SIDE:].any(axis=1)]
+        out += [(int(min(node[x], node[r])), int(max(node[x], node[r]))) for x in near]
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
