@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -31,8 +33,8 @@ CAPACITY = 4096
 END = 1
 #: Groups in which the pieces of one length are ranked.
 SALTS = 64
-#: Tokenised pieces of text that a worker remembers.
-MEMORY = 1_000_000
+#: Tokenised pieces of text of one generation; a worker remembers two.
+MEMORY = 700_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -45,50 +47,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops = {c: self._whole([c])[0] for c in (".", ",", "")}
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         here = set().union(*split)
         new = here.difference(self.known)
-        if len(self.known) + len(new) > MEMORY:  # what this block uses is what the next one is likely to
-            self.known = {w: self.known[w] for w in here.difference(new)}
+        if len(self.known) + len(new) > MEMORY:  # two generations: what is still used moves to the new one
+            self.old, self.known, new = self.known, {}, here
+        if self.old:
+            again = new.intersection(self.old)
+            self.known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            new = new.difference(again)
         self._learn(new)
         look = self.known.__getitem__
         return [b"".join(map(look, ws)) for ws in split]
 
+    def _whole(self, some: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
     def _learn(self, new: set[str]) -> None:
-        """Letters alone make one run of tokens that ends with a closing one; with a full stop or comma behind, two."""
-        plain, other = [], []
+        """Letters of Latin-1, perhaps with a full stop or comma behind, go straight to the tokenizer's merges.
+
+        For these all that comes before the merges is known: they are normal already, lower case changes them one by one,
+        and they are a single run.
+        """
+        merge, known, other = self.tokenizer.model.tokenize, self.known, []
         for w in new:
-            core = w[:-1] if w[-1:] in (".", ",") else w
-            if core.isalpha() and core.lower().isalpha():
-                plain.append((w, 1 if core is w else 2))
+            stop = w[-1:] if w[-1:] in (".", ",") else ""
+            core = w[:-1] if stop else w
+            if _LATIN(core):
+                core = core.lower()
+                ids = [t.id for t in merge(core if core.isascii() else core.translate(_LETTERS))]
+                known[w] = struct.pack(f"<{len(ids)}I", *ids) + self.stops[stop]
             else:
                 other.append(w)
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            runs = np.array([n for _, n in some])
-            ids = np.array(self.tokenizer.encode(" ".join(w for w, _ in some), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            # Each piece has at least its number of runs, so an equal sum means that each has just that.
-            if len(ends) != runs.sum():
-                other += [w for w, _ in some]
-                continue
-            stops = (ends[np.cumsum(runs) - 1] * 4).tolist()
-            raw, begin = ids.tobytes(), 0
-            for (w, _), stop in zip(some, stops, strict=True):
-                self.known[w] = raw[begin:stop]
-                begin = stop
         for at in range(0, len(other), 10_000):
-            some = other[at : at + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+            known.update(zip(other[at : at + 10_000], self._whole(other[at : at + 10_000]), strict=True))
+
 
+#: Letters of Latin-1, and how byte-level vocabularies write the bytes of those outside ASCII: bytes that print as
+#: themselves stand for themselves, the others take the code points from 256 on in their order.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+_BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(_HIDDEN)}
+_LETTERS = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 _encoders: dict[str, Encoder] = {}
 
