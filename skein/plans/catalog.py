@@ -1,17 +1,565 @@
-"""Queries over the reference tables by name, with their DuckDB counterparts."""
+"""Queries over the supplied tables by name; each stands for operators of the blueprint."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skein.functions import text as T
+from skein.operators import catalog as sources
+from skein.operators import chunking, evaluation, graph, quality, retrieval, runs
+from skein.plans import views
+from skein.plans.sql import ORACLES
+from skein.sources import tables
+
+#: Query texts for the retrieval queries.
+QUESTIONS = ((1, "Which almond or azure tools measure blue parts?"), (2, "Autism screening with ADOS"), (3, ""), (4, "早产和自闭症风险相关吗"), (5, "ABA training"), (6, "能诊断吗"))
+#: Hint rules (order, trigger, term) and alias groups (group, alias).
+HINTS = ((1, "measure", "assessment"), (2, "screening", "screening"), (3, "早产", "早产"), (4, "风险", "risk"))
+GROUPS = ((1, "ados"), (1, "ados-2"), (2, "aba"), (2, "Applied Behavior Analysis"), (3, "autism"), (3, "asd"))
+STOPWORDS = ("which", "or", "with", "the")
+WORDS = ("blue", "green", "steel", "customer#0000001")
+
+_queries: dict = {}
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["doc_lang_detect"](spark, sf_dir)
+
+def query(f):
+    _queries[f.__name__] = f
+    return f
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: hybrid retrieval, from vectors and graph to fused, ranked hits."""
+    return queries()["hybrid_fusion"](spark, sf_dir)
+
+
+def _joined(column: str):
+    return F.array_join(column, "|").alias(column)
+
+
+# Text.
+
+
+@query
+def doc_lang_detect(spark, d):
+    t = F.coalesce("text", F.lit(""))
+    return views.documents(spark, d).select("doc_id", T.count(t, T.CJK).cast("long").alias("zh"), T.count(t, "[A-Za-z]").cast("long").alias("en"), T.language(t).alias("language"))
+
+
+@query
+def doc_token_estimate(spark, d):
+    return views.documents(spark, d).select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).cast("long").alias("tokens"))
+
+
+@query
+def doc_line_noise(spark, d):
+    lines = T.lines(T.normalised_line(F.lit("")))
+    lines = T.lines(F.coalesce("text", F.lit("")))
+    docs = views.documents(spark, d)
+    return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, T.noise_line)).cast("long").alias("n_noise"), F.size(F.filter(lines, T.noisy_ocr_line)).cast("long").alias("n_ocr_noise"))
+
+
+@query
+def doc_quality_grade(spark, d):
+    return quality.graded(views.documents(spark, d)).select("doc_id", "chars", "n_lines", "grade", _joined("risk_flags"))
+
+
+@query
+def doc_grade_dist(spark, d):
+    return quality.distribution(quality.graded(views.documents(spark, d)), "grade")
+
+
+@query
+def doc_flag_dist(spark, d):
+    flags = quality.graded(views.documents(spark, d)).select(F.explode("risk_flags").alias("flag"))
+    return quality.distribution(flags, "flag")
+
+
+@query
+def doc_gate(spark, d):
+    return quality.gate(quality.graded(views.documents(spark, d)))
+
+
+@query
+def extraction_grade(spark, d):
+    return quality.extraction_graded(views.documents(spark, d)).select("doc_id", "boiler_hits", "grade", _joined("flags"))
+
+
+@query
+def doc_metric_p95(spark, d):
+    return quality.metric_summary(views.documents(spark, d).select(F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars")), "chars")
+
+
+@query
+def unique_line_ratio(spark, d):
+    lines = T.lines(F.coalesce("text", F.lit("")))
+    return views.documents(spark, d).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
+
+
+@query
+def repeated_lines(spark, d):
+    return quality.repeated_lines(views.documents(spark, d), least=2)
+
+
+@query
+def duplicate_ratio(spark, d):
+    docs = views.documents(spark, d).select(T.signature(F.coalesce("text", F.lit(""))).alias("s"))
+    return docs.agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("s")).alias("n_duplicate"))
+
+
+@query
+def duplicate_groups(spark, d):
+    return quality.duplicate_groups(views.documents(spark, d).withColumn("text", F.coalesce("text", F.lit(""))), "doc_id")
+
+
+@query
+def source_catalog(spark, d):
+    return sources.source_catalog(views.documents(spark, d))
+
+
+@query
+def noisy_selection_reasons(spark, d):
+    docs = views.documents(spark, d)
+    level = F.when(F.col("doc_id") % 5 == 0, "C").otherwise("B")
+    kind = F.when(F.col("source_group") == "src1", "book").otherwise("article")
+    return quality.distribution(sources.selection(docs.withColumns({"evidence_level": level, "source_type": kind})), "reason")
+
+
+@query
+def pilot_top_per_doc(spark, d):
+    return sources.pilot(views.documents(spark, d), "doc_id", "source_group", least=0)
+
+
+@query
+def stratified_sample(spark, d):
+    return quality.stratified(quality.graded(views.documents(spark, d)).select("doc_id", "chars", "grade"), "doc_id", 50)
+
+
+@query
+def lowest_review_list(spark, d):
+    return quality.graded(views.documents(spark, d)).select("doc_id", "grade", "chars").orderBy("grade", "chars", "doc_id").limit(100)
+
+
+# Chunks.
+
+
+@query
+def chunk_pack(spark, d):
+    return chunking.chunked(views.documents(spark, d)).select("chunk_id", "doc_id", "idx", "tokens", "chars", "segments", _joined("heading_path"))
+
+
+@query
+def chunk_quality(spark, d):
+    docs = views.documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    return quality.chunk_graded(docs.withColumn("tokens", T.tokens(F.col("text")))).select("doc_id", "grade", _joined("risk_flags"))
+
+
+@query
+def chunk_gate(spark, d):
+    docs = views.documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
+    return quality.chunk_gate(quality.chunk_graded(docs.withColumn("tokens", T.tokens(F.col("text")))))
+
+
+@query
+def chunk_prev_next(spark, d):
+    return chunking.linked(views.turns(spark, d), "conv_id", "turn").select("conv_id", "turn", "chunk_id", "prev_id", "next_id")
+
+
+@query
+def doc_chunk_map(spark, d):
+    docs = views.documents(spark, d).select(F.col("doc_id").alias("conv_id"))
+    found = chunking.chunk_map(docs, chunking.linked(views.turns(spark, d), "conv_id", "turn"), "conv_id")
+    return found.select("conv_id", "n_chunks", _joined("chunk_ids"))
+
+
+# Runs.
+
+
+@query
+def run_merge(spark, d):
+    return runs.merged(views.runs(spark, d), "chunk", "seq", F.col("status") == "ok")
+
+
+@query
+def retry_set(spark, d):
+    records = views.runs(spark, d)
+    failed = runs.merged(records, "chunk", "seq", F.col("status") == "ok").where("status = 'error'")
+    return runs.retry_set(records, failed, "chunk")
+
+
+@query
+def resume_unseen(spark, d):
+    seen = views.runs(spark, d).where("status = 'ok'")
+    return runs.unseen(views.read(spark, d, "documents").select(F.col("doc_id").alias("chunk")), seen, "chunk")
+
+
+@query
+def next_index(spark, d):
+    return runs.next_index(views.runs(spark, d), "chunk")
+
+
+@query
+def error_filter(spark, d):
+    records = views.runs(spark, d).withColumn("message", F.concat(F.lit("HTTP "), F.lit(500) + F.col("seq") % 5, F.lit(" "), F.col("event_type")))
+    return records.groupBy("event_type").agg(F.count_if(runs.retryable(F.col("message"))).alias("n_retryable"), F.count("*").alias("n"))
+
+
+@query
+def allowed_pair_check(spark, d):
+    e = views.entities(spark, d)
+    found = graph.relation_flags(views.relations(spark, d), e)
+    pairs = runs.allowed_pairs(spark).withColumn("legal", F.lit(True))
+    joined = found.join(F.broadcast(pairs), ["relation_type", "src_type", "dst_type"], "left")
+    return joined.groupBy("relation_type", "src_type", "dst_type").agg(F.count("*").alias("n"), F.count("legal").alias("n_legal"))
+
+
+@query
+def relation_reject_reason(spark, d):
+    e = views.entities(spark, d).select(F.lit(0).alias("chunk_id"), "entity_id", "name", "type")
+    r = views.relations(spark, d)
+    text = F.when(F.col("support_count") > 1, F.concat(F.lit("The study found that it measured "), F.col("dst_id"), F.lit("."))).when(F.col("src_id").endswith("7"), "").otherwise("short")
+    kind = F.when(F.col("src_id").endswith("3"), "RELATES_TO").otherwise(F.col("relation_type"))
+    dst = F.when(F.col("dst_id").endswith("9"), "gone").otherwise(F.col("dst_id"))
+    rows = r.select(F.lit(0).alias("chunk_id"), "src_id", kind.alias("relation_type"), dst.alias("dst_id"), text.alias("evidence_text"), "confidence")
+    return runs.checked(rows, e).groupBy("reject_reason").agg(F.count("*").alias("n"))
+
+
+# Graph.
+
+
+@query
+def graph_entities(spark, d):
+    return views.entities(spark, d).withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+@query
+def graph_relations(spark, d):
+    return views.relations(spark, d)
+
+
+@query
+def degree_entity_only(spark, d):
+    return graph.degrees(views.entities(spark, d), views.relations(spark, d))
+
+
+@query
+def degree_all(spark, d):
+    e, r = views.entities(spark, d), views.relations(spark, d)
+    edges = views.supports(spark, d).join(r, "relation_id").select(F.col("src_id").alias("entity_id"))
+    return graph.degrees(e, r, edges)
+
+
+@query
+def isolated_entities(spark, d):
+    e = views.entities(spark, d)
+    return graph.degrees(e, views.relations(spark, d)).where("degree = 0").join(e, "entity_id").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query
+def alias_conflicts(spark, d):
+    e = views.entities(spark, d)
+    # Market segments and part types never meet; nations and their demonyms do.
+    extra = e.where("type = 'AgeStage'").withColumns({"type": F.lit("Condition"), "entity_id": F.concat(F.lit("x_"), "entity_id")})
+    return graph.alias_conflicts(e.unionByName(extra))
+
+
+@query
+def entity_flags(spark, d):
+    found = graph.entity_flags(views.entities(spark, d), views.relations(spark, d))
+    return found.select("entity_id", "degree", "group_size", "tool_category", _joined("conflict_aliases"), _joined("flags"))
+
+
+@query
+def tool_class_ladder(spark, d):
+    e = views.entities(spark, d)
+    return e.select(graph.tool_class(F.concat_ws(" ", "name", "synonyms")).alias("tool_class")).groupBy("tool_class").agg(F.count("*").alias("n"))
+
+
+@query
+def relation_flags_usage(spark, d):
+    found = graph.relation_flags(views.relations(spark, d), views.entities(spark, d))
+    return found.groupBy("relation_type", "qa_usage", F.array_join("flags", "|").alias("flags")).agg(F.count("*").alias("n"))
+
+
+@query
+def evidence_level_summary(spark, d):
+    return graph.level_summary(views.supports(spark, d), views.evidence(spark, d))
+
+
+@query
+def same_name_groups(spark, d):
+    return graph.same_names(views.entities(spark, d)).select("name_key", "size", _joined("types"))
+
+
+@query
+def same_name_merge(spark, d):
+    found = graph.merged(views.entities(spark, d), ("AssessmentTool", "Intervention"))
+    return found.select("type", "primary_id", "name", "members", "source_chunk_count")
+
+
+@query
+def relation_remerge(spark, d):
+    e = views.entities(spark, d)
+    return graph.remapped(views.relations(spark, d), graph.merged(e, ("AssessmentTool", "Intervention")))
+
+
+@query
+def best_name(spark, d):
+    part = views.read(spark, d, "part")
+    return graph.best_name(part.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("name")), "brand")
+
+
+@query
+def graph_one_hop(spark, d):
+    ids = views.entities(spark, d).where("type = 'AgeStage' or entity_id in ('supp_1', 'part_7')")
+    return graph.neighbours(ids, views.relations(spark, d))
+
+
+@query
+def relation_context(spark, d):
+    ids = views.entities(spark, d).where("entity_id in ('cust_1', 'part_3', 'supp_2')")
+    found = graph.touching(views.relations(spark, d), ids)
+    return found.select("relation_id", "src_id", "relation_type", "dst_id", "support_count")
+
+
+@query
+def induced_subgraph(spark, d):
+    top = graph.degrees(views.entities(spark, d), views.relations(spark, d)).orderBy(F.desc("degree"), "entity_id").limit(200)
+    return graph.induced(views.relations(spark, d), top).select("relation_id", "src_id", "dst_id", "support_count")
+
+
+@query
+def evidence_path_chunks(spark, d):
+    ids = views.entities(spark, d).where("entity_id in ('cust_1', 'part_3')")
+    return graph.evidence_chunks(ids, views.relations(spark, d), views.supports(spark, d), views.evidence(spark, d))
+
+
+@query
+def rank_join_evidence(spark, d):
+    top = views.relations(spark, d).where("relation_type = 'MEASURED_BY'").orderBy(F.desc("support_count"), F.desc("confidence"), "relation_id").limit(20)
+    ranked = graph.ranks(top, F.desc("support_count"), F.desc("confidence"), F.col("relation_id")).select("relation_id", F.col("rank").cast("long").alias("rank"))
+    return graph.ranked_evidence(ranked, views.supports(spark, d), views.evidence(spark, d))
+
+
+@query
+def entity_resolution(spark, d):
+    tables.shared(spark)
+    return graph.resolved(views.entities(spark, d))
+
+
+@query
+def graph_export(spark, d):
+    e, r, s, v = (f(spark, d) for f in (views.entities, views.relations, views.supports, views.evidence))
+    parts = {"entity": e, "relation": r, "supported_by": s.join(r, "relation_id"), "evidence": v, "from_chunk": v.where("chunk_id is not null"), "chunk": v.select("chunk_id").distinct()}
+    out = None
+    for name, rows in parts.items():
+        n = rows.agg(F.lit(name).alias("kind"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query
+def dashboard_stats(spark, d):
+    r = graph.relation_flags(views.relations(spark, d), views.entities(spark, d))
+    parts = [views.entities(spark, d).select(F.lit("entity_type").alias("kind"), F.col("type").alias("value")), r.select(F.lit("qa_usage").alias("kind"), F.col("qa_usage").alias("value")), views.evidence(spark, d).select(F.lit("evidence_level").alias("kind"), F.col("evidence_level").alias("value"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query
+def entity_page(spark, d):
+    return views.entities(spark, d).where(F.contains("name", F.lit("a")) & (F.col("type") == "AssessmentTool")).orderBy(F.desc("source_chunk_count"), "entity_id").offset(20).limit(20).select("entity_id", "name", "source_chunk_count")
+
+
+# Retrieval.
+
+
+def _questions(spark):
+    return spark.createDataFrame(QUESTIONS, "query_id long, query string")
+
+
+def _keyword_rows(spark):
+    return spark.createDataFrame([(1, w) for w in WORDS] + [(2, "ASD"), (2, "red")], "query_id long, keyword string")
+
+
+@query
+def keyword_hint_rules(spark, d):
+    found = retrieval.keywords(_questions(spark), spark.createDataFrame(HINTS, "rule int, trigger string, term string"), STOPWORDS)
+    return found.select("query_id", _joined("keywords"))
+
+
+@query
+def alias_expand(spark, d):
+    words = retrieval.keywords(_questions(spark), spark.createDataFrame(HINTS, "rule int, trigger string, term string"), STOPWORDS)
+    rows = words.select("query_id", F.posexplode("keywords").alias("place", "keyword"))
+    found = retrieval.expanded(rows, spark.createDataFrame(GROUPS, "group_id int, alias string"))
+    return found.select("query_id", "keyword", F.col("place").cast("long").alias("place"))
+
+
+@query
+def entity_keyword_match(spark, d):
+    return retrieval.entity_matches(views.entities(spark, d), _keyword_rows(spark))
+
+
+@query
+def entity_rank_top60(spark, d):
+    e = views.entities(spark, d).withColumn("is_isolated", F.col("source_chunk_count") == 0)
+    found = retrieval.entity_rank(retrieval.entity_matches(e, _keyword_rows(spark)), e)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def relation_rank(spark, d):
+    e = views.entities(spark, d)
+    r = graph.relation_flags(views.relations(spark, d), e).join(e.select(F.col("entity_id").alias("src_id"), F.col("name").alias("src_name")), "src_id").join(e.select(F.col("entity_id").alias("dst_id"), F.col("name").alias("dst_name")), "dst_id")
+    return retrieval.relation_rank(r, ["blue", "steel", "asd"], 50).withColumn("rank", F.col("rank").cast("long"))
+
+
+def _vectors(spark, d):
+    return views.read(spark, d, "embeddings")
+
+
+def _vector_queries(spark, d):
+    return _vectors(spark, d).where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@query
+def vector_topk(spark, d):
+    found = retrieval.vector_topk(_vectors(spark, d), _vector_queries(spark, d), 10)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query
+def multi_query_topk(spark, d):
+    return retrieval.best_of_queries(retrieval.vector_topk(_vectors(spark, d), _vector_queries(spark, d), 20), 10)
+
+
+def _fused(spark, d):
+    hits = retrieval.best_of_queries(retrieval.vector_topk(_vectors(spark, d), _vector_queries(spark, d), 40), 40)
+    level = F.element_at(F.array(*map(F.lit, "SABCD")), F.col("label") % 5 + 1).alias("evidence_level")
+    hits = hits.join(_vectors(spark, d).select("vec_id", level), "vec_id")
+    return retrieval.fused(hits, _vectors(spark, d).where("vec_id % 3 = 0").select("vec_id"))
+
+
+@query
+def hybrid_fusion(spark, d):
+    return _fused(spark, d).select("vec_id", "score", "in_graph", "evidence_level", "merged_score")
+
+
+@query
+def context_assembly(spark, d):
+    fused = graph.ranks(_fused(spark, d).orderBy(F.desc("merged_score"), "vec_id").limit(6), F.desc("merged_score"), F.col("vec_id"))
+    hits = fused.select(F.col("vec_id").alias("chunk_id"), (F.col("rank") - 1).alias("pos"), "in_graph")
+    near = _vectors(spark, d).where("vec_id < 12").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").cast("int").alias("pos"))
+    return retrieval.assembled(near.where("chunk_id in (3, 5)"), hits, near.where("chunk_id % 3 = 0"), 12)
+
+
+@query
+def chunk_rank(spark, d):
+    level = F.element_at(F.array(*map(F.lit, "SABCD")), (F.col("doc_id") % 5 + 1).cast("int"))
+    words = F.array(*map(F.lit, ("the", "license", "autism")))
+    scored = views.documents(spark, d).select("doc_id", retrieval.chunk_score(F.col("text"), words, level).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(50)
+
+
+@query
+def best_window_trim(spark, d):
+    rows = views.documents(spark, d).select(F.col("doc_id").alias("id"), "text", F.array(*map(F.lit, ("license", "the", "rights"))).alias("words"))
+    return retrieval.windows(rows).select("id", F.length("window").alias("n"), F.sha1("window").alias("window_sha1"))
+
+
+# Agent and evaluation.
+
+
+@query
+def query_router(spark, d):
+    return evaluation.routed(_questions(spark)).select("query_id", "route", _joined("terms"), "requires_guardrail", "requires_followup")
+
+
+def _inspected(spark, d):
+    routes = F.array(*map(F.lit, [*evaluation.ROUTES, "knowledge_qa", "unknown"]))
+    docs = views.read(spark, d, "documents")
+    counts = docs.select(
+        "doc_id", F.element_at(routes, (F.col("doc_id") % 7 + 1).cast("int")).alias("route"), (F.col("n_chars") % 5).alias("n_contexts"), (F.col("n_chars") % 3).alias("n_relations"),
+        (F.col("n_chars") % 2).alias("n_entities"), (F.col("doc_id") % 4).alias("n_low"), (F.col("doc_id") % 3).alias("n_research"),
+    )
+    return evaluation.inspected(counts)
+
+
+@query
+def answer_policy(spark, d):
+    found = evaluation.policy(_inspected(spark, d))
+    return found.select("doc_id", "route", "answer_mode", "guardrail", "research_boundary", "certainty", _joined("forbidden"))
+
+
+@query
+def followup_decision(spark, d):
+    return evaluation.follows_up(_inspected(spark, d)).select("doc_id", "route", "needs_more", "follow_up")
+
+
+def _evaluated(spark, d):
+    turns = views.turns(spark, d)
+    rows = turns.select(
+        "conv_id", "turn", F.col("role").alias("category"), F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" [C1]"))).otherwise(F.col("text")).alias("answer"), F.col("text").alias("context"),
+        F.array(F.lit("the"), F.lit("und")).alias("expect_terms"), (F.col("turn") % 2 == 0).alias("needs_guardrail"), F.lit(False).alias("needs_research"), (F.col("conv_id") % 4 == 0).alias("dry_run"),
+        (F.col("turn") + F.col("conv_id") % 2).alias("n_contexts"), (F.col("conv_id") % 3).alias("n_graph"),
+    )
+    return evaluation.answer_checks(rows, ("of", "le"), ("research",))
+
+
+@query
+def term_presence_checks(spark, d):
+    checks = ("answer_present", "retrieved_context", "retrieved_graph", "expected_term_seen", "answer_cited", "guardrail_ok", "ok")
+    return _evaluated(spark, d).select("conv_id", "turn", *checks)
+
+
+@query
+def eval_summary(spark, d):
+    return evaluation.summary(_evaluated(spark, d), ["answer_cited", "expected_term_seen", "retrieved_graph"])
+
+
+@query
+def compare_delta(spark, d):
+    rows = _evaluated(spark, d)
+    side = lambda k, p: rows.where(F.col("turn") % 2 == k).select("conv_id", F.floor(F.col("turn") / 2).alias("pair"), F.col("ok").alias(f"{p}_ok"), F.col("retrieved_graph").alias(f"{p}_graph"), F.length("answer").alias(f"{p}_n"))
+    both = side(0, "b").join(side(1, "a"), ["conv_id", "pair"])
+    kind = evaluation.delta(*[F.col(c) for c in ("b_ok", "a_ok", "b_graph", "a_graph", "b_n", "a_n")])
+    return both.groupBy(kind.alias("delta")).agg(F.count("*").alias("n"))
+
+
+@query
+def latency_summary(spark, d):
+    return evaluation.latency(views.timings(spark, d))
+
+
+@query
+def agent_gate(spark, d):
+    return evaluation.agent_gate(evaluation.latency(views.timings(spark, d)))
+
+
+@query
+def benchmark_grid(spark, d):
+    t = views.timings(spark, d)
+    models, profiles, pipelines = (t.select(c).distinct() for c in ("model", "profile", "pipeline"))
+    return models.crossJoin(profiles).crossJoin(pipelines).crossJoin(spark.range(3).select(F.col("id").alias("repeat")))
+
+
+@query
+def csv_validate(spark, d):
+    rows = views.turns(spark, d).select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("role")).alias("category"), F.col("text").alias("query"))
+    return tables.violations(rows, ("id", "category", "query")).groupBy("column").agg(F.count("*").alias("n"))
+
+
+@query
+def return_merge(spark, d):
+    t = views.turns(spark, d)
+    old = t.where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("query"))
+    new = t.where("turn <= 1").select((F.col("conv_id") + F.col("turn") * 7).alias("id"), F.col("text").alias("query"))
+    return tables.merged_questions(old, new).select("id", F.length("query").cast("long").alias("n"))
