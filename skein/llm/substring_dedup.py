@@ -43,11 +43,14 @@ _U = np.uint64
 _NULL = -(1 << 63)
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the grams that are the smallest of some window inside a document."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, first, last): the grams that are the smallest of some window inside a document.
+
+    The windows of an anchor start from `first` to `last`: the smallest gram only moves on as the window does.
+    """
     n = len(data)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     prefix = common.prefix_hashes(data)
     at = np.arange(n - GRAM + 1)
     hashes = common.span_hashes(prefix, at, at + GRAM)
@@ -64,8 +67,11 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     full = np.diff(ends) >= LENGTH
     np.add.at(inside, ends[:-1][full], 1)
     np.add.at(inside, ends[1:][full] - LENGTH + 1, -1)
-    chosen = np.unique((m[np.cumsum(inside)[:-1] > 0] & _U((1 << bits) - 1)).astype(np.int64))
-    return chosen, hashes[chosen]
+    start = np.flatnonzero(np.cumsum(inside)[:-1] > 0)
+    of = (m[start] & _U((1 << bits) - 1)).astype(np.int64)
+    opens = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    closes = np.append(opens[1:], len(of)) - 1
+    return of[opens], hashes[of[opens]], start[opens], start[closes] if len(of) else opens
 
 
 def _doc(column: pa.Array) -> np.ndarray:
@@ -78,7 +84,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     def run(batches):
         for block in common.blocks(batches, "text"):
             data, ends = common.arrow_bytes(block.column("text"))
-            at, hashes = anchors(data, ends)
+            at, hashes, _, _ = anchors(data, ends)
             doc = np.searchsorted(ends, at, "right") - 1
             ids = _doc(block.column("doc_id"))
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[doc]), pa.array((at - ends[doc]).astype(np.int32))], ["key", "doc_id", "at"])
@@ -86,6 +92,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, doc_id long, at int")
 
 
+#: stop is 0 where the bytes around the anchor are given: their length tells it.
 PLACES = "key long, around binary, doc_id long, start int, stop int"
 
 
@@ -105,11 +112,14 @@ def surroundings(docs: DataFrame) -> DataFrame:
             at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(block.num_rows), counts)
             at = at + ends[:-1][doc]
-            ok = at + GRAM <= ends[1:][doc]
-            at, doc = at[ok], doc[ok]
             order = np.argsort(at, kind="stable")
             at, doc = at[order], doc[order]
-            low, high = np.maximum(at - SPAN + 1, ends[:-1][doc]), np.minimum(at + LENGTH, ends[1:][doc])
+            # Only the windows whose anchor it is: other windows around it belong to other anchors.
+            own, _, first, last = anchors(data, ends)
+            k = np.minimum(np.searchsorted(own, at), len(own) - 1) if len(own) else np.zeros(0, np.int64)
+            ok = own[k] == at if len(own) else np.zeros(len(at), bool)
+            at, doc, k = at[ok], doc[ok], k[ok] if len(own) else k
+            low, high = first[k], last[k] + LENGTH
             prefix = common.prefix_hashes(data)
             left, right, key = (common.span_hashes(prefix, a, b) for a, b in ((low, at), (at, high), (at, at + GRAM)))
             ids = _doc(block.column("doc_id"))[doc]
@@ -127,7 +137,7 @@ def surroundings(docs: DataFrame) -> DataFrame:
                             part.append(v)
                     continue
                 seen[l, r] = (i, s)
-                for part, v in zip(out, (key[k].view(np.int64), raw[a:b], i, s, e), strict=True):
+                for part, v in zip(out, (key[k].view(np.int64), raw[a:b], i, s, 0), strict=True):
                     part.append(v)
             yield _row_batch(*out)
             # Settled spans take part in the next exchange under keys of their own.
@@ -346,7 +356,7 @@ def removed(places: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
             for k, a, d, s, e in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if a is None or (k == key and a == around):
                     if a is None or first != (d, s):
-                        for part, v in zip(gone, (d, s, e), strict=True):
+                        for part, v in zip(gone, (d, s, e if a is None else s + len(a)), strict=True):
                             part.append(v)
                     continue
                 if k != key:
