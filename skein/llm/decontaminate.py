@@ -30,7 +30,8 @@ SHARD_BYTES = 4 << 20
 BENCHMARK_BYTES = 32 << 20
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long"
-MATCHES = "doc_id long, n_words long, hits array<long>, items array<long>, longest_match long"
+#: A row between blocks of a large benchmark: which words are hit so far (a bit each), and by which items.
+STATE = "doc_id long, text string, hits binary, items array<long>"
 
 
 def suffix_order(tokens: np.ndarray, at: np.ndarray, depth: int, width: int) -> np.ndarray:
@@ -190,77 +191,100 @@ def _each_document(block: pa.RecordBatch, bench: Benchmark):
         yield n, n_hit, both[ends[i] : ends[i + 1], 1].tolist() if n_hit else [], hit[first[i] : first[i + 1]] if n_hit else None
 
 
-def _benchmark_blocks(benchmark: DataFrame, limit: int):
-    """Lists of items, each of a proven size: the benchmark's bytes are counted before any of it is collected."""
+def _parts(benchmark: DataFrame, limit: int):
+    """Blocks of items, each of a proven size: the benchmark's bytes are counted before any of it is collected."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     parts = -(-size // (limit // 2)) if size > limit else 1
     for k in range(parts):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
+        yield items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
     """One row for each row of docs (doc_id, text): words, words inside windows of items, items, and the verdict."""
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for items in _benchmark_blocks(benchmark, limit):
-        found.append(spark.sparkContext.broadcast(Benchmark(items, window)))
-    if len(found) == 1:
-        return _report_one(source, found[0])
-    return _report_blocks(source, found)
+    parts = list(_parts(benchmark, limit))
+    if len(parts) == 1:
+        return _report_one(source, _sent(docs, parts[0], window))
+    return _summed(_state(source, parts, window))
 
 
-def _report_one(source: DataFrame, shared) -> DataFrame:
-    def run(batches):
-        bench = shared.value
-        for block in common.gathered(batches, "text", SHARD_BYTES):
-            rows = [_row(n, h, items, _longest(hit) if h else 0) for n, h, items, hit in _each_document(block, bench)]
-            names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", *names])
+def _sent(docs: DataFrame, part: DataFrame, window: int):
+    return docs.sparkSession.sparkContext.broadcast(Benchmark([tuple(r) for r in part.collect()], window))
 
-    return source.mapInArrow(run, REPORT)
 
+def _state(source: DataFrame, parts: list[DataFrame], window: int) -> DataFrame:
+    """A benchmark over the limit: one block after the other, each over all documents, with a table in between."""
+    state = source.select("doc_id", "text", F.lit(None).cast("binary").alias("hits"), F.array().cast("array<long>").alias("items"))
+    for part in parts:
+        shared = _sent(source, part, window)
+        state = common.written(state.mapInArrow(_added(shared), STATE), "contamination")
+        shared.unpersist()
+    return state
 
-def _report_blocks(source: DataFrame, found: list) -> DataFrame:
-    """A benchmark over the limit: every shard meets its blocks one after the other, in the same task."""
 
+def _added(shared):
     def run(batches):
         for block in common.gathered(batches, "text", SHARD_BYTES):
-            hits, items = None, [set() for _ in range(block.num_rows)]
-            for shared in found:
-                counts, hit, both = _shard_matches(block, shared.value)
-                hits = hit if hits is None else hits | hit
-                for d, i in both.tolist():
-                    items[d].add(i)
-                shared.unpersist()
+            counts, hit, both = _shard_matches(block, shared.value)
             first = np.concatenate([[0], np.cumsum(counts)])
+            ends = np.searchsorted(both[:, 0], np.arange(len(counts) + 1))
+            hits, items = [], []
+            for i, (old, known) in enumerate(zip(block.column("hits").to_pylist(), block.column("items").to_pylist(), strict=True)):
+                own = np.packbits(hit[first[i] : first[i + 1]])
+                hits.append((own if old is None else own | np.frombuffer(old, np.uint8)).tobytes())
+                items.append(sorted({*known, *both[ends[i] : ends[i + 1], 1].tolist()}))
+            columns = [block.column("doc_id"), block.column("text"), pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "hits", "items"])
+
+    return run
+
+
+def _summed(state: DataFrame) -> DataFrame:
+    def run(batches):
+        for block in common.blocks(batches, "text"):
+            counts = common.words(*common.arrow_bytes(block.column("text")), common.WORD)[3]
             rows = []
-            for i, n in enumerate(counts.tolist()):
-                own = hits[first[i] : first[i + 1]]
-                rows.append(_row(n, int(own.sum()), sorted(items[i]), _longest(own)))
-            names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", *names])
+            for n, hits, items in zip(counts.tolist(), block.column("hits").to_pylist(), block.column("items").to_pylist(), strict=True):
+                hit = np.unpackbits(np.frombuffer(hits, np.uint8))[:n].astype(bool)
+                rows.append(_row(n, int(hit.sum()), items, _longest(hit)))
+            yield _report_batch(block, rows)
+
+    return state.mapInArrow(run, REPORT)
+
+
+def _report_batch(block: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    names = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64())
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    return pa.RecordBatch.from_arrays([block.column("doc_id"), *columns], ["doc_id", *names])
+
+
+def _report_one(source: DataFrame, shared) -> DataFrame:
+    def run(batches):
+        bench = shared.value
+        for block in common.gathered(batches, "text", SHARD_BYTES):
+            yield _report_batch(block, [_row(n, h, items, _longest(hit) if h else 0) for n, h, items, hit in _each_document(block, bench)])
 
     return source.mapInArrow(run, REPORT)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns, in one pass without a join."""
-    spark = docs.sparkSession
-    found = [spark.sparkContext.broadcast(Benchmark(items, window)) for items in _benchmark_blocks(benchmark, BENCHMARK_BYTES)]
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = BENCHMARK_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; one pass without a join for each block.
+
+    Only the share of hit words counts, and blocks can hit different words of a document, so with several blocks the
+    verdicts come from `report` and drop documents by a join.
+    """
+    parts = list(_parts(benchmark, limit))
+    if len(parts) > 1:
+        gone = report(docs, benchmark, window, limit).where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
+        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    shared = _sent(docs, parts[0], window)
 
     def run(batches):
         for block in common.gathered(batches, "text", SHARD_BYTES):
-            hits = None
-            for shared in found:
-                counts, hit, _ = _shard_matches(block, shared.value)
-                hits = hit if hits is None else hits | hit
-            total = np.concatenate([[0], np.cumsum(hits)])
+            counts, hit, _ = _shard_matches(block, shared.value)
+            total = np.concatenate([[0], np.cumsum(hit)])
             first = np.concatenate([[0], np.cumsum(counts)])
             n_hit = total[first[1:]] - total[first[:-1]]
             yield block.filter(pa.array((n_hit == 0) | (SHARE * n_hit < counts)))

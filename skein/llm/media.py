@@ -31,6 +31,8 @@ from skein.llm import common
 
 #: Pixels of a row, and bytes of a shard after which the next is begun.
 WIDTH, SHARD_BYTES = 64, 256 << 20
+#: Payload bytes that one task reads back.
+TASK_BYTES = 64 << 20
 #: The bytes that open a PNG, and what ends it.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a PNG up to the end of its header.
@@ -199,7 +201,11 @@ def columns(docs: DataFrame) -> DataFrame:
     """Stores the texts of docs and gives their media columns.  The index is written first: each text is stored once."""
     folder = common.shared_dir(docs.sparkSession, "media")
     index = common.written(store(docs, folder), "media-index")
-    return features(metadata(index, folder), folder)
+    # The index is small where the payloads are not: tasks are cut by payload bytes, each along its shards.
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    dealt = index.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
+    return features(metadata(dealt, folder), folder)
 
 
 def member(data: bytes, digest: str) -> bytes | None:

@@ -13,6 +13,7 @@ extra columns are ignored.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -73,12 +74,12 @@ class Level:
     def __init__(self, n: int, seed: int):
         self.bits = max(64, 1 << math.ceil(math.log2(max(1, n) * BITS)))
         self.words = np.zeros(self.bits // 64, np.uint64)
-        self.seed = seed
+        self.seed, self.hashes = seed, HASHES
 
     def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         a = common.mix(hashes + _U(self.seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         b = common.mix(a) | _U(1)
-        for i in range(HASHES):
+        for i in range(self.hashes):
             yield (a + b * _U(i)) & _U(self.bits - 1)
 
     def add(self, hashes: np.ndarray) -> None:
@@ -135,8 +136,8 @@ def build(listed: DataFrame, universe: DataFrame, spark) -> Cascade:
 
 def _partial(level: Level):
     def run(batches):
-        own = Level.__new__(Level)
-        own.bits, own.seed, own.words = level.bits, level.seed, np.zeros(len(level.words), np.uint64)
+        own = copy.copy(level)
+        own.words = np.zeros(len(level.words), np.uint64)
         for batch in batches:
             own.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
         at = np.flatnonzero(own.words)

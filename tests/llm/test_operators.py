@@ -1,0 +1,410 @@
+"""Each operator against brute force, and its edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from skein.llm import decontaminate, langid, license_scan, line_dedup, media, near_dedup, packing, quality, substring_dedup, url_filter
+from skein.llm.queries import tokenizer_path
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# Substrings.
+
+
+def removed(texts):
+    seen, out = set(), []
+    for t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 99):
+            if t[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(t[i : i + 100])
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 2000])
+def test_substrings(spark, docs, corpus, limit, monkeypatch):
+    """The small limit cuts anchors over several shards, which are merged by binary search."""
+    unique = dict(corpus)
+    ids = sorted(unique)
+    raw = [(unique[i] or "").encode() for i in ids]
+    real = substring_dedup.removed
+    monkeypatch.setattr(substring_dedup, "removed", lambda places: real(places, limit))
+    found = by_id(substring_dedup.report(docs))
+    for i, t, gone in zip(ids, raw, removed(raw), strict=True):
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (found[i]["n_bytes"], found[i]["n_removed"], found[i]["n_spans"]) == (len(t), int(gone.sum()), runs), i
+        assert found[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
+
+
+def test_substrings_rows_and_null_id(spark, corpus):
+    long = next(t for _, t in corpus if t and len(t) > 400)
+    found = substring_dedup.report(spark.createDataFrame([(None, long), (1, long), (1, long)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in found) == [(-1, 0), (1, len(long.encode())), (1, len(long.encode()))]
+
+
+# Language.
+
+
+def test_language(spark):
+    de, en = "der hund und die katze gehen nach hause", "the dog and the cat are going home"
+    rows = [(i, (de if i % 2 else en) + f" wort{i}" * (i % 3), "de" if i % 2 else "en") for i in range(80)]
+    rows += [(900, None, "de"), (901, "12 34 !!", "en"), (902, "the katzen", None), (903, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    found = by_id(langid.predict(docs, langid.train(docs)))
+    assert all(found[i]["lang_pred"] == ("de" if i % 2 else "en") for i in range(80))
+    assert all(found[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in found)
+    assert [found[i]["lang_pred"] for i in (900, 901, 903)] == ["und"] * 3
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_language_backs_off_to_shorter_grams():
+    counts = {"word": {"the": [9, 0]}, "3": {"sch": [0, 8], "ing": [8, 0]}, "1": {"z": [0, 5], "q": [4, 0]}}
+    model = langid.Model(["de", "en"][::-1], counts)
+    assert model.languages == ["en", "de"]
+    assert langid.Scorer(model).predict("schzz")[0] == "de"
+    assert np.argmax(model.backoff("zz")) == 1
+    assert langid.Scorer(model).predict("the")[0] == "en"
+
+
+def test_language_without_labels(spark):
+    docs = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
+    assert langid.predict(docs, langid.train(docs)).first()["lang_pred"] == "und"
+
+
+# Licences.
+
+LICENCE_TEXTS = [
+    "cc by cc by CC-BY", "All rights reserved. all rights Reserved", "the GNU General Public License, version 3", "general public", None, "", "Released under the MIT license.",
+    "Licensed under the Apache License, Version 2.0", "ccby rights all reserved", "license " * 50, "\x00cc\x01by\x02",
+]
+
+
+def places(text):
+    w, out = words(text), []
+    for phrase in license_scan.BASE:
+        p = phrase.split()
+        out += [(i, license_scan.BASE[phrase]) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+    return len(w), out
+
+
+def test_licences(spark):
+    rows = [(i, t) for i, t in enumerate(LICENCE_TEXTS)] + [(1, LICENCE_TEXTS[1]), (None, "cc by")]
+    found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r["doc_id"] is None:
+            continue
+        n, at = places(LICENCE_TEXTS[r["doc_id"]])
+        assert (r["n_words"], r["n_base"]) == (n, len(at))
+        assert (r["first_word"], r["last_word"]) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at}))
+        assert set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
+        assert 0 <= r["score"] <= 1
+    labels = {r["doc_id"]: r["labels"] for r in found}
+    assert labels[6] == "mit" and labels[7] == "apache-2.0" and labels[2] == "gpl,gpl-3.0" and labels[9] == ""
+
+
+# Near copies.
+
+
+def shingles(text):
+    w = (text or "").translate(LOWER).encode().split()
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def roots(texts):
+    ids = sorted(texts)
+    sets = {i: shingles(texts[i]) for i in ids}
+    of = {i: i for i in ids}
+
+    def find(i):
+        while of[i] != i:
+            i = of[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                of[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}, sets
+
+
+def test_near_copies(spark, docs, corpus):
+    want, sets = roots(dict(corpus))
+    found = near_dedup.components(docs).collect()
+    assert len(found) == len(corpus)
+    for r in found:
+        i = r["doc_id"]
+        assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[i], len(sets[i]), want[i] == i), i
+    kept = {r["doc_id"] for r in near_dedup.dedup(docs).collect()}
+    assert kept == {i for i in want if want[i] == i}
+
+
+def test_near_copies_in_blocks(spark, monkeypatch):
+    """Texts that one passage dominates share half keys without being similar; a few of them are."""
+    import random
+
+    r = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = {i: passage + " " + " ".join(f"w{r.randint(0, 999)}" for _ in range(22)) for i in range(40)}
+    texts[50], texts[51] = texts[9] + " more", texts[9] + " words"
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    want, _ = roots(texts)
+    found = near_dedup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41)], "a long, b long")
+    found = {r["node"]: r["root"] for r in near_dedup.connected(edges).collect()}
+    assert all(found[i] == 0 for i in range(1, 31)) and found[41] == 40
+
+
+# Contamination.
+
+
+def contaminated(texts, items):
+    windows = {}
+    for item, text in items:
+        w = words(text)
+        size = min(13, len(w))
+        for i in range(len(w) - size + 1 if w else 0):
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    out = {}
+    for i, text in texts.items():
+        w, hit, found = words(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (own := tuple(w[k : k + size])) in windows:
+                    hit |= set(range(k, k + size))
+                    found |= windows[own]
+        digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        out[i] = (len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 25, 400])
+def test_contamination(spark, docs, corpus, limit):
+    """The small limit works the benchmark off in blocks."""
+    texts = dict(corpus)
+    items = [(k, " ".join(words(texts[3 * k])[2 : 2 + 10 + k])) for k in range(12)] + [(50, None), (51, ""), (52, "x" * 350), (53, "a b c"), (54, "not in any text of these at all")]
+    items += [(60, items[5][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = contaminated(texts, items)
+    found = by_id(decontaminate.report(docs, bench, limit=limit))
+    for i, w in want.items():
+        r = found[i]
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == w, i
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {i for i, w in want.items() if not w[4]}
+
+
+def test_no_benchmark(spark, docs, corpus):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.clean(docs, bench).count() == len(corpus)
+
+
+# Quality.
+
+
+def test_quality(spark):
+    import random
+
+    r = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 4 > 0
+        w = [f"word{r.randint(0, 500)}" for _ in range(r.randint(5, 80))]
+        rows.append((i, " ".join(w) if good else "!! ".join(x.upper() for x in w)))
+        labels.append((i, int(good)))
+    rows += [(900, None), (901, ""), (901, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([*labels, (5, None), (None, 1), (5000, 0)], "doc_id long, quality int")
+    model = quality.train(docs, marks)
+    found = quality.score(docs, model).collect()
+    assert len(found) == len(rows)
+    judged = [(x["predicted"], x["doc_id"] % 4 > 0) for x in found if x["held_out"] and x["doc_id"] < 400]
+    assert sum(a == b for a, b in judged) >= 0.95 * len(judged)
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == (x["score"] >= 0.3) for x in found)
+    assert all(x["held_out"] == (zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0) for x in found)
+    assert len(model.pairs) == quality.PAIRS and len(model.tables) == len(quality.FEATURES)
+
+
+def test_quality_without_labels(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
+
+
+# Lines.
+
+
+def test_lines(spark, docs, corpus):
+    r = __import__("random").Random(4)
+    shared = ["This line is long enough to count ", "  this LINE is long enough to count", "short", "Another long line that repeats often"]
+    texts = {i: "\n".join([t or "", *r.sample(shared, r.randint(0, 3))]) for i, t in corpus} | {300: "", 301: None}
+    rows = list(texts.items())
+    holders = Counter()
+    last = {}
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    for i, t in rows:
+        for k in {key(x) for x in (t or "").split("\n")}:
+            if len(k) >= 20:
+                holders[k] += 1
+                last[k] = max(last.get(k, -1), i)
+    found = by_id(line_dedup.report(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, last int")))
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (holders[key(x)] >= 3 and last[key(x)] != i)]
+        assert (found[i]["n_lines"], found[i]["n_dropped"]) == (len(lines), len(lines) - len(kept)), i
+        assert found[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
+
+
+def test_line_runs_compact(spark):
+    runs = line_dedup.LineRuns(spark, fan=2, buckets=2)
+    for k in range(4):
+        runs.add(spark.createDataFrame([(h, h, 10 - k) for h in range(k, 3)], "a long, b long, doc_id long"))
+    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    assert {tuple(r) for r in runs.counts().collect()} == {(0, 0, 1, 10), (1, 1, 2, 10), (2, 2, 3, 10)}
+    runs.drop()
+
+
+# Packing.
+
+
+def test_packing(spark, docs, corpus):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    found = packing.packed(docs, tokenizer_path(), capacity=64).collect()
+    want = Counter()
+    for i, t in corpus:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 64)):
+            want[i, k, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    held = {}
+    for r in found:
+        held.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places_ in held.values():
+        at = 0
+        for offset, length in sorted(places_):
+            assert offset == at
+            at += length
+        assert at <= 64
+    total = sum(r["length"] for r in found)
+    assert len(held) <= 1.03 * -(-total // 64) + 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packing_of_any_histogram(seed):
+    r = __import__("random").Random(seed)
+    histogram = Counter(r.randint(1, 50) for _ in range(r.randint(0, 300)))
+    places_, n = packing.solve(histogram, 50)
+    sequences, ranks = {}, {}
+    for length, first, count, sequence, per, offset in places_:
+        for k in range(count):
+            ranks.setdefault(length, set()).add(first + k)
+            sequences.setdefault(sequence + k // per, []).append((offset + k % per * length, length))
+    assert {x: set(range(c)) for x, c in histogram.items()} == ranks
+    assert sorted(sequences) == list(range(n))
+    for x in sequences.values():
+        ends = np.cumsum([0, *(length for _, length in sorted(x))])
+        assert [at for at, _ in sorted(x)] == ends[:-1].tolist() and ends[-1] <= 50
+
+
+# Media.
+
+
+def test_media(spark, docs, corpus, tmp_path):
+    texts = dict(corpus)
+    found = media.columns(docs).collect()
+    assert len(found) == len(corpus)
+    for r in found:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
+    twins = [r for r in found if r["doc_id"] in (3, 200, 201)]
+    assert len({(r["media_sha256"], r["feature"], r["media_bytes"]) for r in twins}) == 1
+    at = f"file://{tmp_path}/media"
+    index = media.store(docs.coalesce(1), at)
+    from skein.llm import common
+
+    index = common.written(index, "index")
+    row = media.metadata(index, at).where("doc_id = 206").first()
+    assert (row["width"], row["height"], row["bits"]) == (64, 6, 8)
+    shard = (tmp_path / "media" / row["shard"]).read_bytes()
+    assert media.decode(media.member(shard, row["digest"])) == b"x" * 350 + bytes(34)
+
+
+# URLs.
+
+URLS = [
+    "http://a.example.net/en/1", "https://example.net/en", "http://x.net", "http://x.net/", "HTTP://A.Example.COM/de/x?y#z", "http://example.com/fr/", "http://notexample.com/de/",
+    "https://q.org/fr/1", "//q.org/fr/", None, "", "http://spam-farm.q.org/en/", "http://?x", "ftp://u:p@net:80/a", "http://a..net//", "mailto://x", "http://my-spam-farm.org/", "http://org/fr/x",
+]
+
+
+def judged(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = host.translate(LOWER)
+    fits = [(len(h + p), h + p, v) for v, h, p in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    listed = any(x in url_filter.UNWANTED for x in host.split("."))
+    return host, path, max(fits)[1] if fits else None, max(fits)[2] if fits else "block" if listed else "allow"
+
+
+def test_urls(spark):
+    rows = [(i, u, "html") for i, u in enumerate(URLS)] + [(1, URLS[1], None), (None, URLS[0], None)]
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, keys string")).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        if r["page_id"] is not None:
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(URLS[r["page_id"]]), URLS[r["page_id"]]
+
+
+def test_cascade_is_exact(spark, monkeypatch):
+    """Small filters have many false positives, so many levels are needed; all are right for the whole universe."""
+    monkeypatch.setattr(url_filter, "BITS", 2)
+    monkeypatch.setattr(url_filter, "HASHES", 1)
+    universe = spark.range(5000).selectExpr("xxhash64(id) as h")
+    listed = spark.range(0, 5000, 7).selectExpr("xxhash64(id) as h")
+    cascade = url_filter.build(listed, universe, spark)
+    assert len(cascade.levels) > 2
+    h = np.array([r["h"] for r in universe.collect()], np.int64).view(np.uint64)
+    want = {r["h"] for r in listed.collect()}
+    assert (cascade.has(h) == np.array([int(x) in want for x in h.view(np.int64)])).all()
+
+
+# Empty tables.
+
+
+def test_empty(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string")
+    for found in (
+        substring_dedup.report(empty), langid.predict(empty, langid.train(empty)), license_scan.scan(empty), near_dedup.components(empty), near_dedup.dedup(empty),
+        decontaminate.report(empty, bench), decontaminate.clean(empty, bench), quality.score(empty, quality.train(empty, labels)), line_dedup.report(empty),
+        packing.packed(empty, tokenizer_path()), media.columns(empty), url_filter.judge(pages),
+    ):
+        assert found.collect() == []
