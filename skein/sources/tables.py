@@ -52,9 +52,9 @@ def read_files(spark: SparkSession, path: str, suffixes=(".pdf", ".docx"), only:
 def pages(docs: DataFrame) -> DataFrame:
     """doc_id, page_id, text: the pages of a text parted by [PAGE n] marks; without a mark one page."""
     cut = F.split(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), r"(?=\n\[PAGE \d+\])")
-    each = docs.select("doc_id", F.explode(F.filter(cut, lambda p: F.trim(p) != "")).alias("part"))
+    each = docs.select("doc_id", F.explode(F.filter(cut, lambda p: p.rlike(r"\S"))).alias("part"))
     number = F.regexp_extract("part", r"^\n\[PAGE (\d+)\]", 1)
-    return each.select("doc_id", F.when(number == "", 1).otherwise(number.try_cast("int")).alias("page_id"), F.trim(F.regexp_replace("part", r"^\n(\[PAGE \d+\])?", "")).alias("text"))
+    return each.select("doc_id", F.when(number == "", 1).otherwise(number.try_cast("int")).alias("page_id"), F.regexp_replace("part", r"^\n(\[PAGE \d+\])?\s*|\s+$", "").alias("text"))
 
 
 def violations(rows: DataFrame, required) -> DataFrame:
