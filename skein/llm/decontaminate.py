@@ -278,7 +278,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: in
     parts = list(_parts(benchmark, limit))
     if len(parts) > 1:
         gone = report(docs, benchmark, window, limit).where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-        return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+        return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
     shared = _sent(docs, parts[0], window)
 
     def run(batches):

@@ -126,7 +126,7 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """docs with kept_text, n_lines, n_dropped beside their own columns (text and doc_id among them)."""
+    """docs with kept_text, n_lines, n_dropped beside their own columns; own columns of these names are replaced."""
     source = docs.select("doc_id", "text")
     heavy = repeated(source, min_chars, min_docs, batches)
     row = F.xxhash64("text").alias("row_hash")
@@ -136,17 +136,18 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     hits = hashed.select("doc_id", "row_hash", "at", "h.a", "h.b").join(heavy, ["a", "b"])
     hits = hits.where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     dropped = hits.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("r")).agg(F.collect_set("at").alias("dropped"))
-    docs = docs.withColumn("row_hash", row)
-    both = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["d"]) & (docs["row_hash"] == dropped["r"]), "left")
-    all_lines = lines_of(F.col("text"))
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    mine = docs["doc_id"].eqNullSafe(dropped["d"]) & (F.xxhash64(docs["text"]) == dropped["r"])
+    both = docs.join(dropped, mine, "left")
+    all_lines, gone = lines_of(docs["text"]), dropped["dropped"]
     n = F.size(all_lines)
-    stay = F.array_except(F.sequence(F.lit(0), n - 1), F.col("dropped"))
+    stay = F.array_except(F.sequence(F.lit(0), n - 1), gone)
     kept = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n")
     return both.select(
-        *[docs[c] for c in docs.columns if c != "row_hash"],
-        F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("kept_text"),
+        *[docs[c] for c in docs.columns],
+        F.when(gone.isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(kept).alias("kept_text"),
         n.cast("long").alias("n_lines"),
-        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

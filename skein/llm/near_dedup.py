@@ -288,5 +288,5 @@ def _likely(held: list[tuple]) -> list[tuple[int, int]]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one document of each component, with all its columns."""
-    gone = components(docs).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = components(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -33,8 +33,9 @@ def corpus():
 @pytest.fixture
 def docs(spark, corpus):
     """With columns that clash with names the operators use."""
-    rows = [(i, t, "src", 1, 2, "n") for i, t in corpus]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, n int, key int, node string")
+    clashing = ("source", "n", "key", "node", "gone", "dropped", "kept_text", "row_hash", "a", "b", "last", "label", "pos", "word", "length", "salt", "rank", "places", "set_key", "held_out")
+    schema = "doc_id long, text string, " + ", ".join(f"{c} string" for c in clashing)
+    return spark.createDataFrame([(i, t, *clashing) for i, t in corpus], schema)
 
 
 @pytest.fixture

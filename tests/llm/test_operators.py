@@ -155,8 +155,9 @@ def test_near_copies(spark, docs, corpus):
     for r in found:
         i = r["doc_id"]
         assert (r["component_id"], r["n_shingles"], r["kept"]) == (want[i], len(sets[i]), want[i] == i), i
-    kept = {r["doc_id"] for r in near_dedup.dedup(docs).collect()}
-    assert kept == {i for i in want if want[i] == i}
+    kept = near_dedup.dedup(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i] == i}
 
 
 def test_near_copies_in_blocks(spark, monkeypatch):
@@ -214,7 +215,7 @@ def test_contamination(spark, docs, corpus, limit):
     for i, w in want.items():
         r = found[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == w, i
-    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {i for i, w in want.items() if not w[4]}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench, limit=limit).collect()} == {i for i, w in want.items() if not w[4]}
 
 
 def test_no_benchmark(spark, docs, corpus):
@@ -277,6 +278,17 @@ def test_lines(spark, docs, corpus):
         assert found[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
+def test_lines_keep_other_columns(spark, docs, corpus):
+    found = line_dedup.dedup(docs)
+    assert set(found.columns) == {*docs.columns, "n_lines", "n_dropped"}
+    assert found.where("dropped = 'dropped' and row_hash = 'row_hash'").count() == len(corpus)
+
+
+def test_quality_keeps_other_columns(spark, docs, corpus):
+    labels = spark.createDataFrame([(i, 1) for i, _ in corpus], "doc_id long, quality int")
+    assert quality.keep(docs, quality.train(docs, labels)).columns == docs.columns
+
+
 def test_line_runs_compact(spark):
     runs = line_dedup.LineRuns(spark, fan=2, buckets=2)
     for k in range(4):
