@@ -58,4 +58,37 @@ SELECT parts.page_id, host, path, rule, coalesce(fits.verdict,
 FROM parts LEFT JOIN fits USING (page_id)
 """
 
-ORACLES = {"op5_decontamination": DECONTAMINATION, "op7_line_dedup": LINES, "op10_url_filter": URLS}
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(length(h) // 2 - 99)) AS i FROM d WHERE length(h) >= 200)),
+again AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 100, true) AS opens FROM again),
+numbered AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+runs AS (SELECT doc_id, min(i) AS start, max(i) + 100 AS stop FROM numbered GROUP BY doc_id, run),
+ends AS (SELECT doc_id, start, stop FROM runs UNION ALL SELECT doc_id, length(h) // 2, NULL FROM d),
+pieces AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start, stop NULLS LAST), 0) AS begin FROM ends),
+kept AS (
+    SELECT p.doc_id, sum(coalesce(stop - start, 0)) AS n_removed, count(stop) AS n_spans, string_agg(substr(h, 2 * begin + 1, 2 * (start - begin)), '' ORDER BY start, stop NULLS LAST) AS k
+    FROM pieces p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+NEAR = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, hash(w[i : i + 4]) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT a, b FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+least AS (SELECT a AS doc_id, min(b) AS other FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(other, w.doc_id)) AS component_id, w.doc_id <= coalesce(other, w.doc_id) AS kept
+FROM w LEFT JOIN sizes ON w.doc_id = sizes.doc_id LEFT JOIN least ON w.doc_id = least.doc_id
+"""
+
+ORACLES = {
+    "op1_substring_dedup": SUBSTRINGS, "op4_near_dedup": NEAR, "op5_decontamination": DECONTAMINATION, "op7_line_dedup": LINES, "op10_url_filter": URLS,
+}
