@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -34,8 +34,10 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 #: Half keys of each collection, and minhashes of a half key.
 SIDE, HALF = 16, 2
-#: Bytes of a signature, of which at least BAR agree (0.75 x 256 is 192, less 4.9 standard deviations); nodes of a block.
-SIGNATURE, BAR, BLOCK = 256, 158, 4096
+#: Bytes of a signature, of which at least BAR agree (0.75 x 512 is 384, less 4.9 standard deviations); nodes of a block.
+SIGNATURE, BAR, BLOCK = 512, 336, 4096
+#: Partners of a node that one task compares with it.
+PARTNERS = 200
 
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
@@ -128,15 +130,12 @@ def _sets(texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) that are similar on their full sets.
+    """pairs (a, b, n) that are similar on their full sets; n: about how many partners `a` has.
 
-    Pairs meet the set of `a` once per salted group of `a`, not once per pair; groups of a hot `a` are many.
+    Pairs meet the set of `a` once per salted group of its partners, not once per pair; groups of a hot `a` are many.
     """
-    salt = F.pmod(F.xxhash64("b"), F.lit(256)).cast("int")
-    salted = pairs.select("a", "b", salt.alias("salt"))
-    # A node with few partners has one group; the more partners, the more groups.
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salted = salted.join(counts, "a").withColumn("salt", F.expr("salt % greatest(1, least(256, cast(n / 200 as int)))")).drop("n")
+    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / PARTNERS))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), groups).cast("int").alias("salt"))
     members = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "set")
     heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
     dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -180,7 +179,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.distinct()
-        down = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        # Only smaller neighbours stand here, of which a node has few; a hub's many neighbours are larger.
+        down = large.withColumn("m", F.min("b").over(Window.partitionBy("a")))
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         seen = Observation()
         counted = small.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
@@ -199,7 +199,7 @@ def _tables(nodes: DataFrame) -> DataFrame:
     shared = left.groupBy("left").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("n > 1").select("left")
     pairs = left.join(shared, "left").select("node", "left", F.explode(F.slice("keys", SIDE + 1, SIDE)).alias("right"))
     tables = pairs.select(F.xxhash64("left", "right").alias("table"), "node")
-    several = tables.groupBy("table").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("table", "head")
+    several = tables.groupBy("table").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("table", "head", "n")
     return tables.join(several, "table")
 
 
@@ -215,7 +215,7 @@ def components(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates, "node")
     sets = _sets(texts).groupBy("node").agg(F.min(F.struct("set", "sign")).alias("s")).select("node", "s.*")
     sets = common.written(sets, "sets")
-    pairs = tables.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = tables.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
     links = common.written(_confirmed(pairs, sets), "links")
     roots = connected(links)
     more = common.written(_confirmed(_unsettled(nodes.join(candidates, "node"), sets, roots), sets), "more-links")
@@ -228,7 +228,7 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def _unsettled(nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b: pairs of different components that share a table and whose signatures agree well enough."""
+    """a, b, n: pairs of different components that share a table and whose signatures agree well enough."""
     of = roots.withColumnRenamed("node", "member")
     named = nodes.join(of, nodes["node"] == of["member"], "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
     left = named.select("node", "root", F.explode(F.slice("keys", 1, SIDE)).alias("left"))
@@ -251,15 +251,18 @@ def _unsettled(nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
                     found += _likely(held)
                     held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
-        found = _likely(held)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
+            yield _pair_batch(found)
+        yield _pair_batch(_likely(held))
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long, n long")
+
+
+def _pair_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
 
-def _likely(held: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of one group of a left key, by rising size of the set."""
+def _likely(held: list[tuple]) -> list[tuple[int, int, int]]:
+    """Pairs of one group of a left key, by rising size of the set, and the size of the group."""
     if len(held) < 2:
         return []
     left, p, q = held[0][:3]
@@ -282,7 +285,7 @@ def _likely(held: list[tuple]) -> list[tuple[int, int]]:
         # A pair is taken under the first left key that both have, and only if they share a right key too.
         same = keys[near] == keys[r]
         near = near[~same[:, : first[r]].any(axis=1) & same[:, SIDE:].any(axis=1)]
-        out += [(int(min(node[x], node[r])), int(max(node[x], node[r]))) for x in near]
+        out += [(int(min(node[x], node[r])), int(max(node[x], node[r])), len(held)) for x in near]
     return out
 
 
