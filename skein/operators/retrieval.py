@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,19 @@ IN_GRAPH = 0.15
 QUERY_BYTES = 64 << 20
 
 
+#: Rows of a side that a contains-join broadcasts at once.
+THETA_ROWS = 10_000
+
+
+def contains_join(rows: DataFrame, words: DataFrame, on: Column, limit: int | None = None) -> DataFrame:
+    """rows joined with words where `on` holds.  No equality helps here, so words are broadcast: counted first, and in
+    blocks of `limit` rows where they are more."""
+    parts = max(1, -(-words.count() // (limit or THETA_ROWS)))
+    block = F.pmod(F.xxhash64(*words.columns), F.lit(parts))
+    found = [rows.join(F.broadcast(words.where(block == k) if parts > 1 else words), on) for k in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def weight(level: Column, weights: dict[str, float]) -> Column:
     out = F.when(F.lit(False), 0.0)
     for name, w in weights.items():
@@ -37,7 +51,7 @@ def keywords(queries: DataFrame, rules: DataFrame, stopwords=()) -> DataFrame:
     rules: rule (order), trigger, term.  A query without any keyword is its own.
     """
     low = F.lower("query")
-    hints = queries.join(F.broadcast(rules), F.contains(low, F.lower(F.col("trigger"))))
+    hints = contains_join(queries, rules, F.contains(low, F.lower(F.col("trigger"))))
     hints = hints.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("rule", "term"))).alias("hints"))
     own = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9\-]+"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
     joined = queries.join(hints, "query_id", "left")
@@ -53,7 +67,7 @@ def expanded(keyword_rows: DataFrame, alias_groups: DataFrame) -> DataFrame:
     """
     keyed = alias_groups.select("group_id", "alias", T.space_key(F.col("alias")).alias("alias_key"))
     pairs = keyed.alias("x").join(keyed.alias("y"), "group_id").select(F.col("x.alias_key").alias("of"), F.col("y.alias").alias("also")).distinct()
-    joined = keyword_rows.join(F.broadcast(pairs), T.space_key(F.col("keyword")) == F.col("of"), "left")
+    joined = keyword_rows.join(pairs, T.space_key(F.col("keyword")) == F.col("of"), "left")
     own = keyword_rows.select("query_id", "place", F.lit("").alias("second"), F.lit(0).alias("rank"), "keyword")
     more = joined.where("also is not null").select("query_id", "place", F.col("also").alias("second"), F.lit(1).alias("rank"), F.col("also").alias("keyword"))
     every = own.unionByName(more).withColumn("key", T.space_key(F.col("keyword")))
@@ -65,12 +79,12 @@ def expanded(keyword_rows: DataFrame, alias_groups: DataFrame) -> DataFrame:
 def entity_matches(entities: DataFrame, keyword_rows: DataFrame, per_keyword: int = 80) -> DataFrame:
     """query_id, keyword, entity_id, exact: entities whose name or synonym contains the keyword.
 
-    Contains is a theta join: the keywords are few and broadcast, the entities stay where they are.
+    The entities stay where they are; keywords are broadcast.
     """
     words = keyword_rows.select("query_id", "keyword", T.space_key(F.col("keyword")).alias("key")).where("key <> ''")
     names = F.transform(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), T.space_key)
     named = entities.select("entity_id", names.alias("names"))
-    found = named.join(F.broadcast(words), F.exists("names", lambda n: F.contains(n, F.col("key"))))
+    found = contains_join(named, words, F.exists("names", lambda n: F.contains(n, F.col("key"))))
     found = found.select("query_id", "keyword", "entity_id", F.array_contains("names", F.col("key")).alias("exact"))
     place = F.row_number().over(Window.partitionBy("query_id", "keyword").orderBy("entity_id"))
     return found.withColumn("place", place).where(F.col("place") <= per_keyword).drop("place")

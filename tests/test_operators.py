@@ -136,6 +136,14 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.vector_topk(vectors, queries, 5).collect()} == want and len(want) == 10
 
 
+def test_contains_join_in_blocks(spark):
+    rows = spark.createDataFrame([(i, f"name {i} x") for i in range(30)], "id long, name string")
+    words = spark.createDataFrame([(f"{i} ",) for i in range(10)], "word string")
+    on = F.contains("name", F.col("word"))
+    whole, parts = (sorted(map(tuple, retrieval.contains_join(rows, words, on, limit).collect())) for limit in (None, 3))
+    assert whole == parts and len(whole) == 30
+
+
 def test_window_shows_the_words():
     text = "x" * 900 + " autism and ados " + "y" * 900
     part = retrieval.window(text, ["ados", "autism"], 300)
