@@ -3,7 +3,7 @@
 import corpus_pipeline
 import pyspark.sql.functions as F
 from skein.llm import common
-from test_operators import contaminated, roots, words
+from test_llm_operators import contaminated, roots, words
 
 
 def test_pipeline(spark, corpus, tmp_path):
