@@ -355,6 +355,16 @@ def entity_resolution(spark, d):
     return graph.resolved(views.entities(spark, d))
 
 
+@query
+def entity_resolution_in_order(spark, d):
+    return graph.resolved_in_order(views.entities(spark, d))
+
+
+@query
+def validation_top_pairs(spark, d):
+    return graph.top_pairs(views.relations(spark, d), views.entities(spark, d), "MEASURED_BY")
+
+
 @query
 def graph_export(spark, d):
     e, r, s, v = (f(spark, d) for f in (views.entities, views.relations, views.supports, views.evidence))
@@ -475,6 +485,15 @@ def best_window_trim(spark, d):
     return retrieval.windows(rows).select("id", F.length("window").alias("n"), F.sha1("window").alias("window_sha1"))
 
 
+@query
+def prompt_assembly(spark, d):
+    turns = views.turns(spark, d)
+    questions = turns.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
+    contexts = turns.where("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.left("text", F.lit(40)).alias("text"))
+    named = turns.where("turn = 1").select(F.col("conv_id").alias("query_id"), F.lit(1).alias("rank"), F.col("role").alias("src_name"), F.lit("SAYS").alias("relation_type"), F.left("text", F.lit(9)).alias("dst_name"))
+    return retrieval.prompts(questions, contexts, named)
+
+
 # Agent and evaluation.
 
 

@@ -190,6 +190,9 @@ ORACLES = {
     "induced_subgraph": f"WITH {_GRAPH}, {_DEGREES}, top AS (SELECT entity_id FROM degrees ORDER BY degree DESC, entity_id LIMIT 200) SELECT relation_id, src_id, dst_id, support_count FROM relations WHERE src_id IN (SELECT entity_id FROM top) AND dst_id IN (SELECT entity_id FROM top)",
     "evidence_path_chunks": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, ids AS (SELECT unnest(['cust_1', 'part_3']) AS entity_id), around AS (SELECT entity_id FROM ids UNION SELECT other_id FROM ends WHERE entity_id IN (SELECT entity_id FROM ids)) SELECT DISTINCT chunk_id FROM around JOIN relations ON src_id = entity_id JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
     "rank_join_evidence": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, top AS (SELECT relation_id, row_number() OVER (ORDER BY support_count DESC, confidence DESC, relation_id) AS rank FROM relations WHERE relation_type = 'MEASURED_BY' QUALIFY rank <= 20) SELECT rank, relation_id, evidence_id, chunk_id FROM top JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
+    "validation_top_pairs": f"WITH {_GRAPH}, top AS (SELECT * FROM relations WHERE relation_type = 'MEASURED_BY' ORDER BY support_count DESC, confidence DESC, relation_id LIMIT 25) SELECT relation_id, s.name AS src_name, d.name AS dst_name, support_count FROM top JOIN entities s ON src_id = s.entity_id JOIN entities d ON dst_id = d.entity_id",
+    "prompt_assembly": """SELECT q.conv_id AS query_id, concat_ws(chr(10) || chr(10), 'Question: ' || q.text, 'Texts:' || chr(10) || (SELECT string_agg('[C' || turn || '] ' || left(text, 40), chr(10) ORDER BY turn) FROM conversations c WHERE c.conv_id = q.conv_id AND turn > 0),
+        'Relations:' || chr(10) || (SELECT '[G1] ' || any_value(role) || ' says ' || left(any_value(text), 9) FROM conversations c WHERE c.conv_id = q.conv_id AND turn = 1)) AS prompt FROM conversations q WHERE turn = 0""",
     "graph_export": f"""WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE} SELECT 'entity' AS kind, count(*)::BIGINT AS n FROM entities UNION ALL SELECT 'relation', count(*) FROM relations UNION ALL SELECT 'supported_by', count(*) FROM supports JOIN relations USING (relation_id)
         UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'from_chunk', count(*) FROM evidence WHERE chunk_id IS NOT NULL UNION ALL SELECT 'chunk', count(DISTINCT chunk_id) FROM evidence""",
     "dashboard_stats": f"WITH {_GRAPH}, {_TOOLED}, {_FLAGGED}, {_EVIDENCE} SELECT kind, value, count(*)::BIGINT AS n FROM (SELECT 'entity_type' AS kind, type AS value FROM entities UNION ALL SELECT 'qa_usage', qa_usage FROM used UNION ALL SELECT 'evidence_level', evidence_level FROM evidence) GROUP BY 1, 2",

@@ -93,3 +93,14 @@ def upsert(path: str, new: DataFrame, key: str, version: int) -> str:
     old = spark.read.schema(new.schema).parquet(f"{path}/v{version}")
     new.unionByName(old.join(new.select(key), key, "left_anti")).write.parquet(to := f"{path}/v{version + 1}")
     return to
+
+
+def alias_groups(groups: DataFrame) -> DataFrame:
+    """type, group_id, alias of groups (type, group_id, aliases); raises if an alias of a type is in two groups."""
+    from skein.functions import text as T
+
+    each = groups.select("type", "group_id", F.explode("aliases").alias("alias")).withColumn("alias", T.space_key(F.col("alias"))).distinct()
+    twice = each.groupBy("type", "alias").agg(F.count_distinct("group_id").alias("n")).where("n > 1").limit(5).collect()
+    if twice:
+        raise ValueError("aliases in several groups: " + ", ".join(f"{r['type']} {r['alias']}" for r in twice))
+    return each

@@ -111,6 +111,24 @@ def test_resolution_is_transitive(spark):
     assert {r["entity_id"]: r["canonical_id"] for r in graph.resolved(table).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+def test_resolution_in_order_bridges_nothing(spark):
+    rows = [("a", "x", "T", ["p"]), ("b", "y", "T", ["q"]), ("c", "z", "T", ["p", "q"]), ("d", "x", "U", [])]
+    table = spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>")
+    assert {r["entity_id"]: r["canonical_id"] for r in graph.resolved_in_order(table).collect()} == {"a": "a", "b": "b", "c": "a", "d": "d"}
+
+
+def test_alias_in_two_groups(spark):
+    groups = spark.createDataFrame([("T", 1, ["ADOS", "ados"]), ("T", 2, ["ados "]), ("U", 3, ["ados"])], "type string, group_id int, aliases array<string>")
+    with pytest.raises(ValueError, match="T ados"):
+        tables.alias_groups(groups)
+    assert tables.alias_groups(groups.where("group_id <> 2")).count() == 2
+
+
+def test_fallback_names_the_evidence(spark):
+    rows = spark.createDataFrame([(1, 1), (0, 0)], "c int, g int").select(retrieval.fallback(F.col("c"), F.col("g")))
+    assert [r[0] for r in rows.collect()] == ["See [C1] and relations [G1]", "No evidence was found."]
+
+
 def test_both_percentiles(spark):
     found = quality.metric_summary(spark.range(1, 21), "id").first()
     assert (found["p95_index"], found["p95_rank"], found["median"], found["upper_median"]) == (20, 19, 10.5, 11)
