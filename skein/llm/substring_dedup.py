@@ -34,7 +34,7 @@ from skein.llm import common
 
 LENGTH = 100
 #: Bytes of an anchor's gram; a window has SPAN grams.
-GRAM = 32
+GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of surroundings in a suffix array.
 SHARD_BYTES = 3 << 20
@@ -79,17 +79,26 @@ def _doc(column: pa.Array) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """key, doc_id, at: every anchor of every document."""
+    """key, deal, doc_id, at: every anchor of every document.
+
+    An anchor that stands twice in one block is known to repeat: its `at` is written as -1 - at, and its rows are dealt by
+    hashes of their own instead of their key, so an anchor of very many documents is not one task's.
+    """
 
     def run(batches):
         for block in common.blocks(batches, "text"):
             data, ends = common.arrow_bytes(block.column("text"))
             at, hashes, _, _ = anchors(data, ends)
             doc = np.searchsorted(ends, at, "right") - 1
-            ids = _doc(block.column("doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[doc]), pa.array((at - ends[doc]).astype(np.int32))], ["key", "doc_id", "at"])
+            ids, at = _doc(block.column("doc_id"))[doc], at - ends[doc]
+            _, of, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            known = counts[of] > 1
+            deal = np.where(known, common.mix(ids.view(np.uint64) * _U(0x9E3779B97F4A7C15) + at.astype(np.uint64)), hashes)
+            at = np.where(known, -1 - at, at).astype(np.int32)
+            columns = [pa.array(hashes.view(np.int64)), pa.array(deal.view(np.int64)), pa.array(ids), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "deal", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int")
+    return docs.mapInArrow(run, "key long, deal long, doc_id long, at int")
 
 
 #: stop is 0 where the bytes around the anchor are given: their length tells it.
@@ -414,8 +423,9 @@ def dedup(docs: DataFrame, text: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = F.coalesce("doc_id", F.lit(_NULL).cast("long"))
     rows = anchor_rows(docs)
-    again = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    at = rows.join(again, "key").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("at").alias("places"))
+    again = rows.groupBy(F.col("key").alias("deal")).agg(F.count("*").alias("n")).where("n > 1").select("deal", F.lit(True).alias("again"))
+    at = rows.select("deal", "doc_id", "at").join(again, "deal", "left").where("at < 0 or again")
+    at = at.withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("at").alias("places"))
     places = surroundings(docs.join(at, key == F.col("of")).select("doc_id", "text", "places"))
     dealt = places.repartition("key").sortWithinPartitions("key", "around", "doc_id", "start")
     spans = removed(dealt).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
