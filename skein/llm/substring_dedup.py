@@ -37,7 +37,7 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of surroundings in a suffix array.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 
 _U = np.uint64
 _NULL = -(1 << 63)
