@@ -1,10 +1,10 @@
 """Licence scan by a positional index of rare tokens.  DataFrame functions only.
 
 Each template is a sequence of words with mandatory key phrases.  The index holds its telling words: word -> (template,
-position).  A file's licence words are weighed by their rarity in the corpus (IDF over all documents); the rarest are looked
-up, and postings are intersected by relative position: a template that stands at place p of the file has each of its words
-at p + position.  A template is found if the words that agree on one p carry enough of its weight and all its key phrases
-stand in the file.  The three base phrases are templates whose every place is counted.
+position).  A file's licence words are weighed by their rarity in the corpus (IDF over all documents); all of them are looked
+up, as the vocabulary bounds them, and postings are intersected by relative position: a template that stands at place p of
+the file has each of its words at p + position.  A template is found if the words that agree on one p carry enough of its
+weight and all its key phrases stand in the file.  The three base phrases are templates whose every place is counted.
 
 Edge cases: null or empty text has no words, no labels and score 0.  Rows that repeat a doc_id are judged each by their own
 text.  A null doc_id is kept as null.  Extra columns are ignored.  An empty table gives an empty result.
@@ -42,8 +42,8 @@ TEMPLATES = {
 }
 #: Words of templates that are too common to be indexed.
 COMMON = frozenset("the of a an and or to in is are any use with without under all by c v free terms subject version 0 2 3 4 copy person".split())
-#: Rare words of a file that are looked up, and the share of a template's weight that must agree on one place.
-LOOKED_UP, SHARE = 12, 0.6
+#: Share of a template's weight that must agree on one place.
+SHARE = 0.6
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -108,14 +108,7 @@ def template_hits(docs: DataFrame) -> DataFrame:
     rows = [(w, label, i, weight.get(w, 0)) for w, label, i in postings if w in weight]
     weights = {label: sum(weight.get(w, 1000 * 20) for w, name, _ in postings if name == label) for label in TEMPLATES}
     index = F.broadcast(spark.createDataFrame([(*r, weights[r[1]]) for r in rows], "word string, label string, at int, weight long, total long"))
-    rarest = sorted(weight, key=lambda w: (-weight[w], w))
-    by_rarity = F.array(*[F.lit(w) for w in rarest]) if rarest else F.array().cast("array<string>")
-    # The words of a file are few: the vocabulary bounds them.
-    own = tokens.groupBy("doc_id", "text_hash").agg(F.collect_set("word").alias("own"))
-    looked = own.select("doc_id", "text_hash", F.explode(F.slice(F.array_intersect(by_rarity, F.col("own")), 1, LOOKED_UP)).alias("word"))
-    same = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["text_hash"] == y["text_hash"])
-    chosen = tokens.join(looked, same(tokens, looked) & (tokens["word"] == looked["word"]), "left_semi").join(index, "word")
-    chosen = chosen.where(F.array_contains("verified", F.col("label")))
+    chosen = tokens.join(index, "word").where(F.array_contains("verified", F.col("label")))
     agreed = chosen.groupBy("doc_id", "text_hash", "label", (F.col("pos") - F.col("at")).alias("place"), "total").agg(F.sum("weight").alias("weight"))
     shares = agreed.groupBy("doc_id", "text_hash", "label").agg(F.max(F.col("weight") / F.col("total")).alias("share")).where(F.col("share") >= SHARE)
     return shares.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("label", "share")).alias("found"))

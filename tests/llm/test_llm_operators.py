@@ -121,6 +121,15 @@ def test_licences(spark):
     assert labels[6] == "mit" and labels[7] == "apache-2.0" and labels[2] == "gpl,gpl-3.0" and labels[9] == ""
 
 
+def test_licences_of_a_file_with_many_notices(spark):
+    """Every notice that stands verbatim is found, however many licence words the file has and however common they are."""
+    notices = ("mit-text", "bsd", "apache-2.0", "gpl-3.0", "mpl-2.0")
+    every = " x ".join(license_scan.TEMPLATES[label][0] for label in notices)
+    rows = [(0, every)] + [(i, license_scan.TEMPLATES[label][0]) for i in range(1, 9) for label in ("apache-2.0", "gpl-3.0")]
+    found = license_scan.scan(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"))
+    assert set(by_id(found)[0]["labels"].split(",")) == {*notices, "gpl"}
+
+
 # Near copies.
 
 
