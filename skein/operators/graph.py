@@ -180,22 +180,27 @@ def ranked_evidence(ranked: DataFrame, supports: DataFrame, evidence: DataFrame)
     return ranked.join(supports, "relation_id").join(evidence.select("evidence_id", "chunk_id"), "evidence_id").select("rank", "relation_id", "evidence_id", "chunk_id")
 
 
-def resolved(entities: DataFrame, rounds: int = 30) -> DataFrame:
+def resolved(entities: DataFrame) -> DataFrame:
     """entity_id, canonical_id: entities of a type that share aliases, however far apart, have one canonical id.
 
     Labels run over the bipartite graph of entities and aliases: each round takes the smallest label of an alias's
-    entities, then of an entity's aliases.  The lineage ends at a checkpoint in each round.
+    entities, then of an entity's aliases.  The entity that was the label learns of a smaller one too, and labels are
+    followed to their own labels, so that long chains settle in few rounds.  Rounds go on until no label changes; labels only
+    fall, so they end.  The lineage ends at a checkpoint in each round.
     """
     edges = aliases(entities).select("entity_id", F.concat_ws("|", "type", "alias").alias("alias")).distinct()
     labels = entities.select("entity_id", F.col("entity_id").alias("label"))
-    for _ in range(rounds):
+    while True:
         least = edges.join(labels, "entity_id").groupBy("alias").agg(F.min("label").alias("label"))
-        new = edges.join(least, "alias").groupBy("entity_id").agg(F.min("label").alias("new"))
-        now = labels.join(new, "entity_id", "left").select("entity_id", "label", F.least("label", F.coalesce("new", "label")).alias("new")).checkpoint()
+        near = edges.join(least, "alias").groupBy("entity_id").agg(F.min("label").alias("near"))
+        seen = labels.join(near, "entity_id", "left").select("entity_id", "label", F.least("label", "near").alias("near"))
+        told = seen.select("entity_id", "near").unionByName(seen.select(F.col("label").alias("entity_id"), "near"))
+        told = told.groupBy("entity_id").agg(F.min("near").alias("told"))
+        further = told.select(F.col("entity_id").alias("told"), F.col("told").alias("further"))
+        now = labels.join(told, "entity_id", "left").join(further, "told", "left").select("entity_id", "label", F.coalesce("further", "label").alias("new")).checkpoint()
         if not now.where("new <> label").take(1):
-            break
+            return now.select("entity_id", F.col("label").alias("canonical_id"))
         labels = now.select("entity_id", F.col("new").alias("label"))
-    return labels.select("entity_id", F.col("label").alias("canonical_id"))
 
 
 def ranks(df: DataFrame, *order: Column) -> DataFrame:

@@ -111,6 +111,16 @@ def test_resolution_is_transitive(spark):
     assert {r["entity_id"]: r["canonical_id"] for r in graph.resolved(table).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d"}
 
 
+@pytest.mark.parametrize("step", [1, 37])
+def test_resolution_of_a_long_chain(spark, step):
+    """Entities in a row, each sharing an alias with the next only, by rising ids and by scattered ones."""
+    ids = [f"e{k * step % 101:03}" for k in range(101)]
+    rows = [(e, f"name {e}", "T", [f"p{k}", f"p{k + 1}"]) for k, e in enumerate(ids)] + [("z", "p3", "U", []), ("z", "p3", "U", [])]
+    table = spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>")
+    tables.shared(spark)
+    assert sorted(tuple(r) for r in graph.resolved(table).collect()) == [*((e, "e000") for e in sorted(ids)), ("z", "z"), ("z", "z")]
+
+
 def test_resolution_in_order_bridges_nothing(spark):
     rows = [("a", "x", "T", ["p"]), ("b", "y", "T", ["q"]), ("c", "z", "T", ["p", "q"]), ("d", "x", "U", [])]
     table = spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>")
