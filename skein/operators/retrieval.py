@@ -223,16 +223,16 @@ def windows(rows: DataFrame, size: int = 600) -> DataFrame:
 
 
 def prompts(questions: DataFrame, contexts: DataFrame, relations: DataFrame, most: int = 20) -> DataFrame:
-    """query_id, prompt: a question with its numbered contexts (C1, C2, ...) and its best relations (G1, G2, ...)."""
+    """query_id, prompt: a question with all its numbered contexts (C1, C2, ...) and its best relations (G1, G2, ...)."""
 
-    def block(rows: DataFrame, letter: str, line: Column, limit: int) -> DataFrame:
-        cited = rows.where(F.col("rank") <= limit).select("query_id", F.struct("rank", F.concat(F.lit(f"[{letter}"), "rank", F.lit("] "), line).alias("line")).alias("x"))
+    def block(rows: DataFrame, letter: str, line: Column) -> DataFrame:
+        cited = rows.select("query_id", F.struct("rank", F.concat(F.lit(f"[{letter}"), "rank", F.lit("] "), line).alias("line")).alias("x"))
         lines = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"])
         return cited.groupBy("query_id").agg(F.array_join(lines, "\n").alias(f"block_{letter}"))
 
     text = F.coalesce("text", F.lit(""))
     relation = F.concat_ws(" ", "src_name", F.lower("relation_type"), "dst_name")
-    joined = questions.join(block(contexts, "C", text, 1_000), "query_id", "left").join(block(relations, "G", relation, most), "query_id", "left")
+    joined = questions.join(block(contexts, "C", text), "query_id", "left").join(block(relations.where(F.col("rank") <= most), "G", relation), "query_id", "left")
     parts = F.concat_ws("\n\n", F.concat(F.lit("Question: "), "query"), F.concat(F.lit("Texts:\n"), "block_C"), F.concat(F.lit("Relations:\n"), "block_G"))
     return joined.select("query_id", parts.alias("prompt"))
 

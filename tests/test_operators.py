@@ -179,6 +179,16 @@ def test_window_shows_the_words():
     assert retrieval.window("short", ["a"], 300) == "short"
 
 
+def test_prompt_has_every_context(spark):
+    questions = spark.createDataFrame([(1, "who")], "query_id long, query string")
+    contexts = spark.range(1, 1203).select(F.lit(1).cast("long").alias("query_id"), F.col("id").cast("int").alias("rank"), F.concat(F.lit("t"), "id").alias("text"))
+    named = contexts.select("query_id", "rank", F.lit("a").alias("src_name"), F.lit("SAYS").alias("relation_type"), F.lit("b").alias("dst_name"))
+    prompt = retrieval.prompts(questions, contexts, named).first()["prompt"]
+    texts, relations_ = prompt.removeprefix("Question: who\n\nTexts:\n").split("\n\nRelations:\n")
+    assert texts.split("\n") == [f"[C{i}] t{i}" for i in range(1, 1203)]
+    assert relations_.split("\n") == [f"[G{i}] a says b" for i in range(1, 21)]
+
+
 def test_routes_and_policy(spark):
     rows = spark.createDataFrame([("是不是自闭症，能停药吗",), ("ADOS",), (" ",), ("what",)], "query string")
     assert [r["route"] for r in evaluation.routed(rows).collect()] == ["safety_boundary", "assessment_info", "unknown", "knowledge_qa"]
