@@ -4,8 +4,8 @@ A word that training saw is scored by its log frequency in each language.  An un
 n-grams (with marks for its ends) of length 5; if none of these is known, of length 4, and so on down to single characters.
 A document's score is the sum over all its words.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id, and keeps the VOCABULARY most frequent
-words and n-grams; prediction reads every text whole.
+The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id, and keeps every word and n-gram
+of theirs; prediction reads every text whole.
 
 Edge cases: null text, and text without a letter, is "und" with score 0; so is every text if no row is labelled.  A null
 doc_id is not held out.  Ties go to the first language by name.  Repeated rows are predicted alike; extra columns are ignored.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from skein.llm import common
 
-#: Labelled rows that the fit uses at most; words, and n-grams, that the model keeps at most.
-SAMPLE, VOCABULARY = 20_000, 100_000
+#: Labelled rows that the fit uses at most.
+SAMPLE = 20_000
 #: The longest n-gram.
 LONGEST = 5
 #: Scored words that a worker remembers.
@@ -114,7 +114,7 @@ class Scorer:
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     # TakeOrdered: `sample` ids at most reach the driver.
@@ -136,16 +136,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -
 
     counts = rows.mapInArrow(count, "kind string, lang string, gram string, n long")
     by = common.written(counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
-    top = None
-    for kinds in (["word"], [str(n) for n in range(1, LONGEST + 1)]):
-        some = by.where(F.col("kind").isin(kinds)).groupBy("kind", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("total"))
-        some = some.orderBy(F.desc("total"), "kind", "gram").limit(vocabulary)
-        top = some if top is None else top.unionByName(some)
-    found = top.select("kind", "gram", "by").collect()  # 2 * vocabulary rows at most
-    languages = sorted({lang for r in found for lang in r["by"]})
+    found = by.toArrow()  # the sample bounds its words and n-grams
+    languages = sorted(found.column("lang").unique().to_pylist())
+    at = {lang: i for i, lang in enumerate(languages)}
     tables: dict[str, dict[str, list[int]]] = defaultdict(dict)
-    for r in found:
-        tables[r["kind"]][r["gram"]] = [r["by"].get(lang, 0) for lang in languages]
+    for batch in found.to_batches():
+        for kind, gram, lang, n in zip(*(batch.column(c).to_pylist() for c in ("kind", "gram", "lang", "n")), strict=True):
+            tables[kind].setdefault(gram, [0] * len(languages))[at[lang]] = n
     return Model(languages, tables)
 
 

@@ -88,6 +88,16 @@ def test_language_without_labels(spark):
     assert langid.predict(docs, langid.train(docs)).first()["lang_pred"] == "und"
 
 
+def test_language_keeps_rare_words(spark):
+    """A language with few words keeps them all beside one with very many."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = [letters[i // 17576] + letters[i // 676 % 26] + letters[i // 26 % 26] + letters[i % 26] for i in range(100_100)]
+    docs = spark.createDataFrame([(1, " ".join(many * 2), "en"), (2, "seltenes wort", "de")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"] and set(model.start) == {*many, "seltenes", "wort"}
+    assert langid.Scorer(model).predict("wort")[0] == "de"
+
+
 # Licences.
 
 LICENCE_TEXTS = [
