@@ -37,18 +37,20 @@ def lower_ascii(text) -> F.Column:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate tables, in the folder that the cluster shares.
-
-    The folder is that of spark.checkpoint.dir; only where that is unset, as in tests, a local one is made and set.
-    """
+    """A new folder for intermediate tables, in the folder that the cluster shares."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder, set on the context so that checkpoint() works."""
+    """The folder of spark.checkpoint.dir, set on the context so that checkpoint() works.
+
+    Only a local session, as in tests, gets a folder of its own where that is unset; a cluster must name a shared one.
+    """
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
+        if not at and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         at = at or tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(at)
     return (at or context.getCheckpointDir()).rstrip("/")
@@ -56,9 +58,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the shared folder: lineage ends there."""
-    spark = df.sparkSession
-    df.write.parquet(path := shared_dir(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    return Shelf(df.sparkSession).put(df, name)
+
+
+class Shelf:
+    """Intermediate tables of one call in the shared folder, by name; those that nothing reads any more are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes df as the table `name` and reads it back; a table of that name before it is dropped after that."""
+        path = shared_dir(self.spark, name)
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,17 +5,19 @@ SIDE half keys each (a half key is a tuple of HALF minhashes) make SIDE x SIDE t
 (left i, right j).  So 2 x SIDE x HALF minhashes serve SIDE**2 tables of 2 x HALF hashes: the square root of what separate
 tables would take.  At a similarity of 0.75 two nodes share no table with a chance of 2 * (1 - 0.75**HALF)**SIDE.
 
-Tables are found in two steps: a left key that only one node has can't be part of a shared table, so right keys are joined
-to it only where at least two nodes share it.  Nodes of a table are linked to its first node, not to each other; each link
-is confirmed on the full sets.  That joins nearly all that belongs together.  Then the left keys whose nodes are still in
-several components are looked at again: nodes of different components that share a table are compared by signatures of
-SIGNATURE minhashes, of which a pair at 0.75 misses the bar with a chance under one in a million, and pairs over it are
-confirmed on the full sets.  Large groups are cut into blocks, and pairs of blocks are tasks; signatures never leave a task.
+Tables are looked at in two steps.  First each left key links its nodes to its first node, where the two share a right key
+too, that is a table; bytes of the half keys tell that, and how many are equal, so that few pairs at all unlike each other
+are compared.  Links are confirmed on the full sets, which joins nearly all that belongs together.  Then left keys whose
+nodes are still in several components are opened: their nodes are dealt to the tables, and nodes of a table that spans
+components meet by left key.  Such a group is settled inside its task: nodes of different components are compared by
+signatures of SIGNATURE minhashes, the likeliest first, confirmed on the full sets and merged, and only the links that merged
+components leave the task.  A large group is cut into blocks, and pairs of blocks are tasks.  Pairs compared in a task grow with
+the square of a group that stays apart; its rows and links don't.
 
 Edge cases: null text, or one without words, has an empty set, is linked with nothing and kept.  Fewer words than a
-shingle: the whole sequence is one shingle.  Rows that repeat a doc_id are one node if their texts are equal, else the
-smallest doc_id decides as for others; a null doc_id is its own component (null) and is kept.  Extra columns are ignored by
-`components` and kept by `dedup`.  Empty tables give empty results.
+shingle: the whole sequence is one shingle.  Rows that repeat a doc_id are judged each by its own text, and stand in their
+components under that doc_id; equal rows stay or go together.  A null doc_id is its own component (null) and is kept.  Extra
+columns are ignored by `components` and kept by `dedup`.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -34,8 +36,12 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 #: Half keys of each collection, and minhashes of a half key.
 SIDE, HALF = 16, 2
-#: Bytes of a signature, of which at least BAR agree (0.75 x 512 is 384, less 4.9 standard deviations); nodes of a block.
-SIGNATURE, BAR, BLOCK = 512, 336, 4096
+#: Half keys that two nodes share at least to be compared: at 0.75 fewer are equal with a chance of 4e-7.
+ALIKE = 5
+#: Bytes of a signature, of which at least BAR agree: 0.75 x 256 is 192, less 4.9 standard deviations.
+SIGNATURE, BAR = 256, 158
+#: Nodes, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 2048, 2 << 20
 #: Partners of a node that one task compares with it.
 PARTNERS = 200
 
@@ -84,24 +90,30 @@ def half_keys(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_key binary, keys array<long>"
+SKETCH = "doc_id long, row_hash long, n_shingles long, set_key binary, keys array<long>, brief array<tinyint>"
+
+
+def _set_keys(sets: np.ndarray, ends: np.ndarray) -> list[bytes | None]:
+    """A digest of each set; none for empty ones."""
+    return [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.reshape(-1)))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, a digest of the set, half keys."""
+    """doc_id, a hash of the text, set size, a digest of the set, half keys, and a byte of each half key."""
 
     def run(batches):
         for block in common.blocks(batches, "text"):
             sets, ends = shingle_sets(*common.arrow_bytes(block.column("text")))
             keys = half_keys(sets, ends)
-            sizes = np.diff(ends)
-            digests = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, 2 * SIDE, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digests, pa.binary()), flat], ["doc_id", "n_shingles", "set_key", "keys"]
-            )
+            columns = [block.column("doc_id"), block.column("row_hash"), pa.array(np.diff(ends).astype(np.int64)), pa.array(_set_keys(sets, ends), pa.binary())]
+            columns += [_lists(keys.view(np.int64)), _lists((keys & _U(255)).astype(np.uint8).view(np.int8))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_hash", "n_shingles", "set_key", "keys", "brief"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text").mapInArrow(run, SKETCH)
 
 
 def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,65 +128,76 @@ def signatures(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """node, set, sign: the full sets and signatures of the nodes' texts."""
+def _similar(one: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets are similar enough."""
+    up, down = SIMILAR
+    if len(one) > len(other):
+        one, other = other, one
+    if not len(one) or len(one) * down < len(other) * up:
+        return False
+    place = np.minimum(np.searchsorted(other, one), len(other) - 1)
+    both = int((other[place] == one).sum())
+    return down * both >= up * (len(one) + len(other) - both)
 
-    def run(batches):
-        for block in common.blocks(batches, "text"):
-            sets, ends = shingle_sets(*common.arrow_bytes(block.column("text")))
-            flat = pa.BinaryArray.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(sets.tobytes())])
-            signs = pa.array([row.tobytes() for row in signatures(sets, ends)], pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column("node"), flat, signs], ["node", "set", "sign"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, set binary, sign binary")
+def _own_sets(batches, key: str = "set_key"):
+    """(block, row, set) of each row whose text has the set that is wanted; other rows with its doc_id are passed over."""
+    for block in common.blocks(batches, "text"):
+        sets, ends = shingle_sets(*common.arrow_bytes(block.column("text")))
+        found = _set_keys(sets, ends)
+        for i, want in enumerate(block.column(key).to_pylist()):
+            if found[i] == want:
+                yield block, i, sets[ends[i] : ends[i + 1]]
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, n) that are similar on their full sets; n: about how many partners `a` has.
+LINKS = "a long, b long"
 
-    Pairs meet the set of `a` once per salted group of its partners, not once per pair; groups of a hot `a` are many.
+
+def _link_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+
+def _texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc, ...) with the texts of the documents of that doc_id."""
+    return rows.join(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc").drop("doc")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b): the pairs that are similar on their full sets.
+
+    Pairs meet the text of `a` once per salted group of its partners, not once per pair; groups of a hot `a` are many.
     """
     groups = F.greatest(F.lit(1), F.ceil(F.col("n") / PARTNERS))
-    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), groups).cast("int").alias("salt"))
-    members = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "set")
-    heads = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "set")
-    dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    up, down = SIMILAR
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), groups).cast("int"))
+    members = salted.select(F.col("doc_b").alias("doc"), F.col("key_b").alias("set_key"), "a", "salt", "b")
+    heads = salted.select(F.col("doc_a").alias("doc"), F.col("key_a").alias("set_key"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
+    dealt = _texts(heads.unionByName(members), docs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches):
-        head, at = None, None
-        for batch in batches:
-            a, salts, b = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            data, ends = common.arrow_bytes(batch.column(3))
-            found_a, found_b = [], []
-            for i, key in enumerate(zip(a, salts, strict=True)):
-                own = data[ends[i] : ends[i + 1]].view(np.uint64) if ends[i] % 8 == 0 and data.flags.aligned and data[ends[i] : ends[i + 1]].ctypes.data % 8 == 0 else np.frombuffer(data[ends[i] : ends[i + 1]].tobytes(), np.uint64)
-                if b[i] is None:
-                    head, at = own.copy(), key
-                    continue
-                if at != key or not len(head):
-                    continue
-                if min(len(own), len(head)) * down < max(len(own), len(head)) * up:
-                    continue
-                place = np.minimum(np.searchsorted(head, own), len(head) - 1)
-                both = int((head[place] == own).sum())
-                if down * both >= up * (len(own) + len(head) - both):
-                    found_a.append(a[i])
-                    found_b.append(b[i])
-            yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+        head, at, found = None, None, []
+        for block, i, own in _own_sets(batches):
+            a, salt, b = (block.column(c)[i].as_py() for c in ("a", "salt", "b"))
+            if b is None:
+                head, at = own.copy(), (a, salt)
+            elif at == (a, salt) and _similar(own, head):
+                found.append((a, b))
+            if len(found) >= 10_000:
+                yield _link_batch(found)
+                found = []
+        yield _link_batch(found)
+
+    return dealt.mapInArrow(run, LINKS)
+
+
+def connected(edges: DataFrame, shelf: common.Shelf) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) reaches.
 
     Large and small stars in turn: each round links nodes to the smallest neighbour of theirs, with a shuffle for the edges
-    and no growth of their number.
+    and no growth of their number, until nothing changes.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     last = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -184,112 +207,140 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(down.select("a", F.col("m").alias("b")))
         seen = Observation()
         counted = small.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
-        now = common.written(counted, "edges")
+        now = shelf.put(counted, "edges")
         if seen.get == last:
             break
         last = seen.get
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _tables(nodes: DataFrame) -> DataFrame:
-    """table (one 64-bit key), node: the tables that at least two nodes share; nodes has node and keys."""
-    left = nodes.select("node", "keys", F.posexplode(F.slice("keys", 1, SIDE)).alias("i", "left"))
-    shared = left.groupBy("left").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y")).where("n > 1").select("left")
-    pairs = left.join(shared, "left").select("node", "left", F.explode(F.slice("keys", SIDE + 1, SIDE)).alias("right"))
-    tables = pairs.select(F.xxhash64("left", "right").alias("table"), "node")
-    several = tables.groupBy("table").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("table", "head", "n")
-    return tables.join(several, "table")
+def _mates(nodes: DataFrame) -> DataFrame:
+    """left, node, head, n: the left keys that n > 1 nodes share, each with the first of them."""
+    left = nodes.select("node", F.explode(F.slice("keys", 1, SIDE)).alias("left"))
+    shared = left.groupBy("left").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
+    return left.join(shared, "left")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    sketch = common.written(sketches(docs), "sketches")
-    filled = sketch.where("set_key is not null and doc_id is not null")
-    # A node stands for all documents with its set, under the smallest doc_id.
-    nodes = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "keys")).alias("first"), F.count("*").alias("copies"))
-    nodes = common.written(nodes.select(F.col("first.doc_id").alias("node"), F.col("first.keys").alias("keys"), "set_key"), "nodes")
-    tables = common.written(_tables(nodes), "tables")
-    candidates = tables.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(candidates, "node")
-    sets = _sets(texts).groupBy("node").agg(F.min(F.struct("set", "sign")).alias("s")).select("node", "s.*")
-    sets = common.written(sets, "sets")
-    pairs = tables.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
-    links = common.written(_confirmed(pairs, sets), "links")
-    roots = connected(links)
-    more = common.written(_confirmed(_unsettled(nodes.join(candidates, "node"), sets, roots), sets), "more-links")
-    if more.take(1):
-        roots = connected(links.unionByName(more))
-    of = nodes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("root"))
-    out = sketch.drop("keys").join(of, "set_key", "left")
-    component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
-
-
-def _unsettled(nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b, n: pairs of different components that share a table and whose signatures agree well enough."""
-    of = roots.withColumnRenamed("node", "member")
-    named = nodes.join(of, nodes["node"] == of["member"], "left").select("node", "keys", F.coalesce("root", "node").alias("root"))
-    left = named.select("node", "root", F.explode(F.slice("keys", 1, SIDE)).alias("left"))
-    open_ = left.groupBy("left").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
-    rows = left.join(open_.select("left", blocks), "left")
+def _equal(one: Column, other: Column) -> Column:
+    """How many elements of two arrays are equal, place by place."""
+    return F.size(F.filter(F.zip_with(one, other, lambda x, y: x == y), lambda x: x))
+
+
+def _first_pairs(mates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, n and the documents and sets of both: nodes and the first node of a left key, if they share a table."""
+    pairs = mates.where("node <> head").groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.max("n").alias("n"))
+    for side in "ab":
+        named = nodes.select(F.col("node").alias(side), F.col("doc").alias(f"doc_{side}"), F.col("set_key").alias(f"key_{side}"), F.col("brief").alias(f"brief_{side}"))
+        pairs = pairs.join(named, side)
+    a, b = F.col("brief_a"), F.col("brief_b")
+    shares = _equal(F.slice(a, SIDE + 1, SIDE), F.slice(b, SIDE + 1, SIDE)) > 0
+    return pairs.where(shares & (_equal(a, b) >= ALIKE)).drop("brief_a", "brief_b")
+
+
+def _open_rows(mates: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """left, node, root: the nodes of tables that span components, by left key.
+
+    A left key of two nodes is settled: they have been compared.
+    """
+    named = mates.where("n > 2").join(roots, "node", "left").select("left", "node", F.coalesce("root", "node").alias("root"))
+    several = (F.min("root").alias("lo"), F.max("root").alias("hi"))
+    open_ = named.groupBy("left").agg(*several).where("lo <> hi").select("left")
+    rights = nodes.select("node", F.slice("keys", SIDE + 1, SIDE).alias("rights"))
+    dealt = named.join(open_, "left").join(rights, "node").select("left", "node", "root", F.explode("rights").alias("right"))
+    tables = dealt.select(F.xxhash64("left", "right").alias("table"), "left", "node", "root")
+    spanning = tables.groupBy("table").agg(*several).where("lo <> hi").select("table")
+    return tables.join(spanning, "table").select("left", "node", "root").distinct()
+
+
+def _settled(rows: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that merge components: what is similar among the nodes of each left key."""
+    rows = rows.join(nodes.select("node", "doc", "set_key", "size"), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    rows = rows.join(rows.groupBy("left").agg(blocks.alias("blocks")), "left")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("left", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root")
-    full = rows.join(named.select("node", "keys"), "node").join(sets.select("node", "sign", F.octet_length("set").alias("size")), "node")
-    dealt = full.repartition("left", "p", "q").sortWithinPartitions("left", "p", "q", "size")
-    dealt = dealt.select("left", "p", "q", "own", "node", "root", "size", "keys", "sign")
+    rows = rows.select("doc", "left", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "root", "size", "set_key")
+    dealt = _texts(rows, docs).repartition("left", "p", "q").sortWithinPartitions("left", "p", "q", "size", "node")
 
     def run(batches):
-        held: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and held[0][:3] != row[:3]:
-                    found += _likely(held)
-                    held = []
-                held.append(row)
-            yield _pair_batch(found)
-        yield _pair_batch(_likely(held))
-
-    return dealt.mapInArrow(run, "a long, b long, n long")
+        key, held = None, []
+        for block, i, own in _own_sets(batches):
+            now = tuple(block.column(c)[i].as_py() for c in ("left", "p", "q"))
+            if now != key:
+                yield _link_batch(_forest(key, held))
+                key, held = now, []
+            held.append((*(block.column(c)[i].as_py() for c in ("own", "node", "root")), own.copy()))
+        yield _link_batch(_forest(key, held))
 
+    return dealt.mapInArrow(run, LINKS)
 
-def _pair_batch(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([row[k] for row in found], pa.int64()) for k in range(3)], ["a", "b", "n"])
 
+def _forest(key: tuple[int, int, int] | None, held: list[tuple]) -> list[tuple[int, int]]:
+    """Links among one group's (block, node, root, set), by rising size, that merge its components; n - 1 at most.
 
-def _likely(held: list[tuple]) -> list[tuple[int, int, int]]:
-    """Pairs of one group of a left key, by rising size of the set, and the size of the group."""
+    A pair is compared under the first left key that both have, and only if they share a right key too.  If the group is
+    one of two blocks, pairs inside a block are another group's.
+    """
     if len(held) < 2:
         return []
-    left, p, q = held[0][:3]
-    own, node, root, size = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
-    keys = np.array([r[7] for r in held], np.int64)
-    signs = np.frombuffer(b"".join(r[8] for r in held), np.uint8).reshape(len(held), SIGNATURE)
-    first = np.argmax(keys[:, :SIDE] == left, axis=1)
+    left, p, q = key
+    own, node, root = (np.array([r[k] for r in held], np.int64) for k in range(3))
+    size = np.array([len(r[3]) for r in held])
+    ends = np.concatenate([[0], np.cumsum(size)])
+    sets = np.concatenate([r[3] for r in held])
+    keys, signs = half_keys(sets, ends), signatures(sets, ends)
+    first = np.argmax(keys[:, :SIDE].view(np.int64) == left, axis=1)
+    cluster = np.unique(root, return_inverse=True)[1]
     out = []
     up, down = SIMILAR
     for r in range(1, len(held)):
         near = np.arange(np.searchsorted(size, size[r] * up / down - 1e-6), r)
-        near = near[root[near] != root[r]]
+        near = near[cluster[near] != cluster[r]]
         if p != q:
             near = near[own[near] != own[r]]
+        agree = (signs[near] == signs[r]).sum(axis=1)
+        near, agree = near[agree >= BAR], agree[agree >= BAR]
         if not len(near):
             continue
-        near = near[(signs[near] == signs[r]).sum(axis=1) >= BAR]
-        if not len(near):
-            continue
-        # A pair is taken under the first left key that both have, and only if they share a right key too.
         same = keys[near] == keys[r]
-        near = near[~same[:, : first[r]].any(axis=1) & same[:, SIDE:].any(axis=1)]
-        out += [(int(min(node[x], node[r])), int(max(node[x], node[r])), len(held)) for x in near]
+        may = ~same[:, : first[r]].any(axis=1) & same[:, SIDE:].any(axis=1)
+        for x in near[may][np.argsort(-agree[may], kind="stable")].tolist():
+            if cluster[x] != cluster[r] and _similar(held[x][3], held[r][3]):
+                out.append((int(node[x]), int(node[r])))
+                cluster[cluster == cluster[x]] = cluster[r]
     return out
 
 
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row_hash for each row of docs (doc_id, text)."""
+    shelf = common.Shelf(docs.sparkSession)
+    sketch = shelf.put(sketches(docs), "sketches")
+    # A node stands for all documents with its set, the smallest doc_id first; its number is its place in the written table.
+    first = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "keys", "brief")).alias("f"))
+    number = F.monotonically_increasing_id().alias("node")
+    nodes = shelf.put(first.select(number, F.col("f.doc_id").alias("doc"), F.col("f.n_shingles").alias("size"), "set_key", "f.keys", "f.brief"), "nodes")
+    mates = shelf.put(_mates(nodes), "mates")
+    links = shelf.put(_confirmed(shelf.put(_first_pairs(mates, nodes), "pairs"), docs), "links")
+    shelf.drop("pairs")
+    roots = connected(links, shelf)
+    shelf.drop("links")
+    rows = shelf.put(_open_rows(mates, nodes, roots), "open")
+    shelf.drop("mates")
+    more = shelf.put(_settled(rows, nodes, docs), "more")
+    shelf.drop("open")
+    if more.take(1):
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), shelf)
+    shelf.drop("more")
+    named = nodes.select("set_key", "node", "doc").join(roots, "node", "left").select("set_key", "doc", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc").alias("least"))
+    of = shelf.put(named.join(least, "root").select("set_key", "least"), "components")
+    shelf.drop("nodes", "edges")
+    out = sketch.select("doc_id", "row_hash", "n_shingles", "set_key").join(of, "set_key", "left")
+    component = F.when(F.col("set_key").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "row_hash")
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: one document of each component, with all its columns."""
-    gone = components(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    gone = components(docs).where("not kept").select(F.col("doc_id").alias("gone"), F.col("row_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["gone"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")

@@ -32,7 +32,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.components(table(spark, sf_dir, "documents"))
+    return near_dedup.components(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from skein.llm import decontaminate, langid, license_scan, line_dedup, media, near_dedup, packing, quality, substring_dedup, url_filter
+from skein.llm import common, decontaminate, langid, license_scan, line_dedup, media, near_dedup, packing, quality, substring_dedup, url_filter
 from skein.llm.queries import tokenizer_path
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -193,9 +193,34 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in found} == want
 
 
+def test_near_copies_of_a_shared_id(spark):
+    """Rows that share a doc_id but not a text: each is judged by its own."""
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, one), (1, two), (2, two + " end"), (3, one + " end"), (4, three), (5, two), (5, three), (None, one), (1, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in near_dedup.components(docs).collect())
+    assert found == [(-1, -1, True), (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 4, False)]
+    assert sorted((r["doc_id"] or -1, r["text"][0]) for r in near_dedup.dedup(docs).collect()) == [(-1, "x"), (1, "x"), (1, "x"), (1, "y"), (4, "z")]
+
+
+def test_near_copies_at_the_bar(spark):
+    """Recall where it is hardest: pairs just over a similarity of 0.75, in groups that share a passage."""
+    r = __import__("random").Random(8)
+    texts = {}
+    for g in range(30):
+        passage = " ".join(f"p{g}x{r.randint(0, 99999)}" for _ in range(60))
+        for k in range(8):
+            texts[g * 8 + k] = passage + " " + " ".join(f"t{g}x{k // 2}x{j}" if j < 60 else f"u{g}x{k}x{j}" for j in range(76))
+    want, sets = roots(texts)
+    near = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 240, 2)]
+    assert 0.75 <= min(near) and max(near) < 0.8 and len(set(want.values())) == 120
+    found = near_dedup.components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41)], "a long, b long")
-    found = {r["node"]: r["root"] for r in near_dedup.connected(edges).collect()}
+    found = {r["node"]: r["root"] for r in near_dedup.connected(edges, common.Shelf(spark)).collect()}
     assert all(found[i] == 0 for i in range(1, 31)) and found[41] == 40
 
 
