@@ -7,7 +7,7 @@ the file has each of its words at p + position.  A template is found if the word
 weight and all its key phrases stand in the file.  The three base phrases are templates whose every place is counted.
 
 Edge cases: null or empty text has no words, no labels and score 0.  Rows that repeat a doc_id are judged each by their own
-text.  A null doc_id is kept as null.  Extra columns are ignored.  An empty table gives an empty result.
+text, and a row that stands twice as if it stood once.  A null doc_id is kept as null.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ def template_hits(docs: DataFrame) -> DataFrame:
     verified = [F.when(reduce(lambda x, y: x & y, [F.contains("w", F.lit(f" {k} ")) for k in keys]), F.lit(label)) for label, (_, keys) in TEMPLATES.items()]
     files = files.withColumn("verified", F.array_compact(F.array(*verified)))
     tokens = files.select("doc_id", "text_hash", "verified", F.posexplode(F.split(F.trim("w"), " ")).alias("pos", "word"))
-    tokens = common.written(tokens.where(F.col("word").isin(vocabulary)), "licence-words")
+    # Distinct: a row that stands twice must not have twice the weight.
+    tokens = common.written(tokens.where(F.col("word").isin(vocabulary)).distinct(), "licence-words")
     frequency = dict(tokens.select("doc_id", "text_hash", "word").distinct().groupBy("word").count().collect())
     total = max(1, docs.count())
     # Whole thousandths, so that sums do not depend on their order.
