@@ -9,21 +9,21 @@ meet in one shard.
 A shard's suffixes are sorted by Larsson-Sadakane refinement (8 bytes, then doubled ranks, tied groups only), Kasai's scan
 gives the common prefixes of neighbours, and each run with a common prefix of LENGTH or more is one repeated string: all its
 places but the first are removed.  An anchor with more surroundings than a shard holds gets several shards, which are merged
-by binary search of one's strings in another's suffix array.
+by binary search of one's strings in another's suffix array.  An anchor with more than SHARDS of them is worked off in parts,
+so that a task holds one part; the first place of each distinct string of a part goes on, by the string's hash, to one
+aggregation that finds the strings which several parts have.
 
 Equal surroundings are sent once per task: a place with an earlier equal one in its own task is settled there.
 
 Edge cases: null text counts as empty; texts shorter than LENGTH lose nothing.  A null doc_id is less than any other.  Rows
-that repeat a doc_id count as the same place of the corpus, so equal rows are not copies of each other.  Extra columns are
-ignored.  An empty table gives an empty result.
+that repeat a doc_id count as the same place of the corpus, so equal rows are not copies of each other; a span is cut from a
+row only if the row has the span's bytes there, so rows that share a doc_id but not a text keep what is their own.  Extra
+columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1
 #: Bytes of surroundings in a suffix array.
 SHARD_BYTES = 1 << 20
+#: Shards that a task holds at once.
+SHARDS = 6
 
 _U = np.uint64
 _NULL = -(1 << 63)
@@ -101,7 +103,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, deal long, doc_id long, at int")
 
 
-#: stop is 0 where the bytes around the anchor are given: their length tells it.
+#: stop is 0 where the bytes around the anchor are given: their length tells it.  Else these are the 8 of the span's hash.
 PLACES = "key long, around binary, doc_id long, start int, stop int"
 
 
@@ -133,16 +135,16 @@ def surroundings(docs: DataFrame) -> DataFrame:
             left, right, key = (common.span_hashes(prefix, a, b) for a, b in ((low, at), (at, high), (at, at + GRAM)))
             ids = _doc(block.column("doc_id"))[doc]
             start, stop = low - ends[:-1][doc], high - ends[:-1][doc]
-            raw = data.tobytes()
+            raw, offset = data.tobytes(), ends[:-1][doc].tolist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            gone: tuple[list, ...] = ([], [], [])
+            gone: tuple[list, ...] = ([], [], [], [])
             for k, (l, r, i, s, e, a, b) in enumerate(zip(left.tolist(), right.tolist(), ids.tolist(), start.tolist(), stop.tolist(), low.tolist(), high.tolist(), strict=True)):
                 first = seen.get((l, r))
                 if first is not None and first < (i, s):
-                    if gone[0] and gone[0][-1] == i and gone[2][-1] >= s:
+                    if gone[0] and gone[0][-1] == i and gone[3][-1] == offset[k] and gone[2][-1] >= s:
                         gone[2][-1] = e
                     else:
-                        for part, v in zip(gone, (i, s, e), strict=True):
+                        for part, v in zip(gone, (i, s, e, offset[k]), strict=True):
                             part.append(v)
                     continue
                 seen[l, r] = (i, s)
@@ -150,8 +152,9 @@ def surroundings(docs: DataFrame) -> DataFrame:
                     part.append(v)
             yield _row_batch(*out)
             # Settled spans take part in the next exchange under keys of their own.
-            ids_gone = np.array(gone[0], np.int64)
-            yield _row_batch(common.mix(ids_gone.view(np.uint64) + _U(1)).view(np.int64), [None] * len(ids_gone), ids_gone, gone[1], gone[2])
+            ids_gone, s, e, o = (np.array(x, np.int64) for x in gone)
+            check = [x.tobytes() for x in common.span_hashes(prefix, o + s, o + e)]
+            yield _row_batch(common.mix(ids_gone.view(np.uint64) + _U(1)).view(np.int64), check, ids_gone, s, e)
 
     return docs.mapInArrow(run, PLACES)
 
@@ -269,17 +272,27 @@ class Shard:
         self.heads, self.head_doc, self.head_at = self.order[heads], doc[piece][heads], at[heads]
 
     def spans(self):
-        """(doc, start, stop) of what is removed."""
+        """(doc, start, stop, hash of its bytes) of what is removed."""
         at = np.flatnonzero(self.gone)
         if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
         piece = np.searchsorted(self.base, at, "right") - 1
         opens = np.ones(len(at), bool)
         opens[1:] = (np.diff(at) > 1) | (piece[1:] != piece[:-1])
         first = np.flatnonzero(opens)
         last = np.append(first[1:], len(at)) - 1
         of = piece[first]
-        return self.doc[of], self.start[of] + at[first] - self.base[of], self.start[of] + at[last] - self.base[of] + LENGTH
+        check = common.span_hashes(common.prefix_hashes(self.data), at[first], at[last] + LENGTH)
+        return self.doc[of], self.start[of] + at[first] - self.base[of], self.start[of] + at[last] - self.base[of] + LENGTH, check
+
+    def firsts(self):
+        """(doc, start, stop, hash, another hash) of the distinct strings that no shard has at an earlier place so far."""
+        stay = ~self.gone[self.heads]
+        at, doc, start = self.heads[stay], self.head_doc[stay], self.head_at[stay]
+        other = np.zeros(len(at), np.uint64)
+        for k in range(self._PARTS):
+            other = common.mix(other ^ self.words[at + min(8 * k, LENGTH - 8)]) + _U(k)
+        return doc, start, start + LENGTH, common.span_hashes(common.prefix_hashes(self.data), at, at + LENGTH), other
 
     _PARTS = -(-LENGTH // 8)
 
@@ -312,87 +325,106 @@ class Shard:
         other.gone[other.heads[equal[earlier]]] = True
 
 
-def _settle(pieces: list[bytes], doc: np.ndarray, start: np.ndarray, limit: int):
-    """Spans from distinct surroundings of one or more anchors; more than a shard holds are cut and merged."""
-    ends = np.cumsum([len(p) for p in pieces])
-    if not len(ends):
-        return
-    number = (ends - 1) // limit
-    if number[-1] == 0:
-        yield Shard(pieces, doc, start).spans()
-        return
-    with tempfile.TemporaryDirectory() as folder:
-        # Shards wait on disk: three are in memory at a time.
-        def put(k, shard):
-            with open(os.path.join(folder, str(k)), "wb") as f:
-                pickle.dump(shard, f, 5)
-
-        def get(k):
-            with open(os.path.join(folder, str(k)), "rb") as f:
-                return pickle.load(f)
-
-        cuts = np.searchsorted(number, np.arange(number[-1] + 2))
-        cuts = [c for i, c in enumerate(cuts.tolist()) if not i or c != cuts[i - 1]]
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            put(k, Shard(pieces[a:b], doc[a:b], start[a:b]))
-        for i in range(len(cuts) - 1):
-            one = get(i)
-            for j in range(i + 1, len(cuts) - 1):
-                one.merge(two := get(j))
-                put(j, two)
-            yield one.spans()
+def _settle(rows: list[tuple[bytes, int, int]], limit: int) -> list[Shard]:
+    """Shards of distinct surroundings (bytes, doc, start) of one or more anchors, merged with each other."""
+    number = (np.cumsum([len(r[0]) for r in rows]) - 1) // limit
+    shards = []
+    for k in np.unique(number).tolist():
+        own = rows[np.searchsorted(number, k) : np.searchsorted(number, k, "right")]
+        shards.append(Shard([r[0] for r in own], np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.int64)))
+        for other in shards[:-1]:
+            other.merge(shards[-1])
+    return shards
 
 
-def removed(places: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, start, stop: spans that go, from the places dealt by anchor."""
+#: A span to remove; where `other` is set, the first place of a string in one part of an anchor instead.
+SPANS = "doc_id long, start long, stop long, check long, other long"
+
+
+def _span_batch(doc, start, stop, check, other=None) -> pa.RecordBatch:
+    columns = [pa.array(x, pa.int64()) for x in (doc, start, stop)] + [pa.array(np.asarray(check, np.uint64).view(np.int64))]
+    columns.append(pa.nulls(len(columns[0]), pa.int64()) if other is None else pa.array(other.view(np.int64)))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "stop", "check", "other"])
 
-    def emit(doc, start, stop):
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(stop, pa.int64())], ["doc_id", "start", "stop"])
+
+def removed(places: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """SPANS from the places dealt by anchor."""
 
     def run(batches):
         held: list[tuple[bytes, int, int]] = []  # of whole anchors with several distinct surroundings
         own: list[tuple[bytes, int, int]] = []  # of the anchor that is being read
-        size = 0
+        held_size = own_size = 0
         key = around = first = None
-
-        def flush(rows):
-            if rows:
-                for spans in _settle([r[0] for r in rows], np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), limit):
-                    yield emit(*spans)
+        parts = False  # whether part of this anchor is done
+
+        def flush(rows, part=False):
+            for shard in _settle(rows, limit) if rows else ():
+                yield _span_batch(*shard.spans())
+                if part:
+                    yield _span_batch(*shard.firsts())
+
+        def close():
+            """The end of an anchor: it waits for others, unless it has several parts."""
+            nonlocal held, own, held_size, own_size
+            if parts:
+                yield from flush(own, True)
+            elif len(own) > 1:
+                if held_size + own_size > limit:
+                    yield from flush(held)
+                    held, held_size = [], 0
+                held, held_size = held + own, held_size + own_size
+            own, own_size = [], 0
 
         for batch in batches:
-            gone: tuple[list, ...] = ([], [], [])
-            for k, a, d, s, e in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if a is None or (k == key and a == around):
-                    if a is None or first != (d, s):
-                        for part, v in zip(gone, (d, s, e if a is None else s + len(a)), strict=True):
+            gone: tuple[list, ...] = ([], [], [], [])
+            data, ends = common.arrow_bytes(batch.column(1))
+            checks = common.span_hashes(common.prefix_hashes(data), ends[:-1], ends[1:])
+            for k, a, d, s, e, check in zip(*[c.to_pylist() for c in batch.columns], checks.tolist(), strict=True):
+                if e or (k == key and a == around):
+                    if e or first != (d, s):
+                        for part, v in zip(gone, (d, s, e or s + len(a), int.from_bytes(a, "little") if e else check), strict=True):
                             part.append(v)
                     continue
                 if k != key:
-                    if len(own) > 1:
-                        n = sum(len(r[0]) for r in own)
-                        if size + n > limit:
-                            yield from flush(held)
-                            held, size = [], 0
-                        held += own
-                        size += n
-                    own = []
+                    yield from close()
+                    parts = False
+                elif own_size > SHARDS * limit:
+                    yield from flush(own, True)
+                    own, own_size, parts = [], 0, True
                 key, around, first = k, a, (d, s)
                 own.append((a, d, s))
-            yield emit(*gone)
-        if len(own) > 1:
-            if size + sum(len(r[0]) for r in own) > limit:
-                yield from flush(held)
-                held = []
-            held = held + own
+                own_size += len(a)
+            yield _span_batch(*gone[:3], np.array(gone[3], np.uint64))
+        yield from close()
         yield from flush(held)
 
-    return places.mapInArrow(run, "doc_id long, start long, stop long")
+    return places.mapInArrow(run, SPANS)
+
+
+def _across(firsts: DataFrame) -> DataFrame:
+    """Spans of strings that another part of their anchor has at an earlier place; a string has one row for each part."""
+    least = firsts.groupBy("check", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return firsts.join(least, ["check", "other"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "stop", "check")
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def _valid(spans: pa.ListArray, data: np.ndarray, ends: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The spans (start, stop) of each text, in order, whose bytes stand there."""
+    counts = np.array([len(x) if x.is_valid else 0 for x in spans], np.int64)
+    flat = spans.flatten()
+    start, stop, check = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    doc = np.repeat(np.arange(len(counts)), counts)
+    low, high = start + ends[:-1][doc], stop + ends[:-1][doc]
+    inside = np.flatnonzero(high <= ends[1:][doc])
+    right = inside[common.span_hashes(common.prefix_hashes(data), low[inside], high[inside]).view(np.int64) == check[inside]]
+    right = right[np.lexsort((stop[right], start[right], doc[right]))]
+    cuts = np.searchsorted(doc[right], np.arange(len(counts) + 1)).tolist()
+    pairs = list(zip(start[right].tolist(), stop[right].tolist(), strict=True))
+    return [pairs[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def _cut(source: DataFrame, text: bool) -> DataFrame:
     """source: doc_id, text, spans.  The report, or doc_id and the bytes that are left."""
 
@@ -400,10 +432,10 @@ def _cut(source: DataFrame, text: bool) -> DataFrame:
         for block in common.blocks(batches, "text"):
             data, ends = common.arrow_bytes(block.column("text"))
             rows = []
-            for spans, a, b in zip(block.column("spans").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            for spans, a, b in zip(_valid(block.column("spans"), data, ends), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 own, runs, at, kept = data[a:b].tobytes(), 0, 0, []
                 last = -1
-                for s, e in sorted((x["start"], x["stop"]) for x in spans or ()):
+                for s, e in spans:
                     if s > last:
                         runs += 1
                         kept.append(own[at:s])
@@ -428,7 +460,9 @@ def dedup(docs: DataFrame, text: bool = True) -> DataFrame:
     at = at.withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("at").alias("places"))
     places = surroundings(docs.join(at, key == F.col("of")).select("doc_id", "text", "places"))
     dealt = places.repartition("key").sortWithinPartitions("key", "around", "doc_id", "start")
-    spans = removed(dealt).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    found = common.written(removed(dealt), "spans")
+    found = found.where("other is null").drop("other").unionByName(_across(found.where("other is not null")))
+    spans = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop", "check")).alias("spans"))
     return _cut(docs.join(spans, key == F.col("of"), "left").select("doc_id", "text", "spans"), text)
 
 

@@ -54,6 +54,33 @@ def test_substrings(spark, docs, corpus, limit, monkeypatch):
         assert found[i]["kept_sha256"] == hashlib.sha256(kept).hexdigest()
 
 
+@pytest.mark.parametrize("shards", [1, 6])
+def test_substrings_of_a_common_passage(spark, monkeypatch, shards):
+    """One passage with many different surroundings: its anchors are worked off in parts, which meet by their strings."""
+    r = __import__("random").Random(9)
+    passage = sentence_of(r, 40)
+    texts = [sentence_of(r, 30) + passage + sentence_of(r, 30) for _ in range(60)] + [sentence_of(r, 30) + passage[:120] for _ in range(20)]
+    monkeypatch.setattr(substring_dedup, "SHARDS", shards)
+    real = substring_dedup.removed
+    monkeypatch.setattr(substring_dedup, "removed", lambda places: real(places, 800))
+    found = by_id(substring_dedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)))
+    for i, gone in enumerate(removed([t.encode() for t in texts])):
+        kept = bytes(np.frombuffer(texts[i].encode(), np.uint8)[~gone])
+        assert (found[i]["n_removed"], found[i]["kept_sha256"]) == (int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+
+
+def sentence_of(r, n):
+    return " ".join(str(r.randint(0, 10**6)) for _ in range(n))
+
+
+def test_substrings_of_a_shared_id(spark):
+    """Rows that share a doc_id but not a text keep what is their own."""
+    r = __import__("random").Random(10)
+    one, two = sentence_of(r, 60), sentence_of(r, 60)
+    found = substring_dedup.report(spark.createDataFrame([(0, one), (1, one), (1, two)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in found) == sorted([(0, len(one), 0), (1, len(one), len(one)), (1, len(two), 0)])
+
+
 def test_substrings_rows_and_null_id(spark, corpus):
     long = next(t for _, t in corpus if t and len(t) > 400)
     found = substring_dedup.report(spark.createDataFrame([(None, long), (1, long), (1, long)], "doc_id long, text string")).collect()
