@@ -27,7 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -81,10 +81,10 @@ def _doc(column: pa.Array) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """key, deal, doc_id, at: every anchor of every document.
+    """deal, doc_id, at: every anchor of every document.
 
-    An anchor that stands twice in one block is known to repeat: its `at` is written as -1 - at, and its rows are dealt by
-    hashes of their own instead of their key, so an anchor of very many documents is not one task's.
+    An anchor that stands twice in one block is known to repeat: its `at` is written as -1 - at, and its rows but the first
+    are dealt by hashes of their own instead of their key, so an anchor of very many documents is not one task's.
     """
 
     def run(batches):
@@ -93,14 +93,15 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             at, hashes, _, _ = anchors(data, ends)
             doc = np.searchsorted(ends, at, "right") - 1
             ids, at = _doc(block.column("doc_id"))[doc], at - ends[doc]
-            _, of, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+            _, first, of, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             known = counts[of] > 1
             deal = np.where(known, common.mix(ids.view(np.uint64) * _U(0x9E3779B97F4A7C15) + at.astype(np.uint64)), hashes)
+            deal[first] = hashes[first]
             at = np.where(known, -1 - at, at).astype(np.int32)
-            columns = [pa.array(hashes.view(np.int64)), pa.array(deal.view(np.int64)), pa.array(ids), pa.array(at)]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "deal", "doc_id", "at"])
+            columns = [pa.array(deal.view(np.int64)), pa.array(ids), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, ["deal", "doc_id", "at"])
 
-    return docs.mapInArrow(run, "key long, deal long, doc_id long, at int")
+    return docs.mapInArrow(run, "deal long, doc_id long, at int")
 
 
 #: stop is 0 where the bytes around the anchor are given: their length tells it.  Else these are the 8 of the span's hash.
@@ -401,10 +402,16 @@ def removed(places: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     return places.mapInArrow(run, SPANS)
 
 
-def _across(firsts: DataFrame) -> DataFrame:
-    """Spans of strings that another part of their anchor has at an earlier place; a string has one row for each part."""
-    least = firsts.groupBy("check", "other").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return firsts.join(least, ["check", "other"]).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "stop", "check")
+def _across(found: DataFrame) -> DataFrame:
+    """The spans to remove: of strings that several parts of an anchor have, all but the first place.
+
+    A string has one row for each part, so such groups are small; spans are dealt by their places and pass.
+    """
+    deal = F.when(F.col("other").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.xxhash64("check", "other"))
+    place = F.struct("doc_id", "start")
+    first = F.min(place).over(Window.partitionBy("deal", "check", "other"))
+    dealt = found.withColumn("deal", deal).repartition("deal").withColumn("first", first)
+    return dealt.where(F.col("other").isNull() | (place > F.col("first"))).select("doc_id", "start", "stop", "check")
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -455,14 +462,12 @@ def dedup(docs: DataFrame, text: bool = True) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     key = F.coalesce("doc_id", F.lit(_NULL).cast("long"))
     rows = anchor_rows(docs)
-    again = rows.groupBy(F.col("key").alias("deal")).agg(F.count("*").alias("n")).where("n > 1").select("deal", F.lit(True).alias("again"))
-    at = rows.select("deal", "doc_id", "at").join(again, "deal", "left").where("at < 0 or again")
+    # Anchors that stand twice in a block are dealt by their places, so a group has one row a block at most.
+    at = rows.withColumn("n", F.count("*").over(Window.partitionBy("deal"))).where("at < 0 or n > 1")
     at = at.withColumn("at", F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at"))).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("at").alias("places"))
     places = surroundings(docs.join(at, key == F.col("of")).select("doc_id", "text", "places"))
     dealt = places.repartition("key").sortWithinPartitions("key", "around", "doc_id", "start")
-    found = common.written(removed(dealt), "spans")
-    found = found.where("other is null").drop("other").unionByName(_across(found.where("other is not null")))
-    spans = found.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop", "check")).alias("spans"))
+    spans = _across(removed(dealt)).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "stop", "check")).alias("spans"))
     return _cut(docs.join(spans, key == F.col("of"), "left").select("doc_id", "text", "spans"), text)
 
 
