@@ -22,19 +22,18 @@ FROM marked GROUP BY doc_id
 DECONTAMINATION = f"""
 WITH item_words AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
-    SELECT DISTINCT item_id, w[i : i + least(len(w), 13) - 1] AS win
+    SELECT item_id, i AS place, w[i : i + least(len(w), 13) - 1] AS win
     FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT len(win) AS size FROM windows),
 doc_words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 places AS (
     SELECT doc_id, i, size, w[i : i + size - 1] AS win
     FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc_words, sizes WHERE len(w) >= size)),
-found AS (SELECT doc_id, item_id, i, size FROM places JOIN windows USING (win)),
-hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM found) GROUP BY doc_id),
-long AS (SELECT doc_id, max(run) AS longest FROM (
-    SELECT doc_id, count(*) AS run FROM (
-        SELECT doc_id, pos, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g
-        FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM found)) GROUP BY doc_id, g) GROUP BY doc_id),
+found AS (SELECT doc_id, item_id, i, place, size FROM places JOIN windows USING (win)),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM found) GROUP BY doc_id),
+runs AS (
+    SELECT doc_id, item_id, size, i - place AS way, i - row_number() OVER (PARTITION BY doc_id, item_id, i - place ORDER BY i) AS run FROM found),
+long AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, max(size) + count(*) - 1 AS n FROM runs GROUP BY doc_id, item_id, way, run) GROUP BY doc_id),
 items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names
     FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)

@@ -340,7 +340,41 @@ def contaminated(texts, items):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 25, 400])
+def longest_matches(texts, items):
+    """(doc, item): words of the longest common stretch, if it is a window at least."""
+    out = {}
+    for i, text in texts.items():
+        for item, other in items:
+            a, b = words(text), words(other)
+            best, row = 0, [0] * (len(b) + 1)
+            for x in a:
+                row = [0] + [row[k] + 1 if x == y else 0 for k, y in enumerate(b)]
+                best = max(best, *row)
+            if b and best >= min(13, len(b)):
+                out[i, item] = best
+    return out
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 100])
+def test_longest_matches(spark, limit):
+    """Two items side by side are two matches; a match goes on as long as the words agree, and is where it is said to be."""
+    say = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    texts = {1: f"{say('p', 20)} {say('q', 20)}", 2: f"x {say('q', 20)} y {say('p', 14)} {say('s', 30)}", 3: "ab " * 100, 4: "one two", 5: None, 6: say("p", 12), 7: say("z", 40)}
+    items = [(1, say("p", 20)), (2, say("q", 20)), (3, "ab " * 60), (4, "two"), (5, ""), (6, f"{say('z', 20)} gap {say('z', 40)}"), (7, say("p", 20))]
+    docs = spark.createDataFrame([(i, t, "n") for i, t in texts.items()], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(docs, bench, limit=limit).collect()
+    want = longest_matches(texts, items)
+    assert {(r["doc_id"], r["item_id"]): r["n_words"] for r in found} == want and len(found) == len(want)
+    for r in found:
+        n = r["n_words"]
+        assert words(texts[r["doc_id"]])[r["doc_word"] :][:n] == words(dict(items)[r["item_id"]])[r["item_word"] :][:n]
+    reported = by_id(decontaminate.report(docs, bench, limit=limit))
+    assert {i: r["longest_match"] for i, r in reported.items()} == {i: max((n for (d, _), n in want.items() if d == i), default=0) for i in texts}
+    assert reported[1]["longest_match"] == 20
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 80])
 def test_contamination(spark, docs, corpus, limit):
     """The small limit works the benchmark off in blocks."""
     texts = dict(corpus)
@@ -348,7 +382,9 @@ def test_contamination(spark, docs, corpus, limit):
     items += [(60, items[5][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contaminated(texts, items)
-    found = by_id(decontaminate.report(docs, bench, limit=limit))
+    rows = decontaminate.report(docs, bench, limit=limit).collect()
+    assert len(rows) == len(corpus)
+    found = {r["doc_id"]: r for r in rows}
     for i, w in want.items():
         r = found[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == w, i
