@@ -115,14 +115,15 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DO
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
     bounds = sorted(set(cuts), reverse=True)
     by = F.col("doc_id")
-    for k in range(len(bounds) + 1):
-        below = by <= bounds[k - 1] if k else F.lit(True)
-        above = by > bounds[k] if k < len(bounds) else F.lit(True)
-        batch = below & above
-        runs.add(keys_of(docs.where(batch | by.isNull() if k == len(bounds) else batch), min_chars))
-    found = common.written(runs.counts().where(F.col("n") >= min_docs).select("a", "b", "last"), "repeated-lines")
-    runs.drop()
-    return found
+    try:
+        for k in range(len(bounds) + 1):
+            below = by <= bounds[k - 1] if k else F.lit(True)
+            above = by > bounds[k] if k < len(bounds) else F.lit(True)
+            batch = below & above
+            runs.add(keys_of(docs.where(batch | by.isNull() if k == len(bounds) else batch), min_chars))
+        return common.written(runs.counts().where(F.col("n") >= min_docs).select("a", "b", "last"), "repeated-lines")
+    finally:
+        runs.drop()
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A sequence holds CAPACITY tokens, so there are at most CAPACITY lengths, and the whole instance is a histogram: a few
 thousand counts, however many documents there are.  The driver reduces and solves the histogram.  Pieces take their places
-by rank among the pieces of their length; ranks are counted in salted groups, so that a length which very many documents
-share is no single task's.
+by rank among the pieces of their length; ranks are counted in salted groups of about RANKED pieces, so that a length which
+very many pieces share is no single task's.
 
-Reduction: taken from the longest, a piece x with what fits beside it best (the longest y that fits) is fixed for good if
-{x, y} dominates every other set with x: if no set of at most two shorter pieces that fits beside x outweighs y, and three
-never fit.  What is left is packed best-fit, the longest first.
+Reduction: each length x is examined in turn, from the longest.  A piece x is fixed for good alone, with the longest y that
+fits beside it, or with a pair that fills the sequence, if that set dominates every other set with x: if y fills the rest, or
+three pieces never fit beside x and no pair outweighs y, or no single piece or pair can't be exchanged for parts of the pair.
+Fixed pieces shrink the instance, and lengths are examined again until a pass fixes nothing.  What is left is packed best-fit, the
+longest first.  Fixing costs no optimum but may leave best fit a worse rest, so plain best fit is tried too and the better kept.
 
 Edge cases: null or empty text is the end id alone.  Rows that repeat a doc_id are packed each; ranks also order by the text's hash.
 Null doc_id stays null.  Extra columns are ignored.  An empty table gives an empty result.
@@ -31,12 +33,12 @@ from skein.llm import common
 CAPACITY = 4096
 #: The id after the last token of each document.
 END = 1
-#: Groups in which the pieces of one length are ranked.
-SALTS = 64
+#: Pieces of one length that are ranked in one group.
+RANKED = 50_000
 #: Tokenised pieces of text of one generation; a worker remembers two.
 MEMORY = 700_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
@@ -102,7 +104,7 @@ _encoders: dict[str, Encoder] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, salt for each piece of each document (doc_id, text)."""
+    """doc_id, piece, start, length, ids_crc32 for each piece of each document (doc_id, text)."""
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
@@ -113,27 +115,73 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             rows = []
             for doc, text, ids in zip(block.column("doc_id").to_pylist(), texts := [t or "" for t in block.column("text").to_pylist()], encoder.ids(texts), strict=True):
                 ids += end
-                salt = zlib.crc32(f"{doc}".encode()) % SALTS
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), salt))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+Places = list[tuple[int, int, int, int, int, int]]
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Places, int]:
     """Places for the pieces of each length, and the number of sequences.
 
     A place is (length, first rank, ranks, first sequence, pieces in each sequence, offset of the first piece there):
     the pieces with these ranks go to sequences first, first + 1, ..., so many in each, one after the other.
     """
+    return min((_solve(histogram, capacity, reduced) for reduced in (True, False)), key=lambda found: found[1])
+
+
+def _dominating(x: int, lengths: list[int], left: dict[int, int], capacity: int) -> tuple[int, ...] | None:
+    """The pieces to fix beside one of length x, none of them longer than the rest; None if no set dominates."""
+    room = capacity - x
+
+    def many(n: int) -> int:
+        return left[n] - (n == x)
+
+    fits = [n for n in lengths[: bisect.bisect_right(lengths, room)] if many(n)]
+    if not fits:
+        return ()
+    y = fits[-1]
+    least = [n for n in fits[:3] for _ in range(min(3, many(n)))][:3]
+    if y == room or sum(least[:2]) > room or len(least) < 2:
+        return (y,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    # Two pieces fit, three don't: the heaviest pair (a, b).
+    sizes = np.array(fits)
+    other = np.searchsorted(sizes, room - sizes, "right") - 1
+    ok = (other >= 0) & (sizes >= sizes[np.maximum(other, 0)])
+    ok &= (sizes != sizes[np.maximum(other, 0)]) | np.array([many(n) > 1 for n in fits])
+    # Of a length that stands once, the next shorter one is the partner.
+    lone = (other >= 0) & (sizes == sizes[np.maximum(other, 0)]) & ~ok
+    other = np.where(lone, other - 1, other)
+    ok |= lone & (other >= 0)
+    if not ok.any():
+        return (y,)
+    pair = np.where(ok, sizes + sizes[np.maximum(other, 0)], 0)
+    best = int(pair.max())
+    if y >= best:
+        return (y,)
+    if best == room:
+        for a, b in ((fits[i], fits[other[i]]) for i in np.flatnonzero(pair == best)):
+            # A pair between them would be heavier than b in its lighter piece: then neither set can stand for the other.
+            between = [n for n in fits if b < n < a]
+            if a == y and (not between or 2 * between[0] > room):
+                return (a, b)
+    return None
+
+
+def _solve(histogram: dict[int, int], capacity: int, reduced: bool) -> tuple[Places, int]:
     left = {n: c for n, c in histogram.items() if c}
     lengths = sorted(left)
     used: dict[int, int] = dict.fromkeys(left, 0)
-    places: list[tuple[int, int, int, int, int, int]] = []
+    places: Places = []
     sequences = 0
 
     def take(length: int, count: int) -> int:
@@ -144,49 +192,22 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
             lengths.remove(length)
         return first
 
-    def longest(at_most: int, but: int = 0) -> int:
-        """The longest length left that is at most this; `but`: a length of which one piece is taken already."""
-        k = bisect.bisect_right(lengths, at_most) - 1
-        while k >= 0 and lengths[k] == but and left[but] < 2:
-            k -= 1
-        return lengths[k] if k >= 0 else 0
-
-    # Reduction: it ends at the first length for which no set dominates.
-    while lengths:
-        x = lengths[-1]
-        room = capacity - x
-        y = longest(room, x)
-        smallest = next((n for n in lengths if n != x or left[x] > 1), 0)
-        if not y:
-            n = left[x] if x > room else 1
-            first = take(x, n)
-            places.append((x, first, n, sequences, 1, 0))
-            sequences += n
-            continue
-        if y != room and 3 * smallest <= room:
-            break
-        if y != room and 2 * smallest <= room:
-            # Two pieces fit: y must outweigh the best pair.
-            best, low, high = 0, 0, len(lengths) - 1
-            while low <= high:
-                s = lengths[low] + lengths[high]
-                if s > room:
-                    high -= 1
-                elif low == high and left[lengths[low]] < 2:
-                    break
-                else:
-                    best = max(best, s)
-                    low += 1
-            if best > y:
-                break
-        n = min(left[x] // 2, left[y] // 2) if x == y else min(left[x], left[y])
-        n = max(n, 1)
-        if x == y:
-            places.append((x, take(x, 2 * n), 2 * n, sequences, 2, 0))
-        else:
-            places.append((x, take(x, n), n, sequences, 1, 0))
-            places.append((y, take(y, n), n, sequences, 1, x))
-        sequences += n
+    fixed = reduced
+    while fixed:
+        fixed = False
+        for x in sorted(lengths, reverse=True):
+            while left[x] and (beside := _dominating(x, lengths, left, capacity)) is not None:
+                whole = (x, *beside)
+                n = min(left[v] // whole.count(v) for v in whole)
+                if not beside and 2 * x <= capacity:
+                    n = 1
+                at = 0
+                for v in dict.fromkeys(whole):
+                    per = whole.count(v)
+                    places.append((v, take(v, n * per), n * per, sequences, per, at))
+                    at += per * v
+                sequences += n
+                fixed = True
 
     # Best fit for the rest: open sequences with equal room stand together as (first sequence, number).
     open_: dict[int, list[tuple[int, int]]] = {}
@@ -228,18 +249,19 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tup
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """found: a written table of pieces.  Adds sequence_id and offset."""
     spark = found.sparkSession
-    # At most CAPACITY x SALTS groups; the histogram itself has CAPACITY rows at most.
-    groups = found.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = groups.withColumn("before", before)
-    histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # CAPACITY rows at most
     places, _ = solve(histogram, capacity)
-    schema = "length long, first long, ranks long, sequence long, per long, room long"
+    groups = F.broadcast(spark.createDataFrame([(n, -(-c // RANKED)) for n, c in histogram.items()], "length long, groups long"))
+    salted = found.join(groups, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("groups"))).drop("groups")
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("before", before).drop("n")
+    schema = "of long, first long, ranks long, sequence long, per long, room long"
     table = F.broadcast(spark.createDataFrame(places, schema))  # a few places for each length
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(starts.drop("n"), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = ranked.join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     inside = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("ranks"))
-    placed = ranked.join(table.withColumnRenamed("length", "of"), (F.col("length") == F.col("of")) & inside)
+    placed = ranked.join(table, (F.col("length") == F.col("of")) & inside)
     at = F.col("rank") - F.col("first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

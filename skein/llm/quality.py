@@ -2,10 +2,12 @@
 
 Features are cut into bins.  Shallow trees are boosted one feature at a time, in turns (cyclic), each on the residual of
 the sum so far; a tree over one binned feature adds to that feature's lookup table, so the model ends as one table for each
-feature.  Then the pairs of features whose joint bins explain most of what is left get a two-way table each, boosted the
-same way.  A score is a sum of table entries through the logistic function: vectorised lookups and additions.
+feature.  Then the pairs of features whose joint bins explain most of what is left are boosted in turns by shallow trees that
+cut along either feature, into a two-way table each.  A score is a sum of table entries through the logistic function:
+vectorised lookups and additions.
 
-The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id; scoring reads every text whole.
+The fit uses at most SAMPLE labelled rows, those with the smallest hash of doc_id; scoring reads every text whole.  How many
+rounds of each kind are boosted is chosen on every WATCH-th of these rows, then the model is fitted on all of them.
 
 Edge cases: null text counts as empty, and empty text has a score.  Labelled rows with a null label, and labels without a
 document, are not learned from; a document labelled twice is learned from twice.  With no labels at all every score is 0.5.
@@ -27,8 +29,10 @@ from skein.llm import common
 SAMPLE = 20_000
 #: Score from which a document passes.
 THRESHOLD = 0.3
-#: Bins of a feature, of each side of a pair; rounds of boosting; step; pairs; leaves of a tree; rows a leaf has at least.
+#: Bins of a feature, of each side of a pair; rounds at most of boosting; step; pairs; leaves of a tree; rows a leaf has at least.
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, STEP, PAIRS, LEAVES, LEAF_ROWS = 32, 8, 120, 40, 0.15, 6, 3, 5
+#: Of this many of the fit's rows one is held back while rounds are chosen.
+WATCH = 5
 
 FEATURES = (
     "bytes", "words", "mean_word", "upper", "digits", "symbols", "spaces", "wide", "pipes", "bangs", "line_bytes", "short_lines",
@@ -139,26 +143,71 @@ def _tree(gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray) -> np.nda
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Model:
-    if not len(y):
-        return Model()
+def _pair_tree(gradient: np.ndarray, hessian: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Leaf values by cell of a tree with LEAVES leaves over two features: each cut is along one of them, inside one leaf."""
+
+    def sums(v):
+        out = np.zeros((PAIR_BINS + 1, PAIR_BINS + 1))
+        out[1:, 1:] = v.reshape(PAIR_BINS, PAIR_BINS).cumsum(axis=0).cumsum(axis=1)
+        return out
+
+    g, h, n = sums(gradient), sums(hessian), sums(rows)
+
+    def of(v, box):
+        a, b, c, d = box
+        return v[b, d] - v[a, d] - v[b, c] + v[a, c]
+
+    def worth(box):
+        return of(g, box) ** 2 / (of(h, box) + 1.0)
+
+    leaves = [(0, PAIR_BINS, 0, PAIR_BINS)]
+    for _ in range(LEAVES - 1):
+        best = (1e-6, None, None)
+        for box in leaves:
+            a, b, c, d = box
+            cuts = [((a, k, c, d), (k, b, c, d)) for k in range(a + 1, b)] + [((a, b, c, k), (a, b, k, d)) for k in range(c + 1, d)]
+            for two in cuts:
+                if min(of(n, two[0]), of(n, two[1])) >= LEAF_ROWS:
+                    best = max(best, (worth(two[0]) + worth(two[1]) - worth(box), box, two), key=lambda x: x[0])
+        if best[1] is None:
+            break
+        leaves.remove(best[1])
+        leaves += best[2]
+    out = np.zeros((PAIR_BINS, PAIR_BINS))
+    for box in leaves:
+        a, b, c, d = box
+        out[a:b, c:d] = of(g, box) / (of(h, box) + 1.0)
+    return out
+
+
+def _loss(total: np.ndarray, y: np.ndarray) -> float:
+    return float((np.logaddexp(0, total) - y * total).mean())
+
+
+def _boost(x: np.ndarray, y: np.ndarray, rounds: int, pair_rounds: int, watch: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[Model, int, int]:
+    """A model of so many rounds; with rows to watch, also the numbers of rounds after which their loss was least."""
     model = Model()
     for j in range(x.shape[1]):
         model.edges.append(np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])))
     rate = np.clip(y.mean(), 0.01, 0.99)
     model.base = float(np.log(rate / (1 - rate)))
     model.tables = np.zeros((x.shape[1], BINS))
-    b = model.bins(x)
-    total = np.full(len(y), model.base)
+    b, total = model.bins(x), np.full(len(y), model.base)
+    watched, seen = (model.bins(watch[0]), np.full(len(watch[1]), model.base)) if watch else (b[:0], total[:0])
     sizes = [np.bincount(b[:, j], minlength=BINS) for j in range(x.shape[1])]
-    for _ in range(ROUNDS):
+    losses = [_loss(seen, watch[1])] if watch else []
+    for _ in range(rounds):
         for j in range(x.shape[1]):
             p = 1 / (1 + np.exp(-total))
             step = STEP * _tree(np.bincount(b[:, j], y - p, BINS), np.bincount(b[:, j], p * (1 - p), BINS), sizes[j])
             model.tables[j] += step
             total += step[b[:, j]]
+            seen += step[watched[:, j]]
+        if watch:
+            losses.append(_loss(seen, watch[1]))
+    best = int(np.argmin(losses)) if watch else rounds
     p = 1 / (1 + np.exp(-total))
-    coarse = _coarse(b)
+    coarse, watched = _coarse(b), _coarse(watched)
 
     def cell(i: int, j: int) -> np.ndarray:
         return coarse[:, i] * PAIR_BINS + coarse[:, j]
@@ -170,16 +219,30 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     ranked = sorted(((gain(i, j), i, j) for i in range(x.shape[1]) for j in range(i)), reverse=True)
     model.pairs = [(i, j) for _, i, j in ranked[:PAIRS]]
     model.pair_tables = [np.zeros((PAIR_BINS, PAIR_BINS)) for _ in model.pairs]
-    for _ in range(PAIR_ROUNDS):
+    losses = [_loss(seen, watch[1])] if watch else []
+    for _ in range(pair_rounds):
         for k, (i, j) in enumerate(model.pairs):
             p = 1 / (1 + np.exp(-total))
             c = cell(i, j)
-            rows = np.bincount(c, minlength=PAIR_BINS**2)
-            step = STEP * np.bincount(c, y - p, PAIR_BINS**2) / (np.bincount(c, p * (1 - p), PAIR_BINS**2) + 1.0)
-            step[rows < LEAF_ROWS] = 0
-            model.pair_tables[k] += step.reshape(PAIR_BINS, PAIR_BINS)
-            total += step[c]
-    return model
+            step = STEP * _pair_tree(np.bincount(c, y - p, PAIR_BINS**2), np.bincount(c, p * (1 - p), PAIR_BINS**2), np.bincount(c, minlength=PAIR_BINS**2))
+            model.pair_tables[k] += step
+            total += step[coarse[:, i], coarse[:, j]]
+            seen += step[watched[:, i], watched[:, j]]
+        if watch:
+            losses.append(_loss(seen, watch[1]))
+    return model, best, int(np.argmin(losses)) if watch else pair_rounds
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> Model:
+    if not len(y):
+        return Model()
+    rounds, pair_rounds = ROUNDS, PAIR_ROUNDS
+    held = np.arange(len(y)) % WATCH == 0
+    if len(np.unique(y[held])) == len(np.unique(y[~held])) == 2:
+        watch = (x[held], y[held])
+        _, rounds, _ = _boost(x[~held], y[~held], ROUNDS, 0, watch)
+        _, _, pair_rounds = _boost(x[~held], y[~held], rounds, PAIR_ROUNDS, watch)
+    return _boost(x, y, rounds, pair_rounds)[0]
 
 
 def held_out() -> F.Column:

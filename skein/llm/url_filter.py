@@ -4,11 +4,15 @@ A key is a host or one of its parent domains together with a leading piece of th
 name.  The universe is every distinct key of the pages whose depth a rule can have.  Level 0 encodes the listed keys; level
 1 the keys of the universe that pass level 0 though they aren't listed; level 2 the listed keys that pass level 1; and so
 on, until no key is left over.  A key is listed if the first level that rejects it is an odd one, so membership is exact for
-all keys of the universe and a page is judged without a join.
+all keys of the universe and a page is judged without a join.  Blocked and allowed keys have a cascade each.
+
+A cascade is at most CASCADE_BYTES: a longer list is cut into slices by the keys' hashes, each with a cascade of its own.  One
+slice at a time is broadcast, and marks its keys in the pages, which are written between slices.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the method (an
 empty host is not listed: allow).  An empty host name and empty path give no key.  Repeated pages are judged row by row;
-extra columns are ignored.  An empty table gives an empty result.
+extra columns are ignored.  A key listed both ways is blocked; rules with a null are skipped.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import common
@@ -31,10 +35,8 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 UNWANTED = ("spam-farm", "cheap-pills", "casino", "adult", "malware")
 #: Bits for each key of a level, and hash functions.
 BITS, HASHES = 12, 6
-#: Bytes of all levels that are broadcast; a larger cascade is cut into more slices, each held by the tasks of its keys.
-CASCADE_BYTES = 64 << 20
-#: Listed keys that one slice of the cascade holds.
-SLICE_KEYS = 1 << 21
+#: Bytes of the levels of one slice.
+CASCADE_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -112,25 +114,47 @@ class Cascade:
         return sum(level.words.nbytes for level in self.levels)
 
 
-def build(listed: DataFrame, universe: DataFrame, spark) -> Cascade:
-    """listed, universe: one column h each, distinct key hashes; the listed ones may be outside the universe.
+def build(listed: DataFrame, universe: DataFrame) -> list[Cascade]:
+    """A cascade for each slice; listed, universe: one column h each, distinct key hashes.
+
+    Listed keys outside the universe are left out: no page has them.  As many slices are made as keep each within
+    CASCADE_BYTES; how many false positives the universe gives is only known then, so slices are doubled until they do.
+    """
+    listed = common.written(listed.join(universe, "h", "left_semi"), "url-listed")
+    universe = common.written(universe.join(listed, "h", "left_anti"), "url-universe")
+    slices = 1
+    while True:
+        cascades = []
+        for k in range(slices):
+            own = F.pmod(F.col("h"), F.lit(slices)) == k
+            cascades.append(_cascade(listed.where(own), universe.where(own)))
+            if cascades[-1] is None:
+                break
+        else:
+            return cascades
+        slices *= 2
+
+
+def _cascade(positives: DataFrame, negatives: DataFrame) -> Cascade | None:
+    """None if it would be too large.
 
     Each level is made by the executors as partial bit arrays; the driver only joins them.  What is left over for the next
     level shrinks by the false-positive rate at each step, and is counted before a level of its size is made.
     """
-    universe = common.written(universe.join(listed, "h", "left_anti"), "url-universe")
-    positives, negatives = common.written(listed, "url-listed"), universe
     levels: list[Level] = []
+    shelf = common.Shelf(positives.sparkSession)
     while n := positives.count():
         level = Level(n, len(levels) + 1)
-        if level.words.nbytes > CASCADE_BYTES:
-            raise ValueError("the list needs more slices")
+        if n > 1 and sum(x.words.nbytes for x in (*levels, level)) > CASCADE_BYTES:
+            return None
         parts = positives.mapInArrow(_partial(level), "word long, bits long")
-        for word, bits in parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas().itertuples(index=False):
-            level.words[word] |= _U(bits & (1 << 64) - 1)
+        found = parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        level.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
         levels.append(level)
         # False positives of this level are the next level's keys.
-        positives, negatives = common.written(negatives.mapInArrow(_passing(level), "h long"), "url-level"), positives
+        positives, negatives = shelf.put(negatives.mapInArrow(_passing(level), "h long"), f"url-level-{len(levels)}"), positives
+        shelf.drop(f"url-level-{len(levels) - 2}")
+    shelf.drop(*list(shelf.paths))
     return Cascade(levels)
 
 
@@ -155,37 +179,50 @@ def _passing(level: Level):
     return run
 
 
-def judge(pages: DataFrame, rules=RULES, unwanted=UNWANTED) -> DataFrame:
-    """page_id, host, path, rule, verdict for each page."""
-    spark = pages.sparkSession
-    depth = max(path.count("/") for _, _, path in rules)
-    host, path = host_and_path(F.col("url"))
-    split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    split = split.withColumn("keys", keys(F.col("host"), F.col("path"), depth))
-    # Bare labels are keys too: the method's own list names labels of hosts.
-    split = split.withColumn("labels", F.filter(F.split("host", r"\."), lambda x: x != ""))
-    listed_keys = [h + p for _, h, p in rules] + [f"*{label}" for label in unwanted]
-    listed = spark.createDataFrame([(k,) for k in listed_keys], "key string").select(F.xxhash64("key").alias("h")).distinct()
-    starred = F.transform("labels", lambda x: F.concat(F.lit("*"), x))
-    universe = split.select(F.explode(F.concat("keys", starred)).alias("key")).select(F.xxhash64("key").alias("h")).distinct()
-    shared = spark.sparkContext.broadcast(build(listed, universe, spark))
+def _members(cascades: list[Cascade], k: int):
+    """Whether each of the hashes of a row is listed, for those of slice k."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(cascades[k])
+    slices = len(cascades)
 
     @F.pandas_udf("array<boolean>")
     def member(hashes: pd.Series) -> pd.Series:
         counts = np.array([len(x) for x in hashes], np.int64)
         flat = np.concatenate([np.asarray(x, np.int64) for x in hashes]) if len(hashes) else np.zeros(0, np.int64)
-        found = shared.value.has(flat.view(np.uint64))
+        found = shared.value.has(flat.view(np.uint64)) & (flat % slices == k)
         return pd.Series(np.split(found, np.cumsum(counts)[:-1]) if len(counts) else [])
 
-    hashed = split.withColumn("all_keys", F.concat("keys", starred))
-    marked = hashed.withColumn("is", member(F.transform("all_keys", lambda k: F.xxhash64(k))))
-    hits = F.filter("all_keys", lambda k, i: F.get(F.col("is"), i))
-    marked = marked.select("page_id", "host", "path", hits.alias("hits"))
-    named = F.filter("hits", lambda k: ~F.startswith(k, F.lit("*")))
-    rule = F.get(F.array_sort(named, lambda a, b: F.length(b) - F.length(a)), F.lit(0))
-    verdict = F.create_map(*[x for v, h, p in rules for x in (F.lit(h + p), F.lit(v))])
-    bad = F.exists("hits", lambda k: F.startswith(k, F.lit("*")))
-    return marked.select(
-        "page_id", "host", "path", rule.alias("rule"),
-        F.when(rule.isNotNull(), F.element_at(verdict, rule)).when(bad, "block").otherwise("allow").alias("verdict"),
-    )
+    return member
+
+
+def judge(pages: DataFrame, rules: DataFrame | None = None, unwanted=UNWANTED) -> DataFrame:
+    """page_id, host, path, rule, verdict for each page.  rules: verdict (block or allow), host, path; RULES if none are given."""
+    spark = pages.sparkSession
+    if rules is None:
+        rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    rules = rules.where("verdict is not null and host is not null and path is not null")
+    depth = rules.agg(F.coalesce(F.max(F.size(F.split("path", "/")) - 1), F.lit(1))).first()[0]
+    host, path = host_and_path(F.col("url"))
+    split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    # Bare labels are keys too: the method's own list names labels of hosts.
+    labels = F.filter(F.split("host", r"\."), lambda x: x != "")
+    split = split.withColumn("keys", F.concat(keys(F.col("host"), F.col("path"), depth), F.transform(labels, lambda x: F.concat(F.lit("*"), x))))
+    universe = split.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")).distinct()
+    stars = spark.createDataFrame([(f"*{label}",) for label in unwanted], "key string")
+    marked, shelf = split.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), common.Shelf(spark)
+    for verdict in ("block", "allow"):
+        named = rules.where(F.col("verdict") == verdict).select(F.concat("host", "path").alias("key"))
+        listed = (named.unionByName(stars) if verdict == "block" else named).select(F.xxhash64("key").alias("h")).distinct()
+        cascades = build(listed, universe)
+        for k in range(len(cascades)):
+            found = _members(cascades, k)(F.col("hashes"))
+            marked = marked.withColumn(verdict, F.zip_with(verdict, found, lambda x, y: x | y) if k else found)
+            if len(cascades) > 1:
+                marked = shelf.put(marked, "url-marks")
+    hits = lambda name: F.filter("keys", lambda k, i: F.get(F.col(name), i))
+    bare = lambda found: F.filter(found, lambda k: ~F.startswith(k, F.lit("*")))
+    marked = marked.select("page_id", "host", "path", hits("block").alias("block"), bare(hits("allow")).alias("allow"))
+    rule = F.get(F.array_sort(F.concat(bare("block"), "allow"), lambda a, b: F.length(b) - F.length(a)), F.lit(0))
+    bad = F.exists("block", lambda k: F.startswith(k, F.lit("*")))
+    by_rule = F.when(F.array_contains("block", rule), "block").otherwise("allow")
+    verdict = F.when(rule.isNotNull(), by_rule).when(bad, "block").otherwise("allow")
+    return marked.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))

@@ -422,6 +422,57 @@ def test_quality(spark):
     assert len(model.pairs) == quality.PAIRS and len(model.tables) == len(quality.FEATURES)
 
 
+def plain_features(text):
+    """Some of the features, counted in plain Python."""
+    raw = text.encode()
+    found = raw.split()
+    lines = len(raw.split(b"\n")) - (raw.endswith(b"\n") or not raw)
+    share = lambda n: n / max(1, len(raw))
+    return {
+        "bytes": np.log1p(len(raw)), "words": np.log1p(len(found)), "upper": share(sum(65 <= c <= 90 for c in raw)), "digits": share(sum(48 <= c <= 57 for c in raw)),
+        "wide": share(sum(c > 127 for c in raw)), "pipes": raw.count(b"|") / max(1, len(found)), "line_bytes": np.log1p(len(raw) / max(1, lines)),
+        "repeat_next": sum(a.lower() == b.lower() for a, b in zip(found, found[1:])) / max(1, len(found)), "distinct_words": len({w.lower() for w in found}) / max(1, len(found)),
+    }
+
+
+def test_quality_features_and_lookups(corpus):
+    """Features and the sum of table entries against plain Python, row by row."""
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in corpus]
+    x = quality.features(*common.arrow_bytes(pa.array(texts)))
+    for row, text in zip(x, texts, strict=True):
+        for name, value in plain_features(text).items():
+            assert row[quality.FEATURES.index(name)] == pytest.approx(value), (name, text[:50])
+    y = np.array([float(i % 3 > 0) for i in range(len(texts))])
+    model = quality.fit(x, y)
+    for row, score in zip(x, model.score(x), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        total = model.base + sum(model.tables[j][b] for j, b in enumerate(bins))
+        total += sum(t[bins[i] * quality.PAIR_BINS // quality.BINS, bins[j] * quality.PAIR_BINS // quality.BINS] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_quality_pairs_are_shallow_trees():
+    """A rule that only the two features together tell is found by trees that cut along both."""
+    r = np.random.default_rng(4)
+    x = r.random((4000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert set(model.pairs[0]) == {0, 1}
+    assert ((model.score(x) > 0.5) == (y > 0)).mean() > 0.95
+    step = quality._pair_tree(np.where(np.arange(64) % 8 < 3, 5.0, -5.0), np.full(64, 10.0), np.full(64, 40.0))
+    assert len(np.unique(step.round(9))) <= quality.LEAVES
+
+
+def test_quality_held_out(spark):
+    docs, labels = spark.read.parquet(_supplied("documents")), spark.read.parquet(_supplied("labels"))
+    found = quality.score(docs, quality.train(docs, labels)).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
+    good, bad = ([r["score"] for r in found if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 20 and len(bad) > 5
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.95
+
+
 def test_quality_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
@@ -515,6 +566,56 @@ def test_packing_of_any_histogram(seed):
         assert [at for at, _ in sorted(x)] == ends[:-1].tolist() and ends[-1] <= 50
 
 
+def least_sequences(items, capacity):
+    """By trying every way to put the items, the longest first."""
+    items = sorted(items, reverse=True)
+    best = [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[i]}:
+            rest = list(rooms)
+            rest[rest.index(room)] -= items[i]
+            go(i + 1, rest)
+        go(i + 1, [*rooms, capacity - items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_reduction_keeps_an_optimum():
+    """What is fixed and the best packing of the rest are the best packing of all."""
+    fixed_pieces = 0
+    for seed in range(150):
+        r = __import__("random").Random(seed)
+        items = [r.randint(r.choice([3, 6, 8]), 29) for _ in range(r.randint(0, 10))]
+        left, sequences, more = Counter(items), 0, True
+        while more:
+            more = False
+            for x in sorted(left, reverse=True):
+                while left[x] and (beside := packing._dominating(x, sorted(+left), left, 30)) is not None:
+                    left -= Counter((x, *beside))
+                    sequences, fixed_pieces, more = sequences + 1, fixed_pieces + 1 + len(beside), True
+        assert sequences + least_sequences(left.elements(), 30) == least_sequences(items, 30), items
+        assert packing.solve(Counter(items), 30)[1] <= packing._solve(Counter(items), 30, False)[1]
+    assert fixed_pieces > 500
+
+
+def test_packing_in_ranked_groups(spark, docs, corpus, monkeypatch):
+    """Pieces of one length are ranked in many groups, those of one long document too."""
+    monkeypatch.setattr(packing, "RANKED", 3)
+    found = packing.packed(docs, tokenizer_path(), capacity=16).collect()
+    assert len({(r["sequence_id"], r["offset"]) for r in found}) == len(found)
+    used = Counter()
+    for r in found:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= 16 and all(r["offset"] + r["length"] <= used[r["sequence_id"]] for r in found)
+
+
 # Media.
 
 
@@ -567,13 +668,30 @@ def test_urls(spark):
             assert (r["host"], r["path"], r["rule"], r["verdict"]) == judged(URLS[r["page_id"]]), URLS[r["page_id"]]
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 512])
+def test_urls_of_a_list_table(spark, monkeypatch, limit):
+    """A list of any size is a table; the small limit makes it several slices."""
+    monkeypatch.setattr(url_filter, "CASCADE_BYTES", limit)
+    hosts = [f"h{i}.example" for i in range(3000)]
+    rules = [("block" if i % 3 else "allow", h, "/" if i % 2 else "/a/b/") for i, h in enumerate(hosts)] + [("allow", "h7.example", "/x/"), ("block", "h9.example", "/"), ("allow", "h9.example", "/")]
+    listed = spark.createDataFrame([(*x, 0) for x in rules], "verdict string, host string, path string, page_id int")
+    urls = [f"http://www.h{i}.example{p}" for i in range(0, 3100, 7) for p in ("/", "/a/b/c", "/x/y")] + [None, "http://h9.example/z"]
+    found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), listed).collect()
+    assert len(found) == len(urls)
+    for r in found:
+        host, path, *_ = judged(urls[r["page_id"]])
+        fits = [(len(h + p), h + p, v == "block") for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = (max(fits)[1], "block" if max(fits)[2] else "allow") if fits else (None, "allow")
+        assert (r["rule"], r["verdict"]) == want, urls[r["page_id"]]
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     """Small filters have many false positives, so many levels are needed; all are right for the whole universe."""
     monkeypatch.setattr(url_filter, "BITS", 2)
     monkeypatch.setattr(url_filter, "HASHES", 1)
     universe = spark.range(5000).selectExpr("xxhash64(id) as h")
     listed = spark.range(0, 5000, 7).selectExpr("xxhash64(id) as h")
-    cascade = url_filter.build(listed, universe, spark)
+    (cascade,) = url_filter.build(listed, universe)
     assert len(cascade.levels) > 2
     h = np.array([r["h"] for r in universe.collect()], np.int64).view(np.uint64)
     want = {r["h"] for r in listed.collect()}
