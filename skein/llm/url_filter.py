@@ -206,7 +206,7 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, unwanted=UNWANTED) -
     # Bare labels are keys too: the method's own list names labels of hosts.
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
     split = split.withColumn("keys", F.concat(keys(F.col("host"), F.col("path"), depth), F.transform(labels, lambda x: F.concat(F.lit("*"), x))))
-    universe = split.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")).distinct()
+    universe = common.written(split.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")).distinct(), "url-keys")
     stars = spark.createDataFrame([(f"*{label}",) for label in unwanted], "key string")
     marked, shelf = split.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), common.Shelf(spark)
     for verdict in ("block", "allow"):
