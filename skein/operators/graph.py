@@ -20,6 +20,7 @@ TOOL_CLASSES = {
     "research_modality": ("eeg", "erp", "fmri", "smri", "mri", "fnirs", "meg", "pet", "eye-tracking", "眼动", "脑电", "磁共振", "近红外", "功能连接"),
     "generic_method": ("technology", "technique", "method", "approach", "工具", "技术", "方法"),
 }
+# Tool classes whose measurements are for research only; relations that need a guardrail.
 RESTRICTED = ("research_modality", "digital_algorithm", "generic_method")
 GUARDED = ("INDICATED_FOR", "NOT_INDICATED_FOR", "HAS_RISK")
 
@@ -33,9 +34,10 @@ def tool_class(text: Column) -> Column:
 
 
 def both_ways(relations: DataFrame) -> DataFrame:
-    """entity_id, other_id, relation_id: each relation from either end."""
-    one = relations.select(F.col("src_id").alias("entity_id"), F.col("dst_id").alias("other_id"), "relation_id")
-    return one.unionByName(relations.select(F.col("dst_id").alias("entity_id"), F.col("src_id").alias("other_id"), "relation_id"))
+    """entity_id, other_id, relation_id, relation_type: each relation from either end; relations are read once."""
+    end = lambda own, other: F.struct(F.col(own).alias("entity_id"), F.col(other).alias("other_id"))
+    ends = F.explode(F.array(end("src_id", "dst_id"), end("dst_id", "src_id"))).alias("end")
+    return relations.select("relation_id", "relation_type", ends).select("end.entity_id", "end.other_id", "relation_id", "relation_type")
 
 
 def degrees(entities: DataFrame, relations: DataFrame, evidence_edges: DataFrame | None = None) -> DataFrame:
@@ -151,14 +153,14 @@ def best_name(mentions: DataFrame, key: str) -> DataFrame:
 
 def neighbours(matched: DataFrame, relations: DataFrame) -> DataFrame:
     """entity_id, relation_type, other_id: one hop either way from the matched entities."""
-    kinds = relations.select("relation_id", "relation_type")
-    return both_ways(relations).join(matched.select("entity_id").distinct(), "entity_id", "left_semi").join(kinds, "relation_id").select("entity_id", "relation_type", "other_id")
+    return both_ways(relations).join(matched.select("entity_id").distinct(), "entity_id", "left_semi").select("entity_id", "relation_type", "other_id")
 
 
 def touching(relations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Relations with either end in ids (entity_id): two equi-joins, each relation once."""
-    ends = both_ways(relations).join(ids.select("entity_id").distinct(), "entity_id", "left_semi").select("relation_id").distinct()
-    return relations.join(ends, "relation_id", "left_semi")
+    """Relations with either end in ids (entity_id): one equi-join over both ends, each relation once."""
+    rows = relations.withColumn("end", F.explode(F.array_distinct(F.array("src_id", "dst_id"))))
+    near = rows.join(ids.select(F.col("entity_id").alias("end")).distinct(), "end", "left_semi")
+    return near.drop("end").dropDuplicates(["relation_id"])
 
 
 def induced(relations: DataFrame, ids: DataFrame) -> DataFrame:

@@ -2,20 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Types of entities.
+TYPES = ("Condition", "Symptom", "AssessmentTool", "Intervention", "Mechanism", "Comorbidity", "AgeStage", "Setting", "Risk", "Evidence", "Claim", "Task")
 # Entity types that each relation may join.
 ALLOWED = {
-    "MEASURED_BY": (("Condition", "Symptom"), ("AssessmentTool",)),
-    "TREATED_BY": (("Condition", "Symptom"), ("Intervention",)),
-    "HAS_RISK": (("Condition",), ("Risk",)),
-    "HAS_SYMPTOM": (("Condition",), ("Symptom",)),
-    "INDICATED_FOR": (("Intervention",), ("Condition", "AgeStage")),
-    "NOT_INDICATED_FOR": (("Intervention",), ("Condition", "AgeStage")),
-    "SUITABLE_AGE": (("Intervention", "AssessmentTool"), ("AgeStage",)),
+    "MEASURED_BY": (("Condition", "Symptom", "Task", "Mechanism", "Comorbidity", "Claim"), ("AssessmentTool",)),
+    "INDICATED_FOR": (("Intervention",), ("Condition", "Symptom", "Comorbidity")),
+    "NOT_INDICATED_FOR": (("Intervention",), ("Condition", "Symptom", "Comorbidity")),
+    "SUITABLE_AGE": (("Intervention", "Condition"), ("AgeStage",)),
+    "SUITABLE_SETTING": (("Intervention",), ("Setting",)),
+    "HAS_RISK": (("Intervention",), ("Risk",)),
+    "COMORBID_WITH": (("Condition", "Comorbidity"), ("Condition", "Comorbidity")),
     "SUPPORTED_BY": (("Claim",), ("Evidence",)),
 }
+# Parts of lower-cased names and evidence texts that the rules look for.
+MARKS = {
+    "algorithm": ("machine learning", "artificial intelligence", "support vector", "random forest", "deep learning", "neural network", "svm", "svr", "机器学习", "人工智能", "支持向量", "算法", "分类器", "模型"),
+    "tool": (
+        "量表", "问卷", "访谈", "观察表", "记录表", "筛查工具", "诊断工具", "诊断标准", "评估工具", "评估表", "检查表",
+        "scale", "questionnaire", "inventory", "checklist", "interview", "schedule", "assessment", "screen",
+    ),
+    "task": ("任务", "范式", "paradigm", "task"),
+    "test": ("任务", "paradigm", "task", "test"),
+    "condition": ("asd", "autism", "autistic", "自闭症", "孤独症", "谱系障碍"),
+    "generic": ("技术", "方法", "工具", "technique", "technology", "method", "approach"),
+    "specific": ("eeg", "erp", "fmri", "meg", "mri", "pet", "spect", "ados", "adi", "m-chat", "vb-mapp", "abc", "cars"),
+    "modality": ("mri", "dti", "eeg", "erp", "meg", "eye-tracking", "earlipoint", "touchscreen", "弥散张量成像", "脑电", "眼动", "磁共振", "脑磁图", "事件相关电位"),
+    "screening": ("ados", "adi", "chat", "cars", "abc", "量表", "问卷", "访谈", "观察表", "筛查工具", "诊断工具"),
+    "performance": (
+        "sensitivity", "specificity", "accuracy", "precision", "auc", "approved", "fda", "diagnostic tool", "screening tool",
+        "敏感性", "特异性", "准确率", "正确率", "精确率", "批准", "获批",
+    ),
+    "summary": ("梳理了", "综述", "参考价值", "能够反映", "可反映", "研究成果", "provide reference", "reviewed", "overview"),
+    "measure": ("diagnos", "screen", "assess", "measure", "evaluate", "identify", "诊断", "筛查", "评估", "测量", "识别", "检出"),
+    "context": (
+        "asd", "autism", "自闭症", "孤独症", "谱系障碍", "诊断", "筛查", "量表", "标准", "访谈", "观察",
+        "diagnostic", "diagnosis", "screening", "assessment", "scale", "interview", "observation",
+    ),
+    "study": ("研究表明", "研究发现", "显示", "提示", "发现", "通过", "使用", "采用", "measured by", "measured with", "assessed by", "assessed with", "using", "used", "found", "showed", "demonstrated"),
+    "age": ("岁", "year", "years", "month", "儿童", "青少年", "幼儿", "adolescent", "preschool", "school-age", "adult"),
+}
+# A text of so few characters, or without any of these marks, is a title and no evidence.
+TITLE_CHARS, SENTENCE_MARKS = 18, "[。！？!?；;:：,.，]"
+#: Characters that a text which names a condition's tool has at least to count as evidence all the same.
+SNIPPET_CHARS = 20
 # Parts of error messages that are worth another try.
 TRANSIENT = ("timeout", "timed out", "429", "502", "503", "504", "connection reset")
 
@@ -56,36 +91,91 @@ def allowed_pairs(spark) -> DataFrame:
     return spark.createDataFrame(rows, "relation_type string, src_type string, dst_type string")
 
 
+def _plain(text: Column) -> Column:
+    """Lower-cased, with single spaces."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+
+
+def _has(text: Column, marks: str) -> Column:
+    return text.rlike("|".join(map(re.escape, MARKS[marks])))
+
+
+def typed(entities: DataFrame) -> DataFrame:
+    """entities (chunk_id, entity_id, name, type, synonyms) with the type that their name tells, and reject_reason (null: kept)."""
+    name, kind = _plain(F.col("name")), F.coalesce("type", F.lit(""))
+    algorithm = _has(name, "algorithm")
+    tool = _has(name, "tool") & ~algorithm
+    told = (
+        F.when((kind == "AssessmentTool") & algorithm, "Mechanism")
+        .when(_has(name, "task") & ~tool & (kind != "Intervention"), "Task")
+        .when((kind == "AssessmentTool") | tool, "AssessmentTool")
+        .when(_has(name, "condition"), "Condition")
+        .when(_has(name, "test") & (kind != "Intervention"), "Task")
+        .otherwise(F.col("type"))
+    )
+    generic = (F.col("type") == "AssessmentTool") & _has(name, "generic") & ~_has(name, "specific")
+    reason = F.when(~F.coalesce(F.col("type").isin(*TYPES), F.lit(False)), "invalid_entity_type").when(generic, "generic_assessment_tool")
+    return entities.withColumn("type", told).withColumn("reject_reason", reason)
+
+
 def checked(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """relations with src_type, dst_type, confidence within 0 and 1, and reject_reason of the first rule that fails (null: kept).
 
-    relations: chunk_id, src_id, relation_type, dst_id, evidence_text, confidence; entities: chunk_id, entity_id, name, type.
+    relations: chunk_id, src_id, relation_type, dst_id, evidence_text, confidence; entities: chunk_id, entity_id, name, type,
+    synonyms.  Ends are looked for among the entities of the relation's chunk that pass `typed`.
     """
-    ends = relations
+    names = F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))
+    kept = typed(entities).where("reject_reason is null").select("chunk_id", "entity_id", "name", "type", F.filter(F.transform(names, _plain), lambda a: a != "").alias("names"))
+    ends = relations.drop("src_type", "dst_type")
     for side in ("src", "dst"):
-        named = entities.select(F.col("chunk_id").alias("c"), F.col("entity_id").alias("e"), F.col("type").alias(f"{side}_type"), F.col("name").alias(f"{side}_name"))
-        ends = ends.join(named, (F.col("chunk_id") == F.col("c")) & (F.col(f"{side}_id") == F.col("e")), "left").drop("c", "e")
+        own = kept.select(F.col("chunk_id").alias("c"), F.col("entity_id").alias("e"), *(F.col(c).alias(f"{side}_{c}") for c in ("type", "name", "names")))
+        ends = ends.join(own, (F.col("chunk_id") == F.col("c")) & (F.col(f"{side}_id") == F.col("e")), "left").drop("c", "e")
     pairs = F.broadcast(allowed_pairs(relations.sparkSession).withColumn("legal", F.lit(True)))
-    ends = ends.join(pairs, ["relation_type", "src_type", "dst_type"], "left")
-    text = F.coalesce("evidence_text", F.lit(""))
-    low, source, target = F.lower(text), F.lower(F.coalesce("src_name", F.lit(""))), F.lower(F.coalesce("dst_name", F.lit("")))
-    measured, aged = F.col("relation_type") == "MEASURED_BY", F.col("relation_type") == "SUITABLE_AGE"
-    weak = (F.length(text) <= 18) | ~text.rlike("[。！？；.!?;，,]")
+    ends = ends.join(pairs, ["relation_type", "src_type", "dst_type"], "left").withColumns({"low": _plain(F.col("evidence_text")), "tool": _plain(F.col("dst_name"))})
+    low, tool = F.col("low"), F.col("tool")
+    named = lambda side: F.exists(f"{side}_names", lambda a: F.contains(low, a))
+    measured, aged, condition = F.col("relation_type") == "MEASURED_BY", F.col("relation_type") == "SUITABLE_AGE", F.col("src_type") == "Condition"
+    modality = _has(tool, "modality") & ~_has(tool, "screening")
+    title = (F.length(low) <= TITLE_CHARS) | ~low.rlike(SENTENCE_MARKS)
+    snippet = measured & condition & (F.length(low) >= SNIPPET_CHARS) & named("dst") & _has(low, "context")
     reason = (
-        F.when(~F.col("relation_type").isin(*ALLOWED), "invalid_relation_type")
-        .when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "orphan_endpoint")
-        .when(F.trim(text) == "", "missing_evidence")
-        .when(F.col("legal").isNull(), "illegal_type_pair")
-        .when(weak, "weak_evidence")
-        .when(measured & low.rlike("^(in summary|overall|总之|综上)"), "summary_style_evidence")
-        .when(measured & target.rlike("machine learning|deep learning|neural network|算法|分类器"), "algorithmic_tool")
-        .when(measured & ~F.contains(low, target), "tool_not_mentioned")
-        .when(measured & ~F.contains(low, source), "source_not_mentioned")
-        .when(measured & ~low.rlike("assess|measur|screen|diagnos|评估|测量|筛查|诊断"), "no_measure_trigger")
-        .when(measured & target.rlike("eeg|fmri|mri|pet|meg") & ~low.rlike("accuracy|sensitivity|specificity|auc|准确率|敏感"), "modality_without_performance")
-        .when(measured & ~low.rlike("study|trial|participants|found|showed|研究|结果"), "no_study_trigger")
-        .when(aged & ~F.contains(low, target), "age_not_mentioned")
-        .when(aged & ~low.rlike(r"\d|year|month|岁|月龄"), "no_age_marker")
+        F.when(~F.coalesce(F.col("relation_type").isin(*ALLOWED), F.lit(False)), "invalid_relation_type")
+        .when(F.col("src_type").isNull() | F.col("dst_type").isNull(), "orphan_relation")
+        .when(F.col("legal").isNull(), "illegal_relation_pair")
+        .when(title & ~(snippet & (~modality | _has(low, "performance"))), "weak_evidence_text")
+        .when(measured & _has(low, "summary"), "summary_style_measurement")
+        .when(measured & _has(tool, "algorithm"), "algorithmic_tool_not_assessment")
+        .when(measured & ~named("dst"), "tool_not_mentioned")
+        .when(measured & ~condition & ~named("src"), "source_not_mentioned")
+        .when(measured & condition & ~_has(low, "measure") & ~_has(low, "context"), "condition_measure_without_trigger")
+        .when(measured & condition & modality & ~_has(low, "performance"), "research_modality_without_clinical_signal")
+        .when(measured & ~condition & ~_has(low, "study"), "measurement_without_study_trigger")
+        .when(aged & ~named("dst"), "age_not_mentioned")
+        .when(aged & ~_has(low, "age"), "weak_age_evidence")
+    )
+    number = F.col("confidence").try_cast("double")
+    clamped = F.when(number.isNull() | F.isnan(number), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    own = [c for c in relations.columns if c not in ("confidence", "src_type", "dst_type", "reject_reason")]
+    return ends.select(*own, "src_type", "dst_type", clamped.alias("confidence"), reason.alias("reject_reason"))
+
+
+def revalidated(records: DataFrame, key: str, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """records (key, status) with the entities and relations that pass today's rules, and warnings; error rows pass as they are.
+
+    n_entities and n_relations count what passes, warnings how much was rejected for each reason, such as reason:2, sorted;
+    0 and none for error rows.
+    """
+    bad = lambda df: df.select(F.col("chunk_id").alias("k"), "reject_reason")
+    both = bad(typed(entities)).withColumn("entity", F.lit(True)).unionByName(bad(checked(relations, entities)).withColumn("entity", F.lit(False)))
+    counted = both.groupBy("k", "reject_reason", "entity").agg(F.count("*").alias("n"))
+    kept = F.col("reject_reason").isNull()
+    line = F.when(~kept, F.concat_ws(":", "reject_reason", "n"))
+    summed = counted.groupBy("k").agg(
+        F.sum(F.when(kept & F.col("entity"), F.col("n"))).alias("e"), F.sum(F.when(kept & ~F.col("entity"), F.col("n"))).alias("r"), F.array_sort(F.collect_list(line)).alias("w")
     )
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))))
-    return ends.select(*[c for c in relations.columns if c != "confidence"], "src_type", "dst_type", clamped.alias("confidence"), reason.alias("reject_reason"))
+    ok = F.col("status") == "ok"
+    joined = records.join(summed, records[key] == F.col("k"), "left").withColumn("w", F.coalesce("w", F.array().cast("array<string>")))
+    return joined.select(
+        *[records[c] for c in records.columns], F.when(ok, F.coalesce("e", F.lit(0))).otherwise(0).alias("n_entities"), F.when(ok, F.coalesce("r", F.lit(0))).otherwise(0).alias("n_relations"),
+        F.when(ok, F.array_join("w", "|")).otherwise("").alias("warnings"),
+    )

@@ -153,7 +153,7 @@ def lowest_review_list(spark, d):
 
 @query
 def chunk_pack(spark, d):
-    return chunking.chunked(views.documents(spark, d)).select("chunk_id", "doc_id", "idx", "tokens", "chars", "segments", _joined("heading_path"))
+    return chunking.chunked(views.spread(views.documents(spark, d))).select("chunk_id", "doc_id", "idx", "tokens", "chars", "segments", _joined("heading_path"))
 
 
 @query
@@ -221,15 +221,49 @@ def allowed_pair_check(spark, d):
     return joined.groupBy("relation_type", "src_type", "dst_type").agg(F.count("*").alias("n"), F.count("legal").alias("n_legal"))
 
 
+def _extracted(spark, d):
+    """Extraction records: customers, parts and nations as entities under telling names, orders as relations."""
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    kinds = ("Condition", "Symptom", "AssessmentTool", "Intervention", "Mechanism", "AgeStage", "Nonsense", "Task", "Claim")
+    part = views.read(spark, d, "part").select("p_partkey", "p_name")
+    names = ("autism", "ADOS scale", "fMRI", "imaging method", "deep learning", "stroop task", "preschool children", "ABA training", "plain words", "anxiety")
+    entities = part.select(
+        F.lit(0).alias("chunk_id"), F.col("p_partkey").alias("entity_id"), F.concat_ws(" ", pick(names, F.col("p_partkey")), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name"))).alias("name"),
+        pick(kinds, F.col("p_partkey") + F.floor(F.col("p_partkey") / 9)).alias("type"), F.array(pick(names, F.col("p_partkey"))).alias("synonyms"),
+    )
+    texts = (
+        "We found that autism was screened with the ADOS scale in preschool children.", "short", "An overview of fMRI and deep learning in autism, stroop task.", "The accuracy of fMRI for autism, measured by AUC.",
+        "anxiety and plain words were measured with the ADOS scale, stroop task.", "The ADOS scale exists; no more", "ABA training helps preschool children, anxiety and autism.", "long text without any mark of a sentence", "ABA training, preschool children",
+    )
+    line = views.read(spark, d, "lineitem")
+    types = ("MEASURED_BY", "INDICATED_FOR", "SUITABLE_AGE", "COMORBID_WITH", "RELATES_TO")
+    other = F.col("l_suppkey") * 7 + F.col("l_linenumber")
+    relations = line.select(
+        F.lit(0).alias("chunk_id"), F.col("l_partkey").alias("src_id"), pick(types, F.floor(F.col("l_orderkey") / 3) + F.col("l_linenumber")).alias("relation_type"), other.alias("dst_id"),
+        pick(texts, F.col("l_orderkey")).alias("evidence_text"), F.col("l_quantity").alias("confidence"),
+    )
+    return relations, entities
+
+
+@query
+def entity_reject_reason(spark, d):
+    return runs.typed(_extracted(spark, d)[1]).groupBy("type", "reject_reason").agg(F.count("*").alias("n"))
+
+
 @query
 def relation_reject_reason(spark, d):
-    e = views.entities(spark, d).select(F.lit(0).alias("chunk_id"), "entity_id", "name", "type")
-    r = views.relations(spark, d)
-    text = F.when(F.col("support_count") > 1, F.concat(F.lit("The study found that it measured "), F.col("dst_id"), F.lit("."))).when(F.col("src_id").endswith("7"), "").otherwise("short")
-    kind = F.when(F.col("src_id").endswith("3"), "RELATES_TO").otherwise(F.col("relation_type"))
-    dst = F.when(F.col("dst_id").endswith("9"), "gone").otherwise(F.col("dst_id"))
-    rows = r.select(F.lit(0).alias("chunk_id"), "src_id", kind.alias("relation_type"), dst.alias("dst_id"), text.alias("evidence_text"), "confidence")
-    return runs.checked(rows, e).groupBy("reject_reason").agg(F.count("*").alias("n"))
+    return runs.checked(*_extracted(spark, d)).groupBy("relation_type", "reject_reason").agg(F.count("*").alias("n"))
+
+
+@query
+def revalidated_runs(spark, d):
+    relations, entities = _extracted(spark, d)
+    records = views.runs(spark, d).groupBy("chunk").agg(F.max_by("status", "seq").alias("status"))
+    chunk = lambda key: F.pmod(F.col(key), F.lit(50))
+    # Every entity is known to every chunk that a relation names it in.
+    used = relations.withColumn("chunk_id", chunk("src_id"))
+    ends = used.select("chunk_id", F.explode(F.array("src_id", "dst_id")).alias("entity_id")).distinct()
+    return runs.revalidated(records.where("chunk < 50"), "chunk", used, entities.drop("chunk_id").join(ends, "entity_id"))
 
 
 # Graph.
@@ -437,7 +471,7 @@ def _vectors(spark, d):
 
 
 def _vector_queries(spark, d):
-    return _vectors(spark, d).where("vec_id in (1, 2, 3)").select(F.col("vec_id").alias("query_id"), "embedding")
+    return _vectors(spark, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
@@ -467,7 +501,7 @@ def hybrid_fusion(spark, d):
 def context_assembly(spark, d):
     fused = graph.ranks(_fused(spark, d).orderBy(F.desc("merged_score"), "vec_id").limit(6), F.desc("merged_score"), F.col("vec_id"))
     hits = fused.select(F.col("vec_id").alias("chunk_id"), (F.col("rank") - 1).alias("pos"), "in_graph")
-    near = _vectors(spark, d).where("vec_id < 12").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").cast("int").alias("pos"))
+    near = _vectors(spark, d).select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").cast("int").alias("pos"))
     return retrieval.assembled(near.where("chunk_id in (3, 5)"), hits, near.where("chunk_id % 3 = 0"), 12)
 
 
@@ -489,8 +523,8 @@ def best_window_trim(spark, d):
 def prompt_assembly(spark, d):
     turns = views.turns(spark, d)
     questions = turns.where("turn = 0").select(F.col("conv_id").alias("query_id"), F.col("text").alias("query"))
-    contexts = turns.where("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.left("text", F.lit(40)).alias("text"))
-    named = turns.where("turn = 1").select(F.col("conv_id").alias("query_id"), F.lit(1).alias("rank"), F.col("role").alias("src_name"), F.lit("SAYS").alias("relation_type"), F.left("text", F.lit(9)).alias("dst_name"))
+    contexts = turns.where("turn > 0").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text"))
+    named = turns.where("turn = 1").select(F.col("conv_id").alias("query_id"), F.lit(1).alias("rank"), F.col("role").alias("src_name"), F.lit("SAYS").alias("relation_type"), F.col("text").alias("dst_name"))
     return retrieval.prompts(questions, contexts, named)
 
 

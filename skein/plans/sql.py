@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from skein.operators.runs import ALLOWED, MARKS, TYPES
+
 _CJK = r"[\x{4e00}-\x{9fff}]"
 
 
@@ -69,6 +71,38 @@ _FLAGGED = f"""flagged AS (SELECT r.*, s.type AS src_type, d.type AS dst_type, r
 used AS (SELECT *, CASE WHEN guarded THEN 'guardrailed_clinical_context' WHEN limited THEN 'research_context_only' WHEN confidence < 0.5 OR support_count <= 1 THEN 'use_with_caution' ELSE 'standard' END AS qa_usage,
     array_to_string(list_sort(list_filter([CASE WHEN guarded THEN 'clinical_answer_requires_evidence_guardrail' END, CASE WHEN confidence < 0.5 THEN 'low_confidence' END,
         CASE WHEN limited THEN 'measurement_tool_category:' || tool END, CASE WHEN src_id = dst_id THEN 'self_relation' END, CASE WHEN support_count <= 1 THEN 'single_evidence_relation' END], lambda x: x IS NOT NULL)), '|') AS flags FROM flagged)"""
+
+
+def _marked(column: str, marks: str) -> str:
+    """Whether a column has any of the marks; the supplied texts have none of the CJK ones."""
+    return "(" + " OR ".join(f"contains({column}, '{m}')" for m in MARKS[marks] if m.isascii()) + ")"
+
+
+_PICK = "list_extract({}, ({} % len({}) + 1)::INT)"
+_TOLD = ["autism", "ADOS scale", "fMRI", "imaging method", "deep learning", "stroop task", "preschool children", "ABA training", "plain words", "anxiety"]
+_KINDS = ["Condition", "Symptom", "AssessmentTool", "Intervention", "Mechanism", "AgeStage", "Nonsense", "Task", "Claim"]
+_SAID = [
+    "We found that autism was screened with the ADOS scale in preschool children.", "short", "An overview of fMRI and deep learning in autism, stroop task.", "The accuracy of fMRI for autism, measured by AUC.",
+    "anxiety and plain words were measured with the ADOS scale, stroop task.", "The ADOS scale exists; no more", "ABA training helps preschool children, anxiety and autism.", "long text without any mark of a sentence", "ABA training, preschool children",
+]
+_RELATED_BY = ["MEASURED_BY", "INDICATED_FOR", "SUITABLE_AGE", "COMORBID_WITH", "RELATES_TO"]
+_IS_TOOL = f"({_marked('name', 'tool')} AND NOT {_marked('name', 'algorithm')})"
+_EXTRACTED = f"""said AS (SELECT p_partkey AS entity_id, lower({_PICK.format(_TOLD, 'p_partkey', _TOLD)}) AS synonym, lower({_PICK.format(_TOLD, 'p_partkey', _TOLD)} || CASE WHEN p_partkey % 3 = 0 THEN ' ' || p_name ELSE '' END) AS name,
+        {_PICK.format(_KINDS, '(p_partkey + p_partkey // 9)', _KINDS)} AS kind FROM part),
+    told AS (SELECT *, CASE WHEN kind = 'AssessmentTool' AND {_marked('name', 'algorithm')} THEN 'Mechanism' WHEN {_marked('name', 'task')} AND NOT {_IS_TOOL} AND kind <> 'Intervention' THEN 'Task'
+        WHEN kind = 'AssessmentTool' OR {_IS_TOOL} THEN 'AssessmentTool' WHEN {_marked('name', 'condition')} THEN 'Condition' WHEN {_marked('name', 'test')} AND kind <> 'Intervention' THEN 'Task' ELSE kind END AS type FROM said),
+    typed AS (SELECT *, CASE WHEN type NOT IN {TYPES} THEN 'invalid_entity_type' WHEN type = 'AssessmentTool' AND {_marked('name', 'generic')} AND NOT {_marked('name', 'specific')} THEN 'generic_assessment_tool' END AS reject_reason FROM told)"""
+_LEGAL = " OR ".join(f"(relation_type = '{r}' AND st IN ({str(list(a))[1:-1]}) AND dt IN ({str(list(b))[1:-1]}))" for r, (a, b) in ALLOWED.items())
+_MODAL = f"({_marked('dn', 'modality')} AND NOT {_marked('dn', 'screening')})"
+_RELATED = f"""relations AS (SELECT l_partkey AS src_id, {_PICK.format(_RELATED_BY, '(l_orderkey // 3 + l_linenumber)', _RELATED_BY)} AS relation_type, l_suppkey * 7 + l_linenumber AS dst_id, lower({_PICK.format(_SAID, 'l_orderkey', _SAID)}) AS low FROM lineitem),
+    joined AS (SELECT r.*, s.type AS st, d.type AS dt, d.name AS dn, contains(low, s.name) OR contains(low, s.synonym) AS has_src, contains(low, d.name) OR contains(low, d.synonym) AS has_dst
+        FROM relations r LEFT JOIN typed s ON r.src_id = s.entity_id AND s.reject_reason IS NULL LEFT JOIN typed d ON r.dst_id = d.entity_id AND d.reject_reason IS NULL),
+    judged AS (SELECT src_id, relation_type, CASE WHEN relation_type NOT IN {tuple(ALLOWED)} THEN 'invalid_relation_type' WHEN st IS NULL OR dt IS NULL THEN 'orphan_relation' WHEN NOT ({_LEGAL}) THEN 'illegal_relation_pair'
+        WHEN (length(low) <= 18 OR NOT regexp_matches(low, '[!?;:,.]')) AND NOT (relation_type = 'MEASURED_BY' AND st = 'Condition' AND length(low) >= 20 AND has_dst AND {_marked('low', 'context')} AND (NOT {_MODAL} OR {_marked('low', 'performance')})) THEN 'weak_evidence_text'
+        WHEN relation_type = 'MEASURED_BY' THEN CASE WHEN {_marked('low', 'summary')} THEN 'summary_style_measurement' WHEN {_marked('dn', 'algorithm')} THEN 'algorithmic_tool_not_assessment' WHEN NOT has_dst THEN 'tool_not_mentioned'
+            WHEN st <> 'Condition' AND NOT has_src THEN 'source_not_mentioned' WHEN st = 'Condition' AND NOT {_marked('low', 'measure')} AND NOT {_marked('low', 'context')} THEN 'condition_measure_without_trigger'
+            WHEN st = 'Condition' AND {_MODAL} AND NOT {_marked('low', 'performance')} THEN 'research_modality_without_clinical_signal' WHEN st <> 'Condition' AND NOT {_marked('low', 'study')} THEN 'measurement_without_study_trigger' END
+        WHEN relation_type = 'SUITABLE_AGE' THEN CASE WHEN NOT has_dst THEN 'age_not_mentioned' WHEN NOT {_marked('low', 'age')} THEN 'weak_age_evidence' END END AS reject_reason FROM joined)"""
 _RUNS = "runs AS (SELECT user_id AS chunk, event_id AS seq, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, event_type FROM events)"
 _MERGED = f"""{_RUNS}, picked AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY (status = 'ok')::INT DESC, seq DESC) AS place, min(seq) OVER (PARTITION BY chunk) AS first_seq,
     count(*) OVER (PARTITION BY chunk) AS n_records FROM runs)"""
@@ -82,7 +116,7 @@ matched AS (SELECT * FROM (SELECT query_id, keyword, entity_id, list_contains(na
     FROM named JOIN words ON len(list_filter(names, lambda x: contains(x, lower(keyword)))) > 0) WHERE place <= 80)"""
 _SCORES = """scores AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[])
         / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score, e.label
-    FROM embeddings e, embeddings q WHERE q.vec_id IN (1, 2, 3) AND e.embedding IS NOT NULL),
+    FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND e.embedding IS NOT NULL),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores)"""
 
 
@@ -158,13 +192,16 @@ ORACLES = {
     "next_index": f"WITH {_RUNS} SELECT min(i)::BIGINT AS next_index FROM (SELECT 0::BIGINT AS i UNION SELECT chunk + 1 FROM runs WHERE chunk >= 0) WHERE i NOT IN (SELECT chunk FROM runs)",
     "error_filter": f"WITH {_RUNS} SELECT event_type, (count(*) FILTER (WHERE seq % 5 IN (2, 3, 4)))::BIGINT AS n_retryable, count(*)::BIGINT AS n FROM runs GROUP BY 1",
     "allowed_pair_check": f"""WITH {_GRAPH}, {_TOOLED}, {_FLAGGED} SELECT relation_type, src_type, dst_type, count(*)::BIGINT AS n, (count(*) FILTER (WHERE (relation_type = 'MEASURED_BY' AND src_type = 'Condition' AND dst_type = 'AssessmentTool')
-        OR (relation_type = 'SUITABLE_AGE' AND src_type = 'Intervention' AND dst_type = 'AgeStage')))::BIGINT AS n_legal FROM used GROUP BY 1, 2, 3""",
-    "relation_reject_reason": f"""WITH {_GRAPH}, t AS (SELECT CASE WHEN src_id LIKE '%3' THEN 'RELATES_TO' ELSE relation_type END AS rt, src_id, CASE WHEN dst_id LIKE '%9' THEN 'gone' ELSE dst_id END AS dst,
-            CASE WHEN support_count > 1 THEN 'The study found that it measured ' || dst_id || '.' WHEN src_id LIKE '%7' THEN '' ELSE 'short' END AS text FROM relations),
-        j AS (SELECT t.*, s.type AS st, d.type AS dt, lower(s.name) AS sn, lower(d.name) AS dn, lower(text) AS low FROM t LEFT JOIN entities s ON t.src_id = s.entity_id LEFT JOIN entities d ON t.dst = d.entity_id)
-        SELECT CASE WHEN rt = 'RELATES_TO' THEN 'invalid_relation_type' WHEN st IS NULL OR dt IS NULL THEN 'orphan_endpoint' WHEN trim(text) = '' THEN 'missing_evidence'
-            WHEN NOT ((rt = 'MEASURED_BY' AND st = 'Condition' AND dt = 'AssessmentTool') OR (rt = 'SUITABLE_AGE' AND st = 'Intervention' AND dt = 'AgeStage')) THEN 'illegal_type_pair'
-            WHEN length(text) <= 18 THEN 'weak_evidence' WHEN rt = 'MEASURED_BY' AND NOT contains(low, dn) THEN 'tool_not_mentioned' WHEN rt = 'MEASURED_BY' AND NOT contains(low, sn) THEN 'source_not_mentioned' END AS reject_reason, count(*)::BIGINT AS n FROM j GROUP BY 1""",
+        OR (relation_type = 'SUITABLE_AGE' AND src_type IN ('Intervention', 'Condition') AND dst_type = 'AgeStage')))::BIGINT AS n_legal FROM used GROUP BY 1, 2, 3""",
+    "entity_reject_reason": f"WITH {_EXTRACTED} SELECT type, reject_reason, count(*)::BIGINT AS n FROM typed GROUP BY 1, 2",
+    "relation_reject_reason": f"WITH {_EXTRACTED}, {_RELATED} SELECT relation_type, reject_reason, count(*)::BIGINT AS n FROM judged GROUP BY 1, 2",
+    "revalidated_runs": f"""WITH {_EXTRACTED}, {_RELATED}, ends AS (SELECT DISTINCT src_id % 50 AS k, unnest([src_id, dst_id]) AS entity_id FROM relations),
+        found AS (SELECT k, true AS entity, reject_reason FROM typed JOIN ends USING (entity_id) UNION ALL SELECT src_id % 50, false, reject_reason FROM judged),
+        n AS (SELECT k, entity, reject_reason, count(*)::BIGINT AS n FROM found GROUP BY ALL),
+        s AS (SELECT k, sum(n) FILTER (WHERE entity AND reject_reason IS NULL) AS e, sum(n) FILTER (WHERE NOT entity AND reject_reason IS NULL) AS r, string_agg(reject_reason || ':' || n, '|' ORDER BY reject_reason || ':' || n) AS w FROM n GROUP BY k),
+        records AS (SELECT user_id AS chunk, arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END, event_id) AS status FROM events WHERE user_id < 50 GROUP BY 1)
+        SELECT chunk, status, CASE WHEN status = 'ok' THEN coalesce(e, 0)::BIGINT ELSE 0 END AS n_entities, CASE WHEN status = 'ok' THEN coalesce(r, 0)::BIGINT ELSE 0 END AS n_relations, CASE WHEN status = 'ok' THEN coalesce(w, '') ELSE '' END AS warnings
+        FROM records LEFT JOIN s ON chunk = k""",
     "graph_entities": f"WITH {_ENTITIES} SELECT entity_id, name, type, array_to_string(synonyms, '|') AS synonyms, source_chunk_count, ceil(source_chunk_count / 4.0)::BIGINT AS source_doc_count FROM entities",
     "graph_relations": f"WITH {_RELATIONS} SELECT * FROM relations",
     "degree_entity_only": f"WITH {_GRAPH}, {_DEGREES} SELECT * FROM degrees",
@@ -187,12 +224,12 @@ ORACLES = {
     "best_name": "SELECT brand, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, length(name), name) AS p FROM (SELECT p_brand AS brand, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2)) WHERE p = 1",
     "graph_one_hop": f"WITH {_GRAPH} SELECT x.entity_id, relation_type, other_id FROM ends x JOIN entities e USING (entity_id) JOIN relations USING (relation_id) WHERE e.type = 'AgeStage' OR e.entity_id IN ('supp_1', 'part_7')",
     "relation_context": f"WITH {_RELATIONS} SELECT relation_id, src_id, relation_type, dst_id, support_count FROM relations WHERE src_id IN ('cust_1', 'part_3', 'supp_2') OR dst_id IN ('cust_1', 'part_3', 'supp_2')",
-    "induced_subgraph": f"WITH {_GRAPH}, {_DEGREES}, top AS (SELECT entity_id FROM degrees ORDER BY degree DESC, entity_id LIMIT 200) SELECT relation_id, src_id, dst_id, support_count FROM relations WHERE src_id IN (SELECT entity_id FROM top) AND dst_id IN (SELECT entity_id FROM top)",
+    "induced_subgraph": f"WITH {_GRAPH}, {_DEGREES}, top AS MATERIALIZED (SELECT entity_id FROM degrees ORDER BY degree DESC, entity_id LIMIT 200) SELECT r.relation_id, r.src_id, r.dst_id, r.support_count FROM relations r JOIN top s ON r.src_id = s.entity_id JOIN top t ON r.dst_id = t.entity_id",
     "evidence_path_chunks": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, ids AS (SELECT unnest(['cust_1', 'part_3']) AS entity_id), around AS (SELECT entity_id FROM ids UNION SELECT other_id FROM ends WHERE entity_id IN (SELECT entity_id FROM ids)) SELECT DISTINCT chunk_id FROM around JOIN relations ON src_id = entity_id JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
     "rank_join_evidence": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, top AS (SELECT relation_id, row_number() OVER (ORDER BY support_count DESC, confidence DESC, relation_id) AS rank FROM relations WHERE relation_type = 'MEASURED_BY' QUALIFY rank <= 20) SELECT rank, relation_id, evidence_id, chunk_id FROM top JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
     "validation_top_pairs": f"WITH {_GRAPH}, top AS (SELECT * FROM relations WHERE relation_type = 'MEASURED_BY' ORDER BY support_count DESC, confidence DESC, relation_id LIMIT 25) SELECT relation_id, s.name AS src_name, d.name AS dst_name, support_count FROM top JOIN entities s ON src_id = s.entity_id JOIN entities d ON dst_id = d.entity_id",
-    "prompt_assembly": """SELECT q.conv_id AS query_id, concat_ws(chr(10) || chr(10), 'Question: ' || q.text, 'Texts:' || chr(10) || (SELECT string_agg('[C' || turn || '] ' || left(text, 40), chr(10) ORDER BY turn) FROM conversations c WHERE c.conv_id = q.conv_id AND turn > 0),
-        'Relations:' || chr(10) || (SELECT '[G1] ' || any_value(role) || ' says ' || left(any_value(text), 9) FROM conversations c WHERE c.conv_id = q.conv_id AND turn = 1)) AS prompt FROM conversations q WHERE turn = 0""",
+    "prompt_assembly": """SELECT q.conv_id AS query_id, concat_ws(chr(10) || chr(10), 'Question: ' || q.text, 'Texts:' || chr(10) || (SELECT string_agg('[C' || turn || '] ' || text, chr(10) ORDER BY turn) FROM conversations c WHERE c.conv_id = q.conv_id AND turn > 0),
+        'Relations:' || chr(10) || (SELECT '[G1] ' || any_value(role) || ' says ' || any_value(text) FROM conversations c WHERE c.conv_id = q.conv_id AND turn = 1)) AS prompt FROM conversations q WHERE turn = 0""",
     "graph_export": f"""WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE} SELECT 'entity' AS kind, count(*)::BIGINT AS n FROM entities UNION ALL SELECT 'relation', count(*) FROM relations UNION ALL SELECT 'supported_by', count(*) FROM supports JOIN relations USING (relation_id)
         UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'from_chunk', count(*) FROM evidence WHERE chunk_id IS NOT NULL UNION ALL SELECT 'chunk', count(DISTINCT chunk_id) FROM evidence""",
     "dashboard_stats": f"WITH {_GRAPH}, {_TOOLED}, {_FLAGGED}, {_EVIDENCE} SELECT kind, value, count(*)::BIGINT AS n FROM (SELECT 'entity_type' AS kind, type AS value FROM entities UNION ALL SELECT 'qa_usage', qa_usage FROM used UNION ALL SELECT 'evidence_level', evidence_level FROM evidence) GROUP BY 1, 2",
@@ -211,7 +248,7 @@ ORACLES = {
     "hybrid_fusion": f"WITH {_FUSED} SELECT vec_id, score, in_graph, evidence_level, merged_score FROM fused",
     "context_assembly": f"""WITH {_FUSED}, hits AS (SELECT vec_id, in_graph, row_number() OVER (ORDER BY merged_score DESC, vec_id) - 1 AS pos FROM fused QUALIFY pos < 6),
         every AS (SELECT vec_id AS chunk_id, 0 AS branch, vec_id AS pos, 'graph-evidence' AS retrieval FROM embeddings WHERE vec_id IN (3, 5) UNION ALL SELECT vec_id, 1, pos, CASE WHEN in_graph THEN 'graph+vector' ELSE 'vector' END FROM hits
-            UNION ALL SELECT vec_id, 2, vec_id, 'graph' FROM embeddings WHERE vec_id < 12 AND vec_id % 3 = 0),
+            UNION ALL SELECT vec_id, 2, vec_id, 'graph' FROM embeddings WHERE vec_id % 3 = 0),
         first AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY branch, pos) = 1) SELECT 'C' || row_number() OVER (ORDER BY branch, pos, chunk_id) AS citation, chunk_id, retrieval FROM first ORDER BY branch, pos, chunk_id LIMIT 12""",
     "chunk_rank": f"WITH {_DOC} SELECT doc_id, (CASE WHEN contains(lower(t), 'the') THEN 30 ELSE 0 END + CASE WHEN contains(lower(t), 'license') THEN 30 ELSE 0 END + CASE WHEN contains(lower(t), 'autism') THEN 3 ELSE 0 END + [5, 3, 1, 0, -1][doc_id % 5 + 1])::DOUBLE AS score FROM doc ORDER BY score DESC, doc_id LIMIT 50",
     "query_router": """SELECT * FROM (VALUES (1::BIGINT, 'knowledge_qa', '', false, false), (2, 'assessment_info', 'ados', false, false), (3, 'unknown', '', false, false), (4, 'risk_info', '风险|相关吗|早产', true, false),

@@ -22,6 +22,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.col("source").alias("source_group"), path.alias("relative_path"), F.lit(1).alias("pages"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where one or two files would leave most of them idle; otherwise as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity_id, name, type, synonyms, source_chunk_count, source_doc_count."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
