@@ -34,7 +34,7 @@ CAPACITY = 4096
 #: The id after the last token of each document.
 END = 1
 #: Pieces of one length that are ranked in one group.
-RANKED = 50_000
+RANKED = 4_000
 #: Tokenised pieces of text of one generation; a worker remembers two.
 MEMORY = 700_000
 
