@@ -43,3 +43,39 @@ def pilot(chunks: DataFrame, key: str, owner: str, limit: int = 12, per_owner: i
     scored = scored.withColumn("tokens", -F.col("tokens"))
     capped = scored.withColumn("place", F.row_number().over(Window.partitionBy(owner).orderBy(*best))).where(F.col("place") <= per_owner)
     return capped.orderBy(*best).limit(limit).select(key, owner, "score", (-F.col("tokens")).alias("tokens"))
+
+
+def with_catalog(docs: DataFrame, catalog: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with the columns of their catalog row; documents without one stay, with nulls."""
+    own = catalog.dropDuplicates([key])
+    return docs.join(own.select(key, *[c for c in own.columns if c not in docs.columns]), key, "left")
+
+
+def allowed(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs whose key is listed; an empty list is no filter."""
+    return docs.join(ids.select(key).distinct(), key, "left_semi") if ids.take(1) else docs
+
+
+def coverage(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """One row: n_expected, n_found of these, coverage (1 if nothing is expected)."""
+    want = expected.select(key).distinct()
+    seen = want.join(found.select(key).distinct().withColumn("seen", F.lit(1)), key, "left")
+    n = seen.agg(F.count("*").alias("n_expected"), F.count("seen").alias("n_found"))
+    return n.select("n_expected", "n_found", F.when(F.col("n_expected") > 0, F.col("n_found") / F.col("n_expected")).otherwise(1.0).alias("coverage"))
+
+
+def most_common(rows: DataFrame, value: str, seq: str, n: int) -> DataFrame:
+    """value, n: the n most frequent values; of equally frequent ones those that came first by seq."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(seq).alias("first"))
+    return counted.orderBy(F.desc("n"), "first").limit(n).select(value, "n")
+
+
+def shuffled_head(rows: DataFrame, key: str, seed: int, n: int) -> DataFrame:
+    """n rows in the order of a hash of seed and key: the same draw on every run."""
+    return rows.orderBy(F.sha1(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key).limit(n)
+
+
+def selected(questions: DataFrame, ids: DataFrame | None, seq: str, limit: int | None = None) -> DataFrame:
+    """Questions in file order (seq): those listed by id, if a list is given, and the first `limit` of these."""
+    chosen = questions if ids is None else questions.join(F.broadcast(ids.select("id").distinct()), "id", "left_semi")
+    return chosen.orderBy(seq, "id").limit(limit) if limit else chosen

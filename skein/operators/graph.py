@@ -132,17 +132,23 @@ def merged(entities: DataFrame, merge_types) -> DataFrame:
     return grouped.drop("key")
 
 
-def remapped(relations: DataFrame, merged_entities: DataFrame) -> DataFrame:
-    """Relations between merged entities: loops go, equal triples become one with the mean of confidences."""
+def remapped(relations: DataFrame, merged_entities: DataFrame, supports: DataFrame) -> DataFrame:
+    """Relations between merged entities: loops go, equal triples become one.
+
+    support_count: distinct evidence of supports (relation_id, evidence_id); confidence: the mean, to 4 places.
+    """
     of = merged_entities.select("primary_id", F.explode("member_ids").alias("member"))
     out = relations
     for side in ("src_id", "dst_id"):
         names = of.select(F.col("member").alias(side), F.col("primary_id").alias("to"))
         out = out.join(names, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
-    grouped = out.where("src_id <> dst_id").groupBy("src_id", "relation_type", "dst_id")
-    # Whole millionths: their sum is the same in any order.
-    mean = F.sum(F.floor(F.col("confidence") * 1_000_000)) / F.count("confidence") / 1_000_000
-    return grouped.agg(F.sum("support_count").alias("support_count"), mean.alias("confidence"), F.count("*").alias("n_merged"))
+    triple = ["src_id", "relation_type", "dst_id"]
+    out = out.where("src_id <> dst_id")
+    backed = out.select("relation_id", *triple).join(supports, "relation_id").groupBy(*triple).agg(F.count_distinct("evidence_id").alias("support_count"))
+    # Whole millionths: their sum is the same in any order, and so is its rounding.
+    grouped = out.groupBy(*triple).agg(F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")).alias("s"), F.count("confidence").alias("c"), F.count("*").alias("n_merged"))
+    mean = F.expr("(2 * s + 100 * c) div (200 * c)") / 10_000
+    return grouped.join(backed, triple, "left").select(*triple, F.coalesce("support_count", F.lit(0)).alias("support_count"), F.when(F.col("c") > 0, mean).alias("confidence"), "n_merged")
 
 
 def best_name(mentions: DataFrame, key: str) -> DataFrame:
@@ -241,3 +247,33 @@ def top_pairs(relations: DataFrame, entities: DataFrame, relation_type: str, n:
     named = entities.select("entity_id", "name")
     src, dst = (named.select(F.col("entity_id").alias(f"{s}_id"), F.col("name").alias(f"{s}_name")) for s in ("src", "dst"))
     return top.join(src, "src_id").join(dst, "dst_id").select("relation_id", "src_name", "dst_name", "support_count")
+
+
+def ranked_entity_evidence(ranked: DataFrame, relations: DataFrame, supports: DataFrame, evidence: DataFrame, keep: int) -> DataFrame:
+    """rank, entity_id, evidence_id, chunk_id: evidence of the relations that start at ranked (entity_id, rank), `keep` rows by rank."""
+    own = relations.join(ranked.withColumnRenamed("entity_id", "src_id"), "src_id").select("rank", F.col("src_id").alias("entity_id"), "relation_id")
+    found = own.join(supports, "relation_id").join(evidence.select("evidence_id", "chunk_id"), "evidence_id").select("rank", "entity_id", "evidence_id", "chunk_id")
+    return found.distinct().orderBy("rank", "entity_id", "evidence_id").limit(keep)
+
+
+def evidence_trace(relations: DataFrame, supports: DataFrame, evidence: DataFrame) -> DataFrame:
+    """relation_id, evidence_id, chunk_id behind the one relation of most support."""
+    top = relations.orderBy(F.desc("support_count"), F.desc("confidence"), "relation_id").limit(1).select("relation_id")
+    return supports.join(F.broadcast(top), "relation_id").join(evidence.select("evidence_id", "chunk_id"), "evidence_id").select("relation_id", "evidence_id", "chunk_id")
+
+
+def normalised(mentions: DataFrame) -> DataFrame:
+    """One row for each type and name key of mentions (type, name, synonyms, description, chunk_id, doc_id).
+
+    The name is the most frequent, then the shortest, then the first; descriptions likewise; synonyms, chunks and documents
+    are distinct.  Mentions without a name are left out.
+    """
+    named = mentions.withColumns({"key": T.name_key(F.col("name")), "name": F.trim("name")}).where("key <> ''")
+    counted = named.groupBy("type", "key", "name").agg(F.count("*").alias("n"))
+    names = counted.groupBy("type", "key").agg(F.min_by("name", F.struct(-F.col("n"), F.length("name"), F.col("name"))).alias("name"), F.sum("n").alias("n_mentions"), F.count("*").alias("n_names"))
+    told = named.where("trim(description) <> ''").groupBy("type", "key", "description").agg(F.count("*").alias("n"))
+    told = told.groupBy("type", "key").agg(F.min_by("description", F.struct(-F.col("n"), F.length("description"), F.col("description"))).alias("description"))
+    sets = named.groupBy("type", "key").agg(F.count_distinct("chunk_id").alias("source_chunk_count"), F.count_distinct("doc_id").alias("source_doc_count"))
+    words = named.select("type", "key", F.explode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("word")).where("trim(word) <> ''")
+    words = words.groupBy("type", "key").agg(F.array_sort(F.collect_set("word")).alias("synonyms"))
+    return names.join(told, ["type", "key"], "left").join(sets, ["type", "key"]).join(words, ["type", "key"])

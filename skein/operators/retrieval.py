@@ -242,3 +242,28 @@ def fallback(n_contexts: Column, n_relations: Column) -> Column:
     texts = F.when(n_contexts > 0, F.concat(F.lit("See "), F.array_join(F.transform(F.sequence(F.lit(1), n_contexts), lambda i: F.concat(F.lit("[C"), i, F.lit("]"))), ", ")))
     graph = F.when(n_relations > 0, F.concat(F.lit("and relations "), F.array_join(F.transform(F.sequence(F.lit(1), n_relations), lambda i: F.concat(F.lit("[G"), i, F.lit("]"))), ", ")))
     return F.coalesce(F.nullif(F.concat_ws(" ", texts, graph), F.lit("")), F.lit("No evidence was found."))
+
+
+# Keywords that say no more than the field itself; characters of a joined variant, keywords beside a query.
+GENERIC_WORDS = ("asd", "autism", "孤独症", "自闭症", "孤独症谱系障碍", "自闭症谱系障碍")
+VARIANT_CHARS, VARIANT_WORDS, VARIANTS = 220, 8, 3
+
+
+def query_variants(rows: DataFrame) -> DataFrame:
+    """rows (query, keywords) with variants: the query, its specific keywords, and both; equal ones once, blank ones not at all."""
+    squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    specific = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: (w != "") & ~F.lower(w).isin(*GENERIC_WORDS))
+    joined = lambda parts: F.left(squeeze(F.array_join(parts, " ")), F.lit(VARIANT_CHARS))
+    query = F.coalesce("query", F.lit(""))
+    more = F.array(joined("specific"), joined(F.concat(F.array(query), F.slice("specific", 1, VARIANT_WORDS))))
+    rows = rows.withColumn("specific", specific).withColumn("all", F.concat(F.array(query), F.when(F.size("specific") > 0, more).otherwise(F.array().cast("array<string>"))))
+    keys = F.transform("all", lambda x: F.lower(squeeze(x)))
+    rows = rows.withColumn("keys", keys)
+    first = F.filter("all", lambda x, i: (F.get("keys", i) != "") & (F.array_position("keys", F.get("keys", i)) == i + 1))
+    return rows.withColumn("variants", F.slice(first, 1, VARIANTS)).drop("specific", "all", "keys")
+
+
+def governance_candidates(matches: DataFrame, keep: int = 100) -> DataFrame:
+    """entity_id, query_count, query_ids of matches (query_id, entity_id): the entities that most queries ran into, `keep` of them."""
+    found = matches.groupBy("entity_id").agg(F.array_sort(F.collect_set("query_id")).alias("query_ids"))
+    return found.select("entity_id", F.size("query_ids").cast("long").alias("query_count"), "query_ids").orderBy(F.desc("query_count"), "entity_id").limit(keep)

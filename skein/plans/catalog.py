@@ -342,7 +342,7 @@ def same_name_merge(spark, d):
 @query
 def relation_remerge(spark, d):
     e = views.entities(spark, d)
-    return graph.remapped(views.relations(spark, d), graph.merged(e, ("AssessmentTool", "Intervention")))
+    return graph.remapped(views.relations(spark, d), graph.merged(e, ("AssessmentTool", "Intervention")), views.supports(spark, d))
 
 
 @query
@@ -616,3 +616,82 @@ def return_merge(spark, d):
     old = t.where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("query"))
     new = t.where("turn <= 1").select((F.col("conv_id") + F.col("turn") * 7).alias("id"), F.col("text").alias("query"))
     return tables.merged_questions(old, new).select("id", F.length("query").cast("long").alias("n"))
+
+
+# Catalog joins, samples, normalised entities.
+
+
+@query
+def doc_with_catalog(spark, d):
+    docs = views.read(spark, d, "documents").select("doc_id", "n_chars")
+    found = sources.with_catalog(docs, views.read(spark, d, "labels"))
+    return found.select("doc_id", "n_chars", "quality", F.coalesce("toxic", F.lit(-1)).alias("toxic")).withColumn("quality", F.coalesce("quality", F.lit(-1)))
+
+
+@query
+def allow_list_filter(spark, d):
+    docs, labels = views.read(spark, d, "documents").select("doc_id"), views.read(spark, d, "labels")
+    some, every = sources.allowed(docs, labels.where("quality = 1")), sources.allowed(docs, labels.where("quality = 7"))
+    return some.agg(F.lit("listed").alias("kind"), F.count("*").alias("n")).unionByName(every.agg(F.lit("no list").alias("kind"), F.count("*").alias("n")))
+
+
+@query
+def doc_coverage(spark, d):
+    return sources.coverage(views.turns(spark, d).select(F.col("conv_id").alias("doc_id")), views.read(spark, d, "documents"), "doc_id")
+
+
+@query
+def most_common_names(spark, d):
+    return sources.most_common(views.read(spark, d, "part").select("p_brand", "p_partkey"), "p_brand", "p_partkey", 10)
+
+
+@query
+def shuffled_head(spark, d):
+    return sources.shuffled_head(views.read(spark, d, "documents").select("doc_id", "source"), "doc_id", 42, 25)
+
+
+@query
+def question_selection(spark, d):
+    turns = views.turns(spark, d).where("turn = 0").select(F.col("conv_id").alias("id"), F.length("text").cast("long").alias("n"))
+    listed = spark.range(0, 200, 3)
+    return sources.selected(turns, listed, "id", 20)
+
+
+@query
+def query_variants(spark, d):
+    rows = views.turns(spark, d).select("conv_id", "turn", F.col("text").alias("query"), F.concat(F.array(F.lit("ASD")), F.slice(F.split("text", " "), 2, 12)).alias("keywords"))
+    return retrieval.query_variants(rows).select("conv_id", "turn", F.array_join("variants", "|").alias("variants"))
+
+
+@query
+def governance_candidates(spark, d):
+    found = retrieval.governance_candidates(retrieval.entity_matches(views.entities(spark, d), _keyword_rows(spark)))
+    return found.select("entity_id", "query_count", F.array_join("query_ids", "|").alias("query_ids"))
+
+
+@query
+def entity_evidence_rank(spark, d):
+    top = views.entities(spark, d).where("type = 'Condition'").orderBy(F.desc("source_chunk_count"), "entity_id").limit(20)
+    ranked = graph.ranks(top, F.desc("source_chunk_count"), F.col("entity_id")).select("entity_id", F.col("rank").cast("long").alias("rank"))
+    return graph.ranked_entity_evidence(ranked, views.relations(spark, d), views.supports(spark, d), views.evidence(spark, d), 50)
+
+
+@query
+def relation_evidence_trace(spark, d):
+    return graph.evidence_trace(views.relations(spark, d).where("relation_type = 'MEASURED_BY'"), views.supports(spark, d), views.evidence(spark, d))
+
+
+@query
+def normalized_entities(spark, d):
+    part = views.read(spark, d, "part")
+    mentions = part.select(F.col("p_brand").alias("type"), F.substring_index("p_name", " ", 1).alias("name"), F.split(F.lower("p_type"), " ").alias("synonyms"), F.col("p_type").alias("description"), F.col("p_size").alias("chunk_id"), (F.col("p_size") % 7).alias("doc_id"))
+    found = graph.normalised(mentions)
+    return found.select("type", "key", "name", "n_mentions", "n_names", "description", "source_chunk_count", "source_doc_count", _joined("synonyms"))
+
+
+@query
+def alias_candidate_merge(spark, d):
+    part = views.read(spark, d, "part")
+    old = part.where("p_partkey % 5 = 0").groupBy(F.col("p_brand").alias("entity_name")).agg(F.min("p_type").alias("t")).where("entity_name < 'Brand#3'").select("entity_name", F.lit("s1").alias("student_id"), F.array("t").alias("aliases"))
+    rows = part.select(F.col("p_partkey").alias("row"), F.col("p_brand").alias("entity_name"), F.regexp_replace("p_type", " ", " ; ").alias("aliases"))
+    return tables.alias_candidates(old, rows, "s1").select("entity_name", "student_id", F.array_join("aliases", ";").alias("aliases"))

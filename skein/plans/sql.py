@@ -218,9 +218,11 @@ ORACLES = {
     "evidence_level_summary": f"WITH {_SUPPORTS}, {_EVIDENCE}, n AS (SELECT relation_id, coalesce(evidence_level, 'unknown') AS level, count(*) AS n FROM supports LEFT JOIN evidence USING (evidence_id) GROUP BY 1, 2) SELECT relation_id, string_agg(level || ':' || n, '|' ORDER BY level || ':' || n) AS summary FROM n GROUP BY 1",
     "same_name_groups": f"WITH {_ENTITIES} SELECT {_KEY.format('name')} AS name_key, count(*)::BIGINT AS size, string_agg(DISTINCT type, '|' ORDER BY type) AS types FROM entities GROUP BY 1 HAVING count(*) > 1 AND name_key <> ''",
     "same_name_merge": f"WITH {_ENTITIES}, {_MERGE} SELECT h.type, h.primary_id, h.name, count(*)::BIGINT AS members, sum(source_chunk_count)::BIGINT AS source_chunk_count FROM keyed k JOIN heads h ON k.type = h.type AND k.key = h.key GROUP BY 1, 2, 3",
-    "relation_remerge": f"""WITH {_GRAPH}, {_MERGE}, named AS (SELECT k.entity_id, primary_id FROM keyed k JOIN heads h ON k.type = h.type AND k.key = h.key)
-        SELECT s.primary_id AS src_id, relation_type, d.primary_id AS dst_id, sum(support_count)::BIGINT AS support_count, (sum(floor(confidence * 1000000)::BIGINT)::DOUBLE / count(*) / 1000000) AS confidence, count(*)::BIGINT AS n_merged
-        FROM relations r JOIN named s ON r.src_id = s.entity_id JOIN named d ON r.dst_id = d.entity_id WHERE s.primary_id <> d.primary_id GROUP BY 1, 2, 3""",
+    "relation_remerge": f"""WITH {_GRAPH}, {_SUPPORTS}, {_MERGE}, named AS (SELECT k.entity_id, primary_id FROM keyed k JOIN heads h ON k.type = h.type AND k.key = h.key),
+        moved AS (SELECT relation_id, s.primary_id AS src_id, relation_type, d.primary_id AS dst_id, round(confidence * 1000000)::BIGINT AS c FROM relations r JOIN named s ON r.src_id = s.entity_id JOIN named d ON r.dst_id = d.entity_id WHERE s.primary_id <> d.primary_id),
+        backed AS (SELECT src_id, relation_type, dst_id, count(DISTINCT evidence_id)::BIGINT AS support_count FROM moved JOIN supports USING (relation_id) GROUP BY ALL),
+        g AS (SELECT src_id, relation_type, dst_id, ((2 * sum(c) + 100 * count(*)) // (200 * count(*)))::DOUBLE / 10000 AS confidence, count(*)::BIGINT AS n_merged FROM moved GROUP BY ALL)
+        SELECT src_id, relation_type, dst_id, coalesce(support_count, 0)::BIGINT AS support_count, confidence, n_merged FROM g LEFT JOIN backed USING (src_id, relation_type, dst_id)""",
     "best_name": "SELECT brand, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, length(name), name) AS p FROM (SELECT p_brand AS brand, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2)) WHERE p = 1",
     "graph_one_hop": f"WITH {_GRAPH} SELECT x.entity_id, relation_type, other_id FROM ends x JOIN entities e USING (entity_id) JOIN relations USING (relation_id) WHERE e.type = 'AgeStage' OR e.entity_id IN ('supp_1', 'part_7')",
     "relation_context": f"WITH {_RELATIONS} SELECT relation_id, src_id, relation_type, dst_id, support_count FROM relations WHERE src_id IN ('cust_1', 'part_3', 'supp_2') OR dst_id IN ('cust_1', 'part_3', 'supp_2')",
@@ -270,4 +272,27 @@ ORACLES = {
     "benchmark_grid": f"WITH {_TIMED} SELECT * FROM (SELECT DISTINCT model FROM timed), (SELECT DISTINCT profile FROM timed), (SELECT DISTINCT pipeline FROM timed), (SELECT unnest(range(3)) AS repeat)",
     "csv_validate": "SELECT * FROM (SELECT 'category' AS column, count(*)::BIGINT AS n FROM conversations WHERE turn % 5 = 0 OR trim(coalesce(role, '')) = '' UNION ALL SELECT 'query', count(*) FROM conversations WHERE trim(coalesce(text, '')) = '') WHERE n > 0",
     "return_merge": "WITH o AS (SELECT conv_id AS id, text FROM conversations WHERE turn = 0), n AS (SELECT conv_id + turn * 7 AS id, min(text) AS text FROM conversations WHERE turn <= 1 GROUP BY 1) SELECT id, length(text)::BIGINT AS n FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o))",
+    "doc_with_catalog": "SELECT doc_id, n_chars, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
+    "allow_list_filter": "SELECT 'listed' AS kind, count(*)::BIGINT AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) UNION ALL SELECT 'no list', count(*)::BIGINT FROM documents",
+    "doc_coverage": "SELECT count(*)::BIGINT AS n_expected, (count(*) FILTER (WHERE hit))::BIGINT AS n_found, (count(*) FILTER (WHERE hit))::DOUBLE / count(*) AS coverage FROM (SELECT DISTINCT doc_id, doc_id IN (SELECT conv_id FROM conversations) AS hit FROM documents)",
+    "most_common_names": "SELECT p_brand, n FROM (SELECT p_brand, count(*)::BIGINT AS n, min(p_partkey) AS f FROM part GROUP BY 1) ORDER BY n DESC, f LIMIT 10",
+    "shuffled_head": "SELECT doc_id, source FROM documents ORDER BY sha1('42:' || doc_id), doc_id LIMIT 25",
+    "question_selection": "SELECT conv_id AS id, length(text)::BIGINT AS n FROM conversations WHERE turn = 0 AND conv_id % 3 = 0 AND conv_id < 200 ORDER BY conv_id LIMIT 20",
+    "query_variants": r"""WITH k AS (SELECT conv_id, turn, text, list_filter(string_split(text, ' ')[2:13], lambda w: w <> '' AND lower(w) NOT IN ('asd', 'autism')) AS s FROM conversations),
+        v AS (SELECT conv_id, turn, CASE WHEN len(s) > 0 THEN [text, left(trim(regexp_replace(array_to_string(s, ' '), '\s+', ' ', 'g')), 220), left(trim(regexp_replace(array_to_string(list_concat([text], s[1:8]), ' '), '\s+', ' ', 'g')), 220)] ELSE [text] END AS v FROM k),
+        e AS (SELECT conv_id, turn, unnest(v) AS x, unnest(range(len(v))) AS i FROM v),
+        f AS (SELECT *, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) AS key, row_number() OVER (PARTITION BY conv_id, turn, lower(trim(regexp_replace(x, '\s+', ' ', 'g'))) ORDER BY i) AS p FROM e)
+        SELECT conv_id, turn, coalesce(string_agg(x, '|' ORDER BY i) FILTER (WHERE p = 1 AND key <> ''), '') AS variants FROM f GROUP BY conv_id, turn""",
+    "governance_candidates": f"WITH {_MATCHED} SELECT entity_id, count(DISTINCT query_id)::BIGINT AS query_count, array_to_string(list_sort(list(DISTINCT query_id)), '|') AS query_ids FROM matched GROUP BY entity_id ORDER BY query_count DESC, entity_id LIMIT 100",
+    "entity_evidence_rank": f"""WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, top AS MATERIALIZED (SELECT entity_id, row_number() OVER (ORDER BY source_chunk_count DESC, entity_id) AS rank FROM entities WHERE type = 'Condition' ORDER BY source_chunk_count DESC, entity_id LIMIT 20)
+        SELECT DISTINCT rank, entity_id, evidence_id, chunk_id FROM top JOIN relations ON src_id = entity_id JOIN supports USING (relation_id) JOIN evidence USING (evidence_id) ORDER BY rank, entity_id, evidence_id LIMIT 50""",
+    "relation_evidence_trace": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, top AS MATERIALIZED (SELECT relation_id FROM relations WHERE relation_type = 'MEASURED_BY' ORDER BY support_count DESC, confidence DESC, relation_id LIMIT 1) SELECT relation_id, evidence_id, chunk_id FROM top JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
+    "normalized_entities": rf"""WITH m AS (SELECT p_brand AS type, split_part(p_name, ' ', 1) AS name, {_KEY.format("split_part(p_name, ' ', 1)")} AS key, string_split(lower(p_type), ' ') AS syn, p_type AS d, p_size AS c FROM part),
+        n AS (SELECT type, key, name, count(*) AS n FROM m GROUP BY ALL), b AS (SELECT type, key, arg_min(name, (-n, length(name), name)) AS name, sum(n)::BIGINT AS n_mentions, count(*)::BIGINT AS n_names FROM n GROUP BY ALL),
+        t AS (SELECT type, key, arg_min(d, (-n, length(d), d)) AS description FROM (SELECT type, key, d, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL),
+        s AS (SELECT type, key, count(DISTINCT c)::BIGINT AS source_chunk_count, count(DISTINCT c % 7)::BIGINT AS source_doc_count FROM m GROUP BY ALL),
+        w AS (SELECT type, key, array_to_string(list_sort(list(DISTINCT x)), '|') AS synonyms FROM (SELECT type, key, unnest(list_concat([name], syn)) AS x FROM m) GROUP BY ALL)
+        SELECT * FROM b JOIN t USING (type, key) JOIN s USING (type, key) JOIN w USING (type, key)""",
+    "alias_candidate_merge": """WITH o AS (SELECT p_brand AS entity_name, 's1' AS student_id, min(p_type) AS aliases FROM part WHERE p_partkey % 5 = 0 AND p_brand < 'Brand#3' GROUP BY 1)
+        SELECT * FROM o UNION ALL SELECT p_brand, 's1', p_brand || ';' || replace(arg_min(p_type, p_partkey), ' ', ';') FROM part WHERE p_brand NOT IN (SELECT entity_name FROM o) GROUP BY 1""",
 }

@@ -104,3 +104,22 @@ def alias_groups(groups: DataFrame) -> DataFrame:
     if twice:
         raise ValueError("aliases in several groups: " + ", ".join(f"{r['type']} {r['alias']}" for r in twice))
     return each
+
+
+def alias_candidates(old: DataFrame, rows: DataFrame, student: str) -> DataFrame:
+    """old and new alias candidates (entity_name, student_id, aliases): of rows (row, entity_name, aliases split by ;).
+
+    The entity's name leads its aliases unless it is among them; an entity that a student has already named is left out, and
+    of several rows for one entity the first stays.
+    """
+    first = rows.groupBy(F.coalesce("entity_name", F.lit("")).alias("entity_name")).agg(F.min_by("aliases", "row").alias("raw"))
+    parts = F.filter(F.transform(F.split(F.coalesce("raw", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: a != "")
+    name = F.col("entity_name")
+    listed = F.when((name == "") | F.array_contains(parts, name), parts).otherwise(F.concat(F.array(name), parts))
+    new = first.select("entity_name", F.lit(student).alias("student_id"), listed.alias("aliases"))
+    return old.unionByName(new.join(old.select("entity_name", "student_id"), ["entity_name", "student_id"], "left_anti"))
+
+
+def summary_json(df: DataFrame, path: str) -> None:
+    """The one row of a global aggregate as a line of JSON."""
+    df.coalesce(1).write.mode("overwrite").json(path)

@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from skein.operators import catalog as sources
 from skein.operators import chunking, evaluation, graph, quality, retrieval, runs
 from skein.sources import edge, tables
 from skein.streaming import ingest
@@ -144,9 +145,10 @@ def test_flags_and_usage(spark):
 def test_merge_and_remap(spark):
     merged = graph.merged(entities(spark), ("AssessmentTool",))
     assert {(r["primary_id"], r["members"]) for r in merged.collect()} == {("e3", 2), ("e2", 1), ("e4", 1)}
-    found = {(r["src_id"], r["dst_id"]): r for r in graph.remapped(relations(spark), merged).collect()}
+    supports = spark.createDataFrame([("r1", "v1"), ("r2", "v1"), ("r2", "v2")], "relation_id string, evidence_id string")
+    found = {(r["src_id"], r["dst_id"]): r for r in graph.remapped(relations(spark), merged, supports).collect()}
     assert set(found) == {("e2", "e3"), ("e4", "e2")}  # the loop is gone
-    assert found["e2", "e3"]["support_count"] == 6 and found["e2", "e3"]["confidence"] == pytest.approx(0.7)
+    assert found["e2", "e3"]["support_count"] == 2 and found["e2", "e3"]["confidence"] == pytest.approx(0.7)
 
 
 def test_resolution_is_transitive(spark):
@@ -335,3 +337,52 @@ def test_stream_takes_each_chunk_once(spark, tmp_path):
 def test_windows_of_events(spark):
     rows = spark.createDataFrame([("2026-01-01 00:10:00", "x"), ("2026-01-01 00:50:00", "x"), ("2026-01-01 01:10:00", "x")], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in ingest.windowed_counts(rows).collect()) == [1, 2]
+
+
+def test_query_variants(spark):
+    rows = [(1, "who  has ASD", ["asd", "autism"]), (2, "screen", ["screen", "ASD"]), (3, None, None), (4, "q", ["w" * 300, "", "x"])]
+    found = {r["i"]: r["variants"] for r in retrieval.query_variants(spark.createDataFrame(rows, "i int, query string, keywords array<string>")).collect()}
+    assert found[1] == ["who  has ASD"] and found[2] == ["screen", "screen screen"] and found[3] == []
+    assert [len(x) for x in found[4]] == [1, 220, 220] and found[4][2].startswith("q www")
+
+
+def test_normalised_entities(spark):
+    rows = [("T", " ADOS", ["a"], "long text", 1, 1), ("T", "ados", None, "text", 1, 2), ("T", "ados", ["b", ""], None, 2, 2), ("U", "ADOS", [], " ", None, None), ("T", None, ["x"], "y", 3, 3), ("T", "!", [], "z", 3, 3)]
+    table = spark.createDataFrame(rows, "type string, name string, synonyms array<string>, description string, chunk_id int, doc_id int")
+    found = {r["type"]: r for r in graph.normalised(table).collect()}
+    assert set(found) == {"T", "U"}
+    t = found["T"]
+    assert (t["name"], t["n_mentions"], t["n_names"], t["description"], t["source_chunk_count"], t["source_doc_count"], t["synonyms"]) == ("ados", 3, 2, "text", 2, 2, ["ADOS", "a", "ados", "b"])
+    assert found["U"]["description"] is None and found["U"]["source_chunk_count"] == 0
+
+
+def test_lists_samples_and_coverage(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(9)], "doc_id long, kind string")
+    none, some = docs.where("doc_id < 0"), docs.where("doc_id in (2, 5)").select("doc_id")
+    assert sources.allowed(docs, none).count() == 9 and sources.allowed(docs, some).count() == 2
+    assert tuple(sources.coverage(some, docs, "doc_id").first()) == (9, 2, 2 / 9) and tuple(sources.coverage(some, none, "doc_id").first()) == (0, 0, 1.0)
+    assert [tuple(r) for r in sources.most_common(docs.unionByName(docs.where("kind = 'b'")), "kind", "doc_id", 2).collect()] == [("b", 6), ("a", 3)]
+    drawn = [r["doc_id"] for r in sources.shuffled_head(docs, "doc_id", 7, 4).collect()]
+    assert drawn == [r["doc_id"] for r in sources.shuffled_head(docs.repartition(3), "doc_id", 7, 4).collect()] and len(set(drawn)) == 4
+    joined = sources.with_catalog(docs, spark.createDataFrame([(1, "x", "y"), (1, "x", "y")], "doc_id long, kind string, title string"))
+    assert joined.count() == 9 and joined.where("title = 'y'").count() == 1
+    questions = docs.withColumnRenamed("doc_id", "id")
+    assert [r["id"] for r in sources.selected(questions, some.withColumnRenamed("doc_id", "id"), "id", 1).collect()] == [2] and sources.selected(questions, None, "id").count() == 9
+
+
+def test_alias_candidates(spark):
+    old = spark.createDataFrame([("ADOS", "s1", ["x"])], "entity_name string, student_id string, aliases array<string>")
+    rows = spark.createDataFrame([(1, "ADOS", "a"), (2, "ABA", "x; ;ABA"), (3, "ABA", "later"), (4, "CARS", None), (5, None, "n")], "row int, entity_name string, aliases string")
+    found = {(r["entity_name"], r["student_id"]): r["aliases"] for r in tables.alias_candidates(old, rows, "s1").collect()}
+    assert found == {("ADOS", "s1"): ["x"], ("ABA", "s1"): ["x", "ABA"], ("CARS", "s1"): ["CARS"], ("", "s1"): ["n"]}
+    assert tables.alias_candidates(old, rows, "s2").count() == 5
+
+
+def test_evidence_by_rank_and_trace(spark):
+    r = relations(spark)
+    supports = spark.createDataFrame([("r1", "v1"), ("r2", "v2"), ("r2", "v3"), ("r4", "v1")], "relation_id string, evidence_id string")
+    evidence = spark.createDataFrame([("v1", "c1"), ("v2", "c2"), ("v3", None)], "evidence_id string, chunk_id string")
+    ranked = spark.createDataFrame([("e4", 1), ("e2", 2)], "entity_id string, rank int")
+    found = [tuple(x) for x in graph.ranked_entity_evidence(ranked, r, supports, evidence, 3).collect()]
+    assert found == [(1, "e4", "v1", "c1"), (2, "e2", "v1", "c1"), (2, "e2", "v2", "c2")]
+    assert {tuple(x) for x in graph.evidence_trace(r, supports, evidence).collect()} == {("r2", "v2", "c2"), ("r2", "v3", None)}
