@@ -69,7 +69,7 @@ def doc_line_noise(spark, d):
 
 @query
 def doc_quality_grade(spark, d):
-    return quality.graded(views.documents(spark, d)).select("doc_id", "chars", "n_lines", "grade", _joined("risk_flags"))
+    return quality.graded(views.spread(views.documents(spark, d))).select("doc_id", "chars", "n_lines", "grade", _joined("risk_flags"))
 
 
 @query
