@@ -97,31 +97,49 @@ def trimmed_prefix(line: Column) -> Column:
     return F.when((at >= 12) & (prefix != "") & junk, F.ltrim(F.substring(line, at + 1, F.length(line)))).otherwise(line)
 
 
-def fixed_spacing(text: Column) -> Column:
-    """Repairs spaces that OCR puts between CJK characters, around punctuation and inside words."""
+def fixed_punctuation(text: Column) -> Column:
+    """Without spaces between CJK characters and around punctuation."""
     steps = (
         (rf"(?<={CJK}){SPACE}+(?={CJK})", ""),
-        (rf"{SPACE}+([，。！？；：、）】》」』”’])", "$1"),
-        (rf"([（【《「『“‘]){SPACE}+", "$1"),
+        (rf"{SPACE}+([，。！？；：、）】》〉」』])", "$1"),
+        (rf"([（【《〈「『]){SPACE}+", "$1"),
         (rf"{SPACE}+([,.;:!?])", "$1"),
         (rf"([,.;:!?]){SPACE}+(?={CJK})", "$1"),
     )
     for pattern, to in steps:
         text = F.regexp_replace(text, f"(?U){pattern}", to)
-    # A run of three single letters or more is one word: each space between two of its letters goes.
-    run = rf"(?<=(?<![A-Za-z])[A-Za-z]){SPACE}+(?=[A-Za-z]{SPACE}+[A-Za-z](?![A-Za-z]))|(?<=(?<![A-Za-z])[A-Za-z]{SPACE}[A-Za-z]){SPACE}+(?=[A-Za-z](?![A-Za-z]))"
-    text = F.regexp_replace(text, f"(?U){run}", "")
+    return text
+
+
+def joined_letters(text: Column) -> Column:
+    """A run of three single letters or more is one word: each space between two of its letters goes."""
+    alone, ends = r"(?<![A-Za-z])[A-Za-z]", r"[A-Za-z](?![A-Za-z])"
+    run = rf"(?<={alone}){SPACE}+(?=[A-Za-z]{SPACE}+{ends})|(?<={alone}{SPACE}{{1,9}}[A-Za-z]){SPACE}+(?={ends})"
+    return F.regexp_replace(text, f"(?U){run}", "")
+
+
+def compact_lines(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
 
 
-def without_references(text: Column) -> Column:
-    """Cut at the first short reference heading in the last 60 per cent of the lines."""
+def fixed_spacing(text: Column) -> Column:
+    """Repairs spaces that OCR puts between CJK characters, around punctuation and inside words."""
+    return compact_lines(joined_letters(fixed_punctuation(text)))
+
+
+def reference_line(text: Column) -> Column:
+    """The first short reference heading in the last 60 per cent of the lines, counted from 0; else null."""
     all_lines = F.split(text, "\n", -1)
-    heading = lambda x: (F.length(F.trim(x)) <= 40) & F.lower(F.trim(x)).rlike(r"(?U)^(参\s*考\s*文\s*献\s*$|(references|bibliography)\b)")
     first = F.floor(F.size(all_lines) * 0.4).cast("int")
-    places = F.filter(F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: (i >= first) & heading(F.get(all_lines, i)))
-    cut = F.get(places, F.lit(0))
-    return F.trim(F.when(cut.isNull(), text).otherwise(F.array_join(F.slice(all_lines, F.lit(1), F.coalesce(cut, F.lit(0))), "\n")))
+    heading = lambda x: (F.length(x) <= 40) & F.lower(x).rlike(r"(?U)^(参\s*考\s*文\s*献\s*$|(references|bibliography)\b)")
+    found = F.transform(all_lines, lambda x, i: F.when((i >= first) & heading(normal_ends(x)), i))
+    return F.array_min(found)
+
+
+def without_references(text: Column) -> Column:
+    """Cut at the reference heading."""
+    cut = reference_line(text)
+    return F.trim(F.when(cut.isNull(), text).otherwise(F.array_join(F.slice(F.split(text, "\n", -1), F.lit(1), F.coalesce(cut, F.lit(0))), "\n")))
 
 
 def name_key(name: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import catalog as sources
-from skein.operators import chunking, evaluation, graph, quality, retrieval, runs
+from skein.operators import chunking, cleaning, evaluation, graph, quality, retrieval, runs
 from skein.plans import views
 from skein.plans.sql import ORACLES
 from skein.sources import tables
@@ -104,6 +104,17 @@ def unique_line_ratio(spark, d):
     return views.documents(spark, d).select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.array_distinct(lines)).cast("long").alias("n_distinct"))
 
 
+@query
+def clean_documents(spark, d):
+    found = cleaning.cleaned(views.spread(views.documents(spark, d)))
+    return found.withColumns({"text": F.sha1("text"), "flags": _joined("flags"), "page_texts": F.sha1(F.array_join("page_texts", "|"))})
+
+
+@query
+def clean_summary(spark, d):
+    return cleaning.summary(cleaning.cleaned(views.spread(views.documents(spark, d))))
+
+
 @query
 def repeated_lines(spark, d):
     return quality.repeated_lines(views.documents(spark, d), least=2)

@@ -151,7 +151,27 @@ _SCORED = " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}"
     f"2 * ((length(t) - length(replace(t, '{w}', ''))) // {len(w)})" for w in ("showed", "found", "using", "assessed", "measured")
 )
 
+# Cleaning: the supplied documents are one page each and have no CJK characters; tests cover those branches. Lines are joined by
+# a fold over the text so far, of which the last paragraph counts.
+_CLEAN = rf"""{_DOC},
+read AS (SELECT doc_id, raw, t, list_filter(list_transform(string_split_regex(t, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '' AND NOT {_NOISE}) AS seen FROM doc),
+kept AS (SELECT *, list_filter(seen, lambda x: NOT {_OCR}) AS lines FROM read),
+often AS (SELECT doc_id, list(line) AS repeated FROM (SELECT doc_id, line FROM (SELECT doc_id, unnest(lines) AS line FROM kept) WHERE length(line) <= 60 GROUP BY 1, 2 HAVING count(*) >= 6) GROUP BY 1),
+bare AS (SELECT k.*, coalesce(repeated, []) AS repeated, list_filter(lines, lambda x: NOT list_contains(coalesce(repeated, []), x)) AS body FROM kept k LEFT JOIN often USING (doc_id)),
+page AS (SELECT *, CASE WHEN len(body) > 0 THEN '[PAGE 1]' || chr(10) || list_reduce(body, lambda done, x: done || CASE WHEN NOT contains('。！？.!?:：;；)]）】"”’' || chr(39), right(done, 1))
+    AND length(split_part(done, chr(10), -1)) < 280 AND NOT regexp_matches(x, '^[\-•·\d]+[\).、．]?\s+') THEN ' ' ELSE chr(10) END || x) ELSE '' END AS joined FROM bare),
+spaced AS (SELECT *, regexp_replace(joined, '\s+([,.;:!?])', '\1', 'g') AS tight FROM page),
+runs AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(tight, '(?:^|[^A-Za-z])[A-Za-z](?:\s+[A-Za-z]){{2,}}(?:[^A-Za-z]|$)'), lambda r: {{'n': -length(r), 'run': r}}))) AS runs FROM spaced),
+tidy AS (SELECT *, list_reduce(list_prepend(tight, list_transform(runs, lambda r: r.run)), lambda done, r: replace(done, r, regexp_replace(left(r, -1), '([A-Za-z])\s+', '\1', 'g') || right(r, 1))) AS clean FROM runs),
+done AS (SELECT doc_id, CASE WHEN trim(t) = '' THEN 'error' ELSE 'ok' END AS status, CASE WHEN trim(t) = '' THEN 'no_pages' END AS error, clean AS text,
+    CASE WHEN regexp_matches(clean, '[A-Za-z]') THEN 'en' ELSE 'unknown' END AS language, CASE WHEN trim(t) = '' THEN 'no_pages' WHEN length(clean) < 800 THEN 'too_short' ELSE '' END AS flags,
+    length(t)::BIGINT AS raw_chars, length(clean)::BIGINT AS clean_chars, CASE WHEN trim(t) = '' THEN 0 ELSE 1 END::BIGINT AS pages, len(repeated)::BIGINT AS repeated_lines,
+    (len(seen) - len(lines))::BIGINT AS noisy_lines, false AS references_trimmed, CASE WHEN trim(t) = '' THEN [] ELSE [substr(joined, 10)] END AS page_texts, (length(tight) - length(clean))::BIGINT AS word_joins FROM tidy)"""
+
 ORACLES = {
+    "clean_documents": f"WITH {_CLEAN} SELECT * EXCLUDE (page_texts) REPLACE (sha1(text) AS text), sha1(array_to_string(page_texts, '|')) AS page_texts FROM done",
+    "clean_summary": f"""WITH {_CLEAN}, m AS (SELECT 'status:' || status AS measure, 1 AS n FROM done UNION ALL SELECT 'language:' || language, 1 FROM done UNION ALL SELECT 'raw_chars', raw_chars FROM done
+        UNION ALL SELECT 'clean_chars', clean_chars FROM done UNION ALL SELECT 'flag:' || flags, 1 FROM done WHERE flags <> '') SELECT measure, sum(n)::BIGINT AS value FROM m GROUP BY 1""",
     "doc_lang_detect": rf"WITH {_DOC}, n AS (SELECT doc_id, {_n('t', _CJK)}::BIGINT AS zh, {_n('t', '[A-Za-z]')}::BIGINT AS en FROM doc) SELECT *, CASE WHEN zh = 0 AND en = 0 THEN 'unknown' WHEN zh >= en THEN 'zh' ELSE 'en' END AS language FROM n",
     "doc_token_estimate": f"WITH {_DOC} SELECT doc_id, {_TOKENS} AS tokens FROM doc",
     "doc_line_noise": f"WITH {_DOC}, {_LINES} SELECT doc_id, len(lines)::BIGINT AS n_lines, len(list_filter(lines, lambda x: {_NOISE}))::BIGINT AS n_noise, len(list_filter(lines, lambda x: {_OCR}))::BIGINT AS n_ocr_noise FROM lined",

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from skein.operators import catalog as sources
-from skein.operators import chunking, evaluation, graph, quality, retrieval, runs
+from skein.operators import chunking, cleaning, evaluation, graph, quality, retrieval, runs
 from skein.sources import edge, tables
 from skein.streaming import ingest
 
@@ -386,3 +386,45 @@ def test_evidence_by_rank_and_trace(spark):
     found = [tuple(x) for x in graph.ranked_entity_evidence(ranked, r, supports, evidence, 3).collect()]
     assert found == [(1, "e4", "v1", "c1"), (2, "e2", "v1", "c1"), (2, "e2", "v2", "c2")]
     assert {tuple(x) for x in graph.evidence_trace(r, supports, evidence).collect()} == {("r2", "v2", "c2"), ("r2", "v3", None)}
+
+
+def cleaned(spark, *texts, **rules):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pages string")
+    return [r.asDict() for r in cleaning.cleaned(docs, **rules).orderBy("doc_id").collect()]
+
+
+def test_cleaning_of_pages(spark):
+    pages = [f"Journal of Things\nwrapped line {i}\ngoes on here {i}.\n{i}\n• a bullet" for i in range(1, 8)]
+    text = "cover\n" + "\n".join(f"[PAGE {i}]\r\n{p}" for i, p in enumerate(pages, 1))
+    (got,) = cleaned(spark, text)
+    # The header and the bullet stand on seven pages and go; page numbers are noise; the text before the first mark is left out.
+    assert got["page_texts"] == [f"wrapped line {i} goes on here {i}." for i in range(1, 8)]
+    assert got["repeated_lines"] == 2 and got["pages"] == 7 and got["status"] == "ok"
+    assert got["text"] == "\n\n".join(f"[PAGE {i}]\n{t}" for i, t in enumerate(got["page_texts"], 1))
+    assert got["flags"] == ["too_short"]
+
+
+def test_cleaning_of_references_and_noise(spark):
+    body = "\n".join(f"Sentence number {i} ends." for i in range(20))
+    got = cleaned(spark, f"{body}\nN e u r o n s.\na ^ b | c ` d e f g h i j k l m\nReferences\nOne, A. (2000).", None, " \n\t", "")
+    assert got[0]["references_trimmed"] and "2000" not in got[0]["text"] and got[0]["text"].endswith("Neurons.")
+    assert got[0]["noisy_lines"] == 1 and got[0]["word_joins"] == 6 and "references_trimmed" in got[0]["flags"]
+    for empty in got[1:]:
+        assert (empty["status"], empty["error"], empty["flags"], empty["text"], empty["pages"]) == ("error", "no_pages", ["no_pages"], "", 0)
+    tail = cleaned(spark, "[PAGE 1]\nwords.\n[PAGE 2]\nReferences\nmore", least_chars=1)[0]
+    assert tail["flags"] == ["empty_tail_page", "references_trimmed"]
+
+
+def test_cleaning_of_long_and_repeated_lines(spark):
+    line = "y" * 61
+    few, many = cleaned(spark, "\n".join(["short."] * 5), "\n".join(["short."] * 6 + [line] * 9))
+    assert few["page_texts"] == ["\n".join(["short."] * 5)] and few["repeated_lines"] == 0
+    # A paragraph takes further lines until it has 280 characters; long lines are never headers.
+    assert many["repeated_lines"] == 1 and [len(p) for p in many["page_texts"][0].split("\n")] == [309, 247]
+    assert cleaned(spark) == []
+
+
+def test_cleaning_summary(spark):
+    docs = spark.createDataFrame([(1, "words here."), (2, None)], "doc_id long, text string")
+    got = {r["measure"]: r["value"] for r in cleaning.summary(cleaning.cleaned(docs)).collect()}
+    assert got == {"status:ok": 1, "status:error": 1, "language:en": 1, "language:unknown": 1, "flag:too_short": 1, "flag:no_pages": 1, "raw_chars": 11, "clean_chars": 20}
