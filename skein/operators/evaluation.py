@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,15 +91,79 @@ def answer_checks(rows: DataFrame, guard_terms, research_terms) -> DataFrame:
 
 
 def overstated(text: Column, patterns, negations, before: int = 24, after: int = 12) -> Column:
-    """Whether a pattern stands in the text without a negation near it; the places are walked in one expression."""
-    every = F.array(*[F.struct(F.lit(p).alias("p")) for p in patterns])
+    """Whether a pattern stands in the text with no negation from `before` characters ahead of it to `after` behind it.
+
+    One regular expression looks around each place of a pattern, so a text is read once.
+    """
+    quoted = [re.escape(n) for n in negations]
+    ahead = rf"(?<!(?={'|'.join(quoted)}).{{1,{before}}})" if quoted else ""
+
+    def place(pattern):
+        room = len(pattern) + after
+        behind = "".join(f"(?!.{{0,{room - len(n)}}}{q})" for n, q in zip(negations, quoted, strict=True) if len(n) <= room)
+        return f"{ahead}{behind}{re.escape(pattern)}"
 
-    def open_places(entry):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(text, i, F.length(entry["p"])) == entry["p"])
-        near = lambda i: F.substring(text, F.greatest(i - before, F.lit(1)), F.least(i - 1, F.lit(before)) + F.length(entry["p"]) + after)
-        return F.exists(starts, lambda i: ~T.contains_any(near(i), negations))
+    return text.rlike("(?s)" + "|".join(map(place, patterns)))
 
-    return F.exists(every, open_places)
+
+def answer_metrics(rows: DataFrame, guard_terms, research_terms, claims, negations) -> DataFrame:
+    """rows (answer, context, expect_terms, n_contexts, n_relations, n_entities, n_graph_contexts, n_cited, seconds) with 15 metrics.
+
+    Metrics of an answer are null where there is none; that of expected terms where none are expected.
+    """
+    answer = F.when(F.col("answer") != "", F.col("answer"))
+    context = F.lower(F.coalesce("context", F.lit("")))
+    any_of = lambda words: T.contains_any(F.lower(answer), [w.lower() for w in words])
+    over = overstated(answer, claims, negations)
+    metrics = {
+        "contexts_count": F.col("n_contexts"), "relations_count": F.col("n_relations"), "graph_entities_count": F.col("n_entities"),
+        "graph_evidence_contexts_count": F.col("n_graph_contexts"), "has_context_citations": F.col("n_cited") > 0, "has_graph_relations": F.col("n_relations") > 0,
+        "has_expected_context_term": F.when(F.size("expect_terms") > 0, F.exists("expect_terms", lambda t: F.contains(context, F.lower(t)))),
+        "answer_has_citation": answer.rlike(r"\[[CG]\d+\]"), "answer_has_context_citation": answer.rlike(r"\[C\d+\]"), "answer_has_graph_citation": answer.rlike(r"\[G\d+\]"),
+        "answer_has_guardrail": any_of(guard_terms), "answer_has_research_boundary": any_of(research_terms),
+        "answer_overstates_clinical_certainty": over, "answer_avoids_clinical_overstatement": ~over, "elapsed_seconds": F.round("seconds", 2),
+    }
+    return rows.withColumns(metrics)
+
+
+def metrics_summary(rows: DataFrame, flags, numbers) -> DataFrame:
+    """metric, passed, total, rate of flags; metric, total, least, most, mean of whole numbers; metrics without values are left out.
+
+    All of them are one aggregation, turned to a row each afterwards.
+    """
+    none = F.lit(None)
+    aggregates, shown = [], []
+    for i, name in enumerate([*flags, *numbers]):
+        flag = i < len(flags)
+        kept = {"total": F.count(name)} | ({"passed": F.count_if(name)} if flag else {"least": F.min(name), "most": F.max(name), "sum": F.sum(name)})
+        aggregates += [value.alias(f"{key}_{i}") for key, value in kept.items()]
+        at = lambda key, i=i, kept=kept: F.col(f"{key}_{i}").cast("long") if key in kept else none.cast("long")
+        shown.append(
+            F.struct(
+                F.lit(name).alias("metric"), at("passed").alias("passed"), at("total").alias("total"), F.round(F.try_divide(at("passed"), at("total")), 4).alias("rate"),
+                at("least").alias("least"), at("most").alias("most"), F.round(F.try_divide(at("sum"), at("total")), 2).alias("mean"),
+            )
+        )
+    return rows.agg(*aggregates).select(F.explode(F.array(*shown)).alias("m")).select("m.*").where("total > 0")
+
+
+def compare_summary(rows: DataFrame) -> DataFrame:
+    """One row of rows (delta, follow_up, relation_delta, seconds_delta): counts by outcome, follow-ups, and spans of the deltas."""
+    count = lambda *kinds: F.count_if(F.col("delta").isin(*kinds))
+    spans = [f(c).alias(f"{c}_{n}") for c in ("relation_delta", "seconds_delta") for n, f in (("min", F.min), ("max", F.max))]
+    mean = lambda c: F.coalesce(F.round(F.try_divide(F.sum(c).cast("double"), F.count(c)), 2), F.lit(0.0)).alias(f"{c}_avg")
+    share = F.coalesce(F.round(F.try_divide(F.count_if("follow_up"), F.count("*")), 4), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("total"), count("agent_win", "agent_gain").alias("improved"), count("agent_regression", "agent_loss").alias("regressed"), count("tie").alias("tied"),
+        F.count_if("follow_up").alias("follow_ups"), share.alias("follow_up_rate"), *spans, mean("relation_delta"), mean("seconds_delta"),
+    )
+
+
+def compare_counts(rows: DataFrame) -> DataFrame:
+    """kind, name, delta, n: outcomes by category, and questions by route (delta null there)."""
+    pair = lambda kind, name, default, value: F.struct(F.lit(kind).alias("kind"), F.coalesce(name, F.lit(default)).alias("name"), value.alias("delta"))
+    both = F.array(pair("category", "category", "uncategorized", F.col("delta")), pair("route", "route", "unknown", F.lit(None).cast("string")))
+    return rows.select(F.explode(both).alias("p")).groupBy("p.kind", "p.name", "p.delta").agg(F.count("*").alias("n"))
 
 
 def summary(rows: DataFrame, checks: list[str], by: str = "category") -> DataFrame:

@@ -277,3 +277,11 @@ def normalised(mentions: DataFrame) -> DataFrame:
     words = named.select("type", "key", F.explode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("word")).where("trim(word) <> ''")
     words = words.groupBy("type", "key").agg(F.array_sort(F.collect_set("word")).alias("synonyms"))
     return names.join(told, ["type", "key"], "left").join(sets, ["type", "key"]).join(words, ["type", "key"])
+
+
+def marked_relations(relations: DataFrame, entities: DataFrame, kind: str, markers, limit: int) -> DataFrame:
+    """relation_id, source, source_type, target, support_count: relations whose target's name has a marker in any case, best supported first."""
+    target = entities.where(T.contains_any(F.lower("name"), [m.lower() for m in markers])).select(F.col("entity_id").alias("dst_id"), F.col("name").alias("target"))
+    source = entities.select(F.col("entity_id").alias("src_id"), F.col("name").alias("source"), F.col("type").alias("source_type"))
+    top = relations.where(F.col("relation_type") == kind).join(target, "dst_id").orderBy(F.desc("support_count"), "relation_id").limit(limit)
+    return top.join(source, "src_id").select("relation_id", "source", "source_type", "target", "support_count")

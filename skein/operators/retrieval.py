@@ -267,3 +267,9 @@ def governance_candidates(matches: DataFrame, keep: int = 100) -> DataFrame:
     """entity_id, query_count, query_ids of matches (query_id, entity_id): the entities that most queries ran into, `keep` of them."""
     found = matches.groupBy("entity_id").agg(F.array_sort(F.collect_set("query_id")).alias("query_ids"))
     return found.select("entity_id", F.size("query_ids").cast("long").alias("query_count"), "query_ids").orderBy(F.desc("query_count"), "entity_id").limit(keep)
+
+
+def page(rows: DataFrame, order: list, number: int = 1, size: int = 20) -> DataFrame:
+    """rows of one page in a total order, each with the total number of rows."""
+    total = rows.agg(F.count("*")).scalar()
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size).withColumn("total", total)

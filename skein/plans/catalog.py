@@ -433,6 +433,32 @@ def entity_page(spark, d):
     return views.entities(spark, d).where(F.contains("name", F.lit("a")) & (F.col("type") == "AssessmentTool")).orderBy(F.desc("source_chunk_count"), "entity_id").offset(20).limit(20).select("entity_id", "name", "source_chunk_count")
 
 
+@query
+def relation_page(spark, d):
+    e = views.entities(spark, d).select("entity_id", "name", "type")
+    end = lambda key, p: e.select(F.col("entity_id").alias(key), F.col("name").alias(p), F.col("type").alias(f"{p}_type"))
+    rows = views.relations(spark, d).join(end("src_id", "source"), "src_id").join(end("dst_id", "target"), "dst_id")
+    rows = rows.where(F.contains("source", F.lit("ring")) | F.contains("target", F.lit("ring"))).select("relation_id", "source", "source_type", "relation_type", "target", "target_type", "support_count")
+    return retrieval.page(rows, [F.desc("support_count"), "relation_id"], 3)
+
+
+@query
+def chunk_page(spark, d):
+    rows = views.documents(spark, d).where(F.contains("text", F.lit("the"))).select("doc_id", "source_group", "text")
+    shown = retrieval.page(rows, ["source_group", "doc_id"], 2).withColumn("text_length", F.length("text").cast("long"))
+    return shown.withColumn("text", F.when(F.length("text") > 300, F.concat(F.left("text", F.lit(300)), F.lit("..."))).otherwise(F.col("text")))
+
+
+@query
+def relation_type_counts(spark, d):
+    return views.relations(spark, d).groupBy("relation_type").agg(F.count("*").alias("n"))
+
+
+@query
+def modality_relations(spark, d):
+    return graph.marked_relations(views.relations(spark, d), views.entities(spark, d), "MEASURED_BY", ("GEAR", "Bolt"), 50)
+
+
 # Retrieval.
 
 
@@ -598,6 +624,44 @@ def compare_delta(spark, d):
     return both.groupBy(kind.alias("delta")).agg(F.count("*").alias("n"))
 
 
+def _compared(spark, d):
+    routes = F.array(*map(F.lit, [*evaluation.ROUTES, "knowledge_qa"]))
+    rows = _evaluated(spark, d)
+    side = lambda k, p: rows.where(F.col("turn") % 2 == k).select("conv_id", F.floor(F.col("turn") / 2).alias("pair"), *[F.col(c).alias(f"{p}_{c}") for c in ("ok", "retrieved_graph", "category")], F.length("answer").alias(f"{p}_n"))
+    both = side(0, "b").join(side(1, "a"), ["conv_id", "pair"])
+    kind = evaluation.delta(*[F.col(c) for c in ("b_ok", "a_ok", "b_retrieved_graph", "a_retrieved_graph", "b_n", "a_n")])
+    return both.select(
+        kind.alias("delta"), F.col("a_category").alias("category"), F.get(routes, (F.col("conv_id") % 7).cast("int")).alias("route"), (F.col("a_n") % 3 == 0).alias("follow_up"),
+        (F.col("a_n") - F.col("b_n")).cast("long").alias("relation_delta"), ((F.col("a_n") - F.col("b_n")) / 4).alias("seconds_delta"),
+    )
+
+
+@query
+def compare_summary(spark, d):
+    return evaluation.compare_summary(_compared(spark, d))
+
+
+@query
+def compare_counts(spark, d):
+    return evaluation.compare_counts(_compared(spark, d)).withColumn("delta", F.coalesce("delta", F.lit("")))
+
+
+def _metrics(spark, d):
+    rows = _evaluated(spark, d).withColumns({"n_relations": F.col("conv_id") % 3, "n_entities": F.col("turn") % 2, "n_graph_contexts": F.col("turn") % 4, "n_cited": F.col("turn") % 2, "seconds": F.lit(1.0)})
+    return evaluation.answer_metrics(rows, ("of", "le"), ("research",), ("the", "un"), ("in", "de "))
+
+
+@query
+def answer_overstatement(spark, d):
+    return _metrics(spark, d).select("conv_id", "turn", F.col("answer_overstates_clinical_certainty").alias("overstates"))
+
+
+@query
+def metrics_summary(spark, d):
+    flags = ("has_context_citations", "has_graph_relations", "has_expected_context_term", "answer_has_citation", "answer_has_context_citation", "answer_has_graph_citation", "answer_has_guardrail", "answer_has_research_boundary")
+    return evaluation.metrics_summary(_metrics(spark, d), flags, ("contexts_count", "relations_count", "graph_entities_count", "graph_evidence_contexts_count"))
+
+
 @query
 def latency_summary(spark, d):
     return evaluation.latency(views.timings(spark, d))

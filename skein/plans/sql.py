@@ -168,7 +168,39 @@ done AS (SELECT doc_id, CASE WHEN trim(t) = '' THEN 'error' ELSE 'ok' END AS sta
     length(t)::BIGINT AS raw_chars, length(clean)::BIGINT AS clean_chars, CASE WHEN trim(t) = '' THEN 0 ELSE 1 END::BIGINT AS pages, len(repeated)::BIGINT AS repeated_lines,
     (len(seen) - len(lines))::BIGINT AS noisy_lines, false AS references_trimmed, CASE WHEN trim(t) = '' THEN [] ELSE [substr(joined, 10)] END AS page_texts, (length(tight) - length(clean))::BIGINT AS word_joins FROM tidy)"""
 
+_COMPARED = f"""{_CHECKED}, half AS (SELECT conv_id, turn, turn // 2 AS pair, category, ok, retrieved_graph AS g, length(answer) AS n FROM judged),
+pairs AS (SELECT a.conv_id, a.category, CASE WHEN NOT b.ok AND a.ok THEN 'agent_win' WHEN b.ok AND NOT a.ok THEN 'agent_regression' WHEN NOT b.g AND a.g THEN 'agent_win' WHEN b.g AND NOT a.g THEN 'agent_regression'
+    WHEN a.n > b.n THEN 'agent_gain' WHEN a.n < b.n THEN 'agent_loss' ELSE 'tie' END AS delta, a.n - b.n AS gain, a.n % 3 = 0 AS follow_up,
+    ['safety_boundary', 'diagnostic_boundary', 'intervention_advice', 'risk_info', 'assessment_info', 'knowledge_qa'][a.conv_id % 7 + 1] AS route
+    FROM half b JOIN half a ON b.conv_id = a.conv_id AND b.pair = a.pair AND b.turn % 2 = 0 AND a.turn % 2 = 1)"""
+_OPEN = " OR ".join(
+    f"len(list_filter(range(1, length(answer) + 1), lambda i: substr(answer, i, {len(p)}) = '{p}' AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'in') AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'de '))) > 0"
+    for p in ("the", "un")
+)
+_FLAGS = {
+    "has_context_citations": "turn % 2 > 0", "has_graph_relations": "conv_id % 3 > 0", "has_expected_context_term": "expected_term_seen", "answer_has_citation": r"regexp_matches(answer, '\[[CG]\d+\]')",
+    "answer_has_context_citation": r"regexp_matches(answer, '\[C\d+\]')", "answer_has_graph_citation": r"regexp_matches(answer, '\[G\d+\]')",
+    "answer_has_guardrail": "contains(lower(answer), 'of') OR contains(lower(answer), 'le')", "answer_has_research_boundary": "contains(lower(answer), 'research')",
+}
+_NUMBERS = {"contexts_count": "turn + conv_id % 2", "relations_count": "conv_id % 3", "graph_entities_count": "turn % 2", "graph_evidence_contexts_count": "turn % 4"}
+_METRICS = " UNION ALL ".join(
+    [f"SELECT '{k}' AS metric, (count(*) FILTER (WHERE x))::BIGINT AS passed, count(x)::BIGINT AS total, round((count(*) FILTER (WHERE x))::DOUBLE / count(x), 4) AS rate, NULL::BIGINT AS least, NULL::BIGINT AS most, NULL::DOUBLE AS mean FROM (SELECT {v} AS x FROM said)" for k, v in _FLAGS.items()]
+    + [f"SELECT '{k}', NULL, count(x)::BIGINT, NULL, min(x)::BIGINT, max(x)::BIGINT, round(sum(x)::DOUBLE / count(x), 2) FROM (SELECT {v} AS x FROM said)" for k, v in _NUMBERS.items()]
+)
+_NAMED = f"{_ENTITIES}, {_RELATIONS}, named AS (SELECT relation_id, s.name AS source, s.type AS source_type, relation_type, t.name AS target, t.type AS target_type, support_count FROM relations JOIN entities s ON s.entity_id = src_id JOIN entities t ON t.entity_id = dst_id)"
+
 ORACLES = {
+    "relation_page": f"WITH {_NAMED}, found AS (SELECT * FROM named WHERE contains(source, 'ring') OR contains(target, 'ring')) SELECT *, (SELECT count(*) FROM found)::BIGINT AS total FROM found ORDER BY support_count DESC, relation_id LIMIT 20 OFFSET 40",
+    "chunk_page": f"WITH {_DOC}, found AS (SELECT doc_id, source AS source_group, t FROM doc WHERE contains(t, 'the')) SELECT doc_id, source_group, CASE WHEN length(t) > 300 THEN left(t, 300) || '...' ELSE t END AS text, length(t)::BIGINT AS text_length, (SELECT count(*) FROM found)::BIGINT AS total FROM found ORDER BY source_group, doc_id LIMIT 20 OFFSET 20",
+    "relation_type_counts": f"WITH {_ENTITIES}, {_RELATIONS} SELECT relation_type, count(*)::BIGINT AS n FROM relations GROUP BY 1",
+    "modality_relations": f"WITH {_NAMED} SELECT relation_id, source, source_type, target, support_count FROM named WHERE relation_type = 'MEASURED_BY' AND (contains(lower(target), 'gear') OR contains(lower(target), 'bolt')) ORDER BY support_count DESC, relation_id LIMIT 50",
+    "compare_summary": f"""WITH {_COMPARED} SELECT count(*)::BIGINT AS total, (count(*) FILTER (WHERE delta IN ('agent_win', 'agent_gain')))::BIGINT AS improved, (count(*) FILTER (WHERE delta IN ('agent_regression', 'agent_loss')))::BIGINT AS regressed,
+        (count(*) FILTER (WHERE delta = 'tie'))::BIGINT AS tied, (count(*) FILTER (WHERE follow_up))::BIGINT AS follow_ups, round((count(*) FILTER (WHERE follow_up))::DOUBLE / count(*), 4) AS follow_up_rate,
+        min(gain)::BIGINT AS relation_delta_min, max(gain)::BIGINT AS relation_delta_max, round(sum(gain)::DOUBLE / count(*), 2) AS relation_delta_avg,
+        min(gain)::DOUBLE / 4 AS seconds_delta_min, max(gain)::DOUBLE / 4 AS seconds_delta_max, round(sum(gain)::DOUBLE / 4 / count(*), 2) AS seconds_delta_avg FROM pairs""",
+    "compare_counts": f"WITH {_COMPARED} SELECT 'category' AS kind, coalesce(category, 'uncategorized') AS name, delta, count(*)::BIGINT AS n FROM pairs GROUP BY ALL UNION ALL SELECT 'route', coalesce(route, 'unknown'), '', count(*)::BIGINT FROM pairs GROUP BY ALL",
+    "answer_overstatement": f"WITH {_CHECKED} SELECT conv_id, turn, {_OPEN} AS overstates FROM c",
+    "metrics_summary": f"WITH {_CHECKED}, said AS (SELECT * REPLACE (CASE WHEN answer <> '' THEN answer END AS answer) FROM judged) SELECT * FROM ({_METRICS}) WHERE total > 0",
     "clean_documents": f"WITH {_CLEAN} SELECT * EXCLUDE (page_texts) REPLACE (sha1(text) AS text), sha1(array_to_string(page_texts, '|')) AS page_texts FROM done",
     "clean_summary": f"""WITH {_CLEAN}, m AS (SELECT 'status:' || status AS measure, 1 AS n FROM done UNION ALL SELECT 'language:' || language, 1 FROM done UNION ALL SELECT 'raw_chars', raw_chars FROM done
         UNION ALL SELECT 'clean_chars', clean_chars FROM done UNION ALL SELECT 'flag:' || flags, 1 FROM done WHERE flags <> '') SELECT measure, sum(n)::BIGINT AS value FROM m GROUP BY 1""",

@@ -428,3 +428,34 @@ def test_cleaning_summary(spark):
     docs = spark.createDataFrame([(1, "words here."), (2, None)], "doc_id long, text string")
     got = {r["measure"]: r["value"] for r in cleaning.summary(cleaning.cleaned(docs)).collect()}
     assert got == {"status:ok": 1, "status:error": 1, "language:en": 1, "language:unknown": 1, "flag:too_short": 1, "flag:no_pages": 1, "raw_chars": 11, "clean_chars": 20}
+
+
+def test_overstatement_looks_around_every_place(spark):
+    texts = ["治愈", "不能" + "x" * 22 + "治愈", "不能" + "x" * 23 + "治愈", "治愈" + "x" * 10 + "不能", "治愈" + "x" * 11 + "不能", "不能治愈" + "x" * 40 + "治愈", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    found = [r[0] for r in rows.orderBy("i").select(evaluation.overstated(F.col("t"), ("治愈", "包好"), ("不能", "not (yet)"))).collect()]
+    assert found == [True, False, True, False, True, True, False, None]
+    assert rows.where("i = 1").select(evaluation.overstated(F.col("t"), ("治愈",), ())).first()[0]
+
+
+def test_metrics_without_values(spark):
+    rows = spark.createDataFrame([(True, None, 3), (False, None, None)], "a boolean, b boolean, n long")
+    got = {r["metric"]: r.asDict() for r in evaluation.metrics_summary(rows, ["a", "b"], ["n"]).collect()}
+    assert set(got) == {"a", "n"} and (got["a"]["passed"], got["a"]["total"], got["a"]["rate"]) == (1, 2, 0.5)
+    assert (got["n"]["least"], got["n"]["most"], got["n"]["mean"], got["n"]["total"]) == (3, 3, 3.0, 1)
+    assert evaluation.metrics_summary(rows.where("false"), ["a"], ["n"]).count() == 0
+
+
+def test_compare_of_nothing_and_of_ties(spark):
+    rows = spark.createDataFrame([("tie", None, None, True, 2, 0.5), ("agent_win", "c", "r", False, 5, 1.0)], "delta string, category string, route string, follow_up boolean, relation_delta long, seconds_delta double")
+    one = evaluation.compare_summary(rows).first()
+    assert (one["total"], one["improved"], one["regressed"], one["tied"], one["follow_up_rate"], one["relation_delta_avg"], one["seconds_delta_max"]) == (2, 1, 0, 1, 0.5, 3.5, 1.0)
+    assert evaluation.compare_summary(rows.where("false")).first()["follow_up_rate"] == 0.0
+    assert {(r["kind"], r["name"], r["delta"], r["n"]) for r in evaluation.compare_counts(rows).collect()} == {("category", "uncategorized", "tie", 1), ("category", "c", "agent_win", 1), ("route", "unknown", None, 1), ("route", "r", None, 1)}
+
+
+def test_pages_have_the_total(spark):
+    rows = spark.range(45)
+    got = retrieval.page(rows, ["id"], 3, 20).collect()
+    assert [r["id"] for r in got] == list(range(40, 45)) and {r["total"] for r in got} == {45}
+    assert retrieval.page(rows.where("false"), ["id"]).count() == 0
