@@ -285,3 +285,54 @@ def marked_relations(relations: DataFrame, entities: DataFrame, kind: str, marke
     source = entities.select(F.col("entity_id").alias("src_id"), F.col("name").alias("source"), F.col("type").alias("source_type"))
     top = relations.where(F.col("relation_type") == kind).join(target, "dst_id").orderBy(F.desc("support_count"), "relation_id").limit(limit)
     return top.join(source, "src_id").select("relation_id", "source", "source_type", "target", "support_count")
+
+
+def merge_keys(entities: DataFrame, alias_groups: DataFrame, merge_types) -> DataFrame:
+    """entities with merge_key and reason: a curated group by the first alias that alias_groups (type, group_id, alias) lists, else the name.
+
+    Entities of other types stay alone under their own id, with the reason null.
+    """
+    mergeable = F.coalesce(F.col("type").isin(*merge_types), F.lit(False))
+    said = entities.where(mergeable).select("entity_id", "type", F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("name"))).alias("alias"))
+    listed = alias_groups.select("type", "group_id", F.explode(F.array("alias", "group_id")).alias("alias")).withColumn("alias", T.space_key(F.col("alias"))).distinct()
+    found = said.withColumn("alias", T.space_key(F.col("alias"))).join(listed, ["type", "alias"])
+    first = found.groupBy("entity_id").agg(F.min_by("group_id", F.struct("alias", "group_id")).alias("curated"))
+    key = F.when(~mergeable, F.col("entity_id")).when(F.col("curated").isNotNull(), F.concat(F.lit("curated:"), "curated")).otherwise(T.name_key(F.col("name")))
+    reason = F.when(mergeable, F.when(F.col("curated").isNotNull(), "curated_alias_map").otherwise("same_type_same_name"))
+    return entities.join(first, "entity_id", "left").withColumns({"merge_key": key, "reason": reason}).drop("curated")
+
+
+def merge_log(keyed: DataFrame) -> DataFrame:
+    """type, merge_key, reason, primary_id, entity_count, source_chunk_count, names: one row for each group of two entities or more.
+
+    The members are those rows of merge_keys that share type and merge_key, so a group of any size needs no list of ids.
+    """
+    order = F.struct(-F.col("source_chunk_count"), -F.col("source_doc_count"), F.length("name"), F.col("entity_id"))
+    grouped = keyed.where("reason is not null").groupBy("type", "merge_key", "reason").agg(
+        F.min_by("entity_id", order).alias("primary_id"), F.count("*").alias("entity_count"), F.sum("source_chunk_count").alias("source_chunk_count"), F.array_sort(F.collect_set("name")).alias("names")
+    )
+    return grouped.where("entity_count > 1")
+
+
+def curated(keyed: DataFrame) -> DataFrame:
+    """One row for each group of merge_keys: its primary's id, its commonest name by chunks, all synonyms, and how it was merged.
+
+    A name counts as many times as its entity has chunks, one at least; of equal ones the shortest, then the first by letters.
+    Entities without a type stay alone; without a name and an alias, those of a type share the empty name.
+    """
+    keyed = keyed.withColumn("kind", F.coalesce("type", F.lit("")))
+    by = ["kind", "merge_key"]
+    order = F.struct(-F.col("source_chunk_count"), -F.col("source_doc_count"), F.length("name"), F.col("entity_id"))
+    groups = keyed.groupBy(*by).agg(
+        F.min_by(F.struct("entity_id", "name", "type"), order).alias("primary"), F.count("*").alias("members"), F.sum("source_chunk_count").alias("source_chunk_count"), F.max("reason").alias("reason")
+    )
+    weighed = keyed.groupBy(*by, "name").agg(F.sum(F.greatest("source_chunk_count", F.lit(1))).alias("n"))
+    names = weighed.groupBy(*by).agg(F.min_by("name", F.struct(-F.col("n"), F.length("name"), F.col("name"))).alias("name"))
+    terms = keyed.select(*by, F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("name"))).alias("term")).distinct()
+    synonyms = terms.groupBy(*by).agg(F.array_sort(F.collect_list("term")).alias("synonyms"))
+    out = groups.join(names, by).join(synonyms, by, "left")
+    merged_by = F.when(F.col("members") > 1, F.concat(F.lit("merged_by:"), "reason"))
+    return out.select(
+        "primary.type", "primary.entity_id", "name", F.array_remove(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("primary.name")).alias("synonyms"),
+        "members", "source_chunk_count", F.when(F.col("reason").isNotNull(), merged_by).alias("flag"),
+    )

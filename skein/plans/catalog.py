@@ -17,6 +17,8 @@ QUESTIONS = ((1, "Which almond or azure tools measure blue parts?"), (2, "Autism
 #: Hint rules (order, trigger, term) and alias groups (group, alias).
 HINTS = ((1, "measure", "assessment"), (2, "screening", "screening"), (3, "早产", "早产"), (4, "风险", "risk"))
 GROUPS = ((1, "ados"), (1, "ados-2"), (2, "aba"), (2, "Applied Behavior Analysis"), (3, "autism"), (3, "asd"))
+#: Curated aliases (type, group, alias).
+CURATED = (("AssessmentTool", "bolts", "blue bolt"), ("AssessmentTool", "bolts", "Red  Bolt"), ("AssessmentTool", "gears", "hot gear"), ("Intervention", "firm", "supplier#000000001"))
 STOPWORDS = ("which", "or", "with", "the")
 WORDS = ("blue", "green", "steel", "customer#0000001")
 
@@ -350,6 +352,21 @@ def same_name_merge(spark, d):
     return found.select("type", "primary_id", "name", "members", "source_chunk_count")
 
 
+def _merge_keys(spark, d):
+    return graph.merge_keys(views.entities(spark, d), spark.createDataFrame(CURATED, "type string, group_id string, alias string"), ("AssessmentTool", "Intervention", "Condition"))
+
+
+@query
+def merge_log(spark, d):
+    return graph.merge_log(_merge_keys(spark, d)).withColumn("names", _joined("names"))
+
+
+@query
+def curated_merge(spark, d):
+    found = graph.curated(_merge_keys(spark, d))
+    return found.select("type", "entity_id", "name", "members", "source_chunk_count", _joined("synonyms"), F.coalesce("flag", F.lit("")).alias("flag"))
+
+
 @query
 def relation_remerge(spark, d):
     e = views.entities(spark, d)

@@ -189,7 +189,23 @@ _METRICS = " UNION ALL ".join(
 )
 _NAMED = f"{_ENTITIES}, {_RELATIONS}, named AS (SELECT relation_id, s.name AS source, s.type AS source_type, relation_type, t.name AS target, t.type AS target_type, support_count FROM relations JOIN entities s ON s.entity_id = src_id JOIN entities t ON t.entity_id = dst_id)"
 
+_SPACED = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+_KEYED = rf"""{_ENTITIES}, listed(type, grp, alias) AS (VALUES ('AssessmentTool', 'bolts', 'blue bolt'), ('AssessmentTool', 'bolts', 'red bolt'), ('AssessmentTool', 'bolts', 'bolts'), ('AssessmentTool', 'gears', 'hot gear'),
+    ('AssessmentTool', 'gears', 'gears'), ('Intervention', 'firm', 'supplier#000000001'), ('Intervention', 'firm', 'firm')),
+said AS (SELECT entity_id, type, unnest(list_append(synonyms, name)) AS term FROM entities WHERE type IN ('AssessmentTool', 'Intervention', 'Condition')),
+hit AS (SELECT entity_id, arg_min(grp, alias) AS grp FROM said JOIN listed ON said.type = listed.type AND {_SPACED.format("term")} = alias GROUP BY 1),
+keyed AS (SELECT e.*, CASE WHEN type = 'AgeStage' THEN e.entity_id WHEN grp IS NOT NULL THEN 'curated:' || grp ELSE {_KEY.format("name")} END AS merge_key,
+    CASE WHEN type <> 'AgeStage' THEN CASE WHEN grp IS NOT NULL THEN 'curated_alias_map' ELSE 'same_type_same_name' END END AS reason, (-source_chunk_count, -ceil(source_chunk_count / 4), length(name), e.entity_id) AS place
+    FROM entities e LEFT JOIN hit ON hit.entity_id = e.entity_id)"""
+
 ORACLES = {
+    "merge_log": f"""WITH {_KEYED} SELECT type, merge_key, reason, arg_min(entity_id, place) AS primary_id, count(*)::BIGINT AS entity_count, sum(source_chunk_count)::BIGINT AS source_chunk_count, array_to_string(list_sort(list(DISTINCT name)), '|') AS names
+        FROM keyed WHERE reason IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+    "curated_merge": f"""WITH {_KEYED}, g AS (SELECT type, merge_key, arg_min(entity_id, place) AS entity_id, arg_min(name, place) AS first_name, count(*)::BIGINT AS members, sum(source_chunk_count)::BIGINT AS source_chunk_count, max(reason) AS reason FROM keyed GROUP BY 1, 2),
+        w AS (SELECT type, merge_key, name, sum(greatest(source_chunk_count, 1)) AS n FROM keyed GROUP BY ALL), b AS (SELECT type, merge_key, arg_min(name, (-n, length(name), name)) AS name FROM w GROUP BY 1, 2),
+        t AS (SELECT DISTINCT type, merge_key, unnest(list_append(synonyms, name)) AS term FROM keyed),
+        s AS (SELECT type, merge_key, coalesce(string_agg(term, '|' ORDER BY term) FILTER (WHERE term <> first_name), '') AS synonyms FROM t JOIN g USING (type, merge_key) GROUP BY 1, 2)
+        SELECT type, entity_id, name, members, source_chunk_count, synonyms, CASE WHEN members > 1 AND reason IS NOT NULL THEN 'merged_by:' || reason ELSE '' END AS flag FROM g JOIN b USING (type, merge_key) JOIN s USING (type, merge_key)""",
     "relation_page": f"WITH {_NAMED}, found AS (SELECT * FROM named WHERE contains(source, 'ring') OR contains(target, 'ring')) SELECT *, (SELECT count(*) FROM found)::BIGINT AS total FROM found ORDER BY support_count DESC, relation_id LIMIT 20 OFFSET 40",
     "chunk_page": f"WITH {_DOC}, found AS (SELECT doc_id, source AS source_group, t FROM doc WHERE contains(t, 'the')) SELECT doc_id, source_group, CASE WHEN length(t) > 300 THEN left(t, 300) || '...' ELSE t END AS text, length(t)::BIGINT AS text_length, (SELECT count(*) FROM found)::BIGINT AS total FROM found ORDER BY source_group, doc_id LIMIT 20 OFFSET 20",
     "relation_type_counts": f"WITH {_ENTITIES}, {_RELATIONS} SELECT relation_type, count(*)::BIGINT AS n FROM relations GROUP BY 1",

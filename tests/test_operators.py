@@ -459,3 +459,19 @@ def test_pages_have_the_total(spark):
     got = retrieval.page(rows, ["id"], 3, 20).collect()
     assert [r["id"] for r in got] == list(range(40, 45)) and {r["total"] for r in got} == {45}
     assert retrieval.page(rows.where("false"), ["id"]).count() == 0
+
+
+def test_curated_merge(spark):
+    rows = [
+        ("e1", "ADOS", "Tool", ["a. d. o. s."], 5, 1), ("e2", "Autism  Schedule", "Tool", [], 9, 1), ("e3", "CARS!", "Tool", None, 1, 1), ("e4", "cars", "Tool", [], 1, 1),
+        ("e5", "ados", "Age", [], 0, 0), ("e6", "ados", "Age", [], 0, 0), ("e7", None, "Tool", [], 2, 2), ("e8", "x", None, [], 1, 1), ("e9", "x", None, [], 1, 1),
+    ]
+    e = spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>, source_chunk_count long, source_doc_count long")
+    keyed = graph.merge_keys(e, spark.createDataFrame([("Tool", "ados", "autism schedule")], "type string, group_id string, alias string"), ("Tool",))
+    got = {r["entity_id"]: r for r in graph.curated(keyed).collect()}
+    assert set(got) == {"e2", "e4", "e5", "e6", "e7", "e8", "e9"}
+    assert (got["e2"]["name"], got["e2"]["synonyms"], got["e2"]["flag"]) == ("Autism  Schedule", ["ADOS", "a. d. o. s."], "merged_by:curated_alias_map")
+    assert (got["e4"]["name"], got["e4"]["synonyms"], got["e4"]["members"]) == ("cars", ["CARS!"], 2) and got["e5"]["flag"] is None
+    log = {r["merge_key"]: r for r in graph.merge_log(keyed).collect()}
+    assert set(log) == {"curated:ados", "cars"} and log["cars"]["names"] == ["CARS!", "cars"] and log["curated:ados"]["source_chunk_count"] == 14
+    assert graph.curated(keyed.where("false")).count() == 0
