@@ -76,6 +76,11 @@ class Shelf:
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def place(self, name: str) -> str:
+        """A new folder for a table that the caller writes."""
+        self.paths[name] = shared_dir(self.spark, name)
+        return self.paths[name]
+
     def drop(self, *names: str) -> None:
         for name in names:
             if path := self.paths.pop(name, None):

@@ -7,7 +7,8 @@ hash is rewritten once per level and a lookup meets few runs.
 
 Edge cases: null or empty text is one empty line.  Each row is a document, so rows that repeat a doc_id hold lines
 separately; all rows with the largest doc_id keep the line.  A null doc_id is less than any other; its row still counts as a
-document.  A row keeps its number of lines; extra columns are ignored.  An empty table gives an empty result.
+document, and a line that stands in rows without an id alone stays in all of them.  A row keeps its number of lines; extra
+columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -54,14 +55,17 @@ def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Sorted runs by level, the newest last: bucketed tables, so that runs meet without a shuffle or a sort.
+    """Sorted runs by level, the newest last: bucketed tables in the shared folder, so that a batch meets them without
+    another shuffle or sort.
 
     Batches come in falling order of doc_id.  A hash that no run holds is new, and its batch has the document that keeps
     the line; for the others only the count is added.
     """
 
+    SCHEMA = "a long, b long, n long, last long"
+
     def __init__(self, spark, fan: int = FAN, buckets: int | None = None):
-        self.spark, self.fan = spark, fan
+        self.spark, self.fan, self.shelf = spark, fan, common.Shelf(spark)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
 
@@ -70,7 +74,7 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """keys: a, b, doc_id of a batch, distinct in each document."""
-        counted = keys.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+        counted = keys.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(F.col("doc_id").cast("long")).alias("last"))
         fresh, again = counted, []
         for held in self.runs():
             held = held.select("a", "b").hint("merge")
@@ -82,8 +86,8 @@ class LineRuns:
         while len(self.levels) <= level:
             self.levels.append([])
         name = f"line_run_{level}_{uuid.uuid4().hex}"
-        dealt = run.repartition(self.buckets, "a", "b")
-        dealt.write.bucketBy(self.buckets, "a", "b").sortBy("a", "b").saveAsTable(name)
+        dealt = run.repartition(self.buckets, "a", "b").write.bucketBy(self.buckets, "a", "b").sortBy("a", "b")
+        dealt.option("path", self.shelf.place(name)).saveAsTable(name)
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fan:
             names, merged = self.levels[level], self._merged(self.levels[level])
@@ -92,8 +96,10 @@ class LineRuns:
             self._drop(names)
 
     def _merged(self, names: list[str]) -> DataFrame:
-        tables = reduce(DataFrame.unionByName, map(self.spark.table, names))
-        return tables.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        """One row for each hash.  The runs are read as plain files: Spark takes a union of bucketed tables to be dealt by
+        hash already, reads them without their buckets and would count each file for itself."""
+        files = self.spark.read.schema(self.SCHEMA).parquet(*[self.shelf.paths[name] for name in names])
+        return files.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
 
     def counts(self) -> DataFrame:
         """a, b, n (documents), last (largest doc_id) over all runs."""
@@ -102,6 +108,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.shelf.drop(*names)
 
     def drop(self) -> None:
         self._drop([name for level in self.levels for name in level])
@@ -135,7 +142,7 @@ def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
     hashed = lines.select("doc_id", "row_hash", "at", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     hashed = hashed.select("doc_id", "row_hash", "at", _hash(F.col("key")).alias("h"))
     hits = hashed.select("doc_id", "row_hash", "at", "h.a", "h.b").join(heavy, ["a", "b"])
-    hits = hits.where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
+    hits = hits.where((F.col("doc_id") < F.col("last")) | (F.col("doc_id").isNull() & F.col("last").isNotNull()))
     dropped = hits.groupBy(F.col("doc_id").alias("d"), F.col("row_hash").alias("r")).agg(F.collect_set("at").alias("dropped"))
     docs = docs.drop("kept_text", "n_lines", "n_dropped")
     mine = docs["doc_id"].eqNullSafe(dropped["d"]) & (F.xxhash64(docs["text"]) == dropped["r"])

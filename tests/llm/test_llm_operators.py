@@ -522,6 +522,29 @@ def test_line_runs_compact(spark):
     runs.drop()
 
 
+@pytest.mark.parametrize("batches", [2, 3, 5, 6, 9])
+def test_line_runs_of_any_number(spark, batches):
+    """However many runs are left at the end, they count as one group-by does; ids coincide and are null."""
+    r = __import__("random").Random(batches)
+    lines = [f"a long line that is number {k} of all of them" for k in range(30)]
+    rows = [(r.choice([None, *range(12)]), "\n".join(r.sample(lines, 4))) for _ in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(5)
+    want = {}
+    for row in line_dedup.keys_of(docs).collect():
+        want.setdefault((row["a"], row["b"]), []).append(row["doc_id"])
+    found = line_dedup.repeated(docs, batches=batches, fan=2 + batches % 3).collect()
+    last = {k: max((i for i in ids if i is not None), default=None) for k, ids in want.items() if len(ids) >= 3}
+    assert {(x["a"], x["b"]): x["last"] for x in found} == last and len(found) == len(last)
+
+
+@pytest.mark.parametrize(("ids", "kept"), [((1, 2, 2), 2), ((1, 2, None), 1), ((None, None, None), 3), ((5, 5, 5), 3)])
+def test_lines_of_equal_and_null_ids(spark, ids, kept):
+    docs = spark.createDataFrame([(i, "one line that stands in every document") for i in ids], "doc_id long, text string")
+    found = line_dedup.dedup(docs, batches=3).collect()
+    assert sorted((x["n_dropped"] for x in found)) == [0] * kept + [1] * (3 - kept)
+    assert all(x["n_dropped"] == 0 for x in found if x["doc_id"] == max((i for i in ids if i is not None), default=None))
+
+
 # Packing.
 
 
