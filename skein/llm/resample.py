@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ LEAST_WORDS = 20
 PERCENT = 5
 SEED = 42
 #: Bytes of text that DuckDB gets at once.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 #: Features of the pieces in `piece` (row, text, own: words that begin a feature here), counted by row and bucket.
 COUNT = f"""
@@ -52,14 +53,15 @@ features AS (SELECT row, unnest([{", ".join(f"f{n}" for n in range(1, LONGEST +
 SELECT row, (crc(encode(f)) % {BUCKETS})::INTEGER AS bucket, count(*)::INTEGER AS n FROM features WHERE f IS NOT NULL GROUP BY ALL ORDER BY ALL
 """
 
-SPILLED = "doc_id long, n_words long, n_features long, buckets array<int>, counts array<int>"
+#: features: the bucket of each feature, in order, as unsigned 16-bit numbers: a bucket stands as often as it counts.
+SPILLED = "doc_id long, n_words long, n_features long, features binary"
 
 
 def engine():
     """A DuckDB session of one thread that keeps to memory and knows crc()."""
     import duckdb
 
-    session = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
+    session = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
     session.create_function("crc", lambda text: zlib.crc32(text), ["BLOB"], "UINTEGER")
     return session
 
@@ -86,7 +88,7 @@ def pieces(block: pa.RecordBatch, limit: int) -> tuple[pa.Table, np.ndarray]:
 
 
 def spilled(docs: DataFrame, limit: int = PIECE) -> DataFrame:
-    """doc_id, n_words, n_features and the counts by bucket of each row of docs (doc_id, text)."""
+    """doc_id, n_words, n_features and the counted buckets of each row of docs (doc_id, text)."""
 
     def run(batches):
         session = engine()
@@ -94,20 +96,21 @@ def spilled(docs: DataFrame, limit: int = PIECE) -> DataFrame:
             table, words = pieces(block, limit)
             session.register("piece", table)
             found = session.sql(COUNT).to_arrow_table().combine_chunks()
-            row, n = (found.column(c).to_numpy() for c in ("row", "n"))
-            cut = np.searchsorted(row, np.arange(block.num_rows + 1)).astype(np.int32)
-            listed = lambda c: pa.ListArray.from_arrays(pa.array(cut), found.column(c).combine_chunks())
-            features = np.diff(np.concatenate([[0], np.cumsum(n)])[cut])
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(words), pa.array(features), listed("bucket"), listed("n")], ["doc_id", "n_words", "n_features", "buckets", "counts"])
+            row, bucket, n = (found.column(c).to_numpy() for c in ("row", "bucket", "n"))
+            sums = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(row, np.arange(block.num_rows + 1))]
+            packed = np.repeat(bucket.astype("<u2"), n)
+            packed = pa.BinaryArray.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer((2 * sums).astype(np.int32)), pa.py_buffer(packed.tobytes())])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(words), pa.array(np.diff(sums)), packed], ["doc_id", "n_words", "n_features", "features"])
+        session.close()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPILLED)
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, counts, ends) of the lists of a batch."""
-    lists, counts = batch.column("buckets"), batch.column("counts")
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    return lists.flatten().to_numpy(), counts.flatten().to_numpy(), ends - ends[0]
+def _unpacked(batches) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, buckets of their features, where each row's end) of blocks of bounded size."""
+    for block in common.blocks(batches, "features"):
+        data, ends = common.arrow_bytes(block.column("features"))
+        yield block, np.frombuffer(data.tobytes(), "<u2"), ends // 2
 
 
 def totals(counted: DataFrame) -> np.ndarray:
@@ -115,12 +118,11 @@ def totals(counted: DataFrame) -> np.ndarray:
 
     def run(batches):
         out = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            buckets, counts, _ = _flat(batch)
-            np.add.at(out, buckets, counts)
+        for _, buckets, _ in _unpacked(batches):
+            out += np.bincount(buckets, minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(out)], ["bucket", "n"])
 
-    merged = counted.select("buckets", "counts").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    merged = counted.select("features").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     out = np.zeros(BUCKETS, np.int64)
     for row in merged.collect():
         out[row["bucket"]] = row["n"]
@@ -137,10 +139,9 @@ def weighed(counted: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features, weight."""
 
     def run(batches):
-        for batch in batches:
-            buckets, counts, ends = _flat(batch)
-            sums = np.concatenate([[0], np.cumsum(gain[buckets] * counts)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_words", "n_features")), pa.array(np.diff(sums[ends]))], ["doc_id", "n_words", "n_features", "weight"])
+        for block, buckets, ends in _unpacked(batches):
+            sums = np.concatenate([[0], np.cumsum(gain[buckets])])
+            yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("doc_id", "n_words", "n_features")), pa.array(np.diff(sums[ends]))], ["doc_id", "n_words", "n_features", "weight"])
 
     return counted.mapInArrow(run, "doc_id long, n_words long, n_features long, weight long")
 
