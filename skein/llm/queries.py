@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, langid, license_scan, line_dedup, media, near_dedup, packing, periodic, quality, resample, substring_dedup, url_filter
+from skein.llm import decontaminate, langid, license_scan, line_dedup, media, near_dedup, packing, periodic, perplexity, quality, resample, substring_dedup, url_filter
 from skein.llm.sql import ORACLES
 
 
@@ -68,8 +68,12 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_substring_dedup, op2_language, op3_license_scan, op4_near_dedup, op5_decontamination, op6_quality, op7_line_dedup, op8_packing, op9_media, op10_url_filter, op11_periodic_runs, op12_resampling)
+    found = (op1_substring_dedup, op2_language, op3_license_scan, op4_near_dedup, op5_decontamination, op6_quality, op7_line_dedup, op8_packing, op9_media, op10_url_filter, op11_periodic_runs, op12_resampling, op13_quality_rules)
     return {f.__name__: f for f in found}
 
 
