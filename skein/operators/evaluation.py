@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import ranks
 
 # Terms of each route, in the order of priority.
 ROUTES = {
@@ -185,23 +186,12 @@ def delta(base_ok: Column, agent_ok: Column, base_graph: Column, agent_graph: Co
 
 
 def latency(rows: DataFrame) -> DataFrame:
-    """model, profile, pipeline, runs, successes, degraded, passes, median and nearest-rank 95th percentile of seconds.
-
-    Ranks are read off counts of distinct values, so a group of any size needs no list of its values.
-    """
+    """model, profile, pipeline, runs, successes, degraded, passes, median and nearest-rank 95th percentile of seconds."""
     keys = ["model", "profile", "pipeline"]
-    from pyspark.sql import Window
-
-    whole = rows.groupBy(*keys).agg(
-        F.count("*").alias("runs"), F.count_if(F.col("status") == "done").alias("successes"), F.count_if(F.col("status") == "degraded").alias("degraded"), F.count_if("passed").alias("passes"), F.count("seconds").alias("timed")
-    )
-    counts = rows.where("seconds is not null").groupBy(*keys, "seconds").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("seconds"))).join(whole, keys)
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("seconds")))
-    n = F.col("timed")
-    p50 = (at(F.floor((n + 1) / 2)) + at(F.floor(n / 2) + 1)) / 2.0
-    ranked = upto.groupBy(*keys).agg(p50.alias("p50"), at(F.greatest(F.ceil(n * 0.95), F.lit(1))).alias("p95"))
-    return whole.join(ranked, keys, "left").drop("timed")
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "done").alias("successes"), F.count_if(F.col("status") == "degraded").alias("degraded"), F.count_if("passed").alias("passes"))
+    timed = ranks.at_ranks(rows.select(*keys, "seconds"), "seconds", {"lower": ranks.lower_median, "upper": ranks.upper_median, "p95": ranks.nearest95}, tuple(keys))
+    timed = timed.select(*keys, ((F.col("lower") + F.col("upper")) / 2.0).alias("p50"), "p95")
+    return whole.join(timed, keys, "left")
 
 
 def agent_gate(summaries: DataFrame, most: float = 0.2) -> DataFrame:

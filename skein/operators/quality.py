@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import ranks
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -142,23 +143,13 @@ def chunk_gate(graded_chunks: DataFrame) -> DataFrame:
 
 
 def metric_summary(df: DataFrame, column: str) -> DataFrame:
-    """min, both medians, max and both 95th percentiles of a column.
-
-    Ranks come from counts of distinct values, so no list of all values is ever built.
-    """
-    c = F.col(column)
-    counts = df.where(c.isNotNull()).groupBy(c.alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    upto = counts.select("v", "n", F.sum("n").over(Window.orderBy("v")).alias("upto"))
-    ranked = upto.crossJoin(F.broadcast(total))
-    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("v")))
-    all_ = F.col("total")
-    by_index = F.least(all_, F.floor(all_ * 0.95) + 1)
-    by_rank = F.greatest(F.ceil(all_ * 0.95), F.lit(1))
-    return ranked.agg(
-        F.max("total").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), at(F.floor(all_ / 2) + 1).alias("upper_median"),
-        ((at(F.floor((all_ + 1) / 2)) + at(F.floor(all_ / 2) + 1)) / 2.0).alias("median"), at(by_index).alias("p95_index"), at(by_rank).alias("p95_rank"),
-    )
+    """One row: n, min, both medians, max and both 95th percentiles of a column; without a value n is 0, the rest null."""
+    wanted = {"least": lambda n: F.lit(1), "most": lambda n: n, "upper_median": ranks.upper_median, "lower": ranks.lower_median, "p95_index": ranks.index95, "p95_rank": ranks.nearest95}
+    found = ranks.at_ranks(df, column, wanted)
+    n = F.coalesce(F.max("total"), F.lit(0)).alias("n")
+    one = lambda c: F.max(c).alias(c)
+    # At most one row: the aggregate is for the case of none.
+    return found.agg(n, one("least"), one("most"), one("upper_median"), F.max((F.col("lower") + F.col("upper_median")) / 2.0).alias("median"), one("p95_index"), one("p95_rank"))
 
 
 def repeated_lines(docs: DataFrame, most_chars: int = 60, share: float = 0.35, least: int = 6) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators import matching
 
 # Keywords that say nothing specific; weights of evidence levels in fusion and in ranking.
 GENERIC = ("asd", "autism", "孤独症", "自闭症", "孤独症谱系障碍", "自闭症谱系障碍")
@@ -21,19 +21,6 @@ IN_GRAPH = 0.15
 QUERY_BYTES = 64 << 20
 
 
-#: Rows of a side that a contains-join broadcasts at once.
-THETA_ROWS = 10_000
-
-
-def contains_join(rows: DataFrame, words: DataFrame, on: Column, limit: int | None = None) -> DataFrame:
-    """rows joined with words where `on` holds.  No equality helps here, so words are broadcast: counted first, and in
-    blocks of `limit` rows where they are more."""
-    parts = max(1, -(-words.count() // (limit or THETA_ROWS)))
-    block = F.pmod(F.xxhash64(*words.columns), F.lit(parts))
-    found = [rows.join(F.broadcast(words.where(block == k) if parts > 1 else words), on) for k in range(parts)]
-    return reduce(DataFrame.unionByName, found)
-
-
 def weight(level: Column, weights: dict[str, float]) -> Column:
     out = F.when(F.lit(False), 0.0)
     for name, w in weights.items():
@@ -51,7 +38,8 @@ def keywords(queries: DataFrame, rules: DataFrame, stopwords=()) -> DataFrame:
     rules: rule (order), trigger, term.  A query without any keyword is its own.
     """
     low = F.lower("query")
-    hints = contains_join(queries, rules, F.contains(low, F.lower(F.col("trigger"))))
+    triggers = rules.withColumn("word", F.lower("trigger"))
+    hints = matching.contained(queries.select("query_id", F.array(low).alias("texts")), triggers).join(triggers, "word")
     hints = hints.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("rule", "term"))).alias("hints"))
     own = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9\-]+"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
     joined = queries.join(hints, "query_id", "left")
@@ -77,15 +65,16 @@ def expanded(keyword_rows: DataFrame, alias_groups: DataFrame) -> DataFrame:
 
 
 def entity_matches(entities: DataFrame, keyword_rows: DataFrame, per_keyword: int = 80) -> DataFrame:
-    """query_id, keyword, entity_id, exact: entities whose name or synonym contains the keyword.
+    """query_id, keyword, entity_id, exact: entities whose name or synonym contains the keyword, the first by id.
 
-    The entities stay where they are; keywords are broadcast.
+    Names are read once, by an automaton of all keywords; what it finds meets the queries by the keyword.
     """
-    words = keyword_rows.select("query_id", "keyword", T.space_key(F.col("keyword")).alias("key")).where("key <> ''")
+    words = keyword_rows.select("query_id", "keyword", T.space_key(F.col("keyword")).alias("word")).where("word <> ''")
     names = F.transform(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), T.space_key)
-    named = entities.select("entity_id", names.alias("names"))
-    found = contains_join(named, words, F.exists("names", lambda n: F.contains(n, F.col("key"))))
-    found = found.select("query_id", "keyword", "entity_id", F.array_contains("names", F.col("key")).alias("exact"))
+    found = matching.contained(entities.select("entity_id", names.alias("texts")), words)
+    # Only the first entities of a keyword can be among those of a query.
+    best = found.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))).where(F.col("place") <= per_keyword)
+    found = words.join(best, "word").select("query_id", "keyword", "entity_id", "exact")
     place = F.row_number().over(Window.partitionBy("query_id", "keyword").orderBy("entity_id"))
     return found.withColumn("place", place).where(F.col("place") <= per_keyword).drop("place")
 

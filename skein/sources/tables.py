@@ -15,13 +15,22 @@ RETURNS = {
 }
 
 
-def shared(spark: SparkSession) -> None:
-    """Sets the checkpoint folder: the cluster's own, or a local one where none is set, as in tests."""
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set on the context so that checkpoint() works.
+
+    Only a local session, as in tests, gets a folder of its own where that is unset; a cluster must name a shared one.
+    """
     context = spark.sparkContext
+    at = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        if not at:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(at)
+    return (at or context.getCheckpointDir()).rstrip("/")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | ty.StructType, policy: str = "skip") -> DataFrame:

@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from skein.operators import catalog as sources
-from skein.operators import chunking, cleaning, evaluation, graph, quality, retrieval, runs
+from skein.operators import chunking, cleaning, evaluation, graph, matching, quality, ranks, retrieval, runs
 from skein.sources import edge, tables
 from skein.streaming import ingest
 
@@ -112,7 +112,7 @@ def test_chunk_of_a_short_document_stands_once():
     assert [(c["text"], c["segments"], c["page_end"], c["heading_path"]) for c in found] == [("one two three\n\nfour", 2, 2, ["H"])]
 
 
-def test_resolution_of_a_long_chain(spark):
+def test_resolution_of_a_very_long_chain(spark):
     """A thousand entities that share aliases two by two are one."""
     rows = [(f"e{i:04d}", f"n{i}", "T", [f"n{i + 1}"]) for i in range(1000)]
     tables.shared(spark)
@@ -191,6 +191,29 @@ def test_both_percentiles(spark):
     assert (found["p95_index"], found["p95_rank"], found["median"], found["upper_median"]) == (20, 19, 10.5, 11)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 19, 20, 21, 500])
+def test_exact_ranks(spark, n):
+    import random
+
+    r = random.Random(n)
+    rows = [(r.choice("abbbbbb"), r.choice([None, 1.5, r.randint(0, 40) / 2])) for _ in range(n)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {x["k"]: x for x in ranks.at_ranks(df, "x", {"p95": ranks.nearest95, "index": ranks.index95, "low": ranks.lower_median, "none": lambda m: m + 1}, ("k",)).collect()}
+    for k in {k for k, x in rows if x is not None}:
+        v = sorted(x for a, x in rows if a == k and x is not None)
+        m = len(v)
+        assert tuple(got[k]) == (k, m, v[max(1, -(-m * 95 // 100)) - 1], v[min(m, m * 95 // 100 + 1) - 1], v[(m + 1) // 2 - 1], None)
+    assert set(got) == {k for k, x in rows if x is not None}
+    one = quality.metric_summary(df, "x").first()
+    v = sorted(x for _, x in rows if x is not None)
+    assert one["n"] == len(v) and (one["least"], one["most"]) == ((v[0], v[-1]) if v else (None, None))
+
+
+def test_ranks_need_no_single_task(spark):
+    plan = quality.metric_summary(spark.range(1000), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan or "SinglePartition" not in plan.split("Window")[-1]
+
+
 def test_repeated_lines(spark):
     line = "a header of this book"
     docs = spark.createDataFrame([(k, "\n".join([line] * k), 10) for k in (5, 6)], "doc_id long, text string, pages int")
@@ -211,12 +234,24 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in retrieval.vector_topk(vectors, queries, 5).collect()} == want and len(want) == 10
 
 
-def test_contains_join_in_blocks(spark):
-    rows = spark.createDataFrame([(i, f"name {i} x") for i in range(30)], "id long, name string")
-    words = spark.createDataFrame([(f"{i} ",) for i in range(10)], "word string")
-    on = F.contains("name", F.col("word"))
-    whole, parts = (sorted(map(tuple, retrieval.contains_join(rows, words, on, limit).collect())) for limit in (None, 3))
-    assert whole == parts and len(whole) == 30
+@pytest.mark.parametrize("most", [None, 12])
+def test_words_that_texts_contain(spark, most):
+    """Overlapping words, words within words, marks of patterns, null and empty ones; in one list and in several."""
+    words = ["a", "ab", "abc", "b.*", "量表", "", None, "ab", "zzz"]
+    rows = [(1, ["xabcx", "ab"], "q"), (2, ["b.*量表"], "q"), (3, [None, ""], "q"), (4, None, "q"), (5, [], "q"), (6, ["aaa", "a"], "q")]
+    found = matching.contained(spark.createDataFrame(rows, "id int, texts array<string>, other string"), spark.createDataFrame([(w,) for w in words], "word string"), most)
+    want = {(i, "q", w, w in texts) for i, texts, _ in rows if texts for w in words if w and any(t and w in t for t in texts)}
+    got = [tuple(r) for r in found.collect()]
+    assert found.columns == ["id", "other", "word", "exact"] and len(got) == len(want) and set(got) == want
+
+
+def test_many_keywords_at_once(spark):
+    entities = spark.range(2000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.concat(F.lit("name "), "id", F.lit(" end")).alias("name"), F.array().cast("array<string>").alias("synonyms"))
+    words = spark.range(100_000).select((F.col("id") % 7).alias("query_id"), F.concat("id", F.lit(" end")).alias("keyword"))
+    found = retrieval.entity_matches(entities, words)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    # Keyword k stands in names that end in it: k, 1k, 11k, ..., of which 80 are kept.
+    assert found.count() == sum(min(80, sum(str(i).endswith(str(k)) for i in range(k, 2000, 10 ** len(str(k))))) for k in range(2000))
 
 
 def test_window_shows_the_words():
