@@ -37,11 +37,13 @@ from pyspark.sql import functions as F
 from skein.llm import common
 
 #: Characters of the longest n-gram.
-ORDER = 5
+ORDER = 4
+#: Bytes of text that are worked off at once.
+BLOCK = 1 << 20
 #: Steps of a log probability in one unit.
 SCALE = 1 << 16
 #: Entries of a model that is sent to tasks at most.
-MODEL_ROWS = 4_000_000
+MODEL_ROWS = 8_000_000
 #: Languages whose bands are sent to tasks at most.
 LANGUAGES = 10_000
 #: Distance of the bands from the quartiles, in distances of the quartiles; nats more for a text of one character.
@@ -164,7 +166,7 @@ def counted(rows: DataFrame, by_row: bool = False) -> DataFrame:
     ids = ["doc_id", "row_hash"] if by_row else []
 
     def run(batches):
-        for block in common.blocks(batches, "text"):
+        for block in common.blocks(batches, "text", BLOCK):
             texts = Texts(*common.arrow_bytes(block.column("text")))
             joined, chars, first, many = texts.stream()
             found, group = _groups(block)
@@ -329,7 +331,7 @@ def measured(rows: DataFrame, model: dict[tuple[str, int], Arrays] | None) -> Da
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for block in common.blocks(batches, "text"):
+        for block in common.blocks(batches, "text", BLOCK):
             texts = Texts(*common.arrow_bytes(block.column("text")))
             counts = texts.base()
             joined, chars, first, many = texts.stream()

@@ -35,7 +35,7 @@ def half(doc_id):
 class KneserNey:
     """Interpolated, with three discounts for each order, from the definition."""
 
-    def __init__(self, texts, order=5):
+    def __init__(self, texts, order=perplexity.ORDER):
         self.counts = {order: Counter(s[i : i + order] for s in map(stream, texts) for i in range(len(s) - order + 1))}
         for m in range(order - 1, 0, -1):
             self.counts[m] = Counter(g[1:] for g in self.counts[m + 1])
@@ -65,7 +65,7 @@ class KneserNey:
 
     def surprise(self, text):
         s = stream(text)
-        logs = [math.log(self.p(s[i : i + 5])) if self.counts[1] else -1.0 for i in range(len(s) - 4)]
+        logs = [math.log(self.p(s[i : i + perplexity.ORDER])) if self.counts[1] else -1.0 for i in range(len(s) - perplexity.ORDER + 1)]
         return -1000 * sum(logs) / len(logs) if logs else None
 
 
