@@ -216,31 +216,6 @@ def ranks(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def resolved_in_order(entities: DataFrame) -> DataFrame:
-    """entity_id, canonical_id as an ordered reading gives them: an entity joins the first group that has an alias of its.
-
-    Groups never join later, so an entity that could bridge two belongs to the first alone.  The outcome depends on the
-    order of all entities of a type, so a type is one task here; `resolved` is the mode for many entities.
-    """
-    listed = aliases(entities).groupBy("type", "entity_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-
-    def fold(frame):
-        owner: dict[str, int] = {}
-        first: list[str] = []
-        of = []
-        frame = frame.sort_values("entity_id")
-        for entity, names in zip(frame["entity_id"], frame["aliases"], strict=True):
-            found = min((owner[a] for a in names if a in owner), default=len(first))
-            if found == len(first):
-                first.append(entity)
-            for a in names:
-                owner.setdefault(a, found)
-            of.append(first[found])
-        return frame.assign(canonical_id=of)[["entity_id", "canonical_id"]]
-
-    return listed.groupBy("type").applyInPandas(fold, "entity_id string, canonical_id string")
-
-
 def top_pairs(relations: DataFrame, entities: DataFrame, relation_type: str, n: int = 25) -> DataFrame:
     """src_name, dst_name, support_count of the n best supported relations of a type."""
     top = relations.where(F.col("relation_type") == relation_type).orderBy(F.desc("support_count"), F.desc("confidence"), "relation_id").limit(n)

@@ -32,20 +32,41 @@ def generic(keyword: Column) -> Column:
     return T.space_key(keyword).isin(*GENERIC)
 
 
-def keywords(queries: DataFrame, rules: DataFrame, stopwords=()) -> DataFrame:
-    """query_id, keywords: hint terms of the rules whose trigger stands in the query, then its own words, each once.
-
-    rules: rule (order), trigger, term.  A query without any keyword is its own.
+# Hint rules (keyword, triggers) in order; the anchor that any hint brings along; keywords that make a wider one
+# superfluous; words that are no keywords; parts of words and of runs of characters that are conversation.
+HINT_RULES = (
+    ("ASD", ("asd", "autism", "孤独症", "自闭症", "谱系")), ("评估", ("评估", "量表", "问卷", "筛查", "诊断", "判断")), ("筛查", ("筛查",)), ("诊断", ("诊断", "判断", "是不是", "只凭")),
+    ("干预", ("干预", "训练", "治疗", "支持策略", "干预方案")), ("专业评估", ("专业评估",)), ("研究背景", ("研究背景", "研究情境")), ("证据", ("证据", "文献", "图谱关系", "来源")),
+    ("年龄", ("年龄", "两三岁", "幼儿", "婴幼儿", "成年人")), ("家庭", ("家庭", "家长")), ("学校", ("学校", "融合支持")), ("睡眠", ("睡眠", "睡不好")), ("注意力", ("注意力", "好动")), ("ADHD", ("adhd", "好动")),
+    ("M-CHAT", ("两三岁", "幼儿筛查", "婴幼儿筛查")), ("饮食干预", ("饮食",)), ("高压氧", ("高压氧",)), ("治愈", ("治愈",)), ("用药", ("用药", "药物")), ("情绪", ("情绪",)), ("社交技能", ("社交技能",)),
+    ("家长培训", ("家长培训", "家长介入")), ("辅助技术", ("辅助技术",)), ("沟通", ("沟通",)), ("游戏", ("游戏化", "游戏干预")), ("胃肠", ("胃肠", "肠道")), ("抑郁", ("抑郁",)), ("早产", ("早产",)), ("围产期", ("围产", "围生")),
+)
+ANCHOR, WIDE, NARROW = "ASD", "干预", ("家长培训", "辅助技术")
+STOPWORDS = ("是什么", "什么", "它在", "有什么作用", "作用", "评估中有什么作用")
+ASKING = ("什么", "作用")
+CONVERSATION = ("什么", "哪些", "如何", "是否", "为什么", "能不能", "可以", "资料", "回答", "问题", "通常", "怎样", "怎么")
+LONGEST_RUN = 8
+
+
+def keywords(query: Column, rules=HINT_RULES) -> Column:
+    """Keywords of a query: hints whose trigger it contains, in order of the rules, then its own words, each once.
+
+    A hint brings ANCHOR to the front; WIDE goes if a hint ends in it or is one of NARROW.  Words are Latin words and runs of
+    Chinese characters; runs that are long or hold a part of conversation go.  A query without any keyword is its own; null
+    counts as empty.
     """
-    low = F.lower("query")
-    triggers = rules.withColumn("word", F.lower("trigger"))
-    hints = matching.contained(queries.select("query_id", F.array(low).alias("texts")), triggers).join(triggers, "word")
-    hints = hints.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("rule", "term"))).alias("hints"))
-    own = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z][a-z0-9\-]+"), F.lit(0)), lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True))
-    joined = queries.join(hints, "query_id", "left")
-    hinted = F.coalesce(F.transform("hints", lambda h: h["term"]), F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(hinted, own))
-    return joined.select("query_id", F.when(F.size(every) == 0, F.array("query")).otherwise(every).alias("keywords"))
+    query = F.coalesce(query, F.lit(""))
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a value that is used several times is computed once
+    listed = lambda key: F.array_compact(F.array(*[F.when(T.contains_any(key, triggers), F.lit(word)) for word, triggers in rules]))
+    narrow = lambda hints: F.exists(hints, lambda h: (h != WIDE) & (F.endswith(h, F.lit(WIDE)) | h.isin(*NARROW)))
+    narrowed = lambda hints: F.when(narrow(hints), F.array_remove(hints, WIDE)).otherwise(hints)
+    anchored = lambda hints: F.when((F.size(hints) > 0) & ~F.array_contains(hints, ANCHOR), F.concat(F.array(F.lit(ANCHOR)), hints)).otherwise(hints)
+    words = F.regexp_extract_all(query, F.lit(r"[a-zA-Z][a-zA-Z0-9_-]*|[\u4e00-\u9fff]{2,}"), F.lit(0))
+    chinese = lambda w: w.rlike(r"^[\u4e00-\u9fff]")
+    talk = lambda w: chinese(w) & (w.isin(*STOPWORDS) | T.contains_any(w, ASKING) | (F.length(w) > LONGEST_RUN) | T.contains_any(w, CONVERSATION))
+    hints = once(once(once(T.space_key(query), listed), narrowed), anchored)
+    every = F.array_distinct(F.concat(hints, F.filter(words, lambda w: ~talk(w))))
+    return once(every, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(query)))
 
 
 def expanded(keyword_rows: DataFrame, alias_groups: DataFrame) -> DataFrame:
@@ -233,15 +254,14 @@ def fallback(n_contexts: Column, n_relations: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" ", texts, graph), F.lit("")), F.lit("No evidence was found."))
 
 
-# Keywords that say no more than the field itself; characters of a joined variant, keywords beside a query.
-GENERIC_WORDS = ("asd", "autism", "孤独症", "自闭症", "孤独症谱系障碍", "自闭症谱系障碍")
+# Characters of a joined variant, keywords beside a query, variants.
 VARIANT_CHARS, VARIANT_WORDS, VARIANTS = 220, 8, 3
 
 
 def query_variants(rows: DataFrame) -> DataFrame:
     """rows (query, keywords) with variants: the query, its specific keywords, and both; equal ones once, blank ones not at all."""
     squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
-    specific = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: (w != "") & ~F.lower(w).isin(*GENERIC_WORDS))
+    specific = F.filter(F.coalesce("keywords", F.array().cast("array<string>")), lambda w: (w != "") & ~F.lower(w).isin(*GENERIC))
     joined = lambda parts: F.left(squeeze(F.array_join(parts, " ")), F.lit(VARIANT_CHARS))
     query = F.coalesce("query", F.lit(""))
     more = F.array(joined("specific"), joined(F.concat(F.array(query), F.slice("specific", 1, VARIANT_WORDS))))

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions import text as T
+
 # Types of entities.
 TYPES = ("Condition", "Symptom", "AssessmentTool", "Intervention", "Mechanism", "Comorbidity", "AgeStage", "Setting", "Risk", "Evidence", "Claim", "Task")
 # Entity types that each relation may join.
@@ -93,7 +95,7 @@ def allowed_pairs(spark) -> DataFrame:
 
 def _plain(text: Column) -> Column:
     """Lower-cased, with single spaces."""
-    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"(?U){T.SPACE}+", " ")))
 
 
 def _has(text: Column, marks: str) -> Column:
@@ -122,10 +124,13 @@ def checked(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """relations with src_type, dst_type, confidence within 0 and 1, and reject_reason of the first rule that fails (null: kept).
 
     relations: chunk_id, src_id, relation_type, dst_id, evidence_text, confidence; entities: chunk_id, entity_id, name, type,
-    synonyms.  Ends are looked for among the entities of the relation's chunk that pass `typed`.
+    synonyms.  Ends are looked for among the entities of the relation's chunk that pass `typed`; of an id that stands twice in
+    a chunk the last counts, by `place` if entities have one, else by its fields.
     """
     names = F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))
-    kept = typed(entities).where("reject_reason is null").select("chunk_id", "entity_id", "name", "type", F.filter(F.transform(names, _plain), lambda a: a != "").alias("names"))
+    last = F.struct(*[F.col(c) for c in ("place", "type", "name", "synonyms") if c in entities.columns]).alias("last")
+    kept = typed(entities).where("reject_reason is null").select("chunk_id", "entity_id", "name", "type", F.filter(F.transform(names, _plain), lambda a: a != "").alias("names"), last)
+    kept = kept.groupBy("chunk_id", "entity_id").agg(F.max_by(F.struct("type", "name", "names"), "last").alias("k")).select("chunk_id", "entity_id", "k.*")
     ends = relations.drop("src_type", "dst_type")
     for side in ("src", "dst"):
         own = kept.select(F.col("chunk_id").alias("c"), F.col("entity_id").alias("e"), *(F.col(c).alias(f"{side}_{c}") for c in ("type", "name", "names")))

@@ -7,19 +7,13 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import catalog as sources
-from skein.operators import chunking, cleaning, evaluation, graph, quality, retrieval, runs
+from skein.operators import chunking, cleaning, evaluation, graph, quality, resolution, retrieval, runs, search
 from skein.plans import views
 from skein.plans.sql import ORACLES
 from skein.sources import tables
 
-#: Query texts for the retrieval queries.
-QUESTIONS = ((1, "Which almond or azure tools measure blue parts?"), (2, "Autism screening with ADOS"), (3, ""), (4, "早产和自闭症风险相关吗"), (5, "ABA training"), (6, "能诊断吗"))
-#: Hint rules (order, trigger, term) and alias groups (group, alias).
-HINTS = ((1, "measure", "assessment"), (2, "screening", "screening"), (3, "早产", "早产"), (4, "风险", "risk"))
-GROUPS = ((1, "ados"), (1, "ados-2"), (2, "aba"), (2, "Applied Behavior Analysis"), (3, "autism"), (3, "asd"))
 #: Curated aliases (type, group, alias).
 CURATED = (("AssessmentTool", "bolts", "blue bolt"), ("AssessmentTool", "bolts", "Red  Bolt"), ("AssessmentTool", "gears", "hot gear"), ("Intervention", "firm", "supplier#000000001"))
-STOPWORDS = ("which", "or", "with", "the")
 WORDS = ("blue", "green", "steel", "customer#0000001")
 
 _queries: dict = {}
@@ -63,7 +57,6 @@ def doc_token_estimate(spark, d):
 
 @query
 def doc_line_noise(spark, d):
-    lines = T.lines(T.normalised_line(F.lit("")))
     lines = T.lines(F.coalesce("text", F.lit("")))
     docs = views.documents(spark, d)
     return docs.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size(F.filter(lines, T.noise_line)).cast("long").alias("n_noise"), F.size(F.filter(lines, T.noisy_ocr_line)).cast("long").alias("n_ocr_noise"))
@@ -272,11 +265,10 @@ def relation_reject_reason(spark, d):
 def revalidated_runs(spark, d):
     relations, entities = _extracted(spark, d)
     records = views.runs(spark, d).groupBy("chunk").agg(F.max_by("status", "seq").alias("status"))
-    chunk = lambda key: F.pmod(F.col(key), F.lit(50))
-    # Every entity is known to every chunk that a relation names it in.
-    used = relations.withColumn("chunk_id", chunk("src_id"))
+    # A source's relations are a chunk; every entity is known to every chunk that a relation names it in.
+    used = relations.withColumn("chunk_id", F.col("src_id"))
     ends = used.select("chunk_id", F.explode(F.array("src_id", "dst_id")).alias("entity_id")).distinct()
-    return runs.revalidated(records.where("chunk < 50"), "chunk", used, entities.drop("chunk_id").join(ends, "entity_id"))
+    return runs.revalidated(records, "chunk", used, entities.drop("chunk_id").join(ends, "entity_id"))
 
 
 # Graph.
@@ -419,7 +411,20 @@ def entity_resolution(spark, d):
 
 @query
 def entity_resolution_in_order(spark, d):
-    return graph.resolved_in_order(views.entities(spark, d))
+    return resolution.canonical(views.entities(spark, d))
+
+
+@query
+def relation_rekey(spark, d):
+    lines, orders = views.read(spark, d, "lineitem"), views.read(spark, d, "orders")
+    id_ = lambda prefix, key: F.concat(F.lit(prefix), F.col(key))
+    mentions = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), id_("cust_", "o_custkey").alias("src_id"), F.lit("MEASURED_BY").alias("relation_type"), id_("part_", "l_partkey").alias("dst_id"),
+        F.col("l_discount").alias("confidence"), F.when(F.col("l_linenumber") > 1, F.concat_ws(" ", "o_orderpriority", "l_linestatus")).alias("evidence_text"), id_("ev_", "l_orderkey").alias("evidence_id"),
+        id_("c_", "o_custkey").alias("chunk_id"), F.col("o_orderstatus").alias("doc_id"),
+    )
+    found = resolution.rekeyed(mentions, resolution.canonical(views.entities(spark, d)))
+    return found.withColumns({c: _joined(c) for c in ("support_evidence_ids", "support_chunk_ids", "support_doc_ids")})
 
 
 @query
@@ -479,8 +484,10 @@ def modality_relations(spark, d):
 # Retrieval.
 
 
-def _questions(spark):
-    return spark.createDataFrame(QUESTIONS, "query_id long, query string")
+def _asked(spark, d):
+    """query_id, query: each turn of the conversations under a question."""
+    turns = views.turns(spark, d)
+    return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "turn", F.trim(F.concat_ws(" ", F.get(F.array(*map(F.lit, views.QUESTIONS)), ((F.col("conv_id") + F.col("turn")) % len(views.QUESTIONS)).cast("int")), "text")).alias("query"))
 
 
 def _keyword_rows(spark):
@@ -489,18 +496,68 @@ def _keyword_rows(spark):
 
 @query
 def keyword_hint_rules(spark, d):
-    found = retrieval.keywords(_questions(spark), spark.createDataFrame(HINTS, "rule int, trigger string, term string"), STOPWORDS)
-    return found.select("query_id", _joined("keywords"))
+    return _asked(spark, d).select("query_id", F.array_join(retrieval.keywords(F.col("query")), "|").alias("keywords"))
 
 
 @query
 def alias_expand(spark, d):
-    words = retrieval.keywords(_questions(spark), spark.createDataFrame(HINTS, "rule int, trigger string, term string"), STOPWORDS)
-    rows = words.select("query_id", F.posexplode("keywords").alias("place", "keyword"))
-    found = retrieval.expanded(rows, spark.createDataFrame(GROUPS, "group_id int, alias string"))
+    rows = _asked(spark, d).select("query_id", F.posexplode(retrieval.keywords(F.col("query"))).alias("place", "keyword"))
+    found = retrieval.expanded(rows, spark.createDataFrame(views.GROUPS, "group_id int, alias string"))
     return found.select("query_id", "keyword", F.col("place").cast("long").alias("place"))
 
 
+def _graph(spark, d):
+    e = views.entities(spark, d).withColumn("is_isolated", F.col("source_chunk_count") == 0)
+    return search.indexed(e, views.relations(spark, d), views.supports(spark, d), views.evidence(spark, d))
+
+
+def _openings(spark, d):
+    """query_id, query, keywords of the turns that open a conversation."""
+    return _asked(spark, d).where("turn = 0").select("query_id", "query", F.slice(retrieval.keywords(F.col("query")), 1, views.SEARCH_WORDS).alias("keywords"))
+
+
+def _first_pass(openings, data):
+    return search.searched(openings.select("query_id", F.explode("keywords").alias("keyword")), data)
+
+
+@query
+def graph_search(spark, d):
+    return _first_pass(_openings(spark, d), _graph(spark, d)).chunks
+
+
+@query
+def graph_search_relations(spark, d):
+    return _first_pass(_openings(spark, d), _graph(spark, d)).relations.withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def retrieval_trace(spark, d):
+    openings = _openings(spark, d)
+    return search.trace(openings, _first_pass(openings, _graph(spark, d)))
+
+
+def _planned(openings, found):
+    inspected = evaluation.inspected(search.flags(evaluation.routed(openings), found).withColumns({"n_low": F.lit(0), "n_research": F.lit(0)}))
+    return search.planned(evaluation.follows_up(inspected))
+
+
+@query
+def followup_plan(spark, d):
+    openings = _openings(spark, d)
+    found = _planned(openings, _first_pass(openings, _graph(spark, d)))
+    return found.select("query_id", "route", "reason", "follow_query", _joined("follow_keywords"))
+
+
+@query
+def agent_trace(spark, d):
+    """Both passes as one: the second for the queries that need it, then each stage's rows."""
+    data = _graph(spark, d)
+    openings = _openings(spark, d).checkpoint()
+    first = _first_pass(openings, data)
+    again = _planned(openings, first).select("query_id", F.explode("follow_keywords").alias("keyword"))
+    return search.trace(openings, search.merged(first, search.searched(again, data)))
+
+
 @query
 def entity_keyword_match(spark, d):
     return retrieval.entity_matches(views.entities(spark, d), _keyword_rows(spark))
@@ -587,7 +644,7 @@ def prompt_assembly(spark, d):
 
 @query
 def query_router(spark, d):
-    return evaluation.routed(_questions(spark)).select("query_id", "route", _joined("terms"), "requires_guardrail", "requires_followup")
+    return evaluation.routed(_asked(spark, d)).select("query_id", "route", _joined("terms"), "requires_guardrail", "requires_followup")
 
 
 def _inspected(spark, d):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from skein.operators.evaluation import ROUTES
+from skein.operators.retrieval import ANCHOR, ASKING, CONVERSATION, GENERIC, HINT_RULES, LONGEST_RUN, NARROW, STOPWORDS, WIDE
 from skein.operators.runs import ALLOWED, MARKS, TYPES
+from skein.operators.search import PLANS
+from skein.plans.views import GROUPS, QUESTIONS, SEARCH_WORDS
 
 _CJK = r"[\x{4e00}-\x{9fff}]"
 
@@ -198,6 +202,70 @@ keyed AS (SELECT e.*, CASE WHEN type = 'AgeStage' THEN e.entity_id WHEN grp IS N
     CASE WHEN type <> 'AgeStage' THEN CASE WHEN grp IS NOT NULL THEN 'curated_alias_map' ELSE 'same_type_same_name' END END AS reason, (-source_chunk_count, -ceil(source_chunk_count / 4), length(name), e.entity_id) AS place
     FROM entities e LEFT JOIN hit ON hit.entity_id = e.entity_id)"""
 
+_SPACED = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_ANY = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+_ASKED = f"asked AS (SELECT conv_id * 1000 + turn AS query_id, turn, trim(concat_ws(' ', ({_LIST(QUESTIONS)})[(conv_id + turn) % {len(QUESTIONS)} + 1], text)) AS query FROM conversations)"
+_ROUTED = f"""routes(place, route, words) AS (VALUES {', '.join(f"({k}, '{r}', {_LIST(w)})" for k, (r, w) in enumerate(ROUTES.items()))}),
+hit AS (SELECT query_id, arg_min(route, place) AS route, arg_min(terms, place) AS terms FROM (SELECT query_id, place, route, list_filter(words, lambda w: contains(lower(query), w)) AS terms FROM asked, routes) WHERE len(terms) > 0 GROUP BY 1),
+routed AS (SELECT a.query_id, coalesce(h.route, CASE WHEN query = '' THEN 'unknown' ELSE 'knowledge_qa' END) AS route, coalesce(h.terms, []) AS terms FROM asked a LEFT JOIN hit h ON a.query_id = h.query_id)"""
+_HAN = r"[\x{4e00}-\x{9fff}]"
+_KEYWORDS = f"""keyed AS (SELECT *, {_SPACED.format('query')} AS k FROM asked),
+hinted AS (SELECT *, list_filter([{', '.join(f"CASE WHEN {_ANY('k', t)} THEN '{w}' END" for w, t in HINT_RULES)}], lambda x: x IS NOT NULL) AS h FROM keyed),
+narrowed AS (SELECT *, CASE WHEN len(list_filter(h, lambda x: x <> '{WIDE}' AND (ends_with(x, '{WIDE}') OR x IN {NARROW}))) > 0 THEN list_filter(h, lambda x: x <> '{WIDE}') ELSE h END AS h1 FROM hinted),
+spoken AS (SELECT *, CASE WHEN len(h1) > 0 AND NOT list_contains(h1, '{ANCHOR}') THEN ['{ANCHOR}'] || h1 ELSE h1 END || list_filter(regexp_extract_all(query, '[a-zA-Z][a-zA-Z0-9_-]*|{_HAN}{{2,}}'),
+    lambda w: NOT (lower(w) IN {STOPWORDS} OR {_ANY('w', ASKING)} OR (regexp_full_match(w, '{_HAN}+') AND (length(w) > {LONGEST_RUN} OR {_ANY('w', CONVERSATION)})))) AS l FROM narrowed),
+worded AS (SELECT query_id, turn, query, CASE WHEN len(l) = 0 THEN [query] ELSE list_filter(l, lambda x, i: list_position(l, x) = i) END AS keywords FROM spoken)"""
+
+
+def _asked_again(template: str) -> str:
+    return f"query || '{template.removeprefix('{}')}'" if template.startswith("{}") else f"'{template}'"
+
+
+def _searched(p: str) -> str:
+    """The stages of a search for {p}_words (query_id, keyword, key), under names that begin with p."""
+    score = """specific DESC, exact DESC, least(ceil(source_chunk_count / 4.0), 20) DESC, least(source_chunk_count, 100) DESC,
+            CASE WHEN source_chunk_count <= 1 THEN 10 ELSE 0 END + CASE WHEN source_chunk_count = 0 THEN 20 ELSE 0 END, length(name), entity_id"""
+    generic = ", ".join(f"'{w}'" for w in GENERIC)
+    return f"""
+{p}_hit AS MATERIALIZED (SELECT key, entity_id, list_contains(names, key) AS exact FROM named JOIN (SELECT DISTINCT key FROM {p}_words WHERE key <> '') ON len(list_filter(names, lambda x: contains(x, key))) > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY entity_id) <= 80),
+{p}_matched AS (SELECT query_id, keyword, entity_id, exact FROM {p}_words JOIN {p}_hit USING (key)),
+{p}_per AS (SELECT query_id, entity_id, bool_or(exact) AS exact, bool_or({_SPACED.format('keyword')} NOT IN ({generic})) AS specific FROM {p}_matched GROUP BY 1, 2),
+{p}_kept AS (SELECT * FROM (SELECT *, bool_or(specific) OVER (PARTITION BY query_id) AS any_specific FROM {p}_per) WHERE specific OR NOT any_specific),
+{p}_ranked AS MATERIALIZED (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY {score}) AS rank FROM {p}_kept JOIN entities USING (entity_id) QUALIFY rank <= 60),
+{p}_followed AS MATERIALIZED (SELECT query_id, relation_id, e.entity_id, relation_type, other_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, relation_id, other_id) AS place FROM {p}_ranked e JOIN ends x ON e.entity_id = x.entity_id JOIN relations USING (relation_id) QUALIFY place <= 100),
+{p}_frontier AS (SELECT query_id, entity_id, min(distance) AS distance FROM (SELECT query_id, entity_id, 0 AS distance FROM {p}_ranked UNION ALL SELECT query_id, other_id, 1 FROM {p}_ranked JOIN ends USING (entity_id)) GROUP BY 1, 2),
+{p}_far AS (SELECT query_id, entity_id FROM {p}_frontier WHERE distance > 0),
+{p}_own AS (SELECT query_id, entity_id FROM {p}_ranked UNION SELECT query_id, other_id FROM {p}_followed),
+{p}_chunks AS MATERIALIZED (SELECT query_id, chunk_id, min(way)::INTEGER AS way FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id, way ORDER BY chunk_id) AS place FROM (SELECT DISTINCT query_id, chunk_id, 0 AS way FROM {p}_own JOIN begins USING (entity_id) UNION ALL SELECT DISTINCT query_id, chunk_id, 1 FROM {p}_far JOIN begins USING (entity_id)))
+    WHERE place <= CASE way WHEN 0 THEN 200 ELSE 300 END GROUP BY 1, 2),
+{p}_shown AS (SELECT query_id, relation_id FROM {p}_followed WHERE place <= 50)"""
+
+
+def _traced(p: str) -> str:
+    parts = {"matched": f"(SELECT DISTINCT query_id, entity_id FROM {p}_matched)", "ranked": f"{p}_ranked", "frontier": f"{p}_far", "relations": f"{p}_shown", "chunks": f"{p}_chunks"}
+    column = {"relations": "relation_id", "chunks": "chunk_id"}
+    counts = " UNION ALL ".join(f"SELECT query_id, {k} AS step, count(*) AS n, min({column.get(s, 'entity_id')}) AS first FROM {t} GROUP BY query_id" for k, (s, t) in enumerate(parts.items()))
+    return f"counts AS ({counts}), stages(step, stage) AS (VALUES {', '.join(f'({k}, {chr(39)}{s}{chr(39)})' for k, s in enumerate(parts))}), traced AS (SELECT o.query_id, s.step::INTEGER AS step, stage, coalesce(n, 0)::BIGINT AS n, first FROM openings o CROSS JOIN stages s LEFT JOIN counts c ON o.query_id = c.query_id AND s.step = c.step)"
+
+
+_FIRST_PASS = f"""{_GRAPH.replace('entities AS (', 'entities AS MATERIALIZED (', 1).replace('relations AS (SELECT *,', 'relations AS MATERIALIZED (SELECT *,', 1)}, {_SUPPORTS}, {_EVIDENCE}, {_ASKED}, {_KEYWORDS}, {_NAMES},
+begins AS MATERIALIZED (SELECT DISTINCT src_id AS entity_id, chunk_id FROM relations JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)),
+openings AS (SELECT query_id, query, keywords[:{SEARCH_WORDS}] AS keywords FROM worded WHERE turn = 0),
+a_words AS (SELECT query_id, keyword, {_SPACED.format('keyword')} AS key FROM (SELECT query_id, unnest(keywords) AS keyword FROM openings)), {_searched('a')}"""
+_PLANNED = f"""{_ROUTED}, counted AS (SELECT o.*, route, (SELECT count(*) FROM a_chunks c WHERE c.query_id = o.query_id) AS n_contexts, (SELECT count(*) FROM a_shown c WHERE c.query_id = o.query_id) AS n_relations, (SELECT count(*) FROM a_ranked c WHERE c.query_id = o.query_id) AS n_entities
+    FROM openings o JOIN routed r ON o.query_id = r.query_id),
+falling AS (SELECT * FROM counted WHERE (n_contexts < 3 AND n_relations = 0) OR (route IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice') AND (n_relations = 0 OR n_entities = 0))),
+planned AS (SELECT query_id, route, CASE route {' '.join(f"WHEN '{r}' THEN '{why}'" for r, (why, *_) in PLANS.items() if r)} ELSE '{PLANS[''][0]}' END AS reason,
+    CASE route {' '.join(f"WHEN '{r}' THEN {_asked_again(t)}" for r, (_, t, *_) in PLANS.items() if r)} ELSE {_asked_again(PLANS[''][1])} END AS follow_query,
+    CASE route {' '.join(f"WHEN '{r}' THEN keywords[:{n}] || {_LIST(w)}" for r, (_, _, w, n) in PLANS.items() if r)} ELSE keywords[:{PLANS[''][3]}] || {_LIST(PLANS[''][2])} END AS follow_keywords FROM falling)"""
+_CANONICAL = f"""{_ENTITIES}, {_ALIASES.replace('aliases AS (', 'aliases AS MATERIALIZED (', 1)}, steps AS MATERIALIZED (SELECT entity_id, lag(entity_id) OVER (PARTITION BY type, alias ORDER BY entity_id) AS prev FROM aliases),
+reach(root, entity_id) AS (SELECT entity_id, entity_id FROM steps GROUP BY entity_id HAVING count(prev) = 0 UNION SELECT root, s.entity_id FROM reach r JOIN steps s ON s.prev = r.entity_id),
+grouped AS (SELECT entity_id, min(root) AS group_id FROM reach GROUP BY 1), named_groups AS (SELECT type, group_id, min(alias) AS canonical_name FROM aliases JOIN grouped USING (entity_id) GROUP BY 1, 2),
+merged_groups AS (SELECT *, min(group_id) OVER (PARTITION BY type, canonical_name) AS canonical_id FROM named_groups), canonical AS (SELECT entity_id, group_id, canonical_name, canonical_id FROM grouped JOIN merged_groups USING (group_id))"""
+
 ORACLES = {
     "merge_log": f"""WITH {_KEYED} SELECT type, merge_key, reason, arg_min(entity_id, place) AS primary_id, count(*)::BIGINT AS entity_count, sum(source_chunk_count)::BIGINT AS source_chunk_count, array_to_string(list_sort(list(DISTINCT name)), '|') AS names
         FROM keyed WHERE reason IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
@@ -263,11 +331,11 @@ ORACLES = {
         OR (relation_type = 'SUITABLE_AGE' AND src_type IN ('Intervention', 'Condition') AND dst_type = 'AgeStage')))::BIGINT AS n_legal FROM used GROUP BY 1, 2, 3""",
     "entity_reject_reason": f"WITH {_EXTRACTED} SELECT type, reject_reason, count(*)::BIGINT AS n FROM typed GROUP BY 1, 2",
     "relation_reject_reason": f"WITH {_EXTRACTED}, {_RELATED} SELECT relation_type, reject_reason, count(*)::BIGINT AS n FROM judged GROUP BY 1, 2",
-    "revalidated_runs": f"""WITH {_EXTRACTED}, {_RELATED}, ends AS (SELECT DISTINCT src_id % 50 AS k, unnest([src_id, dst_id]) AS entity_id FROM relations),
-        found AS (SELECT k, true AS entity, reject_reason FROM typed JOIN ends USING (entity_id) UNION ALL SELECT src_id % 50, false, reject_reason FROM judged),
+    "revalidated_runs": f"""WITH {_EXTRACTED}, {_RELATED}, ends AS (SELECT DISTINCT src_id AS k, unnest([src_id, dst_id]) AS entity_id FROM relations),
+        found AS (SELECT k, true AS entity, reject_reason FROM typed JOIN ends USING (entity_id) UNION ALL SELECT src_id, false, reject_reason FROM judged),
         n AS (SELECT k, entity, reject_reason, count(*)::BIGINT AS n FROM found GROUP BY ALL),
         s AS (SELECT k, sum(n) FILTER (WHERE entity AND reject_reason IS NULL) AS e, sum(n) FILTER (WHERE NOT entity AND reject_reason IS NULL) AS r, string_agg(reject_reason || ':' || n, '|' ORDER BY reject_reason || ':' || n) AS w FROM n GROUP BY k),
-        records AS (SELECT user_id AS chunk, arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END, event_id) AS status FROM events WHERE user_id < 50 GROUP BY 1)
+        records AS (SELECT user_id AS chunk, arg_max(CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END, event_id) AS status FROM events GROUP BY 1)
         SELECT chunk, status, CASE WHEN status = 'ok' THEN coalesce(e, 0)::BIGINT ELSE 0 END AS n_entities, CASE WHEN status = 'ok' THEN coalesce(r, 0)::BIGINT ELSE 0 END AS n_relations, CASE WHEN status = 'ok' THEN coalesce(w, '') ELSE '' END AS warnings
         FROM records LEFT JOIN s ON chunk = k""",
     "graph_entities": f"WITH {_ENTITIES} SELECT entity_id, name, type, array_to_string(synonyms, '|') AS synonyms, source_chunk_count, ceil(source_chunk_count / 4.0)::BIGINT AS source_doc_count FROM entities",
@@ -294,7 +362,7 @@ ORACLES = {
     "best_name": "SELECT brand, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY n DESC, length(name), name) AS p FROM (SELECT p_brand AS brand, p_name AS name, count(*) AS n FROM part GROUP BY 1, 2)) WHERE p = 1",
     "graph_one_hop": f"WITH {_GRAPH} SELECT x.entity_id, relation_type, other_id FROM ends x JOIN entities e USING (entity_id) JOIN relations USING (relation_id) WHERE e.type = 'AgeStage' OR e.entity_id IN ('supp_1', 'part_7')",
     "relation_context": f"WITH {_RELATIONS} SELECT relation_id, src_id, relation_type, dst_id, support_count FROM relations WHERE src_id IN ('cust_1', 'part_3', 'supp_2') OR dst_id IN ('cust_1', 'part_3', 'supp_2')",
-    "induced_subgraph": f"WITH {_GRAPH}, {_DEGREES}, top AS MATERIALIZED (SELECT entity_id FROM degrees ORDER BY degree DESC, entity_id LIMIT 200) SELECT r.relation_id, r.src_id, r.dst_id, r.support_count FROM relations r JOIN top s ON r.src_id = s.entity_id JOIN top t ON r.dst_id = t.entity_id",
+    "induced_subgraph": f"WITH {_GRAPH.replace('entities AS (', 'entities AS MATERIALIZED (', 1).replace('relations AS (SELECT *,', 'relations AS MATERIALIZED (SELECT *,', 1)}, {_DEGREES}, top AS MATERIALIZED (SELECT entity_id FROM degrees ORDER BY degree DESC, entity_id LIMIT 200) SELECT r.relation_id, r.src_id, r.dst_id, r.support_count FROM relations r JOIN top s ON r.src_id = s.entity_id JOIN top t ON r.dst_id = t.entity_id",
     "evidence_path_chunks": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, ids AS (SELECT unnest(['cust_1', 'part_3']) AS entity_id), around AS (SELECT entity_id FROM ids UNION SELECT other_id FROM ends WHERE entity_id IN (SELECT entity_id FROM ids)) SELECT DISTINCT chunk_id FROM around JOIN relations ON src_id = entity_id JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
     "rank_join_evidence": f"WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}, top AS (SELECT relation_id, row_number() OVER (ORDER BY support_count DESC, confidence DESC, relation_id) AS rank FROM relations WHERE relation_type = 'MEASURED_BY' QUALIFY rank <= 20) SELECT rank, relation_id, evidence_id, chunk_id FROM top JOIN supports USING (relation_id) JOIN evidence USING (evidence_id)",
     "validation_top_pairs": f"WITH {_GRAPH}, top AS (SELECT * FROM relations WHERE relation_type = 'MEASURED_BY' ORDER BY support_count DESC, confidence DESC, relation_id LIMIT 25) SELECT relation_id, s.name AS src_name, d.name AS dst_name, support_count FROM top JOIN entities s ON src_id = s.entity_id JOIN entities d ON dst_id = d.entity_id",
@@ -321,9 +389,28 @@ ORACLES = {
             UNION ALL SELECT vec_id, 2, vec_id, 'graph' FROM embeddings WHERE vec_id % 3 = 0),
         first AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY branch, pos) = 1) SELECT 'C' || row_number() OVER (ORDER BY branch, pos, chunk_id) AS citation, chunk_id, retrieval FROM first ORDER BY branch, pos, chunk_id LIMIT 12""",
     "chunk_rank": f"WITH {_DOC} SELECT doc_id, (CASE WHEN contains(lower(t), 'the') THEN 30 ELSE 0 END + CASE WHEN contains(lower(t), 'license') THEN 30 ELSE 0 END + CASE WHEN contains(lower(t), 'autism') THEN 3 ELSE 0 END + [5, 3, 1, 0, -1][doc_id % 5 + 1])::DOUBLE AS score FROM doc ORDER BY score DESC, doc_id LIMIT 50",
-    "query_router": """SELECT * FROM (VALUES (1::BIGINT, 'knowledge_qa', '', false, false), (2, 'assessment_info', 'ados', false, false), (3, 'unknown', '', false, false), (4, 'risk_info', '风险|相关吗|早产', true, false),
-        (5, 'intervention_advice', 'aba', true, true), (6, 'diagnostic_boundary', '能诊断', true, true)) v(query_id, route, terms, requires_guardrail, requires_followup)""",
-    "keyword_hint_rules": """SELECT * FROM (VALUES (1::BIGINT, 'assessment|almond|azure|tools|measure|blue|parts'), (2, 'screening|autism|ados'), (3, ''), (4, '早产|risk'), (5, 'aba|training'), (6, '能诊断吗')) v(query_id, keywords)""",
+    "query_router": f"""WITH {_ASKED}, {_ROUTED} SELECT query_id, route, array_to_string(terms, '|') AS terms, route IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice', 'risk_info') AS requires_guardrail,
+        route IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice') AS requires_followup FROM routed""",
+    "keyword_hint_rules": f"WITH {_ASKED}, {_KEYWORDS} SELECT query_id, array_to_string(keywords, '|') AS keywords FROM worded",
+    "alias_expand": f"""WITH {_ASKED}, {_KEYWORDS}, groups(g, alias) AS (VALUES {', '.join(f"({g}, '{a}')" for g, a in GROUPS)}), rows AS (SELECT query_id, unnest(keywords) AS keyword, unnest(range(len(keywords))) AS place FROM worded),
+        every AS (SELECT query_id, place, 0 AS rank, '' AS second, keyword FROM rows UNION ALL SELECT DISTINCT query_id, place, 1, y.alias, y.alias FROM rows JOIN groups x ON {_SPACED.format('keyword')} = {_SPACED.format('x.alias')} JOIN groups y ON x.g = y.g),
+        once AS (SELECT * FROM (SELECT *, {_SPACED.format('keyword')} AS key FROM every) QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY place, rank, second, keyword) = 1)
+        SELECT query_id, keyword, row_number() OVER (PARTITION BY query_id ORDER BY place, rank, second, key) - 1 AS place FROM once""",
+    "graph_search": f"WITH {_FIRST_PASS} SELECT query_id, chunk_id, way FROM a_chunks",
+    "graph_search_relations": f"WITH {_FIRST_PASS} SELECT query_id, place, relation_id, entity_id, relation_type, other_id FROM a_followed WHERE place <= 50",
+    "retrieval_trace": f"WITH {_FIRST_PASS}, {_traced('a')} SELECT query_id, step, stage, n, first FROM traced",
+    "followup_plan": f"WITH {_FIRST_PASS}, {_PLANNED} SELECT query_id, route, reason, follow_query, array_to_string(follow_keywords, '|') AS follow_keywords FROM planned",
+    "agent_trace": f"""WITH {_FIRST_PASS}, {_PLANNED}, b_words AS (SELECT query_id, keyword, {_SPACED.format('keyword')} AS key FROM (SELECT DISTINCT query_id, unnest(follow_keywords) AS keyword FROM planned)), {_searched('b')},
+        c_matched AS (SELECT query_id, entity_id FROM a_matched UNION ALL SELECT query_id, entity_id FROM b_matched), c_ranked AS (SELECT query_id, entity_id FROM a_ranked UNION SELECT query_id, entity_id FROM b_ranked),
+        c_frontier AS (SELECT query_id, entity_id, min(distance) FILTER (pass = 0) AS d0, min(distance) AS d1 FROM (SELECT 0 AS pass, * FROM a_frontier UNION ALL SELECT 1, * FROM b_frontier) GROUP BY 1, 2),
+        c_far AS (SELECT query_id, entity_id FROM c_frontier WHERE coalesce(d0, d1) > 0), c_shown AS (SELECT query_id, min(relation_id) AS relation_id FROM (SELECT 0 AS pass, * FROM a_followed WHERE place <= 50 UNION ALL SELECT 1, * FROM b_followed WHERE place <= 50) GROUP BY query_id, entity_id, relation_type, other_id),
+        c_chunks AS (SELECT query_id, chunk_id FROM a_chunks UNION SELECT query_id, chunk_id FROM b_chunks), {_traced('c')} SELECT query_id, step, stage, n, first FROM traced""",
+    "entity_resolution_in_order": f"WITH RECURSIVE {_CANONICAL} SELECT entity_id, group_id, canonical_name, canonical_id FROM canonical",
+    "relation_rekey": f"""WITH RECURSIVE {_CANONICAL}, mentions AS (SELECT l_orderkey * 10 + l_linenumber AS seq, s.canonical_id AS src_id, d.canonical_id AS dst_id, l_discount, CASE WHEN l_linenumber > 1 THEN o_orderpriority || ' ' || l_linestatus END AS text, l_orderkey, o_custkey, o_orderstatus
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN canonical s ON s.entity_id = 'cust_' || o_custkey JOIN canonical d ON d.entity_id = 'part_' || l_partkey)
+        SELECT src_id, 'MEASURED_BY' AS relation_type, dst_id, ((sum(round(l_discount * 1000000)::BIGINT) + 50 * count(*)) // (100 * count(*))) / 10000 AS confidence, count(DISTINCT l_orderkey) AS support_count, coalesce(arg_min(text, seq) FILTER (text IS NOT NULL), '') AS evidence_example,
+            array_to_string(list_sort(list(DISTINCT 'ev_' || l_orderkey)), '|') AS support_evidence_ids, array_to_string(list_sort(list(DISTINCT 'c_' || o_custkey)), '|') AS support_chunk_ids, array_to_string(list_sort(list(DISTINCT o_orderstatus)), '|') AS support_doc_ids
+        FROM mentions GROUP BY src_id, dst_id""",
     "answer_policy": f"""WITH {_INSPECTED}, p AS (SELECT *, route IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice', 'risk_info') OR has_low OR has_research AS guardrail, route IN ('safety_boundary', 'diagnostic_boundary') AS boundary,
             route NOT IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice', 'risk_info') AND NOT has_low AND NOT has_research AS certainty FROM routed)
         SELECT doc_id, route, CASE WHEN boundary THEN 'guardrailed_answer' WHEN has_research THEN 'evidence_answer_with_research_boundary' WHEN guardrail THEN 'guardrailed_answer' ELSE 'evidence_answer' END AS answer_mode, guardrail, has_research AS research_boundary, certainty,

@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 
+#: Query texts for the retrieval queries.
+QUESTIONS = (
+    "Which steel tools measure blue parts?", "Autism screening with ADOS", "", "早产和自闭症风险相关吗", "ABA training of customer#000000012", "能诊断吗", "如果量表正常，是否就不需要专业评估了？", "饮食干预是否可以治愈 ASD？",
+    "两三岁孩子社交反应少，家长想先做个筛查", "孤独症孩子睡不好还特别好动", "supplier#000000003, green or red?", "回答 ASD 知识问题时为什么需要说明文献证据来源？",
+)
+#: Words of a query that a search takes as keywords.
+SEARCH_WORDS = 8
+#: Alias groups (group, alias).
+GROUPS = ((1, "ados"), (1, "ados-2"), (2, "aba"), (2, "Applied Behavior Analysis"), (3, "autism"), (3, "asd"))
 # Evidence levels by order priority.
 PRIORITY = {"1-URGENT": "S", "2-HIGH": "A", "3-MEDIUM": "B"}
 

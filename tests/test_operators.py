@@ -7,7 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 from skein.operators import catalog as sources
-from skein.operators import chunking, cleaning, evaluation, graph, matching, quality, ranks, retrieval, runs
+from skein.operators import chunking, cleaning, evaluation, graph, matching, quality, ranks, resolution, retrieval, runs, search
 from skein.sources import edge, tables
 from skein.streaming import ingest
 
@@ -168,10 +168,56 @@ def test_resolution_of_a_long_chain(spark, step):
     assert sorted(tuple(r) for r in graph.resolved(table).collect()) == [*((e, "e000") for e in sorted(ids)), ("z", "z"), ("z", "z")]
 
 
+def folded(rows):
+    """The ordered reading, one entity after the other: entity_id -> (group, canonical_id)."""
+    groups, of = [], {}
+    for entity, kind, names in sorted(rows):
+        names = {n for n in names if n}
+        if not names:
+            continue
+        group = next((g for g in groups if g[1] == kind and g[2] & names), None)
+        if group is None:
+            groups.append(group := [entity, kind, set()])
+        group[2] |= names
+        of[entity] = group
+    first = {}
+    for g in groups:
+        first.setdefault((g[1], min(g[2])), g[0])
+    return {e: (g[0], min(g[2]), first[g[1], min(g[2])]) for e, g in of.items()}
+
+
 def test_resolution_in_order_bridges_nothing(spark):
-    rows = [("a", "x", "T", ["p"]), ("b", "y", "T", ["q"]), ("c", "z", "T", ["p", "q"]), ("d", "x", "U", [])]
-    table = spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>")
-    assert {r["entity_id"]: r["canonical_id"] for r in graph.resolved_in_order(table).collect()} == {"a": "a", "b": "b", "c": "a", "d": "d"}
+    rows = [("e1", "a", "T", []), ("e2", "b", "T", []), ("e3", "a", "T", ["b"]), ("e4", "b", "T", [])]
+    found = {r["entity_id"]: r["group_id"] for r in resolution.groups_in_order(spark.createDataFrame(rows, "entity_id string, name string, type string, synonyms array<string>")).collect()}
+    # The bridge joins the first group and brings it the other's alias; what comes later follows.
+    assert found == {"e1": "e1", "e2": "e2", "e3": "e1", "e4": "e1"}
+
+
+def test_resolution_in_order_as_the_fold(spark):
+    """A thousand random inputs at once, each of a type of its own."""
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for k in range(1000):
+        size = r.choice([1, 2, 5, 9, 14])
+        rows += [(f"{k:04d}_{i:02d}", f"t{k}", [r.choice(["", *"abcdefghij"[: r.choice([2, 5, 10])]]) for _ in range(r.randint(1, 4))]) for i in range(size)]
+    # A chain, and an alias that most entities of a type share.
+    rows += [(f"c{i:04d}", "chain", [f"n{i}", f"n{i + 1}"]) for i in range(200)] + [(f"h{i:04d}", "hot", ["hot" if i % 3 else f"x{i}", f"y{i % 7}"]) for i in range(300)]
+    table = spark.createDataFrame([(e, n[0], t, n[1:]) for e, t, n in rows], "entity_id string, name string, type string, synonyms array<string>").repartition(4)
+    found = resolution.canonical(table)
+    got = {x["entity_id"]: (x["group_id"], x["canonical_name"], x["canonical_id"]) for x in found.collect()}
+    assert got == folded(rows)
+
+
+def test_relations_of_canonical_entities(spark):
+    groups = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c")], "entity_id string, canonical_id string")
+    rows = [(2, "b", "R", "c", "0.5", " late ", "v2", "k2", "d1"), (1, "a", "R", "c", "x", "  ", "v1", "k1", "d1"), (3, "a", "R", "c", None, "later", "v2", "k2", "d2"), (4, "a", "R", "gone", "1", "t", "v", "k", "d"), (5, "a", None, "c", "1", "t", "v", "k", "d"), (6, "a", "R", "b", "1", None, None, None, None)]
+    mentions = spark.createDataFrame(rows, "seq int, src_id string, relation_type string, dst_id string, confidence string, evidence_text string, evidence_id string, chunk_id string, doc_id string")
+    found = {(r["src_id"], r["dst_id"]): r for r in resolution.rekeyed(mentions, groups).collect()}
+    one = found["a", "c"]
+    assert (one["confidence"], one["support_count"], one["evidence_example"], one["support_evidence_ids"], one["support_doc_ids"]) == (0.1667, 2, "late", ["v1", "v2"], ["d1", "d2"])
+    assert len(found) == 2 and (found["a", "a"]["support_count"], found["a", "a"]["evidence_example"], found["a", "a"]["support_chunk_ids"]) == (0, "", [])
 
 
 def test_alias_in_two_groups(spark):
@@ -510,3 +556,63 @@ def test_curated_merge(spark):
     log = {r["merge_key"]: r for r in graph.merge_log(keyed).collect()}
     assert set(log) == {"curated:ados", "cars"} and log["cars"]["names"] == ["CARS!", "cars"] and log["curated:ados"]["source_chunk_count"] == 14
     assert graph.curated(keyed.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("query", "want", "without"),
+    [
+        ("如果量表正常，是否就不需要专业评估了？", {"评估", "专业评估", "ASD"}, set()), ("两三岁孩子社交反应少，家长想先做个筛查", {"筛查", "M-CHAT"}, set()), ("孩子语言少、不太看人，是不是就能判断为自闭症？", {"ASD", "诊断"}, set()),
+        ("家庭训练和学校融合支持能否套用同一套孤独症干预方案？", {"家庭", "学校", "干预"}, set()), ("孤独症孩子睡不好还特别好动", {"睡眠", "注意力", "ADHD"}, set()), ("饮食干预是否可以治愈 ASD？", {"饮食干预", "治愈"}, {"干预"}),
+        ("回答 ASD 知识问题时为什么需要说明文献证据来源？", {"证据"}, {"回答"}), ("blue Steel-7 blue", {"blue", "Steel-7"}, {"ASD"}), ("?", {"?"}, set()), (None, {""}, set()),
+    ],
+)
+def test_keywords_of_a_query(spark, query, want, without):
+    found = spark.createDataFrame([(query,)], "q string").select(retrieval.keywords(F.col("q"))).first()[0]
+    assert want <= set(found) and not without & set(found) and len(found) == len(set(found))
+    assert "ASD" not in found or found[0] == "ASD"
+
+
+def test_relation_ends_with_ideographic_space_and_repeated_ids(spark):
+    text = "The study found that autism was assessed with ADOS scale in children."
+    entities = spark.createDataFrame([("c", "a", "autism", "Condition", []), ("c", "t", "ADOS\u3000 scale", "AssessmentTool", []), ("c", "t", "ADOS\u3000 scale", "AssessmentTool", ["x"])], "chunk_id string, entity_id string, name string, type string, synonyms array<string>")
+    rows = spark.createDataFrame([("c", "a", "MEASURED_BY", "t", text, 1.0)], "chunk_id string, src_id string, relation_type string, dst_id string, evidence_text string, confidence double")
+    assert [r["reject_reason"] for r in runs.checked(rows, entities).collect()] == [None]
+
+
+@pytest.fixture(scope="module")
+def small_graph(spark):
+    entities = spark.createDataFrame([(f"e{i}", n, [], 5, 2, False) for i, n in enumerate(["blue bolt", "blue gear", "red nut", "green cog", "far wheel", "alone"])], "entity_id string, name string, synonyms array<string>, source_chunk_count long, source_doc_count long, is_isolated boolean")
+    edges = [("r0", "e0", "e2"), ("r1", "e2", "e3"), ("r2", "e3", "e4"), ("r3", "e1", "e0"), ("r4", "e0", "e0"), ("r5", "e2", None)]
+    relations = spark.createDataFrame([(r, a, "R", b) for r, a, b in edges], "relation_id string, src_id string, relation_type string, dst_id string")
+    supports = spark.createDataFrame([(r, f"v{r}") for r in ("r0", "r1", "r2", "r3")], "relation_id string, evidence_id string")
+    evidence = spark.createDataFrame([(f"vr{k}", c) for k, c in enumerate(["k0", "k1", "k2", None])], "evidence_id string, chunk_id string")
+    return search.indexed(entities, relations, supports, evidence)
+
+
+def test_frontier_by_distance(spark, small_graph):
+    seeds = spark.createDataFrame([(1, "e0"), (1, "e1"), (2, "e4"), (2, "e4"), (3, "e5")], "query_id long, entity_id string")
+    found = {(r["query_id"], r["entity_id"]): (r["distance"], r["via"]) for r in search.expanded(seeds, small_graph.ways, 2).collect()}
+    assert found == {(1, "e0"): (0, None), (1, "e1"): (0, None), (1, "e2"): (1, "e0"), (1, "e3"): (2, "e2"), (2, "e4"): (0, None), (2, "e3"): (1, "e4"), (2, "e2"): (2, "e3"), (3, "e5"): (0, None)}
+
+
+def test_graph_search_and_its_trace(spark, small_graph):
+    queries = spark.createDataFrame([(1, "blue"), (2, "alone"), (3, "nothing like it")], "query_id long, keyword string")
+    found = search.searched(queries, small_graph)
+    assert {(r["query_id"], r["chunk_id"], r["way"]) for r in found.chunks.collect()} == {(1, "k0", 0), (1, "k1", 0)}
+    assert [(r["place"], r["relation_id"], r["other_id"]) for r in found.relations.where("query_id = 1").orderBy("place").collect()] == [(1, "r0", "e2"), (2, "r3", "e1"), (3, "r4", "e0"), (4, "r4", "e0"), (5, "r3", "e0")]
+    rows = {(r["query_id"], r["stage"]): r["n"] for r in search.trace(queries, found).collect()}
+    assert len(rows) == 15 and rows[1, "matched"] == 2 and rows[1, "frontier"] == 1 and rows[2, "ranked"] == 1 and rows[2, "chunks"] == 0 and rows[3, "matched"] == 0
+
+
+def test_second_pass_for_those_that_need_it(spark, small_graph):
+    rows = [(1, "blue 治愈", ["blue"]), (2, "alone 能诊断", ["alone"]), (3, "no hit", ["zzz"]), (4, "高压氧 zzz", ["zzz", "far"])]
+    queries = evaluation.routed(spark.createDataFrame(rows, "query_id long, query string, keywords array<string>"))
+    first = search.searched(queries.select("query_id", F.explode("keywords").alias("keyword")), small_graph)
+    counted = search.flags(queries, first).withColumns({"n_low": F.lit(0), "n_research": F.lit(0)})
+    plans = {r["query_id"]: r for r in search.planned(evaluation.follows_up(evaluation.inspected(counted))).collect()}
+    assert set(plans) == {2, 3} and plans[2]["follow_keywords"][0] == "ASD" and plans[3]["follow_query"] == "no hit ASD 图谱证据 评估 干预" and plans[3]["follow_keywords"][:2] == ["zzz", "ASD"]
+    second = search.searched(spark.createDataFrame([(3, "green"), (1, "blue")], "query_id long, keyword string"), small_graph)
+    both = search.merged(first, second)
+    n = {(r["query_id"], r["stage"]): r["n"] for r in search.trace(queries, both).collect()}
+    assert n[3, "ranked"] == 1 and n[3, "chunks"] == 2 and n[1, "relations"] == 4 and n[1, "chunks"] == 2
+    assert both.relations.groupBy("query_id", "place").count().where("count > 1").count() == 0
