@@ -11,8 +11,9 @@ are compared.  Links are confirmed on the full sets, which joins nearly all that
 nodes are still in several components are opened: their nodes are dealt to the tables, and nodes of a table that spans
 components meet by left key.  Such a group is settled inside its task: nodes of different components are compared by
 signatures of SIGNATURE minhashes, the likeliest first, confirmed on the full sets and merged, and only the links that merged
-components leave the task.  A large group is cut into blocks, and pairs of blocks are tasks.  Pairs compared in a task grow with
-the square of a group that stays apart; its rows and links don't.
+components leave the task.  A large group is cut into blocks, and pairs of blocks are tasks.  Where many texts share a left
+key and a table without being similar, the pairs compared grow with the square of their number n, and the rows dealt to
+tasks, each with its text, with n * n / BLOCK; the links stay below n.
 
 Edge cases: null text, or one without words, has an empty set, is linked with nothing and kept.  Fewer words than a
 shingle: the whole sequence is one shingle.  Rows that repeat a doc_id are judged each by its own text, and stand in their

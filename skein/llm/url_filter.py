@@ -1,7 +1,8 @@
 """URL filter by a Bloom filter cascade over the corpus's own keys.
 
-A key is a host or one of its parent domains together with a leading piece of the path that ends in "/": what a rule could
-name.  The universe is every distinct key of the pages whose depth a rule can have.  Level 0 encodes the listed keys; level
+A key is a host or one of its parent domains together with a leading piece of the path: what a rule could name.  A rule's path
+is what ends in its last "/" and a rest; pieces of a page's path end in each "/" up to the rules' greatest depth, and go on by
+each of the lengths that the rests have (0 where paths end in "/"), within the next part of the path.  The universe is every distinct key of the pages whose depth a rule can have.  Level 0 encodes the listed keys; level
 1 the keys of the universe that pass level 0 though they aren't listed; level 2 the listed keys that pass level 1; and so
 on, until no key is left over.  A key is listed if the first level that rejects it is an odd one, so membership is exact for
 all keys of the universe and a page is judged without a join.  Blocked and allowed keys have a cascade each.
@@ -11,8 +12,9 @@ slice at a time is broadcast, and marks its keys in the pages, which are written
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by the method (an
 empty host is not listed: allow).  An empty host name and empty path give no key.  Repeated pages are judged row by row;
-extra columns are ignored.  A key listed both ways is blocked; rules with a null are skipped.  An empty table gives an empty
-result.
+extra columns are ignored.  A rule with an empty path fits all paths of its host; one whose path begins otherwise than with
+"/" fits none.  Of rules of equal length the blocking ones come first, then the one with the longest host; a key listed both
+ways is blocked; rules with a null are skipped.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,18 +58,21 @@ def domains(host: Column) -> Column:
     return F.filter(all_, lambda d: d != "")
 
 
-def prefixes(path: Column, depth: int) -> Column:
-    """Leading pieces of the path that end in "/", at most `depth` of them, the longest first."""
+def prefixes(path: Column, depth: int, rests: list[int]) -> Column:
+    """Leading pieces of the path, the longest first: up to each of its first `depth` slashes, and so many characters (rests)
+    of the part behind it; the empty piece too if -1 is among the rests."""
     parts = F.split(path, "/", -1)
     n = F.least(F.size(parts) - 1, F.lit(depth))
-    return F.when(
-        F.startswith(path, F.lit("/")),
-        F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))),
-    ).otherwise(F.array().cast("array<string>"))
+    base = lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))
+    longest = sorted((r for r in rests if r >= 0), reverse=True)
+    after = lambda i: F.array(*[F.when(F.length(F.get(parts, i)) >= r, F.concat(base(i), F.left(F.get(parts, i), F.lit(r)))) for r in longest])
+    pieces = F.array_compact(F.flatten(F.transform(F.sequence(n, F.lit(1), F.lit(-1)), after))) if longest != [0] else F.transform(F.sequence(n, F.lit(1), F.lit(-1)), base)
+    none = F.array(F.lit("")) if -1 in rests else F.array().cast("array<string>")
+    return F.when(F.startswith(path, F.lit("/")), F.concat(pieces, none)).otherwise(none)
 
 
-def keys(host: Column, path: Column, depth: int) -> Column:
-    return F.flatten(F.transform(domains(host), lambda d: F.transform(prefixes(path, depth), lambda p: F.concat(d, p))))
+def keys(host: Column, path: Column, depth: int, rests: list[int]) -> Column:
+    return F.flatten(F.transform(domains(host), lambda d: F.transform(prefixes(path, depth, rests), lambda p: F.concat(d, p))))
 
 
 class Level:
@@ -200,12 +205,15 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, unwanted=UNWANTED) -
     if rules is None:
         rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     rules = rules.where("verdict is not null and host is not null and path is not null")
-    depth = rules.agg(F.coalesce(F.max(F.size(F.split("path", "/")) - 1), F.lit(1))).first()[0]
+    # Depths and lengths of paths are few, however many rules there are; -1 stands for an empty path.
+    rest = F.when(F.col("path") == "", -1).otherwise(F.length(F.substring_index("path", "/", -1)))
+    shape = rules.where("path = '' or path like '/%'").agg(F.coalesce(F.max(F.size(F.split("path", "/")) - 1), F.lit(1)).alias("depth"), F.collect_set(rest).alias("rests")).first()
+    depth, rests = max(1, shape["depth"]), shape["rests"] or [0]
     host, path = host_and_path(F.col("url"))
     split = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     # Bare labels are keys too: the method's own list names labels of hosts.
     labels = F.filter(F.split("host", r"\."), lambda x: x != "")
-    split = split.withColumn("keys", F.concat(keys(F.col("host"), F.col("path"), depth), F.transform(labels, lambda x: F.concat(F.lit("*"), x))))
+    split = split.withColumn("keys", F.concat(keys(F.col("host"), F.col("path"), depth, rests), F.transform(labels, lambda x: F.concat(F.lit("*"), x))))
     universe = common.written(split.select(F.explode("keys").alias("key")).select(F.xxhash64("key").alias("h")).distinct(), "url-keys")
     stars = spark.createDataFrame([(f"*{label}",) for label in unwanted], "key string")
     marked, shelf = split.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k))), common.Shelf(spark)

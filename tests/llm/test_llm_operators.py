@@ -708,6 +708,26 @@ def test_urls_of_a_list_table(spark, monkeypatch, limit):
         assert (r["rule"], r["verdict"]) == want, urls[r["page_id"]]
 
 
+def test_urls_of_rules_with_any_path(spark):
+    """Rules that end within a part of a path, at the host itself, and of equal length, by trying each rule on each page."""
+    rules = [
+        ("block", "a.com", "/en"), ("allow", "a.com", "/en/q"), ("block", "b.org", ""), ("allow", "b.org", "/x"), ("block", "c.net", "/p/long-name"), ("allow", "sub.c.net", "/p/"), ("block", "d.io", "no-slash"), ("block", "e.com", "/ab"),
+        ("allow", "x.e.com", "/"), (None, "f.com", "/"), ("block", "g.com", "/v/"), ("allow", "g.com", "/v/"),
+    ]
+    hosts = ["a.com", "www.a.com", "b.org", "c.net", "sub.c.net", "d.io", "x.e.com", "f.com", "g.com", "other.com", "xa.com"]
+    paths = ["", "/", "/e", "/en", "/english", "/en/", "/en/q", "/en/qu/z", "/x", "/xy", "/p/", "/p/long-name", "/p/long-named/z", "/p/long", "/ab", "/abc?q", "/v/", "/v", "/" + "d/" * 30 + "e", "/" + "l" * 5000]
+    urls = [f"http://{h}{p}" for h in hosts for p in paths]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect()}
+    for i, url in enumerate(urls):
+        rest = url[7:]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        fits = [(v, h, p) for v, h, p in rules if v and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        fits.sort(key=lambda r: (-len(r[1] + r[2]), r[0] != "block", -len(r[1])))
+        assert found[i] == ((fits[0][1] + fits[0][2], fits[0][0]) if fits else (None, "allow")), url
+
+
 def test_cascade_is_exact(spark, monkeypatch):
     """Small filters have many false positives, so many levels are needed; all are right for the whole universe."""
     monkeypatch.setattr(url_filter, "BITS", 2)
