@@ -68,8 +68,9 @@ def follows_up(rows: DataFrame) -> DataFrame:
     return rows.withColumn("follow_up", F.col("needs_more") | (F.col("route").isin(*FOLLOWUP_ROUTES) & lacking))
 
 
-def answer_checks(rows: DataFrame, guard_terms, research_terms) -> DataFrame:
-    """rows (answer, context, expect_terms, needs_guardrail, needs_research, dry_run, n_contexts, n_graph) with the checks and ok."""
+def answer_checks(rows: DataFrame, guard_terms, research_terms, claims, negations) -> DataFrame:
+    """rows (answer, context, expect_terms, needs_guardrail, needs_research, dry_run, n_contexts, n_graph) with the checks and ok:
+    all eight hold.  claims overstate unless a negation stands near them."""
     answer = F.coalesce("answer", F.lit(""))
     real = ~F.col("dry_run")
     low = F.lower(F.coalesce("context", F.lit("")))
@@ -83,6 +84,7 @@ def answer_checks(rows: DataFrame, guard_terms, research_terms) -> DataFrame:
         "answer_cited": ~real | answer.rlike(r"\[(?:C|G)\d+\]"),
         "guardrail_ok": ~(real & F.col("needs_guardrail")) | any_of(guard_terms),
         "research_boundary_ok": ~(real & F.col("needs_research")) | any_of(research_terms),
+        "no_clinical_overstatement": ~overstated(answer, claims, negations),
     }
     out = rows.withColumns(checks)
     ok = F.lit(True)

@@ -116,30 +116,44 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
-def gate(graded_docs: DataFrame, least_b: float = 0.95, most_noisy: float = 0.05) -> DataFrame:
-    """One row: share of documents graded B or better, share with noisy lines, and whether both pass."""
-    out = graded_docs.agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("grade").isin("A", "B")).alias("n_good"),
-        F.count_if(F.col("noisy_lines") > 0.10).alias("n_noisy"),
-    )
-    n = F.greatest("n", F.lit(1))
-    return out.withColumn("passed", (F.col("n_good") >= least_b * n) & (F.col("n_noisy") <= most_noisy * n))
-
-
-def chunk_gate(graded_chunks: DataFrame) -> DataFrame:
-    """One row: coverage of documents, chunks in range, noisy, short, duplicate, and whether all thresholds hold."""
+# The gates' thresholds, shares of documents or chunks but for the 95th percentiles.
+DOC_GATE = {"least_good": 0.90, "most_p95_cjk_spaces": 0.08, "most_spaced": 0.05, "most_p95_noisy_lines": 0.12, "most_failed": 0.03}
+CHUNK_GATE = {"least_covered": 0.99, "least_in_range": 0.95, "most_noisy": 0.03, "most_short": 0.03, "most_duplicate": 0.08}
+SPACED, SHORT_TOKENS = 0.20, 120
+
+
+def gate(graded_docs: DataFrame) -> DataFrame:
+    """One row: documents graded B or better, with many spaces between CJK characters, and failed; 95th percentiles (by index)
+    of these spaces and of noisy lines, to four places; and whether all five thresholds hold.  No document passes nothing."""
+    out = graded_docs.agg(F.count("*").alias("n"), F.count_if(F.col("grade").isin("A", "B")).alias("n_good"), F.count_if(F.round("cjk_spaces", 4) > SPACED).alias("n_spaced"), F.count_if(F.col("grade") == "F").alias("n_failed"))
+    for name in ("cjk_spaces", "noisy_lines"):
+        top = ranks.at_ranks(graded_docs.select(F.round(name, 4).alias(name)), name, {f"p95_{name}": ranks.index95})
+        # One row each.
+        out = out.crossJoin(F.broadcast(top.agg(F.max(f"p95_{name}").alias(f"p95_{name}"))))
+    n, most = F.col("n"), DOC_GATE
+    ok = (F.col("n_good") >= most["least_good"] * n) & (F.col("n_spaced") <= most["most_spaced"] * n) & (F.col("n_failed") <= most["most_failed"] * n)
+    ok &= (F.col("p95_cjk_spaces") <= most["most_p95_cjk_spaces"]) & (F.col("p95_noisy_lines") <= most["most_p95_noisy_lines"])
+    return out.withColumn("passed", F.coalesce(ok & (n > 0), F.lit(False)))
+
+
+def chunk_gate(graded_chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: chunks in range, noisy, short, duplicate, expected documents (doc_id) and those with a chunk, and whether all
+    thresholds hold.  Where no document is expected, all are covered."""
     has = lambda name: F.array_contains("risk_flags", F.lit(name))
     out = graded_chunks.agg(
         F.count("*").alias("n"),
         F.count_if((F.col("tokens") >= 180) & (F.col("tokens") <= 760)).alias("in_range"),
-        F.count_if(has("noisy_high")).alias("noisy"),
-        F.count_if(has("too_short_severe")).alias("short"),
+        F.count_if(has("noisy_high") | has("noisy_mild")).alias("noisy"),
+        F.count_if(F.col("tokens") < SHORT_TOKENS).alias("short"),
         (F.count("*") - F.count_distinct(T.signature(F.col("text")))).alias("duplicate"),
     )
-    n = F.greatest("n", F.lit(1))
-    ok = (F.col("in_range") >= 0.95 * n) & (F.col("noisy") <= 0.03 * n) & (F.col("short") <= 0.03 * n) & (F.col("duplicate") <= 0.08 * n)
-    return out.withColumn("passed", ok)
+    wanted = expected.select("doc_id").distinct()
+    held = wanted.join(graded_chunks.select("doc_id").distinct().withColumn("held", F.lit(True)), "doc_id", "left")
+    # One row each.
+    out = out.crossJoin(F.broadcast(held.agg(F.count("*").alias("expected"), F.count("held").alias("covered"))))
+    n, most = F.greatest("n", F.lit(1)), CHUNK_GATE
+    ok = (F.col("in_range") >= most["least_in_range"] * n) & (F.col("noisy") <= most["most_noisy"] * n) & (F.col("short") <= most["most_short"] * n) & (F.col("duplicate") <= most["most_duplicate"] * n)
+    return out.withColumn("passed", ok & (F.col("covered") >= most["least_covered"] * F.col("expected")))
 
 
 def metric_summary(df: DataFrame, column: str) -> DataFrame:
@@ -165,13 +179,14 @@ def duplicate_groups(chunks: DataFrame, key: str) -> DataFrame:
     return grouped.agg(F.count("*").alias("n"), F.min(key).alias("first")).where("n > 1")
 
 
-def stratified(graded_rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows: a quota of each grade first (a tenth of n for D and F, a twentieth for the others), then any.
+def stratified(graded_rows: DataFrame, key: str, n: int, seed: int = 42, low=("D", "F"), shares: tuple[int, int] = (10, 20)) -> DataFrame:
+    """n rows: a quota of each grade first, then any: of n, one in shares[0] for each low grade and one in shares[1] for others.
 
-    Rows are drawn in the order of a hash with the seed, so a sample can be drawn again.
+    Rows are drawn in the order of a hash with the seed, so a sample can be drawn again.  Documents have low grades D and F
+    and shares of 10 and 20, chunks C and D, 8 and 16.
     """
     draw = F.xxhash64(F.col(key), F.lit(seed))
-    quota = F.when(F.col("grade").isin("D", "F"), max(1, n // 10)).otherwise(max(1, n // 20))
+    quota = F.when(F.col("grade").isin(*low), max(1, n // shares[0])).otherwise(max(1, n // shares[1]))
     order = Window.partitionBy("grade").orderBy(draw, key)
     # The first n of a grade are enough for any outcome.
     few = graded_rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)

@@ -16,6 +16,9 @@ from skein.sources import tables
 CURATED = (("AssessmentTool", "bolts", "blue bolt"), ("AssessmentTool", "bolts", "Red  Bolt"), ("AssessmentTool", "gears", "hot gear"), ("Intervention", "firm", "supplier#000000001"))
 WORDS = ("blue", "green", "steel", "customer#0000001")
 
+#: Claims that overstate, and what negates them nearby.
+CLAIMS = (("the", "un"), ("in", "de "))
+
 _queries: dict = {}
 
 
@@ -171,7 +174,8 @@ def chunk_quality(spark, d):
 @query
 def chunk_gate(spark, d):
     docs = views.documents(spark, d).withColumn("text", F.coalesce("text", F.lit("")))
-    return quality.chunk_gate(quality.chunk_graded(docs.withColumn("tokens", T.tokens(F.col("text")))))
+    expected = views.read(spark, d, "labels").where("quality = 1").select("doc_id")
+    return quality.chunk_gate(quality.chunk_graded(docs.withColumn("tokens", T.tokens(F.col("text")))), expected)
 
 
 @query
@@ -675,12 +679,12 @@ def _evaluated(spark, d):
         F.array(F.lit("the"), F.lit("und")).alias("expect_terms"), (F.col("turn") % 2 == 0).alias("needs_guardrail"), F.lit(False).alias("needs_research"), (F.col("conv_id") % 4 == 0).alias("dry_run"),
         (F.col("turn") + F.col("conv_id") % 2).alias("n_contexts"), (F.col("conv_id") % 3).alias("n_graph"),
     )
-    return evaluation.answer_checks(rows, ("of", "le"), ("research",))
+    return evaluation.answer_checks(rows, ("of", "le"), ("research",), *CLAIMS)
 
 
 @query
 def term_presence_checks(spark, d):
-    checks = ("answer_present", "retrieved_context", "retrieved_graph", "expected_term_seen", "answer_cited", "guardrail_ok", "ok")
+    checks = ("answer_present", "retrieved_context", "retrieved_graph", "expected_term_seen", "answer_cited", "guardrail_ok", "no_clinical_overstatement", "ok")
     return _evaluated(spark, d).select("conv_id", "turn", *checks)
 
 
@@ -722,7 +726,7 @@ def compare_counts(spark, d):
 
 def _metrics(spark, d):
     rows = _evaluated(spark, d).withColumns({"n_relations": F.col("conv_id") % 3, "n_entities": F.col("turn") % 2, "n_graph_contexts": F.col("turn") % 4, "n_cited": F.col("turn") % 2, "seconds": F.lit(1.0)})
-    return evaluation.answer_metrics(rows, ("of", "le"), ("research",), ("the", "un"), ("in", "de "))
+    return evaluation.answer_metrics(rows, ("of", "le"), ("research",), *CLAIMS)
 
 
 @query

@@ -132,12 +132,16 @@ def _best(per: int, keep: int) -> str:
 _FUSED = f"""{_SCORES}, {_best(40, 40)}, fused AS (SELECT vec_id, score, vec_id % 3 = 0 AS in_graph, evidence_level, round(score + CASE WHEN vec_id % 3 = 0 THEN 0.15 ELSE 0 END
     + CASE evidence_level WHEN 'S' THEN 0.1 WHEN 'A' THEN 0.05 WHEN 'B' THEN 0 WHEN 'C' THEN -0.02 ELSE -0.05 END, 6) AS merged_score
     FROM (SELECT *, substr('SABCD', label % 5 + 1, 1) AS evidence_level FROM best))"""
+_OPEN = " OR ".join(
+    f"len(list_filter(range(1, length(answer) + 1), lambda i: substr(answer, i, {len(p)}) = '{p}' AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'in') AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'de '))) > 0"
+    for p in ("the", "un")
+)
 _CHECKED = r"""c AS (SELECT conv_id, turn, role AS category, CASE WHEN turn % 3 = 0 THEN text || ' [C1]' ELSE text END AS answer, text AS context, turn % 2 = 0 AS needs_guardrail,
     conv_id % 4 = 0 AS dry_run, turn + conv_id % 2 AS n_contexts, conv_id % 3 AS n_graph FROM conversations),
 checked AS (SELECT *, dry_run OR trim(coalesce(answer, '')) <> '' AS answer_present, n_contexts > 0 AS retrieved_context, n_graph > 0 AS retrieved_graph,
     contains(lower(coalesce(context, '')), 'the') OR contains(lower(coalesce(context, '')), 'und') AS expected_term_seen, dry_run OR regexp_matches(coalesce(answer, ''), '\[(C|G)\d+\]') AS answer_cited,
-    NOT (NOT dry_run AND needs_guardrail) OR contains(lower(coalesce(answer, '')), 'of') OR contains(lower(coalesce(answer, '')), 'le') AS guardrail_ok FROM c),
-judged AS (SELECT *, answer_present AND retrieved_context AND retrieved_graph AND expected_term_seen AND answer_cited AND guardrail_ok AS ok FROM checked)"""
+    NOT (NOT dry_run AND needs_guardrail) OR contains(lower(coalesce(answer, '')), 'of') OR contains(lower(coalesce(answer, '')), 'le') AS guardrail_ok, coalesce(NOT ({open}), true) AS no_clinical_overstatement FROM c),
+judged AS (SELECT *, answer_present AND retrieved_context AND retrieved_graph AND expected_term_seen AND answer_cited AND guardrail_ok AND no_clinical_overstatement AS ok FROM checked)""".replace("{open}", _OPEN)
 _TIMED = """timed AS (SELECT l_linestatus AS model, l_returnflag AS profile, CASE WHEN l_linenumber % 2 = 0 THEN 'agent' ELSE 'standard' END AS pipeline,
     CASE WHEN l_discount > 0.09 THEN 'degraded' ELSE 'done' END AS status, l_tax < 0.07 AS passed, l_quantity AS seconds FROM lineitem),
 latencies AS (SELECT model, profile, pipeline, count(*)::BIGINT AS runs, count(*) FILTER (WHERE status = 'done') AS successes, count(*) FILTER (WHERE status = 'degraded') AS degraded,
@@ -177,10 +181,6 @@ pairs AS (SELECT a.conv_id, a.category, CASE WHEN NOT b.ok AND a.ok THEN 'agent_
     WHEN a.n > b.n THEN 'agent_gain' WHEN a.n < b.n THEN 'agent_loss' ELSE 'tie' END AS delta, a.n - b.n AS gain, a.n % 3 = 0 AS follow_up,
     ['safety_boundary', 'diagnostic_boundary', 'intervention_advice', 'risk_info', 'assessment_info', 'knowledge_qa'][a.conv_id % 7 + 1] AS route
     FROM half b JOIN half a ON b.conv_id = a.conv_id AND b.pair = a.pair AND b.turn % 2 = 0 AND a.turn % 2 = 1)"""
-_OPEN = " OR ".join(
-    f"len(list_filter(range(1, length(answer) + 1), lambda i: substr(answer, i, {len(p)}) = '{p}' AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'in') AND NOT contains(substr(answer, greatest(i - 24, 1), least(i - 1, 24) + {len(p) + 12}), 'de '))) > 0"
-    for p in ("the", "un")
-)
 _FLAGS = {
     "has_context_citations": "turn % 2 > 0", "has_graph_relations": "conv_id % 3 > 0", "has_expected_context_term": "expected_term_seen", "answer_has_citation": r"regexp_matches(answer, '\[[CG]\d+\]')",
     "answer_has_context_citation": r"regexp_matches(answer, '\[C\d+\]')", "answer_has_graph_citation": r"regexp_matches(answer, '\[G\d+\]')",
@@ -294,7 +294,8 @@ ORACLES = {
     "doc_quality_grade": f"WITH {_GRADED} SELECT doc_id, chars, n_lines, grade, array_to_string(risk, '|') AS risk_flags FROM g",
     "doc_grade_dist": f"WITH {_GRADED} SELECT grade, count(*)::BIGINT AS n FROM g GROUP BY 1",
     "doc_flag_dist": f"WITH {_GRADED} SELECT flag, count(*)::BIGINT AS n FROM (SELECT unnest(risk) AS flag FROM g) GROUP BY 1",
-    "doc_gate": f"WITH {_GRADED}, s AS (SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE grade IN ('A', 'B')))::BIGINT AS n_good, (count(*) FILTER (WHERE noisy > 0.10))::BIGINT AS n_noisy FROM g) SELECT *, n_good >= 0.95 * greatest(n, 1) AND n_noisy <= 0.05 * greatest(n, 1) AS passed FROM s",
+    "doc_gate": f"""WITH {_GRADED}, s AS (SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE grade IN ('A', 'B')))::BIGINT AS n_good, 0::BIGINT AS n_spaced, (count(*) FILTER (WHERE grade = 'F'))::BIGINT AS n_failed, 0::DOUBLE AS p95_cjk_spaces,
+        list_sort(list(round(noisy, 4)))[least(count(*), floor(count(*) * 0.95)::BIGINT + 1)] AS p95_noisy_lines FROM g) SELECT *, n_good >= 0.90 * n AND n_failed <= 0.03 * n AND p95_noisy_lines <= 0.12 AS passed FROM s""",
     "extraction_grade": rf"""WITH {_MEASURED}, b AS (SELECT *, (regexp_matches(lower(t), 'document generated by anna[''’]s archive')::INT + contains(lower(t), 'copyright')::INT + contains(lower(t), 'all rights reserved')::INT
         + regexp_matches(t, '目\s*录')::INT + contains(lower(t), 'contents')::INT) AS boiler_hits, contains(lower(t), 'document generated by anna') AS anna FROM m)
         SELECT doc_id, boiler_hits::INTEGER AS boiler_hits, CASE WHEN anna OR chars < 120 THEN 'F' WHEN chars < 40 OR chars < 1000 THEN 'D' WHEN chars < 4000 THEN 'C' WHEN uniq >= 0.5 THEN 'A' ELSE 'B' END AS grade,
@@ -317,9 +318,10 @@ ORACLES = {
         SELECT doc_id, CASE WHEN n < 60 OR noisy OR n > 1010 THEN 'D' WHEN n < 180 OR n > 760 OR weird > 0.01 THEN 'C' ELSE 'A' END AS grade,
         array_to_string(list_sort(list_filter([CASE WHEN noisy THEN 'noisy_high' END, CASE WHEN NOT noisy AND weird > 0.01 THEN 'noisy_mild' END, CASE WHEN n > 760 AND n <= 1010 THEN 'too_long' END, CASE WHEN n > 1010 THEN 'too_long_severe' END,
         CASE WHEN n >= 60 AND n < 180 THEN 'too_short' END, CASE WHEN n < 60 THEN 'too_short_severe' END], lambda x: x IS NOT NULL)), '|') AS risk_flags FROM r""",
-    "chunk_gate": rf"""WITH {_DOC}, n AS (SELECT {_TOKENS} AS k, {_n('t', '[�□■◆▲▼※¤§]')}::DOUBLE / greatest(length(t), 1) > 0.02 OR {_n('t', '[A-Za-z0-9Ａ-Ｚａ-ｚ０-９\\x{4e00}-\\x{9fff}]')}::DOUBLE / greatest(length(t), 1) < 0.45 AS bad, {_SIGNATURE} AS s FROM doc),
-        a AS (SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE k >= 180 AND k <= 760))::BIGINT AS in_range, (count(*) FILTER (WHERE bad))::BIGINT AS noisy, (count(*) FILTER (WHERE k < 60))::BIGINT AS short, (count(*) - count(DISTINCT s))::BIGINT AS duplicate FROM n)
-        SELECT *, in_range >= 0.95 * greatest(n, 1) AND noisy <= 0.03 * greatest(n, 1) AND short <= 0.03 * greatest(n, 1) AND duplicate <= 0.08 * greatest(n, 1) AS passed FROM a""",
+    "chunk_gate": rf"""WITH {_DOC}, n AS (SELECT {_TOKENS} AS k, {_n('t', '[�□■◆▲▼※¤§]')}::DOUBLE / greatest(length(t), 1) > 0.02 OR {_n('t', '[A-Za-z0-9Ａ-Ｚａ-ｚ０-９\\x{4e00}-\\x{9fff}]')}::DOUBLE / greatest(length(t), 1) < 0.45 OR {_n('t', '[�□■◆▲▼※¤§]')}::DOUBLE / greatest(length(t), 1) > 0.01 AS bad, {_SIGNATURE} AS s FROM doc),
+        a AS (SELECT count(*)::BIGINT AS n, (count(*) FILTER (WHERE k >= 180 AND k <= 760))::BIGINT AS in_range, (count(*) FILTER (WHERE bad))::BIGINT AS noisy, (count(*) FILTER (WHERE k < 120))::BIGINT AS short, (count(*) - count(DISTINCT s))::BIGINT AS duplicate FROM n),
+        e AS (SELECT count(*)::BIGINT AS expected, (count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM documents)))::BIGINT AS covered FROM (SELECT DISTINCT doc_id FROM labels WHERE quality = 1))
+        SELECT *, in_range >= 0.95 * greatest(n, 1) AND noisy <= 0.03 * greatest(n, 1) AND short <= 0.03 * greatest(n, 1) AND duplicate <= 0.08 * greatest(n, 1) AND covered >= 0.99 * expected AS passed FROM a, e""",
     "chunk_prev_next": "WITH i AS (SELECT conv_id, turn, conv_id || '_c' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::VARCHAR, 4, '0') AS chunk_id FROM conversations) SELECT *, lag(chunk_id) OVER (PARTITION BY conv_id ORDER BY turn) AS prev_id, lead(chunk_id) OVER (PARTITION BY conv_id ORDER BY turn) AS next_id FROM i",
     "doc_chunk_map": "WITH i AS (SELECT conv_id, conv_id || '_c' || lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::VARCHAR, 4, '0') AS chunk_id FROM conversations) SELECT d.doc_id AS conv_id, count(i.chunk_id)::BIGINT AS n_chunks, coalesce(string_agg(i.chunk_id, '|' ORDER BY i.chunk_id), '') AS chunk_ids FROM documents d LEFT JOIN i ON d.doc_id = i.conv_id GROUP BY 1",
     "run_merge": f"WITH {_MERGED} SELECT chunk, seq, status, event_type, first_seq, n_records::BIGINT AS n_records FROM picked WHERE place = 1",
@@ -417,7 +419,7 @@ ORACLES = {
         array_to_string(list_sort(list_concat(CASE route WHEN 'diagnostic_boundary' THEN ['diagnosis_from_single_symptom', 'questionnaire_as_diagnosis'] WHEN 'safety_boundary' THEN ['cure_claim', 'direct_medication_advice', 'certain_effectiveness_claim']
             WHEN 'intervention_advice' THEN ['one_size_fits_all_intervention', 'certain_effectiveness_claim'] ELSE []::VARCHAR[] END, CASE WHEN certainty THEN []::VARCHAR[] ELSE ['clinical_certainty'] END)), '|') AS forbidden FROM p""",
     "followup_decision": f"WITH {_INSPECTED}, n AS (SELECT *, n_contexts < 3 AND n_relations = 0 AS needs_more FROM routed) SELECT doc_id, route, needs_more, needs_more OR (route IN ('safety_boundary', 'diagnostic_boundary', 'intervention_advice') AND (n_relations = 0 OR n_entities = 0)) AS follow_up FROM n",
-    "term_presence_checks": f"WITH {_CHECKED} SELECT conv_id, turn, answer_present, retrieved_context, retrieved_graph, expected_term_seen, answer_cited, guardrail_ok, ok FROM judged",
+    "term_presence_checks": f"WITH {_CHECKED} SELECT conv_id, turn, answer_present, retrieved_context, retrieved_graph, expected_term_seen, answer_cited, guardrail_ok, no_clinical_overstatement, ok FROM judged",
     "eval_summary": f"WITH {_CHECKED} SELECT category, count(*)::BIGINT AS total, (count(*) FILTER (WHERE ok))::BIGINT AS n_ok, (count(*) FILTER (WHERE answer_cited))::BIGINT AS n_answer_cited, (count(*) FILTER (WHERE expected_term_seen))::BIGINT AS n_expected_term_seen, (count(*) FILTER (WHERE retrieved_graph))::BIGINT AS n_retrieved_graph FROM judged GROUP BY 1",
     "compare_delta": f"""WITH {_CHECKED}, b AS (SELECT conv_id, turn // 2 AS pair, ok, retrieved_graph AS g, length(answer) AS n FROM judged WHERE turn % 2 = 0), a AS (SELECT conv_id, turn // 2 AS pair, ok, retrieved_graph AS g, length(answer) AS n FROM judged WHERE turn % 2 = 1)
         SELECT CASE WHEN NOT b.ok AND a.ok THEN 'agent_win' WHEN b.ok AND NOT a.ok THEN 'agent_regression' WHEN NOT b.g AND a.g THEN 'agent_win' WHEN b.g AND NOT a.g THEN 'agent_regression' WHEN a.n > b.n THEN 'agent_gain' WHEN a.n < b.n THEN 'agent_loss' ELSE 'tie' END AS delta, count(*)::BIGINT AS n

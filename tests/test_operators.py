@@ -260,6 +260,18 @@ def test_ranks_need_no_single_task(spark):
     assert "Window" not in plan or "SinglePartition" not in plan.split("Window")[-1]
 
 
+def test_gates_in_full(spark):
+    docs = [(i, "A", 0.0, 0.0) for i in range(95)] + [(100, "F", 0.5, 0.3), (101, "F", 0.5, 0.3), (102, "C", 0.0, 0.1), (103, "B", 0.05, 0.0), (104, "B", 0.0, 0.0)]
+    graded = spark.createDataFrame(docs, "doc_id long, grade string, cjk_spaces double, noisy_lines double")
+    found = quality.gate(graded).first()
+    assert (found["n"], found["n_good"], found["n_spaced"], found["n_failed"], found["p95_cjk_spaces"], found["p95_noisy_lines"], found["passed"]) == (100, 97, 2, 2, 0.0, 0.0, True)
+    assert not quality.gate(graded.where("doc_id >= 93")).first()["passed"] and not quality.gate(graded.limit(0)).first()["passed"]
+    chunks = spark.createDataFrame([(i, f"text {i}", 300, []) for i in range(100)], "doc_id long, text string, tokens int, risk_flags array<string>")
+    assert quality.chunk_gate(chunks, spark.range(100).withColumnRenamed("id", "doc_id")).first()["passed"]
+    lacking = quality.chunk_gate(chunks, spark.range(150).withColumnRenamed("id", "doc_id")).first()
+    assert (lacking["expected"], lacking["covered"], lacking["passed"]) == (150, 100, False)
+
+
 def test_repeated_lines(spark):
     line = "a header of this book"
     docs = spark.createDataFrame([(k, "\n".join([line] * k), 10) for k in (5, 6)], "doc_id long, text string, pages int")
@@ -334,7 +346,7 @@ def test_agent_gate(spark):
 
 def test_empty_answer_fails(spark):
     rows = spark.createDataFrame([("", "autism", ["autism"], False, False, False, 1, 1)], "answer string, context string, expect_terms array<string>, needs_guardrail boolean, needs_research boolean, dry_run boolean, n_contexts int, n_graph int")
-    assert not evaluation.answer_checks(rows, ("see",), ("research",)).first()["ok"]
+    assert not evaluation.answer_checks(rows, ("see",), ("research",), ("is certain",), ("not ",)).first()["ok"]
 
 
 def test_overstatement_needs_no_negation_near(spark):
