@@ -216,6 +216,36 @@ def ranks(df: DataFrame, *order: Column) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+#: Columns of the exported tables and the keys that an import merges them by.
+EXPORT = {
+    "entity": ("entity_id string, name string, type string, synonyms string, source_chunk_count long", ["entity_id"]),
+    "chunk": ("chunk_id string", ["chunk_id"]),
+    "evidence": ("evidence_id string, evidence_level string", ["evidence_id"]),
+    "relation": ("start_id string, end_id string, type string, relation_id string, support_count long, confidence double", ["relation_id"]),
+    "supported_by": ("start_id string, end_id string, relation_id string", ["start_id", "end_id", "relation_id"]),
+    "from_chunk": ("start_id string, end_id string", ["start_id", "end_id"]),
+}
+
+
+def exported(entities: DataFrame, relations: DataFrame, supports: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
+    """Three tables of nodes and three of edges for a graph import, each row once; edges lead to nodes that are exported.
+
+    A relation's support leads from the entity it begins at to the evidence.
+    """
+    nodes = entities.select("entity_id", "name", "type", F.array_join("synonyms", "|").alias("synonyms"), "source_chunk_count").dropDuplicates(["entity_id"])
+    proof = evidence.select("evidence_id", "evidence_level").dropDuplicates(["evidence_id"])
+    typed = relations.select(F.col("src_id").alias("start_id"), F.col("dst_id").alias("end_id"), F.col("relation_type").alias("type"), "relation_id", "support_count", "confidence")
+    for end in ("start_id", "end_id"):
+        typed = typed.join(nodes.select(F.col("entity_id").alias(end)), end, "left_semi")
+    backed = supports.join(typed.select("relation_id", "start_id"), "relation_id").join(proof.select("evidence_id"), "evidence_id", "left_semi")
+    held = evidence.where("chunk_id is not null").select(F.col("evidence_id").alias("start_id"), F.col("chunk_id").alias("end_id")).distinct()
+    tables = {
+        "entity": nodes, "chunk": held.select(F.col("end_id").alias("chunk_id")).distinct(), "evidence": proof, "relation": typed.dropDuplicates(["relation_id"]),
+        "supported_by": backed.select("start_id", F.col("evidence_id").alias("end_id"), "relation_id").distinct(), "from_chunk": held,
+    }
+    return {name: df.select(*[c.split()[0] for c in EXPORT[name][0].split(", ")]) for name, df in tables.items()}
+
+
 def top_pairs(relations: DataFrame, entities: DataFrame, relation_type: str, n: int = 25) -> DataFrame:
     """src_name, dst_name, support_count of the n best supported relations of a type."""
     top = relations.where(F.col("relation_type") == relation_type).orderBy(F.desc("support_count"), F.desc("confidence"), "relation_id").limit(n)

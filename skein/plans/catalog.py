@@ -438,12 +438,13 @@ def validation_top_pairs(spark, d):
 
 @query
 def graph_export(spark, d):
-    e, r, s, v = (f(spark, d) for f in (views.entities, views.relations, views.supports, views.evidence))
-    parts = {"entity": e, "relation": r, "supported_by": s.join(r, "relation_id"), "evidence": v, "from_chunk": v.where("chunk_id is not null"), "chunk": v.select("chunk_id").distinct()}
+    """The rows of all six tables: kind, the row's key, and its fields as one text."""
+    tables_ = graph.exported(*(f(spark, d) for f in (views.entities, views.relations, views.supports, views.evidence)))
     out = None
-    for name, rows in parts.items():
-        n = rows.agg(F.lit(name).alias("kind"), F.count("*").alias("n"))
-        out = n if out is None else out.unionByName(n)
+    for name, rows in tables_.items():
+        fields = [F.round("confidence", 4).cast("decimal(6,4)") if c == "confidence" else F.col(c) for c in rows.columns]
+        own = rows.select(F.lit(name).alias("kind"), F.concat_ws(",", *graph.EXPORT[name][1]).alias("key"), F.concat_ws(",", *[f.cast("string") for f in fields]).alias("fields"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 

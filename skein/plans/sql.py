@@ -370,8 +370,11 @@ ORACLES = {
     "validation_top_pairs": f"WITH {_GRAPH}, top AS (SELECT * FROM relations WHERE relation_type = 'MEASURED_BY' ORDER BY support_count DESC, confidence DESC, relation_id LIMIT 25) SELECT relation_id, s.name AS src_name, d.name AS dst_name, support_count FROM top JOIN entities s ON src_id = s.entity_id JOIN entities d ON dst_id = d.entity_id",
     "prompt_assembly": """SELECT q.conv_id AS query_id, concat_ws(chr(10) || chr(10), 'Question: ' || q.text, 'Texts:' || chr(10) || (SELECT string_agg('[C' || turn || '] ' || text, chr(10) ORDER BY turn) FROM conversations c WHERE c.conv_id = q.conv_id AND turn > 0),
         'Relations:' || chr(10) || (SELECT '[G1] ' || any_value(role) || ' says ' || any_value(text) FROM conversations c WHERE c.conv_id = q.conv_id AND turn = 1)) AS prompt FROM conversations q WHERE turn = 0""",
-    "graph_export": f"""WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE} SELECT 'entity' AS kind, count(*)::BIGINT AS n FROM entities UNION ALL SELECT 'relation', count(*) FROM relations UNION ALL SELECT 'supported_by', count(*) FROM supports JOIN relations USING (relation_id)
-        UNION ALL SELECT 'evidence', count(*) FROM evidence UNION ALL SELECT 'from_chunk', count(*) FROM evidence WHERE chunk_id IS NOT NULL UNION ALL SELECT 'chunk', count(DISTINCT chunk_id) FROM evidence""",
+    "graph_export": f"""WITH {_GRAPH}, {_SUPPORTS}, {_EVIDENCE}
+        SELECT 'entity' AS kind, entity_id AS key, concat_ws(',', entity_id, name, type, array_to_string(synonyms, '|'), source_chunk_count) AS fields FROM entities UNION ALL SELECT DISTINCT 'chunk', chunk_id, chunk_id FROM evidence
+        UNION ALL SELECT 'evidence', evidence_id, concat_ws(',', evidence_id, evidence_level) FROM evidence UNION ALL SELECT 'relation', relation_id, concat_ws(',', src_id, dst_id, relation_type, relation_id, support_count, round(confidence, 4)::DECIMAL(6, 4)) FROM relations
+        UNION ALL SELECT DISTINCT 'supported_by', concat_ws(',', src_id, evidence_id, relation_id), concat_ws(',', src_id, evidence_id, relation_id) FROM supports JOIN relations USING (relation_id)
+        UNION ALL SELECT DISTINCT 'from_chunk', concat_ws(',', evidence_id, chunk_id), concat_ws(',', evidence_id, chunk_id) FROM evidence""",
     "dashboard_stats": f"WITH {_GRAPH}, {_TOOLED}, {_FLAGGED}, {_EVIDENCE} SELECT kind, value, count(*)::BIGINT AS n FROM (SELECT 'entity_type' AS kind, type AS value FROM entities UNION ALL SELECT 'qa_usage', qa_usage FROM used UNION ALL SELECT 'evidence_level', evidence_level FROM evidence) GROUP BY 1, 2",
     "entity_page": f"WITH {_ENTITIES} SELECT entity_id, name, source_chunk_count FROM entities WHERE contains(name, 'a') AND type = 'AssessmentTool' ORDER BY source_chunk_count DESC, entity_id LIMIT 20 OFFSET 20",
     "entity_keyword_match": f"WITH {_MATCHED} SELECT query_id::BIGINT AS query_id, keyword, entity_id, exact FROM matched",

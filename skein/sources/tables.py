@@ -96,14 +96,6 @@ def write_csv(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).select(*flat).write.mode("overwrite").option("header", True).csv(path)
 
 
-def upsert(path: str, new: DataFrame, key: str, version: int) -> str:
-    """Writes a new version of a keyed table: rows of the new one win; readers of the old version aren't disturbed."""
-    spark = new.sparkSession
-    old = spark.read.schema(new.schema).parquet(f"{path}/v{version}")
-    new.unionByName(old.join(new.select(key), key, "left_anti")).write.parquet(to := f"{path}/v{version + 1}")
-    return to
-
-
 def alias_groups(groups: DataFrame) -> DataFrame:
     """type, group_id, alias of groups (type, group_id, aliases); raises if an alias of a type is in two groups."""
     from skein.functions import text as T

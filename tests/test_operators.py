@@ -377,12 +377,6 @@ def test_csv_round_trip(spark, tmp_path):
         tables.check_header(["x"], "ALIAS")
 
 
-def test_upsert(spark, tmp_path):
-    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.parquet(f"{tmp_path}/v0")
-    at = tables.upsert(str(tmp_path), spark.createDataFrame([(2, "c"), (3, "d")], "k long, v string"), "k", 0)
-    assert {tuple(r) for r in spark.read.parquet(at).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-
-
 def test_parsers_and_embedder(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
