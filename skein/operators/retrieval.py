@@ -205,29 +205,79 @@ def chunk_score(text: Column, words: Column, level: Column) -> Column:
     return F.aggregate(words, F.lit(0.0), lambda acc, w: acc + hit(w)) + weight(level, RANKING)
 
 
-def window(text: str, words: list[str], size: int = 600) -> str:
-    """The part of a text that shows most of the words; where several do, the one that starts first."""
-    if len(text) <= size:
-        return text
-    low = text.lower()
-    spans = sorted((m.start(), m.end(), w) for w in {w.lower() for w in words if w} for m in re.finditer(re.escape(w), low))
-    starts = sorted({0, *(max(0, s - size // 4) for s, _, _ in spans)})
+def _spans(low: str, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, number of the word) of each place of each word, in order of start and end; places of one word don't overlap."""
+    found = [(m.start(), m.end(), k) for k, w in enumerate(words) for m in re.finditer(re.escape(w), low)]
+    start, end, word = (np.array([x[j] for x in sorted(found)], np.int64) for j in range(3))
+    return start, end, word
+
+
+def best_start(length: int, size: int, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+    """Where the window begins that touches most different words, then most places, then most of their characters, then begins
+    with the earliest place; the first such window.
+
+    Windows may begin where a place is a third of the size behind their start, or two thirds before their end, and at both ends
+    of the text.  Windows are passed over in order of start: places that a window touches are those up to the last that
+    starts in it, less those that end before it, so two pointers and running sums serve all windows.
+    """
+    start, end, word = spans
+    if length <= size or not len(start):
+        return 0
+    last = length - size
+    at = np.unique(np.clip(np.concatenate([[0, last], start - size // 3, end - size * 2 // 3]), 0, last))
+    rising = np.sort(end)
+    begun, over = np.searchsorted(start, at + size), np.searchsorted(rising, at, "right")
+    many = begun - over
+    # Characters inside: whole places that touch the window, less what stands out at either side.
+    behind, before = np.concatenate([[0], np.cumsum(end - start)]), np.concatenate([[0], np.cumsum((end - start)[np.argsort(end, kind="stable")])])
+    inside = behind[begun] - before[over]
+    longest = int((end - start).max())
+    # Only places that begin shortly before an edge stand out over it.
+    for edge, side in ((at, -1), (at + size, 1)):
+        lo, hi = np.searchsorted(start, edge - longest), np.searchsorted(start, edge)
+        n = hi - lo
+        k = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        of = np.repeat(np.arange(len(at)), n)
+        out = np.where(side < 0, edge[of] - start[k], end[k] - edge[of]) * (end[k] > edge[of])
+        inside = inside - np.bincount(of, out, len(at)).astype(np.int64)
+    distinct, counts = np.zeros(len(at), np.int64), np.zeros(int(word.max()) + 1, np.int64)
+    by_end = np.argsort(end, kind="stable")
+    lo = hi = kinds = 0
+    for k in range(len(at)):
+        while hi < begun[k]:
+            kinds += counts[word[hi]] == 0
+            counts[word[hi]] += 1
+            hi += 1
+        while lo < over[k]:
+            counts[word[by_end[lo]]] -= 1
+            kinds -= counts[word[by_end[lo]]] == 0
+            lo += 1
+        distinct[k] = kinds
+    # The earliest place that a window touches is the first that ends behind its start.
+    ahead = np.minimum.accumulate(start[by_end][::-1])[::-1]
+    first = np.append(ahead, length)[over]
+    best = np.lexsort((at, first, -inside, -many, -distinct))
+    best = best[many[best] > 0]
+    return int(at[best[0]]) if len(best) else 0
 
-    def worth(at: int) -> tuple:
-        inside = [(s, e, w) for s, e, w in spans if s >= at and e <= at + size]
-        return len({w for _, _, w in inside}), len(inside), sum(e - s for s, e, _ in inside), -(inside[0][0] if inside else at), -at
 
-    at = max(starts, key=worth)
-    part = text[at : at + size].strip()
-    return ("..." if at else "") + part + ("..." if at + size < len(text) else "")
+def window(text: str, words: list[str], size: int = 600) -> str:
+    """The part of a text, its white space collapsed, that shows most of the words, with dots where it is cut."""
+    text = " ".join((text or "").split())
+    if size <= 0 or len(text) <= size:
+        return text if size > 0 else ""
+    low = text.lower()
+    listed = list(dict.fromkeys(w for x in words if (w := (x or "").strip().lower())))
+    at = best_start(len(text), size, _spans(low, listed)) if listed else 0
+    return ("..." if at else "") + text[at : at + size] + ("..." if at + size < len(text) else "")
 
 
 def windows(rows: DataFrame, size: int = 600) -> DataFrame:
-    """rows (id, text, words) with the best window of each text."""
+    """rows (id, text, words) with the best window of each text; null without a text is an empty one."""
 
     @F.pandas_udf("string")
     def best(texts: pd.Series, words: pd.Series) -> pd.Series:
-        return pd.Series([window(t or "", [] if w is None else list(w), size) for t, w in zip(texts, words, strict=True)])
+        return pd.Series([window(t, [] if w is None else list(w), size) for t, w in zip(texts, words, strict=True)])
 
     return rows.withColumn("window", best("text", "words"))
 

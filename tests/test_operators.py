@@ -314,9 +314,38 @@ def test_many_keywords_at_once(spark):
 
 def test_window_shows_the_words():
     text = "x" * 900 + " autism and ados " + "y" * 900
-    part = retrieval.window(text, ["ados", "autism"], 300)
-    assert "autism and ados" in part and part.startswith("...") and part.endswith("...")
-    assert retrieval.window("short", ["a"], 300) == "short"
+    part = retrieval.window(text, ["ados", "autism", " Ados ", "", None], 300)
+    assert "autism and ados" in part and part.startswith("...") and part.endswith("...") and len(part) == 306
+    assert retrieval.window(" short\n text ", ["a"], 300) == "short text" and retrieval.window(None, ["a"]) == "" and retrieval.window("a" * 9, ["a"], 0) == ""
+    assert retrieval.window("b" * 700, ["a"], 600) == "b" * 600 + "..." and retrieval.window("b" * 700, [], 600) == "b" * 600 + "..."
+
+
+def test_window_by_trying_every_start():
+    import random
+
+    r = random.Random(3)
+    for _ in range(400):
+        n, size = r.randint(1, 120), r.randint(3, 40)
+        text = "".join(r.choice("aab c") for _ in range(n))
+        text = " ".join(text.split())
+        words = [w for w in {"".join(r.choice("abc") for _ in range(r.randint(1, 5))) for _ in range(r.randint(0, 4))}]
+        spans = []
+        for w in words:
+            at = text.find(w)
+            while at >= 0:
+                spans.append((at, at + len(w), w))
+                at = text.find(w, at + len(w))
+        last = len(text) - size
+        if last <= 0:
+            continue
+        starts = {0, last} | {max(0, min(s - size // 3, last)) for s, _, _ in spans} | {max(0, min(e - size * 2 // 3, last)) for _, e, _ in spans}
+        worth = {}
+        for at in starts:
+            hits = [x for x in spans if x[0] < at + size and x[1] > at]
+            if hits:
+                worth[at] = (len({w for _, _, w in hits}), len(hits), sum(min(e, at + size) - max(s, at) for s, e, _ in hits), -min(s for s, _, _ in hits), -at)
+        want = max(worth, key=worth.get) if worth else 0
+        assert retrieval.best_start(len(text), size, retrieval._spans(text, words)) == want, (text, words, size)
 
 
 def test_prompt_has_every_context(spark):
