@@ -14,8 +14,9 @@ A document's score is its surprise in nats for each character, in whole thousand
 exact by counts of each value, give its bands: BAND times the distance of the quartiles beyond them, and for short texts
 SHORT / sqrt(characters) more, as their scores scatter.  Outside the bands a document is rejected.
 
-A model of at most MODEL_ROWS entries is sent to the tasks; a larger one stays a table that the n-grams of documents are
-joined with, order by order.  Log probabilities are whole numbers of 1 / SCALE: sums don't depend on their order.
+A model of at most MODEL_ROWS entries is sent to the tasks.  A larger one is sent in parts of as many entries, by languages and
+halves, each of which scores its own documents in a scan of its own.  Where one language's model alone is larger, the model stays
+a table that the n-grams of documents are joined with, order by order, which shuffles them.  Log probabilities are whole numbers of 1 / SCALE: sums don't depend on their order.
 
 Edge cases: null or empty text, and text without words, has counts of 0, no score and fails the base rules.  A text of
 fewer than ORDER characters has no score and is judged by the base rules alone.  Rows that repeat a doc_id are judged each
@@ -44,7 +45,7 @@ BLOCK = 1 << 20
 SCALE = 1 << 16
 #: Entries of a model that is sent to tasks at most.
 MODEL_ROWS = 8_000_000
-#: Languages whose bands are sent to tasks at most.
+#: Languages, with their halves, whose sizes and bands are gathered at most.
 LANGUAGES = 10_000
 #: Distance of the bands from the quartiles, in distances of the quartiles; nats more for a text of one character.
 BAND = 3.0
@@ -372,12 +373,40 @@ def _totals_by_joins(rows: DataFrame, model: DataFrame, shelf: common.Shelf) ->
     return summed.select(F.col("doc_id").alias("d"), F.col("row_hash").alias("r"), F.col("lang").alias("l"), "total")
 
 
+def parted(sizes: dict[tuple[str, int], int], most: int) -> list[list[tuple[str, int]]]:
+    """Languages and halves in parts of at most `most` entries, the largest first into the first part with room."""
+    parts: list[list[tuple[str, int]]] = []
+    room: list[int] = []
+    for key, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        k = next((k for k, left in enumerate(room) if left >= n), len(parts))
+        if k == len(parts):
+            parts.append([])
+            room.append(most)
+        parts[k].append(key)
+        room[k] -= n
+    return parts
+
+
+def _by_parts(rows: DataFrame, model: DataFrame, parts: list[list[tuple[str, int]]]) -> DataFrame:
+    """Counts and sums of all rows: a scan for each part of the model; rows without a model are scored in the first."""
+    out, spoken = None, F.concat_ws(":", (1 - F.col("half")).cast("string"), "lang")
+    names = [[f"{half}:{lang}" for lang, half in part] for part in parts] or [[]]
+    others = [name for part in names[1:] for name in part]
+    for k, (part, own) in enumerate(zip(parts or [[]], names, strict=True)):
+        mine = rows.where(spoken.isin(own) if k else ~spoken.isin(others)) if len(names) > 1 else rows
+        held = F.concat_ws(":", F.col("half").cast("string"), "lang").isin(own)
+        found = measured(mine, arrays(model.where(held) if len(names) > 1 else model))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def scored(docs: DataFrame, shelf: common.Shelf, model_rows: int | None = None) -> DataFrame:
     """Counts and surprise (thousandths of a nat for each character; null without n-grams) of each row of docs."""
-    rows = rows_of(docs)
+    rows, most = rows_of(docs), MODEL_ROWS if model_rows is None else model_rows
     model = entries(counted(rows), shelf)
-    if model.count() <= (MODEL_ROWS if model_rows is None else model_rows):
-        found = measured(rows, arrays(model))
+    largest = model.groupBy(*KEYS).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *KEYS).limit(LANGUAGES + 1).collect()
+    if len(largest) <= LANGUAGES and all(r["n"] <= most for r in largest):
+        found = _by_parts(rows, model, parted({(r["lang"], r["half"]): r["n"] for r in largest}, most))
     else:
         totals = _totals_by_joins(rows, model, shelf)
         found = measured(rows, None).drop("total")

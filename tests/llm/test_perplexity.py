@@ -129,9 +129,19 @@ def test_verdicts_by_bands(found):
         assert r["kept"] == (not r["base_failed"] and q1 - wide <= r["surprise"] <= q3 + wide)
 
 
-def test_model_as_a_table(table, found):
-    """A model that is too large for tasks gives the same rows by joins."""
-    assert sorted(perplexity.judged(table, model_rows=0).collect(), key=key) == found
+@pytest.mark.parametrize("most", [0, "parts"])
+def test_large_models(spark, table, found, most):
+    """A model that is too large for tasks gives the same rows in parts, and by joins."""
+    from skein.llm import common
+
+    if most == "parts":
+        shelf = common.Shelf(spark)
+        model = perplexity.entries(perplexity.counted(perplexity.rows_of(table)), shelf)
+        sizes = {(r["lang"], r["half"]): r["count"] for r in model.groupBy(*perplexity.KEYS).count().collect()}
+        shelf.drop("model")
+        most = max(sizes.values())
+        assert len(perplexity.parted(sizes, most)) > 1 and sum(len(p) for p in perplexity.parted(sizes, most)) == len(sizes)
+    assert sorted(perplexity.judged(table, model_rows=most).collect(), key=key) == found
 
 
 def test_noise_is_rejected(spark):
