@@ -85,27 +85,41 @@ def expanded(keyword_rows: DataFrame, alias_groups: DataFrame) -> DataFrame:
     return first.select("query_id", F.col("f.keyword").alias("keyword"), (F.row_number().over(order) - 1).alias("place"))
 
 
+def keyword_words(keyword_rows: DataFrame) -> DataFrame:
+    """query_id, keyword, word: each keyword of a query once, with the form that names are compared in."""
+    return keyword_rows.select("query_id", "keyword", T.space_key(F.col("keyword")).alias("word")).where("word <> ''").distinct()
+
+
+def word_matches(entities: DataFrame, words: DataFrame, per_word: int = 80) -> DataFrame:
+    """The columns of entities with word, exact: entities whose name or synonym contains the word, the first by id.
+
+    Names are read once, by an automaton of all words, and a task passes on its own first entities of each word.
+    """
+    names = F.transform(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), T.space_key)
+    found = matching.contained(entities.withColumn("texts", names), words, first=("entity_id", per_word))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))).where(F.col("place") <= per_word).drop("place")
+
+
 def entity_matches(entities: DataFrame, keyword_rows: DataFrame, per_keyword: int = 80) -> DataFrame:
     """query_id, keyword, entity_id, exact: entities whose name or synonym contains the keyword, the first by id.
 
-    Names are read once, by an automaton of all keywords; what it finds meets the queries by the keyword.
+    What the words' automaton finds meets the queries by the word; a keyword that a query lists twice counts once.
     """
-    words = keyword_rows.select("query_id", "keyword", T.space_key(F.col("keyword")).alias("word")).where("word <> ''")
-    names = F.transform(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>"))), T.space_key)
-    found = matching.contained(entities.select("entity_id", names.alias("texts")), words)
-    # Only the first entities of a keyword can be among those of a query.
-    best = found.withColumn("place", F.row_number().over(Window.partitionBy("word").orderBy("entity_id"))).where(F.col("place") <= per_keyword)
-    found = words.join(best, "word").select("query_id", "keyword", "entity_id", "exact")
-    place = F.row_number().over(Window.partitionBy("query_id", "keyword").orderBy("entity_id"))
-    return found.withColumn("place", place).where(F.col("place") <= per_keyword).drop("place")
+    words = keyword_words(keyword_rows)
+    best = word_matches(entities.select("entity_id", "name", "synonyms"), words, per_keyword)
+    return words.join(best, "word").select("query_id", "keyword", "entity_id", "exact")
 
 
-def entity_rank(matches: DataFrame, entities: DataFrame, keep: int = 60) -> DataFrame:
-    """query_id, rank, entity_id: matched entities by specificity, exactness, support, quality, short names, id."""
-    per = matches.groupBy("query_id", "entity_id").agg(F.max("exact").alias("exact"), F.max(~generic(F.col("keyword"))).alias("specific"), F.count("*").alias("n_keywords"))
+def entity_rank(matches: DataFrame, entities: DataFrame | None, keep: int = 60) -> DataFrame:
+    """query_id, rank, entity_id: matched entities by specificity, exactness, support, quality, short names, id.
+
+    Without entities, the matches have their columns.
+    """
+    told = ["name", "source_chunk_count", "source_doc_count", "is_isolated"] if entities is None else []
+    per = matches.groupBy("query_id", "entity_id", *told).agg(F.max("exact").alias("exact"), F.max(~generic(F.col("keyword"))).alias("specific"))
     any_specific = F.max("specific").over(Window.partitionBy("query_id"))
     per = per.withColumn("any", any_specific).where(F.col("specific") | ~F.col("any"))
-    joined = per.join(entities, "entity_id")
+    joined = per if entities is None else per.join(entities, "entity_id")
     penalty = F.when(F.col("source_chunk_count") <= 1, 10).otherwise(0) + F.when(F.col("is_isolated"), 20).otherwise(0)
     order = [F.desc("specific"), F.desc("exact"), F.desc(F.least("source_doc_count", F.lit(20))), F.desc(F.least("source_chunk_count", F.lit(100))), penalty, F.length("name"), F.col("entity_id")]
     ranked = joined.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import zipfile
 
 import pytest
@@ -651,3 +652,29 @@ def test_second_pass_for_those_that_need_it(spark, small_graph):
     n = {(r["query_id"], r["stage"]): r["n"] for r in search.trace(queries, both).collect()}
     assert n[3, "ranked"] == 1 and n[3, "chunks"] == 2 and n[1, "relations"] == 4 and n[1, "chunks"] == 2
     assert both.relations.groupBy("query_id", "place").count().where("count > 1").count() == 0
+
+
+def test_stages_that_nobody_reads_are_not_written(spark, small_graph):
+    files = lambda: sum(len(f) for _, _, f in os.walk(tables.shared(spark).removeprefix("file:")))
+    queries = spark.createDataFrame([(q, w) for q in range(40) for w in ("blue", "blue", "alone")], "query_id long, keyword string")
+    found = search.searched(queries, small_graph)
+    before = files()
+    found.entities.collect()
+    assert files() == before
+    # A keyword that a query lists twice counts once.
+    assert found.matches.where("keyword = 'blue'").count() == 40 * 2
+
+
+def test_frontier_in_place_is_that_of_one_step(spark, small_graph):
+    seeds = spark.createDataFrame([(1, "e0"), (1, "e1"), (2, "e2"), (3, "no such")], "query_id long, entity_id string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(search._near(seeds, small_graph.ways)) == rows(search.expanded(seeds, small_graph.ways, 1))
+
+
+def test_only_rows_that_can_be_first_leave_a_task(spark):
+    rows = spark.createDataFrame([(f"e{i:03d}", ["red bolt", "ring"]) for i in range(300)], "entity_id string, texts array<string>").coalesce(1)
+    words = spark.createDataFrame([("red",), ("ring",)], "word string")
+    found = matching.contained(rows, words, first=("entity_id", 7))
+    assert found.count() < 100
+    first = found.where("word = 'red'").orderBy("entity_id").limit(7).collect()
+    assert [r["entity_id"] for r in first] == [f"e{i:03d}" for i in range(7)]
