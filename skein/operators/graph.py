@@ -166,7 +166,8 @@ def touching(relations: DataFrame, ids: DataFrame) -> DataFrame:
     """Relations with either end in ids (entity_id): one equi-join over both ends, each relation once."""
     rows = relations.withColumn("end", F.explode(F.array_distinct(F.array("src_id", "dst_id"))))
     near = rows.join(ids.select(F.col("entity_id").alias("end")).distinct(), "end", "left_semi")
-    return near.drop("end").dropDuplicates(["relation_id"])
+    # Two relations may share a short id, so their ends and type count too.
+    return near.drop("end").dropDuplicates(["relation_id", "src_id", "relation_type", "dst_id"])
 
 
 def induced(relations: DataFrame, ids: DataFrame) -> DataFrame:
@@ -230,7 +231,8 @@ EXPORT = {
 def exported(entities: DataFrame, relations: DataFrame, supports: DataFrame, evidence: DataFrame) -> dict[str, DataFrame]:
     """Three tables of nodes and three of edges for a graph import, each row once; edges lead to nodes that are exported.
 
-    A relation's support leads from the entity it begins at to the evidence.
+    A relation's support leads from the entity it begins at to the evidence.  Relation ids are short hashes, so among tens of
+    millions of relations two may share one: both are exported, told apart by their ends and type.
     """
     nodes = entities.select("entity_id", "name", "type", F.array_join("synonyms", "|").alias("synonyms"), "source_chunk_count").dropDuplicates(["entity_id"])
     proof = evidence.select("evidence_id", "evidence_level").dropDuplicates(["evidence_id"])
@@ -240,7 +242,7 @@ def exported(entities: DataFrame, relations: DataFrame, supports: DataFrame, evi
     backed = supports.join(typed.select("relation_id", "start_id"), "relation_id").join(proof.select("evidence_id"), "evidence_id", "left_semi")
     held = evidence.where("chunk_id is not null").select(F.col("evidence_id").alias("start_id"), F.col("chunk_id").alias("end_id")).distinct()
     tables = {
-        "entity": nodes, "chunk": held.select(F.col("end_id").alias("chunk_id")).distinct(), "evidence": proof, "relation": typed.dropDuplicates(["relation_id"]),
+        "entity": nodes, "chunk": held.select(F.col("end_id").alias("chunk_id")).distinct(), "evidence": proof, "relation": typed.dropDuplicates(["start_id", "end_id", "type", "relation_id"]),
         "supported_by": backed.select("start_id", F.col("evidence_id").alias("end_id"), "relation_id").distinct(), "from_chunk": held,
     }
     return {name: df.select(*[c.split()[0] for c in EXPORT[name][0].split(", ")]) for name, df in tables.items()}

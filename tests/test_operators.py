@@ -678,3 +678,13 @@ def test_only_rows_that_can_be_first_leave_a_task(spark):
     assert found.count() < 100
     first = found.where("word = 'red'").orderBy("entity_id").limit(7).collect()
     assert [r["entity_id"] for r in first] == [f"e{i:03d}" for i in range(7)]
+
+
+def test_relations_that_share_a_short_id_are_both_kept(spark):
+    entities = spark.createDataFrame([(e, e, "Condition", [], 1) for e in ("a", "b", "c")], "entity_id string, name string, type string, synonyms array<string>, source_chunk_count long")
+    relations = spark.createDataFrame([("r", "a", "X", "b", 1, 0.5), ("r", "a", "X", "c", 2, 0.7), ("s", "b", "X", "b", 1, 0.1)], "relation_id string, src_id string, relation_type string, dst_id string, support_count long, confidence double")
+    supports = spark.createDataFrame([("r", "v")], "relation_id string, evidence_id string")
+    evidence = spark.createDataFrame([("v", "k", "A")], "evidence_id string, chunk_id string, evidence_level string")
+    found = graph.exported(entities, relations, supports, evidence)
+    assert found["relation"].count() == 3 and found["supported_by"].count() == 1
+    assert graph.touching(relations, entities.where("entity_id in ('a', 'b')")).count() == 3
