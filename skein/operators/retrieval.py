@@ -18,7 +18,9 @@ FUSION = {"S": 0.1, "A": 0.05, "B": 0.0, "C": -0.02, "D": -0.05}
 RANKING = {"S": 5.0, "A": 3.0, "B": 1.0, "C": 0.0, "D": -1.0}
 IN_GRAPH = 0.15
 #: Bytes of query vectors that are sent to every task at most.
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 32 << 20
+#: Scores that a task holds at once.
+BLOCK_SCORES = 2_000_000
 
 
 def weight(level: Column, weights: dict[str, float]) -> Column:
@@ -137,11 +139,35 @@ def relation_rank(relations: DataFrame, words: list[str], keep: int) -> DataFram
     return top.select("relation_id", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
+def _kept_best(found: np.ndarray, ids: np.ndarray, n: np.ndarray, score: np.ndarray, vec: np.ndarray) -> np.ndarray:
+    """Puts the scores of a batch (queries x ids) among the best of each query (score, vec; n of them) and returns the new n.
+
+    Best first, ties by id; what is no number is last.
+    """
+    k = score.shape[1]
+    value = np.where(np.isnan(found), -np.inf, found)
+    # What is below a batch's own k-th score, or that of the best so far, can't come in.
+    least = np.partition(value, -k, axis=1)[:, -k] if value.shape[1] > k else np.full(len(value), -np.inf)
+    full = n == k
+    least[full] = np.maximum(least[full], np.where(np.isnan(score[full, -1]), -np.inf, score[full, -1]))
+    new, col = np.nonzero(value >= least[:, None])
+    old, place = np.nonzero(np.arange(k) < n[:, None])
+    row, s, v = np.concatenate([old, new]), np.concatenate([score[old, place], found[new, col]]), np.concatenate([vec[old, place], ids[col]])
+    order = np.lexsort((v, -s, row))
+    row, s, v = row[order], s[order], v[order]
+    many = np.bincount(row, minlength=len(n))
+    rank = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    kept = rank < k
+    score[row[kept], rank[kept]], vec[row[kept], rank[kept]] = s[kept], v[kept]
+    return np.minimum(many, k)
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, precision: int = 6) -> DataFrame:
     """query_id, vec_id, score: the k nearest of each query by cosine, ties by id.
 
-    Query vectors go to every task after a check of their size; each batch is one matrix product, and a task passes on
-    its own k best of each query, so the shuffle carries tasks x queries x k rows, not the vectors.
+    Query vectors go to every task after a check of their size; each batch is multiplied with blocks of them, so a task holds
+    the queries, their k best and BLOCK_SCORES scores, however many vectors there are.  A task passes on its own k best of
+    each query, so the shuffle carries tasks x queries x k rows, not the vectors.
     """
     spark = vectors.sparkSession
     size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
@@ -152,30 +178,30 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, precision: int =
         for part in split[1:]:
             out = out.unionByName(vector_topk(vectors, part, k, precision))
         return out
-    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()
-    shared = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
+    rows = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("query_id").toArrow()
+    ids = rows.column("query_id").to_numpy()
+    want = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    shared = spark.sparkContext.broadcast((ids, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)))
 
     def run(batches):
-        ids, want = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, unit = shared.value
         if not len(ids):
             return
-        unit = want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-300)
+        # The best so far: row k holds n[k] places of query k, best first.
+        n, score, vec = np.zeros(len(ids), np.int64), np.empty((len(ids), k)), np.empty((len(ids), k), np.int64)
         for batch in batches:
+            if not len(batch):
+                continue
             own = batch["vec_id"].to_numpy()
             x = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            scores = (unit @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T).round(precision)
-            for q in range(len(ids)):
-                s, v = scores[q], own
-                if best and len(best) > q:
-                    s, v = np.concatenate([best[q][0], s]), np.concatenate([best[q][1], v])
-                top = np.lexsort((v, -s))[:k]
-                if len(best) > q:
-                    best[q] = (s[top], v[top])
-                else:
-                    best.append((s[top], v[top]))
-        for q, (s, v) in enumerate(best):
-            yield pd.DataFrame({"query_id": ids[q], "vec_id": v, "score": s})
+            x = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T
+            step = max(1, BLOCK_SCORES // len(own))
+            for lo in range(0, len(ids), step):
+                at = slice(lo, lo + step)
+                n[at] = _kept_best((unit[at] @ x).round(precision), own, n[at], score[at], vec[at])
+        for lo in range(0, len(ids), 10_000):
+            full = np.arange(k) < n[lo : lo + 10_000, None]
+            yield pd.DataFrame({"query_id": np.repeat(ids[lo : lo + 10_000], n[lo : lo + 10_000]), "vec_id": vec[lo : lo + 10_000][full], "score": score[lo : lo + 10_000][full]})
 
     near = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -688,3 +688,19 @@ def test_relations_that_share_a_short_id_are_both_kept(spark):
     found = graph.exported(entities, relations, supports, evidence)
     assert found["relation"].count() == 3 and found["supported_by"].count() == 1
     assert graph.touching(relations, entities.where("entity_id in ('a', 'b')")).count() == 3
+
+
+def test_vector_search_holds_blocks_of_scores():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, score, vec = np.zeros(9, np.int64), np.empty((9, 5)), np.empty((9, 5), np.int64)
+    every, ids = rng.integers(-3, 4, (9, 60)).astype(float), rng.permutation(60)
+    every[2, 4] = np.nan
+    every[3] = np.nan
+    for lo, hi in ((0, 3), (3, 40), (40, 60)):
+        n = retrieval._kept_best(every[:, lo:hi], ids[lo:hi], n, score, vec)
+    for q in range(9):
+        want = np.lexsort((ids, -every[q]))[:5]
+        assert n[q] == 5 and list(vec[q]) == list(ids[want]) and np.array_equal(score[q], every[q][want], equal_nan=True)
+    assert retrieval.BLOCK_SCORES * 8 <= 64 << 20
