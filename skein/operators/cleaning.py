@@ -6,42 +6,45 @@ document's short lines: a line stands n times where it equals the line n - 1 pla
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, BooleanType
 
 from skein.functions import text as T
 
 # Ends of paragraphs, bullets, marks of pages.
 PARAGRAPH_ENDS = "。！？.!?:：;；)]）】\"'”’"
-BULLET = re.compile(r"[\-•·\d]+[\).、．\.]?\s+")
+BULLET = rf"(?U)^[\-•·\d]+[\).、．\.]?{T.SPACE}+"
 PAGE = r"\[PAGE\s+\d+\]"
 #: A wrapped line goes on until it has this many characters.
 JOIN_CHARS = 280
 
 
-def unwrapped(lines) -> str:
-    """Lines joined to paragraphs: a line goes on unless it is long, ends a sentence, or a bullet follows."""
-    paragraphs: list[list[str]] = []
-    room = 0
-    for line in lines:
-        if room > 0 and not BULLET.match(line):
-            paragraphs[-1].append(line)
-            room -= len(line) + 1
-        else:
-            paragraphs.append([line])
-            room = JOIN_CHARS - len(line)
-        if line[-1] in PARAGRAPH_ENDS:
-            room = 0
-    return "\n".join(map(" ".join, paragraphs))
+def opened(codes) -> list[bool]:
+    """Which lines open a paragraph, from their codes: a line goes on unless it is long, ends a sentence, or a bullet follows."""
+    out, room = [], 0
+    for code in codes:
+        length, ends, bullet = code >> 2, code & 2, code & 1
+        goes_on = room > 0 and not bullet
+        out.append(not goes_on)
+        room = 0 if ends else (room - length - 1 if goes_on else JOIN_CHARS - length)
+    return out
+
+
+@F.pandas_udf(ArrayType(ArrayType(BooleanType())))
+def _opened_pages(pages: pd.Series) -> pd.Series:
+    return pages.map(lambda each: [opened(codes.tolist()) for codes in each])
+
+
+def line_code(line: Column) -> Column:
+    """A line's length with two marks in its last bits: ends a sentence, is a bullet.  Only these go to Python, not the texts."""
+    return F.length(line) * 4 + F.when(F.substring(line, -1, 1).isin(*PARAGRAPH_ENDS), 2).otherwise(0) + F.when(line.rlike(BULLET), 1).otherwise(0)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _unwrapped_pages(pages: pd.Series) -> pd.Series:
-    return pages.map(lambda each: [unwrapped(lines) for lines in each])
+def unwrapped(lines: Column, begins: Column) -> Column:
+    """Lines joined to paragraphs."""
+    return F.substring(F.array_join(F.zip_with(lines, begins, lambda line, new: F.concat(F.when(new, "\n").otherwise(" "), line)), ""), 2, 2**31 - 1)
 
 
 def pages(text: Column) -> Column:
@@ -78,7 +81,9 @@ def cleaned(docs: DataFrame, least_chars: int = 800, share: float = 0.35, least:
     rows = rows.withColumn("short", F.array_sort(F.filter(F.flatten("lines"), lambda x: F.length(x) <= 60)))
     often = F.greatest(F.lit(least), F.floor(F.size("pages") * share).cast("int"))
     rows = rows.withColumn("repeated", F.array_distinct(F.filter("short", lambda x, i: F.get("short", i + often - 1) == x)))
-    rows = rows.withColumn("bodies", _unwrapped_pages(filtered(F.col("lines"), lambda x: ~F.array_contains("repeated", x))))
+    rows = rows.withColumn("kept", filtered(F.col("lines"), lambda x: ~F.array_contains("repeated", x)))
+    rows = rows.withColumn("opened", _opened_pages(F.transform("kept", lambda page: F.transform(page, line_code))))
+    rows = rows.withColumn("bodies", F.zip_with("kept", "opened", unwrapped))
     parts = F.transform("bodies", lambda body, i: F.when(body != "", F.concat(F.lit("[PAGE "), F.get("pages", i)["page_id"], F.lit("]\n"), body)))
     rows = rows.withColumn("joined", F.array_join(parts, "\n\n"))
     rows = rows.withColumn("tight", T.fixed_punctuation(F.col("joined"))).withColumn("words", T.joined_letters(F.col("tight")))

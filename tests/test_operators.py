@@ -704,3 +704,31 @@ def test_vector_search_holds_blocks_of_scores():
         want = np.lexsort((ids, -every[q]))[:5]
         assert n[q] == 5 and list(vec[q]) == list(ids[want]) and np.array_equal(score[q], every[q][want], equal_nan=True)
     assert retrieval.BLOCK_SCORES * 8 <= 64 << 20
+
+
+def test_wrapped_lines_are_joined_from_codes_alone(spark):
+    import random
+    import re
+
+    bullet = re.compile(r"[\-•·\d]+[\).、．\.]?\s+")
+
+    def brute(lines):
+        paragraphs, room = [], 0
+        for line in lines:
+            if room > 0 and not bullet.match(line):
+                paragraphs[-1].append(line)
+                room -= len(line) + 1
+            else:
+                paragraphs.append([line])
+                room = 280 - len(line)
+            if line[-1] in cleaning.PARAGRAPH_ENDS:
+                room = 0
+        return "\n".join(map(" ".join, paragraphs))
+
+    rng = random.Random(5)
+    words = ("word", "end.", "- item", "12) two", "•\u3000x", "٣ y", "3\x1cz", "日本。", "\U0001f600", "x" * 150, "y" * 300, '"', "7", "1.\u00a0a")
+    pages = [[[rng.choice(words) for _ in range(rng.randrange(9))] for _ in range(rng.randrange(3))] for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(pages)), "id int, kept array<array<string>>")
+    rows = rows.withColumn("opened", cleaning._opened_pages(F.transform("kept", lambda page: F.transform(page, cleaning.line_code))))
+    found = {r["id"]: r["b"] for r in rows.select("id", F.zip_with("kept", "opened", cleaning.unwrapped).alias("b")).collect()}
+    assert all(found[i] == [brute(lines) for lines in page] for i, page in enumerate(pages))
