@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import ranks
+from skein.sources import tables
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -125,9 +126,14 @@ SPACED, SHORT_TOKENS = 0.20, 120
 def gate(graded_docs: DataFrame) -> DataFrame:
     """One row: documents graded B or better, with many spaces between CJK characters, and failed; 95th percentiles (by index)
     of these spaces and of noisy lines, to four places; and whether all five thresholds hold.  No document passes nothing."""
-    out = graded_docs.agg(F.count("*").alias("n"), F.count_if(F.col("grade").isin("A", "B")).alias("n_good"), F.count_if(F.round("cjk_spaces", 4) > SPACED).alias("n_spaced"), F.count_if(F.col("grade") == "F").alias("n_failed"))
+    tables.shared(graded_docs.sparkSession)
+    # Texts are measured once: all that is asked for is told by how often a grade stands with both rates.
+    rates = [F.round(name, 4).alias(name) for name in ("cjk_spaces", "noisy_lines")]
+    counted = graded_docs.groupBy("grade", *rates).agg(F.count("*").alias("times")).checkpoint()
+    many = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("times"))), F.lit(0))
+    out = counted.agg(many(F.lit(True)).alias("n"), many(F.col("grade").isin("A", "B")).alias("n_good"), many(F.col("cjk_spaces") > SPACED).alias("n_spaced"), many(F.col("grade") == "F").alias("n_failed"))
     for name in ("cjk_spaces", "noisy_lines"):
-        top = ranks.at_ranks(graded_docs.select(F.round(name, 4).alias(name)), name, {f"p95_{name}": ranks.index95})
+        top = ranks.at_ranks(counted.select(name, "times"), name, {f"p95_{name}": ranks.index95}, times="times")
         # One row each.
         out = out.crossJoin(F.broadcast(top.agg(F.max(f"p95_{name}").alias(f"p95_{name}"))))
     n, most = F.col("n"), DOC_GATE

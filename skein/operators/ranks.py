@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from skein.sources import tables
 
 
-def at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]], keys: tuple[str, ...] = ()) -> DataFrame:
+def at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[Column], Column]], keys: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
     """One row for each group of keys: total, and the value at each of the ranks; null values have no rank.
 
-    ranks: name -> the rank (from 1) as a function of the group's number of values; ranks outside 1..total give null.
+    ranks: name -> the rank (from 1) as a function of the group's number of values; ranks outside 1..total give null.  times: a
+    column that says how many times a row counts; once without it.
 
     Equal values are counted first.  The counts are dealt to ranges of (keys, value); each range's sum by group says which
     ranges hold which ranks, and sums run inside those alone.  So no group meets in one task, however large it is.  What is
@@ -25,7 +26,7 @@ def at_ranks(df: DataFrame, column: str, ranks: dict[str, Callable[[Column], Col
     # Without keys all rows are one group.
     own = keys or ["everything"]
     df = df if keys else df.withColumn("everything", F.lit(0))
-    counts = df.where(F.col(column).isNotNull()).groupBy(*own, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(column).isNotNull()).groupBy(*own, F.col(column).alias("v")).agg((F.sum(times) if times else F.count("*")).alias("n"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # The ranges are read twice, so they are kept: another sample of the values could set other bounds.
     placed = counts.repartitionByRange(parts, *own, "v").withColumn("part", F.spark_partition_id()).checkpoint()

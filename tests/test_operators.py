@@ -732,3 +732,25 @@ def test_wrapped_lines_are_joined_from_codes_alone(spark):
     rows = rows.withColumn("opened", cleaning._opened_pages(F.transform("kept", lambda page: F.transform(page, cleaning.line_code))))
     found = {r["id"]: r["b"] for r in rows.select("id", F.zip_with("kept", "opened", cleaning.unwrapped).alias("b")).collect()}
     assert all(found[i] == [brute(lines) for lines in page] for i, page in enumerate(pages))
+
+
+def test_gate_measures_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def rate(k):
+        seen.add(1)
+        return k / 100
+
+    rows = spark.range(0, 100, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "F").otherwise("A").alias("grade"), rate("id").alias("cjk_spaces"), F.lit(0.0).alias("noisy_lines"))
+    found = quality.gate(rows).first()
+    assert (found["n"], found["n_good"], found["n_spaced"], found["n_failed"], found["p95_cjk_spaces"], found["p95_noisy_lines"]) == (100, 97, 79, 3, 0.95, 0.0)
+    assert seen.value == 100
+
+
+def test_ranks_of_counted_values(spark):
+    rows = [(k % 3, k % 7) for k in range(60)]
+    once = spark.createDataFrame(rows, "g int, v int")
+    counted = once.groupBy("g", "v").agg(F.count("*").alias("times"))
+    wanted = {"low": ranks.lower_median, "top": ranks.index95}
+    assert sorted(ranks.at_ranks(counted, "v", wanted, ("g",), "times").collect()) == sorted(ranks.at_ranks(once, "v", wanted, ("g",)).collect())
