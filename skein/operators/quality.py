@@ -117,6 +117,16 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def flag_distribution(df: DataFrame, column: str = "flags") -> DataFrame:
+    """flag, n: how many rows have each flag.
+
+    Sets of flags are counted and written first: a filter on what is exploded would measure the texts again.
+    """
+    tables.shared(df.sparkSession)
+    sets = df.groupBy(column).agg(F.count("*").alias("times")).checkpoint()
+    return sets.select(F.explode(column).alias("flag"), "times").groupBy("flag").agg(F.sum("times").alias("n"))
+
+
 # The gates' thresholds, shares of documents or chunks but for the 95th percentiles.
 DOC_GATE = {"least_good": 0.90, "most_p95_cjk_spaces": 0.08, "most_spaced": 0.05, "most_p95_noisy_lines": 0.12, "most_failed": 0.03}
 CHUNK_GATE = {"least_covered": 0.99, "least_in_range": 0.95, "most_noisy": 0.03, "most_short": 0.03, "most_duplicate": 0.08}

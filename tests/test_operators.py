@@ -754,3 +754,15 @@ def test_ranks_of_counted_values(spark):
     counted = once.groupBy("g", "v").agg(F.count("*").alias("times"))
     wanted = {"low": ranks.lower_median, "top": ranks.index95}
     assert sorted(ranks.at_ranks(counted, "v", wanted, ("g",), "times").collect()) == sorted(ranks.at_ranks(once, "v", wanted, ("g",)).collect())
+
+
+def test_flags_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def flags(k):
+        seen.add(1)
+        return ["even"] * (k % 2 == 0) + ["third"] * (k % 3 == 0)
+
+    rows = spark.range(0, 60, 1, 4).select(flags("id").alias("flags"))
+    assert sorted(map(tuple, quality.flag_distribution(rows).collect())) == [("even", 30), ("third", 20)] and seen.value == 60
