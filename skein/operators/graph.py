@@ -92,10 +92,18 @@ def entity_flags(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def relation_flags(relations: DataFrame, entities: DataFrame) -> DataFrame:
     """relations with src_type, dst_type, flags and qa_usage; the strictest usage wins."""
-    words = F.concat_ws(" ", "name", "synonyms")
     src = entities.select(F.col("entity_id").alias("src_id"), F.col("type").alias("src_type"))
-    dst = entities.select(F.col("entity_id").alias("dst_id"), F.col("type").alias("dst_type"), F.when(F.col("type") == "AssessmentTool", tool_class(words)).alias("tool"))
-    joined = relations.join(src, "src_id", "left").join(dst, "dst_id", "left")
+    joined = relations.join(src, "src_id", "left").join(_tools(entities, "type"), "dst_id", "left")
+    return _flagged(joined)
+
+
+def _tools(entities: DataFrame, *more: str) -> DataFrame:
+    """dst_id, tool (class of a tool, else null), and more columns of entities as dst_..."""
+    words = F.concat_ws(" ", "name", "synonyms")
+    return entities.select(F.col("entity_id").alias("dst_id"), *(F.col(c).alias(f"dst_{c}") for c in more), F.when(F.col("type") == "AssessmentTool", tool_class(words)).alias("tool"))
+
+
+def _flagged(joined: DataFrame) -> DataFrame:
     tool = (F.col("relation_type") == "MEASURED_BY") & F.col("tool").isin(*RESTRICTED)
     single, low = F.coalesce("support_count", F.lit(0)) <= 1, F.coalesce("confidence", F.lit(0.0)) < 0.5
     guarded = F.col("relation_type").isin(*GUARDED)
@@ -110,6 +118,27 @@ def relation_flags(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return joined.withColumns({"flags": F.array_sort(F.array_compact(flags)), "qa_usage": usage}).drop("tool")
 
 
+def usage_counts(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relation_type, qa_usage, flags, n: how many relations `relation_flags` gives which flags.
+
+    Flags don't depend on where a relation begins, so relations are counted by what tells them apart before they meet the
+    entities: as many rows as entities that relations lead to, a few for each.
+    """
+    support, sure = F.least(F.coalesce("support_count", F.lit(0)), F.lit(2)), F.when(F.coalesce("confidence", F.lit(0.0)) < 0.5, 0.0).otherwise(1.0)
+    own = F.when(F.col("src_id") == F.col("dst_id"), F.col("dst_id"))
+    kinds = relations.select("relation_type", "dst_id", support.alias("support_count"), sure.alias("confidence"), own.alias("src_id"))
+    counted = kinds.groupBy(*kinds.columns).agg(F.count("*").alias("times"))
+    return _flagged(counted.join(_tools(entities), "dst_id", "left")).groupBy("relation_type", "qa_usage", "flags").agg(F.sum("times").alias("n"))
+
+
+def ended(relations: DataFrame, entities: DataFrame, *columns) -> DataFrame:
+    """relations between entities, with columns of both (src_..., dst_...): one join for each end."""
+    for side in ("src", "dst"):
+        held = entities.select(F.col("entity_id").alias(f"{side}_id"), *columns)
+        relations = relations.join(held.select(f"{side}_id", *(F.col(c).alias(f"{side}_{c}") for c in held.columns[1:])), f"{side}_id")
+    return relations
+
+
 def level_summary(supports: DataFrame, evidence: DataFrame) -> DataFrame:
     """relation_id, summary such as A:2|B:1 of supports (relation_id, evidence_id)."""
     levels = supports.join(evidence.select("evidence_id", "evidence_level"), "evidence_id", "left").withColumn("level", F.coalesce("evidence_level", F.lit("unknown")))

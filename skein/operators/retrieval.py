@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
-from skein.operators import matching
+from skein.operators import graph, matching
 
 # Keywords that say nothing specific; weights of evidence levels in fusion and in ranking.
 GENERIC = ("asd", "autism", "孤独症", "自闭症", "孤独症谱系障碍", "自闭症谱系障碍")
@@ -131,9 +131,30 @@ def entity_rank(matches: DataFrame, entities: DataFrame | None, keep: int = 60)
 def relation_rank(relations: DataFrame, words: list[str], keep: int) -> DataFrame:
     """relation_id, rank by keyword hits, kind, support, confidence, id."""
     text = F.lower(F.concat_ws(" ", "src_name", "src_type", "relation_type", "dst_name", "dst_type"))
-    score = sum((F.when(F.contains(text, F.lit(w.lower())), 10.0 if w.lower() in GENERIC else 100.0).otherwise(0.0) for w in words), F.lit(0.0))
+    hits = {w: F.contains(text, F.lit(w.lower())) for w in words}
+    return _ranked(relations, hits, (F.col("src_type") == "AssessmentTool") | (F.col("dst_type") == "AssessmentTool"), keep)
+
+
+def relation_rank_of(relations: DataFrame, entities: DataFrame, words: list[str], keep: int) -> DataFrame:
+    """What `relation_rank` gives of relations between entities (entity_id, name, type).
+
+    Each entity is looked through once, and what relations carry is which words it names; a word with a space may begin in one
+    name and end in the next, so such words are looked for in the names of both ends together.
+    """
+    if any(" " in w for w in words):
+        return relation_rank(graph.ended(relations, entities, "name", "type"), words, keep)
+    text = F.lower(F.concat_ws(" ", "name", "type"))
+    named = sum((F.when(F.contains(text, F.lit(w.lower())), 1 << k).otherwise(0) for k, w in enumerate(words)), F.lit(0).cast("long"))
+    both = graph.ended(relations.select("relation_id", "src_id", "relation_type", "dst_id", "support_count", "confidence"), entities, named.alias("named"), F.coalesce(F.col("type") == "AssessmentTool", F.lit(False)).alias("tool"))
+    kind = F.lower(F.coalesce("relation_type", F.lit("")))
+    hits = {w: ((F.col("src_named").bitwiseOR(F.col("dst_named"))).bitwiseAND(F.lit(1 << k).cast("long")) != 0) | F.contains(kind, F.lit(w.lower())) for k, w in enumerate(words)}
+    return _ranked(both, hits, F.col("src_tool") | F.col("dst_tool"), keep)
+
+
+def _ranked(relations: DataFrame, hits: dict[str, Column], tool: Column, keep: int) -> DataFrame:
+    score = sum((F.when(hit, 10.0 if w.lower() in GENERIC else 100.0).otherwise(0.0) for w, hit in hits.items()), F.lit(0.0))
     score += F.when(F.col("relation_type") == "MEASURED_BY", 15.0).otherwise(0.0)
-    score += F.when((F.col("src_type") == "AssessmentTool") | (F.col("dst_type") == "AssessmentTool"), 10.0).otherwise(0.0)
+    score += F.when(tool, 10.0).otherwise(0.0)
     top = relations.withColumn("score", score).orderBy(F.desc("score"), F.desc("support_count"), F.desc("confidence"), "relation_id").limit(keep)
     order = [F.desc("score"), F.desc("support_count"), F.desc("confidence"), F.col("relation_id")]
     return top.select("relation_id", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"))

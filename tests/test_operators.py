@@ -766,3 +766,34 @@ def test_flags_are_made_once(spark):
 
     rows = spark.range(0, 60, 1, 4).select(flags("id").alias("flags"))
     assert sorted(map(tuple, quality.flag_distribution(rows).collect())) == [("even", 30), ("third", 20)] and seen.value == 60
+
+
+def _small_graph(spark):
+    kinds = ("AssessmentTool", "Condition", "Intervention", None)
+    names = ("blue gear", "Steel ASD", "steel bolt", None, "plain", "deep blue steel", "MRI scanner")
+    e = spark.createDataFrame([(f"e{k}", names[k % 7], kinds[k % 4], [f"s{k % 3}"]) for k in range(28)], "entity_id string, name string, type string, synonyms array<string>")
+    r = [(f"r{k}", f"e{k * 5 % 30}", ("MEASURED_BY", "HAS_RISK", "BLUE_TO", None)[k // 7 % 4], f"e{k * 3 % 28}", (None, 1, 2, 5)[k % 4], (None, 0.2, 0.5, 0.9, float("nan"))[k % 5]) for k in range(300)]
+    return e, spark.createDataFrame(r, "relation_id string, src_id string, relation_type string, dst_id string, support_count long, confidence double")
+
+
+@pytest.mark.parametrize("words", [["blue", "steel", "asd"], ["deep blue", "bolt condition"], ["Tool", "zzz"], []])
+def test_relations_are_ranked_by_what_their_ends_name(spark, words):
+    e, r = _small_graph(spark)
+    found = retrieval.relation_rank_of(r, e, words, 40)
+    assert found.collect() == retrieval.relation_rank(graph.ended(r, e, "name", "type"), words, 40).collect()
+
+
+def test_usage_is_counted_before_entities_are_met(spark):
+    e, r = _small_graph(spark)
+    whole = graph.relation_flags(r, e).groupBy("relation_type", "qa_usage", "flags").agg(F.count("*").alias("n"))
+    assert sorted(map(repr, graph.usage_counts(r, e).collect())) == sorted(map(repr, whole.collect()))
+
+
+@pytest.mark.parametrize(("name", "joins"), [("relation_rank", 2), ("relation_flags_usage", 1)])
+def test_relations_meet_entities_once_for_an_end(spark, name, joins):
+    """Beside the joins that relations and entities are made with: lines with orders, and three tables with their counts for each end."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    own = sum(any(f"{end}_id" in line.split("Join", 1)[1] for end in ("src", "dst")) for line in plan.splitlines() if "Join " in line)
+    assert own == joins
