@@ -125,16 +125,19 @@ def checked(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
     relations: chunk_id, src_id, relation_type, dst_id, evidence_text, confidence; entities: chunk_id, entity_id, name, type,
     synonyms.  Ends are looked for among the entities of the relation's chunk that pass `typed`; of an id that stands twice in
-    a chunk the last counts, by `place` if entities have one, else by its fields.
+    a chunk the last counts, by `place` if entities have one, else by its fields.  Entities without a chunk_id are known to every
+    chunk that a relation names them in, so they are judged once and met by their id.
     """
+    by = [c for c in ("chunk_id", "entity_id") if c in entities.columns]
     names = F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))
     last = F.struct(*[F.col(c) for c in ("place", "type", "name", "synonyms") if c in entities.columns]).alias("last")
-    kept = typed(entities).where("reject_reason is null").select("chunk_id", "entity_id", "name", "type", F.filter(F.transform(names, _plain), lambda a: a != "").alias("names"), last)
-    kept = kept.groupBy("chunk_id", "entity_id").agg(F.max_by(F.struct("type", "name", "names"), "last").alias("k")).select("chunk_id", "entity_id", "k.*")
+    kept = typed(entities).where("reject_reason is null").select(*by, "name", "type", F.filter(F.transform(names, _plain), lambda a: a != "").alias("names"), last)
+    kept = kept.groupBy(*by).agg(F.max_by(F.struct("type", "name", "names"), "last").alias("k")).select(*by, "k.*")
     ends = relations.drop("src_type", "dst_type")
     for side in ("src", "dst"):
-        own = kept.select(F.col("chunk_id").alias("c"), F.col("entity_id").alias("e"), *(F.col(c).alias(f"{side}_{c}") for c in ("type", "name", "names")))
-        ends = ends.join(own, (F.col("chunk_id") == F.col("c")) & (F.col(f"{side}_id") == F.col("e")), "left").drop("c", "e")
+        own = kept.select(*(F.col(c).alias(f"of_{c}") for c in by), *(F.col(c).alias(f"{side}_{c}") for c in ("type", "name", "names")))
+        there = F.col("chunk_id") == F.col("of_chunk_id") if "chunk_id" in by else F.col("chunk_id").isNotNull()
+        ends = ends.join(own, there & (F.col(f"{side}_id") == F.col("of_entity_id")), "left").drop(*(f"of_{c}" for c in by))
     pairs = F.broadcast(allowed_pairs(relations.sparkSession).withColumn("legal", F.lit(True)))
     ends = ends.join(pairs, ["relation_type", "src_type", "dst_type"], "left").withColumns({"low": _plain(F.col("evidence_text")), "tool": _plain(F.col("dst_name"))})
     low, tool = F.col("low"), F.col("tool")
@@ -168,10 +171,14 @@ def revalidated(records: DataFrame, key: str, relations: DataFrame, entities: Da
     """records (key, status) with the entities and relations that pass today's rules, and warnings; error rows pass as they are.
 
     n_entities and n_relations count what passes, warnings how much was rejected for each reason, such as reason:2, sorted;
-    0 and none for error rows.
+    0 and none for error rows.  Entities without a chunk_id count in each chunk that a relation names them in.
     """
     bad = lambda df: df.select(F.col("chunk_id").alias("k"), "reject_reason")
-    both = bad(typed(entities)).withColumn("entity", F.lit(True)).unionByName(bad(checked(relations, entities)).withColumn("entity", F.lit(False)))
+    judged = typed(entities)
+    if "chunk_id" not in entities.columns:
+        ends = relations.select("chunk_id", F.explode(F.array("src_id", "dst_id")).alias("entity_id")).distinct()
+        judged = ends.join(judged.select("entity_id", "reject_reason"), "entity_id")
+    both = bad(judged).withColumn("entity", F.lit(True)).unionByName(bad(checked(relations, entities)).withColumn("entity", F.lit(False)))
     counted = both.groupBy("k", "reject_reason", "entity").agg(F.count("*").alias("n"))
     kept = F.col("reject_reason").isNull()
     line = F.when(~kept, F.concat_ws(":", "reject_reason", "n"))

@@ -616,6 +616,19 @@ def test_relation_ends_with_ideographic_space_and_repeated_ids(spark):
     assert [r["reject_reason"] for r in runs.checked(rows, entities).collect()] == [None]
 
 
+def test_entities_without_a_chunk_are_known_where_they_are_named(spark):
+    text = "The study found that autism was assessed with ADOS scale in children."
+    rows = [("c1", "a", "MEASURED_BY", "t", text, 1.0), ("c1", "a", "MEASURED_BY", "gone", text, 1.0), ("c2", "t", "MEASURED_BY", "a", text, 1.0), (None, "a", "MEASURED_BY", "t", text, 1.0), ("c3", None, "MEASURED_BY", "bad", text, 1.0)]
+    relations = spark.createDataFrame(rows, "chunk_id string, src_id string, relation_type string, dst_id string, evidence_text string, confidence double")
+    entities = spark.createDataFrame([("a", "autism", "Condition", []), ("t", "ADOS scale", "AssessmentTool", []), ("t", "ADOS scale", "AssessmentTool", ["x"]), ("bad", "plain", "Nonsense", []), ("unnamed", "autism", "Condition", [])], "entity_id string, name string, type string, synonyms array<string>")
+    records = spark.createDataFrame([("c1", "ok"), ("c2", "ok"), ("c3", "ok"), ("c4", "ok"), (None, "ok")], "chunk string, status string")
+    ends = relations.select("chunk_id", F.explode(F.array("src_id", "dst_id")).alias("entity_id")).distinct()
+    got = lambda e: sorted(map(tuple, runs.revalidated(records, "chunk", relations, e).collect()), key=str)
+    assert got(entities) == got(entities.join(ends, "entity_id"))
+    assert ("c1", "ok", 3, 1, "orphan_relation:1") in got(entities) and ("c3", "ok", 0, 0, "invalid_entity_type:1|orphan_relation:1") in got(entities)
+    assert [r["reject_reason"] for r in runs.checked(relations.where("chunk_id is null"), entities).collect()] == ["orphan_relation"]
+
+
 @pytest.fixture(scope="module")
 def small_graph(spark):
     entities = spark.createDataFrame([(f"e{i}", n, [], 5, 2, False) for i, n in enumerate(["blue bolt", "blue gear", "red nut", "green cog", "far wheel", "alone"])], "entity_id string, name string, synonyms array<string>, source_chunk_count long, source_doc_count long, is_isolated boolean")
