@@ -174,10 +174,15 @@ def remapped(relations: DataFrame, merged_entities: DataFrame, supports: DataFra
     triple = ["src_id", "relation_type", "dst_id"]
     out = out.where("src_id <> dst_id")
     backed = out.select("relation_id", *triple).join(supports, "relation_id").groupBy(*triple).agg(F.count_distinct("evidence_id").alias("support_count"))
+    return averaged(out, triple).join(backed, triple, "left").select(*triple, F.coalesce("support_count", F.lit(0)).alias("support_count"), "confidence", "n_merged")
+
+
+def averaged(relations: DataFrame, triple, *more: Column) -> DataFrame:
+    """The columns of triple, confidence (the mean, to 4 places), n_merged (relations) and more sums of relations."""
     # Whole millionths: their sum is the same in any order, and so is its rounding.
-    grouped = out.groupBy(*triple).agg(F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")).alias("s"), F.count("confidence").alias("c"), F.count("*").alias("n_merged"))
+    grouped = relations.groupBy(*triple).agg(F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")).alias("s"), F.count("confidence").alias("c"), F.count("*").alias("n_merged"), *more)
     mean = F.expr("(2 * s + 100 * c) div (200 * c)") / 10_000
-    return grouped.join(backed, triple, "left").select(*triple, F.coalesce("support_count", F.lit(0)).alias("support_count"), F.when(F.col("c") > 0, mean).alias("confidence"), "n_merged")
+    return grouped.withColumn("confidence", F.when(F.col("c") > 0, mean)).drop("s", "c")
 
 
 def best_name(mentions: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from skein.operators import catalog as sources
 from skein.operators import chunking, cleaning, evaluation, graph, matching, quality, ranks, resolution, retrieval, runs, search
-from skein.plans import views
+from skein.plans import catalog, views
 from skein.sources import edge, tables
 from skein.streaming import ingest
 
@@ -699,6 +699,35 @@ def test_chunks_behind_nodes_are_those_of_the_joined_tables(spark, tmp_path, mon
         assert found == want and (not want) == (nodes == ["part_1"])
 
 
+@pytest.mark.parametrize("size", [12, 1])
+def test_relations_between_merged_ends_are_those_of_the_joined_tables(spark, tmp_path, monkeypatch, size):
+    rows = {
+        "lineitem": ([(k % 7, k % 5, k % 3, 1, 0.05 + k / 1000, 0.0) for k in range(40)] + [(9, 1, 1, 1, 0.0, 0.0), (2, 1, None, 1, None, 0.0), (3, 4, 2, 1, None, 0.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_discount double, l_tax double"),
+        # Order 3 stands twice, under two customers; one order has no customer, and order 9 isn't there.
+        "orders": ([(k, k % 4, "1-URGENT") for k in range(6)] + [(3, 1, "2-HIGH"), (6, None, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+        "supplier": ([(k, f"firm {min(k, 1)}", 2) for k in range(3)], "s_suppkey long, s_name string, s_nationkey int"),
+        # Part 4 isn't there.
+        "part": ([(k, f"bolt {k % 2}", "a b") for k in range(4)], "p_partkey long, p_name string, p_type string"),
+        "customer": ([(k, "same", "x", 2) for k in range(4)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int"),
+        "nation": ([(2, "there")], "n_nationkey int, n_name string"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    # Short ids of one digit, so that relations of all kinds share them.
+    short = views.T.short_id
+    monkeypatch.setattr(views.T, "short_id", lambda prefix, *parts: short(prefix, *parts, size=size))
+    d, types = str(tmp_path), ("AssessmentTool", "Intervention")
+    merged = graph.merged(views.entities(spark, d), types)
+    want = sorted(map(tuple, graph.remapped(views.relations(spark, d), merged, views.supports(spark, d)).collect()))
+    assert max(r[5] for r in want) > 1
+    if size == 1:
+        monkeypatch.setattr(views, "SENT_KEYS", 1)
+    found = catalog.queries()["relation_remerge"](spark, d)
+    assert sorted(map(tuple, found.collect())) == want
+    # Neither relations nor supports are made: what is dealt has no short ids.
+    assert "sha1" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_nodes_without_chunks_meet_no_query(spark, small_graph):
     # A seed around another seed isn't around the query; of a node's ways no more are followed than of all.
     seeds = spark.createDataFrame([(1, "blue"), (2, "bolt"), (3, "red"), (3, "far")], "query_id long, keyword string")
