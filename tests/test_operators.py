@@ -222,6 +222,12 @@ def test_relations_of_canonical_entities(spark):
     assert len(found) == 2 and (found["a", "a"]["support_count"], found["a", "a"]["evidence_example"], found["a", "a"]["support_chunk_ids"]) == (0, "", [])
 
 
+def test_pilot_drops_what_the_sql_calls_noisy(spark):
+    rows = [(1, "a", "found " * 9 + "ÉCOLE " * 41), (2, "a", "found " * 3), (3, "a", "found using " + "ÉCOLE " * 40)]
+    found = sources.pilot(spark.createDataFrame(rows, "doc_id long, source_group string, text string"), "doc_id", "source_group", least=0)
+    assert [(r["doc_id"], r["score"]) for r in found.collect()] == [(2, 6), (3, 4)]
+
+
 def test_alias_in_two_groups(spark):
     groups = spark.createDataFrame([("T", 1, ["ADOS", "ados"]), ("T", 2, ["ados "]), ("U", 3, ["ados"])], "type string, group_id int, aliases array<string>")
     with pytest.raises(ValueError, match="T ados"):
