@@ -723,6 +723,16 @@ def test_queries_with_the_same_entities_are_searched_once(spark, small_graph):
     assert {r["entity_id"] for r in both.frontier.where("query_id = 4").collect()} == {"e0", "e1", "e2", "e3", "e4"} and both.frontier.where("query_id = 7").count() == 2
 
 
+def test_passes_are_merged_once_for_queries_that_share_both(spark, small_graph):
+    words = lambda rows: spark.createDataFrame(rows, "query_id long, keyword string")
+    both = search.merged(search.searched(words([(q, "blue") for q in range(1, 9)]), small_graph), search.searched(words([(q, "far") for q in (3, 5, 7)]), small_graph))
+    assert {q: {r["query_id"] for r in both.led(stage).collect()} for q, stage in enumerate(search.LED)} == dict.fromkeys(range(3), {1, 3})
+    queries = spark.range(1, 10).select(F.col("id").alias("query_id"))
+    told = {(r["query_id"], r["stage"]): (r["n"], r["first"]) for r in search.trace(queries, both).collect()}
+    assert len(told) == 45 and all(told[q, s] == told[3 if q in (5, 7) else 1, s] for q in (2, 4, 5, 6, 7, 8) for s in ("ranked", *search.LED))
+    assert (told[1, "frontier"], told[3, "frontier"], told[3, "relations"][0], told[9, "chunks"]) == ((1, "e2"), (2, "e2"), told[1, "relations"][0] + 1, (0, None))
+
+
 @pytest.mark.parametrize("sent", [0, 1000])
 def test_relations_of_nodes_are_those_of_all_relations(spark, tmp_path, monkeypatch, sent):
     rows = {
